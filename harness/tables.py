@@ -68,6 +68,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packet_rows(load(spark, sf_dir, "events")).select(PACKETS.fieldNames())
 
 
+def stored_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet table as ingest leaves it, in several files."""
+    spread = packets(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return materialize(spread, "packets")
+
+
 def ownership_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer as an ownership record; the balance picks its shape."""
     customer = load(spark, sf_dir, "customer")
@@ -131,7 +137,7 @@ def endpoints(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataF
     An endpoint counts as profiled when its last packet came. Without
     ``embedded`` a one-element vector marks that it has been embedded.
     """
-    stored = materialize(packets(spark, sf_dir), "packets")
+    stored = stored_packets(spark, sf_dir)
     seen = real_packets(stored).select(
         F.explode(F.array("src_ip", "dst_ip")).alias("ip_address"), "ts"
     ).groupBy("ip_address").agg(F.max("ts").alias("profiled_at"))
@@ -145,3 +151,64 @@ def endpoints(spark: SparkSession, sf_dir: str, embedded: bool = False) -> DataF
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENDPOINTS]
     )
     return materialize(table, "endpoints")
+
+
+def raw_rows(events: DataFrame) -> DataFrame:
+    """Every event as a dissected packet: TCP, UDP for errors, ARP without IP."""
+    flat = packet_rows(events)
+    arp, udp = F.col("protocol") == "ARP", F.col("protocol") == "DATA"
+    tcp = ~arp & ~udp
+    # A port the dissector shows by service name counts as no port.
+    target = F.when(F.col("dst_port") == 22, "ssh").otherwise(F.col("dst_port").cast("string"))
+    source = F.col("src_port").cast("string")
+    payload = F.concat(F.lit("size="), F.col("size").cast("string"))
+    return flat.select(
+        "packet_id", "ts", F.col("protocol").alias("highest_layer"),
+        F.when(~arp, F.col("src_ip")).alias("ip_src"),
+        F.when(~arp, F.col("dst_ip")).alias("ip_dst"),
+        F.when(tcp, source).alias("tcp_srcport"),
+        F.when(tcp, target).alias("tcp_dstport"),
+        F.when(tcp, payload).alias("tcp_payload"),
+        F.when(udp, source).alias("udp_srcport"),
+        F.when(udp, target).alias("udp_dstport"),
+        F.when(udp, payload).alias("udp_payload"),
+        F.col("size").alias("frame_length"),
+    )
+
+
+def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_rows(load(spark, sf_dir, "events"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets as capture files ``(path, content)``, one per Arrow batch."""
+    return packets(spark, sf_dir).mapInPandas(_encode, "path string, content binary")
+
+
+def _encode(batches):
+    import numpy as np
+    import pandas as pd
+
+    for batch in batches:
+        def octets(ip):
+            return np.array([list(map(int, i.split("."))) for i in ip], dtype=np.uint8).reshape(-1, 4)
+
+        frame = np.zeros(len(batch), dtype=[
+            ("seconds", "<u4"), ("micros", "<u4"), ("captured", "<u4"), ("length", "<u4"),
+            ("macs", "u1", 12), ("kind", ">u2"), ("version", "u1"), ("service", "u1"), ("total", ">u2"),
+            ("fragment", "u1", 4), ("ttl", "u1"), ("protocol", "u1"), ("checksum", ">u2"),
+            ("src", "u1", 4), ("dst", "u1", 4), ("sport", ">u2"), ("dport", ">u2"), ("tcp", "u1", 16),
+        ])
+        micros = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        arp = (batch["protocol"] == "ARP").to_numpy()
+        frame["seconds"], frame["micros"] = micros // 1_000_000, micros % 1_000_000
+        frame["captured"], frame["length"] = 54, batch["size"] + 14
+        frame["kind"] = np.where(arp, 0x0806, 0x0800)
+        frame["version"], frame["protocol"], frame["total"] = 0x45, 6, batch["size"]
+        frame["src"], frame["dst"] = octets(batch["src_ip"]), octets(batch["dst_ip"])
+        frame["sport"], frame["dport"] = batch["src_port"], batch["dst_port"]
+        frame["tcp"][:, 8] = 0x50
+        header = np.array([0xA1B2C3D4, 0x00040002, 0, 0, 65535, 1], dtype="<u4").tobytes()
+        yield pd.DataFrame({
+            "path": [f"capture-{batch['packet_id'].min()}.pcap"], "content": [header + frame.tobytes()],
+        })

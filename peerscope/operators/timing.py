@@ -7,12 +7,13 @@ sort. Minutes are then stitched together through their first and last instant.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.schema import MIN_TIMING_PACKETS
 
 MINUTE_MS = 60_000
+SPLIT_BITS = 20
 
 
 def instants(packets: DataFrame) -> DataFrame:
@@ -56,8 +57,9 @@ def endpoint_timing(packets: DataFrame) -> DataFrame:
     """Mean gap in seconds and its coefficient of variation per endpoint.
 
     Null with fewer than three packets or when all fall on one instant. Squared
-    gaps are summed in DECIMAL, so the variance of a regular beacon does not
-    vanish in rounding.
+    gaps are summed exactly, so the variance of a regular beacon does not drown
+    in rounding: gaps between minutes are split into two halves whose products
+    fit a LONG, and put together in DECIMAL once per endpoint.
     """
     within = Window.partitionBy("ip_address", "minute").orderBy("ts_ms")
     across = Window.partitionBy("ip_address").orderBy("minute")
@@ -73,23 +75,32 @@ def endpoint_timing(packets: DataFrame) -> DataFrame:
             F.coalesce(F.sum(gap * gap), F.lit(0)).alias("squares"),
         )
     )
-    border = (F.col("first") - F.lag("last").over(across)).cast("decimal(14,0)")
+    border = F.coalesce(F.col("first") - F.lag("last").over(across), F.lit(0))
+    high, low = F.shiftright("border", SPLIT_BITS), F.col("border").bitwiseAND(F.lit((1 << SPLIT_BITS) - 1))
     totals = (
         minutes.withColumn("border", border)
         .groupBy("ip_address")
         .agg(
             F.sum("packets").alias("packets"),
             (F.max("last") - F.min("first")).alias("span"),
-            (
-                F.sum(F.col("squares").cast("decimal(18,0)"))
-                + F.coalesce(F.sum(F.col("border") * F.col("border")), F.lit(0).cast("decimal(38,0)"))
-            ).cast("decimal(24,0)").alias("squares"),
+            F.sum(high * high).alias("high_squares"),
+            F.sum(high * low).alias("products"),
+            F.sum(low * low + F.col("squares")).alias("low_squares"),
         )
     )
+    def whole(column: Column, digits: int) -> Column:
+        return column.cast(f"decimal({digits},0)")
+
+    squares = whole(
+        whole(F.col("high_squares"), 19) * whole(F.lit(1 << 2 * SPLIT_BITS), 13)
+        + whole(F.col("products"), 19) * whole(F.lit(2 << SPLIT_BITS), 7)
+        + whole(F.col("low_squares"), 19),
+        24,
+    )
     gaps = F.col("packets") - 1
-    span = F.col("span").cast("decimal(18,0)")
+    span = whole(F.col("span"), 18)
     # gaps^2 * variance, in ms^2
-    spread = (gaps.cast("decimal(14,0)") * F.col("squares") - span * span).cast("double")
+    spread = (whole(gaps, 14) * squares - span * span).cast("double")
     timed = (F.col("packets") >= MIN_TIMING_PACKETS) & (F.col("span") > 0)
     return totals.select(
         "ip_address",

@@ -15,7 +15,7 @@ def read_raw_packets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """The packet table written by :func:`append_packets`."""
+    """The packet table written by :func:`append_packets`; filter ``day`` to prune."""
     return spark.read.schema(PACKETS).parquet(path)
 
 
