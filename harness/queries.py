@@ -15,6 +15,7 @@ from peerscope.functions.ranking import with_global_rank
 from peerscope.operators import (
     clusters, evaluation, features, flows, graph, knee, neighbours, profiles, reduction, scoring, timing,
 )
+from peerscope.operators.blocks import prepare
 from peerscope.plans import detection, views
 from peerscope.session import materialize, new_path
 from peerscope.sources import captures, ownership, packets
@@ -385,23 +386,23 @@ def blended_features(spark, sf):
 
 @query
 def eps_neighbors(spark, sf):
-    return neighbours.eps_neighbours(numeric_space(spark, sf), EPS)
+    return neighbours.eps_neighbours(prepare(numeric_space(spark, sf)), EPS)
 
 
 @query
 def k_distance(spark, sf):
-    return plain(neighbours.k_distances(numeric_space(spark, sf), MIN_SAMPLES))
+    return plain(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES))
 
 
 @query
 def k_distance_curve(spark, sf):
-    curve = neighbours.k_distance_curve(neighbours.k_distances(numeric_space(spark, sf), MIN_SAMPLES))
+    curve = neighbours.k_distance_curve(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES))
     return plain(curve.select("place", "k_distance"))
 
 
 @query
 def recommended_eps(spark, sf):
-    curve = neighbours.k_distance_curve(neighbours.k_distances(numeric_space(spark, sf), MIN_SAMPLES))
+    curve = neighbours.k_distance_curve(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES))
     radius = knee.recommend_eps(materialize(curve, "curve"))
     return plain(spark.createDataFrame(
         [(radius.eps, radius.knee_index, radius.source)], "eps double, knee_index long, eps_source string"
@@ -410,13 +411,13 @@ def recommended_eps(spark, sf):
 
 @query
 def dbscan_labels(spark, sf):
-    return clusters.dbscan(numeric_space(spark, sf), EPS, MIN_SAMPLES)
+    return clusters.dbscan(prepare(numeric_space(spark, sf)), EPS, MIN_SAMPLES)
 
 
 @query
 def silhouette(spark, sf):
     points = numeric_space(spark, sf)
-    labels = materialize(clusters.dbscan(points, EPS, MIN_SAMPLES), "labels")
+    labels = materialize(clusters.dbscan(prepare(points), EPS, MIN_SAMPLES), "labels")
     score = evaluation.silhouette(points, labels)
     return plain(spark.createDataFrame([(score,)], "silhouette double"))
 

@@ -27,9 +27,6 @@ SEARCH_AXES = 2
 # Room for rounding when a bounding box lies just outside a radius.
 ROUNDING = 1e-9
 
-DATA = ["block", "pids", "weights", "coordinates"]
-
-
 @dataclass(frozen=True)
 class Layout:
     """``blocks`` has one row per block.
@@ -46,26 +43,45 @@ class Layout:
     cuts: list[list[float]]
 
 
-def dimensions(points: DataFrame) -> int:
-    first = points.select(F.size("features").alias("dims")).first()
-    return first["dims"] if first else 0
+@dataclass(frozen=True)
+class Space:
+    """Points ``(ip_address, features)`` and their distinct positions.
 
+    ``spots`` has a row per position: ``pid``, the lowest address as ``name``
+    and the number of points as ``weight``. However many endpoints behave
+    alike, they become one spot.
+    """
 
-def spots_of(points: DataFrame) -> DataFrame:
-    """Distinct positions of ``(pid, features)``: lowest pid and number of points.
+    points: DataFrame
+    spots: DataFrame
+    rows: int
+    dims: int
 
-    However many endpoints behave alike, they become one row of that weight.
-    """
-    return points.groupBy("features").agg(F.min("pid").alias("pid"), F.count("*").alias("weight"))
+    def spread(self, by_spot: DataFrame, column: str) -> DataFrame:
+        """``(ip_address, column)`` of every point from ``(pid, column)`` of spots."""
+        by_position = self.spots.select("pid", "features").join(by_spot, "pid").select("features", column)
+        return self.points.join(by_position, "features").select("ip_address", column)
+
+
+def prepare(points: DataFrame) -> Space:
+    """The space of stored ``points``, to be searched as often as needed."""
+    spots = materialize(
+        points.groupBy("features")
+        .agg(F.min("ip_address").alias("name"), F.count("*").alias("weight"))
+        .withColumn("pid", F.monotonically_increasing_id()),
+        "spots",
+    )
+    size = spots.agg(F.count("*").alias("rows"), F.max(F.size("features")).alias("dims")).first()
+    return Space(points, spots, size["rows"], size["dims"] or 0)
 
 
-def lay_out(spots: DataFrame, cell_side: float | None = None, block_rows: int = BLOCK_ROWS) -> Layout:
-    """Cut stored ``spots`` into blocks of ``block_rows`` to twice as many points.
+def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOCK_ROWS) -> Layout:
+    """Cut the spots into blocks of ``block_rows`` to twice as many.
 
-    With ``cell_side`` points are also sorted by the cubic micro-cell they fall in.
+    With ``cell_side`` they are also sorted by the cubic micro-cell they fall
+    in. Within a block points are in the order of their names.
     """
-    rows = spots.count()
-    dims = dimensions(spots)
+    spots, rows, dims = space.spots, space.rows, space.dims
     count = max(1, rows // block_rows)
     cell = F.lit(None).cast("array<bigint>")
     if cell_side:
@@ -84,7 +100,7 @@ def lay_out(spots: DataFrame, cell_side: float | None = None, block_rows: int =
         order = [_bin(F.col("features")[i], cuts[i]) for i in axes[:SORT_AXES]]
         placed = with_global_rank(placed, [*order, "cell", "features", "pid"], "place")
         placed = placed.withColumn("block", F.expr(f"(place * {count}) div {rows}")).drop("place")
-    members = F.sort_array(F.collect_list(F.struct("pid", "weight", "features")))
+    members = F.sort_array(F.collect_list(F.struct("name", "pid", "weight", "features")))
     blocks = (
         placed.groupBy("block")
         .agg(
@@ -101,7 +117,9 @@ def lay_out(spots: DataFrame, cell_side: float | None = None, block_rows: int =
             "low", "high", "cell",
         )
     )
-    return Layout(materialize(blocks, "blocks"), count, dims, axes[:SEARCH_AXES], cuts)
+    if count > 1:
+        blocks = materialize(blocks, "blocks")
+    return Layout(blocks, count, dims, axes[:SEARCH_AXES], cuts)
 
 
 def _bin(value: Column, cuts: list[float]) -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
-from peerscope.operators.blocks import BLOCK_ROWS, Layout, cell_side, compare, dimensions, lay_out, spots_of
+from peerscope.operators.blocks import BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out
 from peerscope.operators.components import connected_components
 from peerscope.operators.neighbours import (
-    eps_pairs, matrix, rank_points, spot_neighbours, squared_distances,
+    eps_pairs, matrix, spot_neighbours, squared_distances,
 )
 from peerscope.session import materialize
 
@@ -54,7 +54,7 @@ def _one_block_kernel(eps: float, min_samples: int) -> Callable:
 
 
 def _local_kernel(eps: float) -> Callable:
-    """Sets of linked core points within one block, named by their lowest pid."""
+    """Sets of linked core points within one block, named by one of their pids."""
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
@@ -102,7 +102,7 @@ def _links(near: np.ndarray, a_sets: np.ndarray, b_sets: np.ndarray) -> pd.DataF
     return pd.DataFrame({"border": False, "u": links[:, 0], "v": links[:, 1]})
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def dbscan(space: Space, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(ip_address, cluster)``: clusters from 0, noise -1.
 
     A point is core if at least ``min_samples`` points, itself included, lie
@@ -110,45 +110,41 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, block_rows: int = BL
     order, and a border point joins the lowest-numbered cluster it touches, so
     the labels do not depend on partitioning.
     """
-    ranked = rank_points(points)
-    spots = materialize(spots_of(ranked), "spots")
     block_rows = max(block_rows, 2 * min_samples)
-    layout = lay_out(spots, cell_side(eps, dimensions(spots) or 1), block_rows)
+    layout = lay_out(space, cell_side(eps, max(space.dims, 1)), block_rows)
     if layout.count == 1:
         labels = layout.blocks.select("pids", "weights", "coordinates").mapInPandas(
             _one_block_kernel(eps, min_samples), "pid long, cluster long"
         )
     else:
-        labels = _label_blocks(layout, eps, min_samples)
-    by_position = spots.select("pid", "features").join(labels, "pid").select("features", "cluster")
-    return ranked.join(by_position, "features").select("ip_address", "cluster")
+        labels = _label_blocks(space, layout, eps, min_samples)
+    return space.spread(labels, "cluster")
 
 
-def _label_blocks(layout: Layout, eps: float, min_samples: int) -> DataFrame:
+def _marked(blocks: DataFrame, rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``blocks`` with ``column`` of ``rows`` ``(block, pid, column)`` as an array in point order."""
+    by_pid = rows.groupBy("block").agg(
+        F.map_from_entries(F.collect_list(F.struct("pid", column))).alias("by_pid")
+    )
+    in_order = F.transform("pids", lambda p: F.element_at("by_pid", p))
+    return blocks.join(by_pid, "block").withColumn(name, in_order).drop("by_pid")
+
+
+def _label_blocks(space: Space, layout: Layout, eps: float, min_samples: int) -> DataFrame:
     """``(pid, cluster)`` of each spot, from local sets joined across blocks."""
     pairs = eps_pairs(layout, eps)
     cores = spot_neighbours(layout, pairs, eps).select(
         "pid", (F.col("neighbours") >= min_samples).alias("core")
     )
-    marked = (
-        layout.blocks.select("block", F.explode("pids").alias("pid"))
-        .join(cores, "pid")
-        .groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("pid", "core"))).alias("marks"))
-        .select("block", F.col("marks.core").alias("cores"))
-    )
+    placed = layout.blocks.select("block", "pids", "coordinates", "cell")
+    in_blocks = placed.select("block", F.explode("pids").alias("pid")).join(cores, "pid")
     members = materialize(
-        layout.blocks.select("block", "pids", "coordinates").join(marked, "block").mapInPandas(
+        _marked(placed.drop("cell"), in_blocks, "core", "cores").mapInPandas(
             _local_kernel(eps), "pid long, block long, local long"
         ),
         "members",
     )
-    named = members.groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("pid", "local"))).alias("names")
-    ).select("block", F.col("names.local").alias("locals"))
-    blocks = materialize(
-        layout.blocks.select("block", "pids", "coordinates", "cell").join(named, "block"), "named"
-    )
+    blocks = materialize(_marked(placed, members, "local", "locals"), "named")
     links = materialize(
         compare(
             pairs, blocks, ["pids", "coordinates", "locals"],
@@ -164,15 +160,20 @@ def _label_blocks(layout: Layout, eps: float, min_samples: int) -> DataFrame:
     edges = links.filter("NOT border").select("u", "v").unionByName(same_cell)
     roots = connected_components(edges)
 
-    local_sets = members.filter(F.col("local") != NOISE).select(F.col("local").alias("node")).distinct()
+    first_names = (
+        members.filter(F.col("local") != NOISE)
+        .join(space.spots.select("pid", "name"), "pid")
+        .groupBy(F.col("local").alias("node"))
+        .agg(F.min("name").alias("name"))
+    )
     rooted = materialize(
-        local_sets.join(roots, "node", "left").select(
-            F.col("node").alias("local"), F.coalesce("root", "node").alias("root")
+        first_names.join(roots, "node", "left").select(
+            F.col("node").alias("local"), F.coalesce("root", "node").alias("root"), "name"
         ),
         "roots",
     )
-    numbers = with_global_rank(rooted.select("root").distinct(), ["root"], "cluster")
-    numbered = rooted.join(numbers, "root").select("local", "cluster")
+    numbers = with_global_rank(rooted.groupBy("root").agg(F.min("name").alias("name")), ["name"], "cluster")
+    numbered = rooted.drop("name").join(numbers.drop("name"), "root").select("local", "cluster")
     borders = (
         links.filter("border")
         .join(numbered, F.col("v") == F.col("local"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
-from peerscope.operators.blocks import BLOCK_ROWS, compare, dimensions
+from peerscope.operators.blocks import BLOCK_ROWS, compare, prepare
 from peerscope.operators.clusters import NOISE, dbscan
 from peerscope.operators.knee import Radius, recommend_eps
 from peerscope.operators.neighbours import k_distance_curve, k_distances, matrix, squared_distances
@@ -119,15 +119,17 @@ class Clustering:
     labels: DataFrame
     curve: DataFrame
     radius: Radius
+    dims: int
 
 
 def cluster_points(points: DataFrame, min_samples: int, eps: float | None = None,
                    block_rows: int = BLOCK_ROWS) -> Clustering:
     """k-distances, radius and DBSCAN of stored ``points``."""
-    curve = materialize(k_distance_curve(k_distances(points, min_samples, block_rows)), "curve")
+    space = prepare(points)
+    curve = materialize(k_distance_curve(k_distances(space, min_samples, block_rows)), "curve")
     radius = recommend_eps(curve, eps)
-    labels = materialize(dbscan(points, radius.eps, min_samples, block_rows), "labels")
-    return Clustering(labels, curve, radius)
+    labels = materialize(dbscan(space, radius.eps, min_samples, block_rows), "labels")
+    return Clustering(labels, curve, radius, space.dims)
 
 
 @dataclass(frozen=True)
@@ -193,7 +195,7 @@ def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight:
         found = cluster_counts(clustering.labels).first()
         score = silhouette(points, clustering.labels, block_rows)
         rows.append((
-            name, dimensions(points), round(clustering.radius.eps, 4), found["clusters"],
+            name, clustering.dims, round(clustering.radius.eps, 4), found["clusters"],
             found["outliers"], None if score is None else round(score, 4),
         ))
     summary = data.sparkSession.createDataFrame(

@@ -86,18 +86,23 @@ def shape_ratios(endpoints: DataFrame) -> DataFrame:
     return endpoints.select("ip_address", *[ratio().alias(name) for name, ratio in RATIOS.items()])
 
 
-def numeric_features(data: DataFrame) -> DataFrame:
-    """The 12 features per endpoint; a missing cadence becomes the median one.
+def feature_columns(data: DataFrame) -> dict[str, Column]:
+    """The 12 features as columns over ``data``; a missing cadence becomes the
+    median one.
 
-    Pass stored rows: the medians read ``data`` before the result does.
+    Pass stored rows: the medians read ``data`` before a result does.
     """
     medians = exact_medians(data, TIMING)
-    return data.select(
-        "ip_address",
-        *[F.col(c).cast("double").alias(c) for c in BASE],
-        *[ratio().alias(name) for name, ratio in RATIOS.items()],
-        *[F.coalesce(c, F.lit(medians[c] or 0.0)).alias(c) for c in TIMING],
-    )
+    return {
+        **{c: F.col(c).cast("double") for c in BASE},
+        **{name: ratio() for name, ratio in RATIOS.items()},
+        **{c: F.coalesce(c, F.lit(medians[c] or 0.0)) for c in TIMING},
+    }
+
+
+def numeric_features(data: DataFrame) -> DataFrame:
+    """One column per feature of :func:`feature_columns`."""
+    return data.select("ip_address", *[v.alias(c) for c, v in feature_columns(data).items()])
 
 
 def _scaled(features: DataFrame, scales: dict[str, Scale]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
 from peerscope.operators.blocks import (
-    BLOCK_ROWS, Layout, cell_side, compare, dimensions, lay_out, near_pairs, spots_of,
+    BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, near_pairs,
 )
 from peerscope.session import materialize
 
@@ -28,11 +28,6 @@ def matrix(coordinates: np.ndarray, rows: int) -> np.ndarray:
     return np.asarray(coordinates, dtype=float).reshape(rows, -1)
 
 
-def rank_points(points: DataFrame) -> DataFrame:
-    """``(ip_address, features)`` with ``pid``, the place in address order."""
-    return with_global_rank(points.select("ip_address", "features"), ["ip_address"], "pid")
-
-
 def _count_kernel(eps: float) -> Callable:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -81,14 +76,10 @@ def spot_neighbours(layout: Layout, pairs: DataFrame, eps: float) -> DataFrame:
     return compared.groupBy("pid").agg(F.sum("neighbours").alias("neighbours"))
 
 
-def eps_neighbours(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def eps_neighbours(space: Space, eps: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """How many points lie within ``eps`` of each, itself included."""
-    ranked = rank_points(points)
-    spots = materialize(spots_of(ranked), "spots")
-    layout = lay_out(spots, cell_side(eps, dimensions(spots)), block_rows)
-    counts = spot_neighbours(layout, eps_pairs(layout, eps), eps)
-    by_position = spots.select("pid", "features").join(counts, "pid").select("features", "neighbours")
-    return ranked.join(by_position, "features").select("ip_address", "neighbours")
+    layout = lay_out(space, cell_side(eps, space.dims), block_rows)
+    return space.spread(spot_neighbours(layout, eps_pairs(layout, eps), eps), "neighbours")
 
 
 def _nearest(distances: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +134,13 @@ def _across_kernel(k: int) -> Callable:
     return kernel
 
 
-def k_distances(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def k_distances(space: Space, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distance from each point to its k-th nearest, itself being the first.
 
     The own block gives an upper bound; only blocks nearer than that are
     searched. No rows come out if there are fewer than k points.
     """
-    ranked = rank_points(points)
-    spots = materialize(spots_of(ranked), "spots")
-    layout = lay_out(spots, block_rows=max(block_rows, k))
+    layout = lay_out(space, block_rows=max(block_rows, k))
     within = layout.blocks.select("block", "pids", "weights", "coordinates").mapInPandas(
         _within_kernel(k),
         "block long, pid long, reach double, distances array<double>, weights array<long>",
@@ -162,10 +151,13 @@ def k_distances(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> Data
     else:
         within = materialize(within, "within")
         reach = within.groupBy("block").agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("pid", "reach"))), lambda m: m["reach"]).alias("reach"),
+            F.map_from_entries(F.collect_list(F.struct("pid", "reach"))).alias("reaches"),
             F.max("reach").alias("radius"),
         )
-        blocks = materialize(layout.blocks.join(reach, "block"), "reaching")
+        in_order = F.transform("pids", lambda p: F.element_at("reaches", p))
+        blocks = materialize(
+            layout.blocks.join(reach, "block").withColumn("reach", in_order).drop("reaches"), "reaching"
+        )
         reaching = Layout(blocks, layout.count, layout.dims, layout.axes, layout.cuts)
         pairs = near_pairs(reaching, F.col("radius"), both_ways=True).filter("a != b")
         across = compare(
@@ -182,12 +174,7 @@ def k_distances(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> Data
             .groupBy("pid")
             .agg(F.min("distance").alias("k_distance"))
         )
-    by_position = (
-        spots.select("pid", "features").join(nearest, "pid")
-        .filter(F.col("k_distance") < float("inf"))
-        .select("features", "k_distance")
-    )
-    return ranked.join(by_position, "features").select("ip_address", "k_distance")
+    return space.spread(nearest.filter(F.col("k_distance") < float("inf")), "k_distance")
 
 
 def k_distance_curve(distances: DataFrame) -> DataFrame:

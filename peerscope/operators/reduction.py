@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.columns import endpoint_description
-from peerscope.operators.blocks import dimensions
 from peerscope.operators.features import as_points, numeric_features, standardized
 
 # Width of a text vector, and the fewest dimensions kept.
@@ -118,8 +117,8 @@ def blended_points(data: DataFrame, components: int, whiten: bool = False, weigh
     return Reduced(blended, text.explained)
 
 
-def plane(points: DataFrame) -> DataFrame:
+def plane(points: DataFrame, dims: int) -> DataFrame:
     """``(ip_address, x, y)`` of the clustered space, reduced if above two dimensions."""
-    if dimensions(points) > 2:
+    if dims > 2:
         points = reduce_vectors(points.withColumnRenamed("features", "embedding"), 2).points
     return points.select("ip_address", F.col("features")[0].alias("x"), F.col("features")[1].alias("y"))

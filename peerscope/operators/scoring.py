@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.stats import Scale, robust_scales
-from peerscope.operators.features import NUMERIC, UNITS, numeric_features
+from peerscope.operators.features import NUMERIC, UNITS, feature_columns
 from peerscope.schema import LOCAL_ORG, NO_IP, REASON_THRESHOLD, UNKNOWN
 
 # Which way a feature's traffic flows, seen from the endpoint.
@@ -100,13 +100,13 @@ def score_endpoints(data: DataFrame, labels: DataFrame | None = None) -> DataFra
     verdict, null without ``labels`` ``(ip_address, cluster)``. The timing
     columns stay raw while reasons cite the imputed value.
     """
-    features = numeric_features(data)
-    words = {c: _words(c) for c in NUMERIC}
-    raw = data.select(
-        "ip_address", "org", "hostname", "location",
-        F.struct("bytes_out", "packets_out", "bytes_in", "packets_in", "interval_mean", "interval_cv").alias("raw"),
+    raw = F.struct("bytes_out", "packets_out", "bytes_in", "packets_in", "interval_mean", "interval_cv")
+    rows = data.select(
+        "ip_address", "org", "hostname", "location", raw.alias("raw"),
+        *[v.alias(c) for c, v in feature_columns(data).items()],
     )
-    scored = _with_z(features.join(raw, "ip_address"), robust_scales(features, NUMERIC)).select(
+    words = {c: _words(c) for c in NUMERIC}
+    scored = _with_z(rows, robust_scales(rows, NUMERIC)).select(
         "ip_address", "org", "hostname", "location", "raw.*",
         F.round(_norm(NUMERIC), 4).alias("anomaly_score"),
         _reasons(UNITS, words).alias("reasons"),

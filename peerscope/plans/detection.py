@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peerscope.operators.blocks import BLOCK_ROWS, dimensions
-from peerscope.operators.evaluation import NOISE, cluster_points
+from peerscope.operators.blocks import BLOCK_ROWS
+from peerscope.operators.evaluation import cluster_points
 from peerscope.operators.features import clustering_input, excluded_local
 from peerscope.operators.profiles import endpoint_profile
 from peerscope.operators.reduction import MIN_COMPONENTS, blended_points, hash_vectors, plane, with_vectors
@@ -106,7 +106,7 @@ def detect_anomalies(
         points = materialize(space.points, "points")
         clustering = cluster_points(points, min_samples, eps, block_rows)
         labels, curve, radius = clustering.labels, clustering.curve, clustering.radius
-        scatter = plane(points).join(labels, "ip_address")
+        scatter = plane(points, clustering.dims).join(labels, "ip_address")
         explained = space.explained
     scored = materialize(score_endpoints(data, labels), "scored")
     hosts = host_ips(metadata)

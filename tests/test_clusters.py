@@ -4,7 +4,7 @@ import pytest
 from peerscope.operators import components, neighbours
 from peerscope.operators.clusters import dbscan
 from peerscope.operators.knee import knee_place, recommend_eps
-from peerscope.operators.blocks import lay_out, spots_of
+from peerscope.operators.blocks import lay_out, prepare
 from tests import brute
 
 
@@ -30,14 +30,14 @@ def scattered(seed):
 @pytest.mark.parametrize("eps,min_samples", [(0.5, 4), (0.25, 6), (1.2, 4)])
 def test_dbscan_equals_brute_force(spark, block_rows, eps, min_samples):
     points = scattered(1)
-    labels = by_ip(dbscan(frame(spark, points), eps, min_samples, block_rows), "cluster")
+    labels = by_ip(dbscan(prepare(frame(spark, points)), eps, min_samples, block_rows), "cluster")
     assert labels.tolist() == brute.dbscan(points, eps, min_samples).tolist()
 
 
 @pytest.mark.parametrize("block_rows", [16, 2048])
 def test_neighbour_counts_equal_brute_force(spark, block_rows):
     points = scattered(2)
-    counts = by_ip(neighbours.eps_neighbours(frame(spark, points), 0.5, block_rows), "neighbours")
+    counts = by_ip(neighbours.eps_neighbours(prepare(frame(spark, points)), 0.5, block_rows), "neighbours")
     assert counts.tolist() == brute.neighbour_counts(points, 0.5).tolist()
 
 
@@ -45,18 +45,17 @@ def test_neighbour_counts_equal_brute_force(spark, block_rows):
 @pytest.mark.parametrize("k", [1, 4, 9])
 def test_k_distances_equal_brute_force(spark, block_rows, k):
     points = scattered(3)
-    found = by_ip(neighbours.k_distances(frame(spark, points), k, block_rows), "k_distance")
+    found = by_ip(neighbours.k_distances(prepare(frame(spark, points)), k, block_rows), "k_distance")
     assert np.allclose(found, brute.k_distances(points, k), atol=1e-12)
 
 
 def test_fewer_points_than_k(spark):
-    assert neighbours.k_distances(frame(spark, np.zeros((2, 2))), 4).count() == 0
+    assert neighbours.k_distances(prepare(frame(spark, np.zeros((2, 2)))), 4).count() == 0
 
 
 def test_a_crowd_is_not_compared_with_itself(spark):
     crowd = np.random.default_rng(4).uniform(0, 0.01, (400, 3))
-    ranked = neighbours.rank_points(frame(spark, crowd))
-    layout = lay_out(spots_of(ranked), 1.0, 16)
+    layout = lay_out(prepare(frame(spark, crowd)), 1.0, 16)
     assert layout.count == 25
     pairs = neighbours.eps_pairs(layout, 1.0)
     assert pairs.filter("a != b").count() == 0
@@ -66,14 +65,14 @@ def test_a_crowd_is_not_compared_with_itself(spark):
 
 def test_blocks_stay_bounded(spark):
     points = np.concatenate([np.zeros((500, 2)), np.random.default_rng(5).uniform(0, 1, (300, 2))])
-    layout = lay_out(spots_of(neighbours.rank_points(frame(spark, points))), 0.1, 32)
+    layout = lay_out(prepare(frame(spark, points)), 0.1, 32)
     sizes = [len(r["pids"]) for r in layout.blocks.select("pids").collect()]
     assert sum(sizes) == 301 and max(sizes) < 64
 
 
 def test_border_point_joins_the_first_cluster(spark):
     line = [[0.0], [0.1], [0.2], [1.0], [1.8], [1.9], [2.0]]
-    labels = by_ip(dbscan(frame(spark, line), 0.8, 4), "cluster")
+    labels = by_ip(dbscan(prepare(frame(spark, line)), 0.8, 4), "cluster")
     assert labels.tolist() == brute.dbscan(np.array(line), 0.8, 4).tolist()
 
 
