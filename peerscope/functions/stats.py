@@ -33,10 +33,10 @@ def exact_medians(
     """
     medians: dict[str, float | None] = {c: None for c in columns}
     if counts is None:
-        counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+        counts = df.selectExpr(*[f"count({c}) AS {c}" for c in columns]).first().asDict()
     pending = [c for c in columns if counts[c]]
     if pending and max(counts[c] for c in pending) <= buffered_rows:
-        return medians | df.agg(*[F.median(c).alias(c) for c in pending]).first().asDict()
+        return medians | df.selectExpr(*[f"median({c}) AS {c}" for c in pending]).first().asDict()
     margin = 5 / SKETCH_ACCURACY
     while pending:
         found = _medians_within(df, pending, counts, margin)
@@ -96,23 +96,27 @@ class Scale:
     centre: float
     width: float
 
-    def apply(self, column: Column) -> Column:
+    def apply(self, column: str) -> Column:
+        """Scaled log1p of ``column``."""
         if self.width <= 0:
             return F.lit(0.0)
-        return (column - F.lit(self.centre)) / F.lit(self.width)
+        return F.expr(f"({log_of(column)} - ({self.centre!r}D)) / ({self.width!r}D)")
+
+
+def log_of(column: str) -> str:
+    return f"log1p(CAST({column} AS DOUBLE))"
+
+
+def _logs(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.selectExpr(*[f"{log_of(c)} AS {c}" for c in columns])
 
 
 def _moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
     """Count, mean and population standard deviation."""
-    row = df.agg(
-        *[F.count(c).alias(f"count_{i}") for i, c in enumerate(columns)],
-        *[F.avg(c).alias(f"avg_{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"std_{i}") for i, c in enumerate(columns)],
+    row = df.selectExpr(
+        *[f"struct(count({c}) AS count, avg({c}) AS avg, stddev_pop({c}) AS std) AS {c}" for c in columns]
     ).first()
-    return {
-        c: (row[f"count_{i}"], row[f"avg_{i}"] or 0.0, row[f"std_{i}"] or 0.0)
-        for i, c in enumerate(columns)
-    }
+    return {c: (row[c]["count"], row[c]["avg"] or 0.0, row[c]["std"] or 0.0) for c in columns}
 
 
 @dataclass(frozen=True)
@@ -128,14 +132,14 @@ def log_spread(
     df: DataFrame, columns: list[str], buffered_rows: int = BUFFERED_ROWS
 ) -> dict[str, Spread]:
     """Median, MAD and population standard deviation of log1p of each column."""
-    logs = df.select(*[F.log1p(F.col(c).cast("double")).alias(c) for c in columns])
+    logs = _logs(df, columns)
     moments = _moments(logs, columns)
     counts = {c: moments[c][0] for c in columns}
     medians = exact_medians(logs, columns, counts, buffered_rows)
     present = [c for c in columns if counts[c]]
     if not present:
         return {c: Spread(0.0, 0.0, 0.0) for c in columns}
-    distances = logs.select(*[F.abs(F.col(c) - F.lit(medians[c])).alias(c) for c in present])
+    distances = logs.selectExpr(*[f"abs({c} - ({medians[c]!r}D)) AS {c}" for c in present])
     mads = exact_medians(distances, present, counts, buffered_rows)
     return {
         c: Spread(medians[c], mads[c], moments[c][2]) if c in present else Spread(0.0, 0.0, 0.0)
@@ -156,7 +160,7 @@ def robust_scales(df: DataFrame, columns: list[str]) -> dict[str, Scale]:
 
 def standard_scales(df: DataFrame, columns: list[str]) -> dict[str, Scale]:
     """Mean and population standard deviation of log1p."""
-    logs = df.select(*[F.log1p(F.col(c).cast("double")).alias(c) for c in columns])
+    logs = _logs(df, columns)
     scales = {}
     for name, (_, mean, std) in _moments(logs, columns).items():
         # A constant column may show a rounding-size deviation.

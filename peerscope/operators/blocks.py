@@ -105,8 +105,8 @@ def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOC
         placed.groupBy("block")
         .agg(
             members.alias("members"),
-            F.array(*[F.min(F.col("features")[i]) for i in range(dims)]).alias("low"),
-            F.array(*[F.max(F.col("features")[i]) for i in range(dims)]).alias("high"),
+            F.expr(f"array({', '.join(f'min(features[{i}])' for i in range(dims))})").alias("low"),
+            F.expr(f"array({', '.join(f'max(features[{i}])' for i in range(dims))})").alias("high"),
             F.when(F.min("cell") == F.max("cell"), F.min("cell")).alias("cell"),
         )
         .select(
@@ -156,12 +156,9 @@ def near_pairs(layout: Layout, radius: Column, both_ways: bool) -> DataFrame:
         )
         keys.append(f"bin{n}")
         once = once & (F.col(f"bin{n}") == F.greatest(f"a_from{n}", f"b_from{n}"))
-    apart = F.lit(0.0)
-    for i in range(layout.dims):
-        gap = F.greatest(
-            F.lit(0.0), F.col("b_low")[i] - F.col("a_high")[i], F.col("a_low")[i] - F.col("b_high")[i]
-        )
-        apart = apart + gap * gap
+    apart = F.expr(" + ".join(
+        f"pow(greatest(0.0D, b_low[{i}] - a_high[{i}], a_low[{i}] - b_high[{i}]), 2)" for i in range(layout.dims)
+    ))
     pairs = left.join(right, keys).filter(once)
     if not both_ways:
         pairs = pairs.filter("a <= b")

@@ -108,7 +108,7 @@ def numeric_features(data: DataFrame) -> DataFrame:
 def _scaled(features: DataFrame, scales: dict[str, Scale]) -> DataFrame:
     return features.select(
         "ip_address",
-        *[scale.apply(F.log1p(F.col(c).cast("double"))).alias(c) for c, scale in scales.items()],
+        *[scale.apply(c).alias(c) for c, scale in scales.items()],
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,50 +44,36 @@ REASON = (
 )
 
 
-def _words(feature: str) -> Column:
+def _words(feature: str) -> str:
+    """SQL for the wording of a feature; null if it has no direction."""
     if feature not in FLOW:
-        return F.lit(None).cast("string")
+        return "CAST(NULL AS STRING)"
     flow = FLOW[feature]
-    return F.when(F.col("org") == LOCAL_ORG, LOCAL_WORDS[flow]).otherwise(REMOTE_WORDS[flow])
+    return f"IF(org = '{LOCAL_ORG}', '{LOCAL_WORDS[flow]}', '{REMOTE_WORDS[flow]}')"
 
 
 def _with_z(rows: DataFrame, scales: dict[str, Scale]) -> DataFrame:
     """``rows`` with the robust z of each column as ``z_<column>``."""
-    return rows.withColumns(
-        {f"z_{c}": s.apply(F.log1p(F.col(c).cast("double"))) for c, s in scales.items()}
-    )
+    return rows.withColumns({f"z_{c}": s.apply(c) for c, s in scales.items()})
 
 
 def _norm(columns: list[str]) -> Column:
-    return F.sqrt(reduce(Column.__add__, [F.col(f"z_{c}") * F.col(f"z_{c}") for c in columns]))
+    return F.expr(f"sqrt({' + '.join(f'z_{c} * z_{c}' for c in columns)})")
 
 
-def _reasons(units: dict[str, str], words: dict[str, Column]) -> Column:
+def _reasons(units: dict[str, str], words: dict[str, str]) -> Column:
     """The features past the threshold, strongest first, ties in feature order."""
-    scores = {c: F.col(f"z_{c}") for c in units}
-    cited = [
-        F.when(
-            F.abs(z) >= REASON_THRESHOLD,
-            F.struct(
-                (-F.abs(F.round(z, 2))).alias("strength"),
-                F.lit(i).alias("place"),
-                F.lit(c).alias("feature"),
-                F.round(F.col(c), 4).alias("value"),
-                F.lit(units[c]).alias("unit"),
-                F.round(z, 2).alias("robust_z"),
-                F.when(z > 0, "high").otherwise("low").alias("direction"),
-                words[c].alias("host_relative"),
-            ),
-        )
-        for i, (c, z) in enumerate(scores.items())
-    ]
-    ordered = F.array_sort(F.array_compact(F.array(*cited)))
-    return F.transform(
-        ordered,
-        lambda r: F.struct(
-            *[r[f].alias(f) for f in ("feature", "value", "unit", "robust_z", "direction", "host_relative")]
-        ),
-    ).cast(REASON)
+    cited = ", ".join(
+        f"""IF(abs(z_{c}) >= {REASON_THRESHOLD}D, named_struct(
+            'strength', -abs(round(z_{c}, 2)), 'place', {place},
+            'feature', '{c}', 'value', round(CAST({c} AS DOUBLE), 4), 'unit', '{units[c]}',
+            'robust_z', round(z_{c}, 2), 'direction', IF(z_{c} > 0, 'high', 'low'),
+            'host_relative', {words[c]}), NULL)"""
+        for place, c in enumerate(units)
+    )
+    return F.expr(f"""transform(array_sort(array_compact(array({cited}))), r -> named_struct(
+        'feature', r.feature, 'value', r.value, 'unit', r.unit, 'robust_z', r.robust_z,
+        'direction', r.direction, 'host_relative', r.host_relative))""").cast(REASON)
 
 
 def score_endpoints(data: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -168,7 +152,7 @@ def score_host_outbound(destinations: DataFrame) -> DataFrame:
         "upload_download_ratio", F.col("upload_bytes") / (F.col("download_bytes") + F.lit(1.0))
     )
     columns = list(HOST_UNITS)
-    words = {c: F.lit(HOST_WORDS[c]) for c in columns}
+    words = {c: f"'{HOST_WORDS[c]}'" for c in columns}
     return _with_z(rows, robust_scales(rows, columns)).select(
         "ip_address", "org", "hostname", "location",
         "upload_bytes", "upload_packets", "download_bytes", "download_packets",
