@@ -122,7 +122,7 @@ def detect_anomalies(
         found, counts["flagged"], excluded_local(endpoints, metadata, include_local).first()[0], clusters,
         radius and round(radius.eps, 4), radius and radius.source, radius and radius.knee_index,
         min_samples, components, float(feature_weight),
-        [round(v, 4) for v in explained], round(sum(explained), 4),
+        [round(v, 4) for v in explained], round(float(sum(explained)), 4),
         outbound["ranked"], outbound["flagged"],
     )
     return Detection(
