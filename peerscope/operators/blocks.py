@@ -26,6 +26,9 @@ SORT_AXES = 4
 SEARCH_AXES = 2
 # Room for rounding when a bounding box lies just outside a radius.
 ROUNDING = 1e-9
+# Comparing blocks costs far more than their bytes suggest, so the number of
+# tasks follows the comparisons and not the size of the data.
+COMPARISONS_PER_TASK = 4
 
 @dataclass(frozen=True)
 class Layout:
@@ -83,10 +86,7 @@ def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOC
     """
     spots, rows, dims = space.spots, space.rows, space.dims
     count = max(1, rows // block_rows)
-    cell = F.lit(None).cast("array<bigint>")
-    if cell_side:
-        cell = F.transform("features", lambda x: F.floor(x / F.lit(cell_side)))
-    placed = spots.withColumn("cell", cell)
+    placed = spots.withColumn("cell", F.lit(None).cast("array<bigint>"))
     axes, cuts = list(range(min(dims, SEARCH_AXES))), [[] for _ in range(dims)]
     if count == 1:
         placed = placed.withColumn("block", F.lit(0).cast("bigint"))
@@ -96,6 +96,11 @@ def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOC
             *[F.percentile_approx(F.col("features")[i], steps, 1000).alias(str(i)) for i in range(dims)]
         ).first()
         cuts = [sorted(set(quantiles[i])) for i in range(dims)]
+        if cell_side:
+            shifts = ", ".join(f"{_grid_shift(c, cell_side)!r}D" for c in cuts)
+            placed = placed.withColumn("cell", F.expr(
+                f"transform(features, (x, i) -> floor((x - array({shifts})[i]) / {cell_side!r}D))"
+            ))
         axes = sorted(range(dims), key=lambda i: -len(cuts[i]))
         order = [_bin(F.col("features")[i], cuts[i]) for i in axes[:SORT_AXES]]
         placed = with_global_rank(placed, [*order, "cell", "features", "pid"], "place")
@@ -122,6 +127,18 @@ def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOC
     return Layout(blocks, count, dims, axes[:SEARCH_AXES], cuts)
 
 
+def _grid_shift(cuts: list[float], side: float) -> float:
+    """Where to start a grid so that its lines part the fewest quantiles: a line
+    through a crowd would split it over many cells."""
+    def cost(shift: float) -> tuple:
+        cells = [math.floor((c - shift) / side) for c in cuts]
+        parted = sum(a != b for a, b in zip(cells, cells[1:]))
+        room = sum(min((c - shift) % side, (shift - c) % side) for c in cuts)
+        return parted, -room
+
+    return min((side * step / 16 for step in range(16)), key=cost)
+
+
 def _bin(value: Column, cuts: list[float]) -> Column:
     if not cuts:
         return F.lit(0)
@@ -170,11 +187,18 @@ def compare(pairs: DataFrame, blocks: DataFrame, columns: list[str], kernel: Cal
     """Run ``kernel`` on the points of each pair of blocks.
 
     ``columns`` of both blocks arrive as ``a_<column>`` and ``b_<column>``.
+    ``pairs`` is stored.
     """
     left = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
     right = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return joined.mapInPandas(kernel, schema)
+    return spread_out(joined, pairs.count()).mapInPandas(kernel, schema)
+
+
+def spread_out(df: DataFrame, comparisons: int) -> DataFrame:
+    """``df`` over enough tasks for so many block comparisons."""
+    tasks = math.ceil(comparisons / COMPARISONS_PER_TASK)
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def cell_side(eps: float, dims: int) -> float:

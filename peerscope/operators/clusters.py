@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
-from peerscope.operators.blocks import BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out
+from peerscope.operators.blocks import BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, spread_out
 from peerscope.operators.components import connected_components
 from peerscope.operators.neighbours import (
-    eps_pairs, matrix, spot_neighbours, squared_distances,
+    eps_pairs, matrix, spot_neighbours, within,
 )
 from peerscope.session import materialize
 
@@ -39,7 +39,7 @@ def _one_block_kernel(eps: float, min_samples: int) -> Callable:
         for batch in batches:
             for row in batch.itertuples():
                 points = matrix(row.coordinates, len(row.pids))
-                near = squared_distances(points, points) <= eps * eps
+                near = within(points, points, eps)
                 core = near @ row.weights >= min_samples
                 cluster = np.full(len(points), NOISE)
                 roots = reachable_sets(near[np.ix_(core, core)])
@@ -60,7 +60,7 @@ def _local_kernel(eps: float) -> Callable:
             for row in batch.itertuples():
                 pids, core = np.asarray(row.pids), np.asarray(row.cores, dtype=bool)
                 points = matrix(row.coordinates, len(pids))[core]
-                near = squared_distances(points, points) <= eps * eps
+                near = within(points, points, eps)
                 group = np.full(len(pids), NOISE)
                 group[core] = pids[core][reachable_sets(near)]
                 yield pd.DataFrame({"pid": pids, "block": row.block, "local": group})
@@ -79,7 +79,7 @@ def _link_kernel(eps: float) -> Callable:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                near = squared_distances(left, right) <= eps * eps
+                near = within(left, right, eps)
                 a_sets, b_sets = np.asarray(row.a_locals), np.asarray(row.b_locals)
                 sides = [(near, np.asarray(row.a_pids), a_sets, b_sets)]
                 if row.a != row.b:
@@ -139,7 +139,7 @@ def _label_blocks(space: Space, layout: Layout, eps: float, min_samples: int) ->
     placed = layout.blocks.select("block", "pids", "coordinates", "cell")
     in_blocks = placed.select("block", F.explode("pids").alias("pid")).join(cores, "pid")
     members = materialize(
-        _marked(placed.drop("cell"), in_blocks, "core", "cores").mapInPandas(
+        spread_out(_marked(placed.drop("cell"), in_blocks, "core", "cores"), layout.count).mapInPandas(
             _local_kernel(eps), "pid long, block long, local long"
         ),
         "members",

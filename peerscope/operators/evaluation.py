@@ -63,9 +63,9 @@ def silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_RO
         "blocks",
     )
     count = blocks.count()
-    pairs = blocks.select(
+    pairs = materialize(blocks.select(
         F.col("block").alias("a"), F.explode(F.expr(f"sequence(0L, {max(count - 1, 0)}L)")).alias("b")
-    )
+    ), "pairs")
     sums = compare(
         pairs, blocks, ["pids", "weights", "clusters", "coordinates"],
         _distance_kernel(), "pid long, other long, distance double",

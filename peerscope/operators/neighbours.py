@@ -11,19 +11,49 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
 from peerscope.operators.blocks import (
-    BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, near_pairs,
+    BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, near_pairs, spread_out,
 )
 from peerscope.session import materialize
 
 
+# Share of the squared lengths by which a product of matrices may miss a
+# squared distance, with ample room.
+PRODUCT_ERROR = 1e-11
+ROWS_AT_ONCE = 64
+
+
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Axis by axis, so that near points keep full precision."""
     total = np.zeros((len(left), len(right)))
-    for axis in range(left.shape[1]):
-        total += np.subtract.outer(left[:, axis], right[:, axis]) ** 2
+    for start in range(0, len(left), ROWS_AT_ONCE):
+        part = total[start:start + ROWS_AT_ONCE]
+        for axis in range(left.shape[1]):
+            part += np.subtract.outer(left[start:start + ROWS_AT_ONCE, axis], right[:, axis]) ** 2
     return total
 
 
+def _by_product(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances from one matrix product, and the most they can miss by."""
+    centre = left.mean(axis=0)
+    left, right = left - centre, right - centre
+    left_length, right_length = (left**2).sum(axis=1), (right**2).sum(axis=1)
+    rough = left_length[:, None] + right_length[None, :] - 2 * (left @ right.T)
+    return rough, PRODUCT_ERROR * (left_length.max() + right_length.max())
+
+
+def within(left: np.ndarray, right: np.ndarray, eps: float) -> np.ndarray:
+    """Which points are within ``eps``; close calls are measured again exactly."""
+    if not len(left) or not len(right):
+        return np.zeros((len(left), len(right)), dtype=bool)
+    rough, error = _by_product(left, right)
+    near = rough <= eps * eps
+    rows, others = np.nonzero(np.abs(rough - eps * eps) <= error)
+    for start in range(0, len(rows), 1_000_000):
+        at, to = rows[start:start + 1_000_000], others[start:start + 1_000_000]
+        near[at, to] = ((left[at] - right[to]) ** 2).sum(axis=1) <= eps * eps
+    return near
+
+
 def matrix(coordinates: np.ndarray, rows: int) -> np.ndarray:
     return np.asarray(coordinates, dtype=float).reshape(rows, -1)
 
@@ -34,7 +64,7 @@ def _count_kernel(eps: float) -> Callable:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                near = squared_distances(left, right) <= eps * eps
+                near = within(left, right, eps)
                 yield pd.DataFrame({"pid": row.a_pids, "neighbours": near @ row.b_weights})
                 if row.a != row.b:
                     yield pd.DataFrame({"pid": row.b_pids, "neighbours": row.a_weights @ near})
@@ -82,13 +112,35 @@ def eps_neighbours(space: Space, eps: float, block_rows: int = BLOCK_ROWS) -> Da
     return space.spread(spot_neighbours(layout, eps_pairs(layout, eps), eps), "neighbours")
 
 
-def _nearest(distances: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest of each row with their weights, ascending."""
-    k = min(k, distances.shape[1])
-    picked = np.argpartition(distances, k - 1, axis=1)[:, :k]
-    values = np.take_along_axis(distances, picked, axis=1)
-    order = np.argsort(values, axis=1, kind="stable")
-    return np.take_along_axis(values, order, axis=1), weights[np.take_along_axis(picked, order, axis=1)]
+def _smallest(values: np.ndarray, k: int) -> np.ndarray:
+    k = min(k, values.shape[1])
+    return np.argpartition(values, k - 1, axis=1)[:, :k]
+
+
+def nearest(left: np.ndarray, right: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to and weight of the k nearest points of ``right``, ascending.
+
+    A few more than k are picked by a matrix product and measured exactly; a
+    point whose k-th might still be among the others is measured against all.
+    """
+    rough, error = _by_product(left, right)
+    spare = 8
+    picked = _smallest(rough, k + spare)
+    exact = np.stack([((left - right[picked[:, n]]) ** 2).sum(axis=1) for n in range(picked.shape[1])], axis=1)
+    order = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    squares, chosen = np.take_along_axis(exact, order, axis=1), np.take_along_axis(picked, order, axis=1)
+    if picked.shape[1] < len(right):
+        reached = np.take_along_axis(rough, picked, axis=1).max(axis=1) - 2 * error
+        open_rows = np.flatnonzero(reached <= squares[:, -1])
+        for start in range(0, len(open_rows), ROWS_AT_ONCE):
+            at = open_rows[start:start + ROWS_AT_ONCE]
+            full = squared_distances(left[at], right)
+            best = _smallest(full, k)
+            values = np.take_along_axis(full, best, axis=1)
+            order = np.argsort(values, axis=1, kind="stable")
+            squares[at] = np.take_along_axis(values, order, axis=1)
+            chosen[at] = np.take_along_axis(best, order, axis=1)
+    return np.sqrt(squares), weights[chosen]
 
 
 def _within_kernel(k: int) -> Callable:
@@ -97,18 +149,18 @@ def _within_kernel(k: int) -> Callable:
         for batch in batches:
             for row in batch.itertuples():
                 points = matrix(row.coordinates, len(row.pids))
-                distances, weights = _nearest(squared_distances(points, points), np.asarray(row.weights), k)
+                distances, weights = nearest(points, points, np.asarray(row.weights), k)
                 enough = np.cumsum(weights, axis=1) >= k
                 reached = np.where(
                     enough.any(axis=1),
-                    np.sqrt(distances[np.arange(len(points)), enough.argmax(axis=1)]),
+                    distances[np.arange(len(points)), enough.argmax(axis=1)],
                     np.inf,
                 )
                 yield pd.DataFrame({
                     "block": row.block,
                     "pid": row.pids,
                     "reach": reached,
-                    "distances": list(np.sqrt(distances)),
+                    "distances": list(distances),
                     "weights": list(weights),
                 })
 
@@ -122,8 +174,7 @@ def _across_kernel(k: int) -> Callable:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                distances, weights = _nearest(squared_distances(left, right), np.asarray(row.b_weights), k)
-                distances = np.sqrt(distances)
+                distances, weights = nearest(left, right, np.asarray(row.b_weights), k)
                 at, nth = np.nonzero(distances <= np.asarray(row.a_reach)[:, None])
                 yield pd.DataFrame({
                     "pid": np.asarray(row.a_pids)[at],
@@ -141,16 +192,16 @@ def k_distances(space: Space, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame
     searched. No rows come out if there are fewer than k points.
     """
     layout = lay_out(space, block_rows=max(block_rows, k))
-    within = layout.blocks.select("block", "pids", "weights", "coordinates").mapInPandas(
+    inside = spread_out(layout.blocks.select("block", "pids", "weights", "coordinates"), layout.count).mapInPandas(
         _within_kernel(k),
         "block long, pid long, reach double, distances array<double>, weights array<long>",
     )
     if layout.count == 1:
         # One block holds all points: the bound is the distance.
-        nearest = within.select("pid", F.col("reach").alias("k_distance"))
+        found = inside.select("pid", F.col("reach").alias("k_distance"))
     else:
-        within = materialize(within, "within")
-        reach = within.groupBy("block").agg(
+        inside = materialize(inside, "inside")
+        reach = inside.groupBy("block").agg(
             F.map_from_entries(F.collect_list(F.struct("pid", "reach"))).alias("reaches"),
             F.max("reach").alias("radius"),
         )
@@ -159,22 +210,24 @@ def k_distances(space: Space, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame
             layout.blocks.join(reach, "block").withColumn("reach", in_order).drop("reaches"), "reaching"
         )
         reaching = Layout(blocks, layout.count, layout.dims, layout.axes, layout.cuts)
-        pairs = near_pairs(reaching, F.col("radius"), both_ways=True).filter("a != b")
+        pairs = materialize(
+            near_pairs(reaching, F.col("radius"), both_ways=True).filter("a != b").select("a", "b"), "pairs"
+        )
         across = compare(
             pairs, blocks, ["pids", "weights", "coordinates", "reach"],
             _across_kernel(k), "pid long, distance double, weight long",
         )
-        found = within.select(
+        candidates = inside.select(
             "pid", F.inline(F.arrays_zip(F.col("distances").alias("distance"), F.col("weights").alias("weight")))
         ).unionByName(across)
         upto = Window.partitionBy("pid").orderBy("distance", "weight").rowsBetween(Window.unboundedPreceding, 0)
-        nearest = (
-            found.withColumn("upto", F.sum("weight").over(upto))
+        found = (
+            candidates.withColumn("upto", F.sum("weight").over(upto))
             .filter(F.col("upto") >= k)
             .groupBy("pid")
             .agg(F.min("distance").alias("k_distance"))
         )
-    return space.spread(nearest.filter(F.col("k_distance") < float("inf")), "k_distance")
+    return space.spread(found.filter(F.col("k_distance") < float("inf")), "k_distance")
 
 
 def k_distance_curve(distances: DataFrame) -> DataFrame:
