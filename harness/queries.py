@@ -254,12 +254,12 @@ def endpoint_profile(spark, sf):
 
 @query
 def endpoint_timing(spark, sf):
-    return plain(timing.endpoint_timing(packets.real_packets(tables.packets(spark, sf))))
+    return plain(timing.endpoint_timing(packets.real_packets(tables.stored_packets(spark, sf))))
 
 
 @query
 def packet_gaps(spark, sf):
-    return timing.packet_gaps(packets.real_packets(tables.packets(spark, sf)))
+    return timing.packet_gaps(packets.real_packets(tables.stored_packets(spark, sf)))
 
 
 @query

@@ -121,7 +121,7 @@ def host_ips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return endpoint_profile(packets(spark, sf_dir), ip_metadata(spark, sf_dir))
+    return endpoint_profile(stored_packets(spark, sf_dir), ip_metadata(spark, sf_dir))
 
 
 def vectors(spark: SparkSession, sf_dir: str, endpoints: DataFrame) -> DataFrame:

@@ -75,8 +75,9 @@ def traffic_profile(edges: DataFrame) -> DataFrame:
 def endpoint_profile(packets: DataFrame, metadata: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """The profile of every address that sent or received a packet.
 
-    ``edges`` may pass a stored flow table of the same packets; else one is
-    written to the shared folder.
+    Pass stored packets: they are read for flows and for cadence. ``edges`` may
+    pass a stored flow table of the same packets; else one is written to the
+    shared folder.
     """
     packets = real_packets(packets)
     edges = materialize(flow_edges(packets), "flows") if edges is None else real_packets(edges)
