@@ -178,9 +178,8 @@ def run_summary(spark, sf):
     )
     endpoints = tables.endpoints(spark, sf)
     data = materialize(features.clustering_input(endpoints, metadata), "data")
-    destinations = scoring.describe_destinations(
-        scoring.host_outbound_flows(everything, ownership.host_ips(metadata)), metadata
-    )
+    hosts = materialize(ownership.host_ips(metadata), "hosts")
+    destinations = scoring.describe_destinations(scoring.host_outbound_flows(everything, hosts), metadata)
     outbound = scoring.score_host_outbound(materialize(destinations, "destinations"))
 
     def number(df: DataFrame) -> Column:
@@ -327,12 +326,15 @@ def endpoint_ranking(spark, sf):
 
 @query
 def host_outbound_flows(spark, sf):
-    return scoring.host_outbound_flows(tables.packets(spark, sf), tables.host_ips(spark, sf))
+    return scoring.host_outbound_flows(
+        tables.packets(spark, sf), materialize(tables.host_ips(spark, sf), "hosts")
+    )
 
 
 def _outbound(spark, sf):
     metadata = tables.ip_metadata(spark, sf)
-    found = scoring.host_outbound_flows(tables.packets(spark, sf), ownership.host_ips(metadata))
+    hosts = materialize(ownership.host_ips(metadata), "hosts")
+    found = scoring.host_outbound_flows(tables.packets(spark, sf), hosts)
     return scoring.score_host_outbound(materialize(scoring.describe_destinations(found, metadata), "destinations"))
 
 

@@ -195,6 +195,15 @@ def compare(pairs: DataFrame, blocks: DataFrame, columns: list[str], kernel: Cal
     return spread_out(joined, pairs.count()).mapInPandas(kernel, schema)
 
 
+def marked(blocks: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """``blocks`` with ``column`` of ``rows`` ``(block, place, column)`` as an array
+    in the order of the block's points."""
+    in_order = rows.groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("place", column))).alias("members")
+    )
+    return blocks.join(in_order.select("block", F.col(f"members.{column}").alias(column)), "block")
+
+
 def spread_out(df: DataFrame, comparisons: int) -> DataFrame:
     """``df`` over enough tasks for so many block comparisons."""
     tasks = math.ceil(comparisons / COMPARISONS_PER_TASK)

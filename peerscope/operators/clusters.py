@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
-from peerscope.operators.blocks import BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, spread_out
+from peerscope.operators.blocks import BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, marked, spread_out
 from peerscope.operators.components import connected_components
 from peerscope.operators.neighbours import (
     eps_pairs, matrix, spot_neighbours, within,
@@ -58,12 +58,14 @@ def _local_kernel(eps: float) -> Callable:
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                pids, core = np.asarray(row.pids), np.asarray(row.cores, dtype=bool)
+                pids, core = np.asarray(row.pids), np.asarray(row.core, dtype=bool)
                 points = matrix(row.coordinates, len(pids))[core]
                 near = within(points, points, eps)
                 group = np.full(len(pids), NOISE)
                 group[core] = pids[core][reachable_sets(near)]
-                yield pd.DataFrame({"pid": pids, "block": row.block, "local": group})
+                yield pd.DataFrame({
+                    "pid": pids, "block": row.block, "place": np.arange(len(pids)), "locals": group,
+                })
 
     return kernel
 
@@ -121,15 +123,6 @@ def dbscan(space: Space, eps: float, min_samples: int, block_rows: int = BLOCK_R
     return space.spread(labels, "cluster")
 
 
-def _marked(blocks: DataFrame, rows: DataFrame, column: str, name: str) -> DataFrame:
-    """``blocks`` with ``column`` of ``rows`` ``(block, pid, column)`` as an array in point order."""
-    by_pid = rows.groupBy("block").agg(
-        F.map_from_entries(F.collect_list(F.struct("pid", column))).alias("by_pid")
-    )
-    in_order = F.transform("pids", lambda p: F.element_at("by_pid", p))
-    return blocks.join(by_pid, "block").withColumn(name, in_order).drop("by_pid")
-
-
 def _label_blocks(space: Space, layout: Layout, eps: float, min_samples: int) -> DataFrame:
     """``(pid, cluster)`` of each spot, from local sets joined across blocks."""
     pairs = eps_pairs(layout, eps)
@@ -137,14 +130,15 @@ def _label_blocks(space: Space, layout: Layout, eps: float, min_samples: int) ->
         "pid", (F.col("neighbours") >= min_samples).alias("core")
     )
     placed = layout.blocks.select("block", "pids", "coordinates", "cell")
-    in_blocks = placed.select("block", F.explode("pids").alias("pid")).join(cores, "pid")
+    in_blocks = placed.select("block", F.posexplode("pids").alias("place", "pid")).join(cores, "pid")
     members = materialize(
-        spread_out(_marked(placed.drop("cell"), in_blocks, "core", "cores"), layout.count).mapInPandas(
-            _local_kernel(eps), "pid long, block long, local long"
+        spread_out(marked(placed.drop("cell"), in_blocks, "core"), layout.count).mapInPandas(
+            _local_kernel(eps), "pid long, block long, place int, locals long"
         ),
         "members",
     )
-    blocks = materialize(_marked(placed, members, "local", "locals"), "named")
+    blocks = materialize(marked(placed, members, "locals"), "named")
+    members = members.select("pid", F.col("locals").alias("local"))
     links = materialize(
         compare(
             pairs, blocks, ["pids", "coordinates", "locals"],

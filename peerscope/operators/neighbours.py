@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
 from peerscope.operators.blocks import (
-    BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, near_pairs, spread_out,
+    BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, marked, near_pairs, spread_out,
 )
 from peerscope.session import materialize
 
@@ -158,6 +158,7 @@ def _within_kernel(k: int) -> Callable:
                 )
                 yield pd.DataFrame({
                     "block": row.block,
+                    "place": np.arange(len(points)),
                     "pid": row.pids,
                     "reach": reached,
                     "distances": list(distances),
@@ -194,21 +195,15 @@ def k_distances(space: Space, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame
     layout = lay_out(space, block_rows=max(block_rows, k))
     inside = spread_out(layout.blocks.select("block", "pids", "weights", "coordinates"), layout.count).mapInPandas(
         _within_kernel(k),
-        "block long, pid long, reach double, distances array<double>, weights array<long>",
+        "block long, place int, pid long, reach double, distances array<double>, weights array<long>",
     )
     if layout.count == 1:
         # One block holds all points: the bound is the distance.
         found = inside.select("pid", F.col("reach").alias("k_distance"))
     else:
         inside = materialize(inside, "inside")
-        reach = inside.groupBy("block").agg(
-            F.map_from_entries(F.collect_list(F.struct("pid", "reach"))).alias("reaches"),
-            F.max("reach").alias("radius"),
-        )
-        in_order = F.transform("pids", lambda p: F.element_at("reaches", p))
-        blocks = materialize(
-            layout.blocks.join(reach, "block").withColumn("reach", in_order).drop("reaches"), "reaching"
-        )
+        blocks = marked(layout.blocks, inside, "reach").withColumn("radius", F.array_max("reach"))
+        blocks = materialize(blocks, "reaching")
         reaching = Layout(blocks, layout.count, layout.dims, layout.axes, layout.cuts)
         pairs = materialize(
             near_pairs(reaching, F.col("radius"), both_ways=True).filter("a != b").select("a", "b"), "pairs"

@@ -109,9 +109,11 @@ def explode_reasons(scored: DataFrame) -> DataFrame:
 
 
 def host_outbound_flows(packets: DataFrame, hosts: DataFrame) -> DataFrame:
-    """What the capture host sent to and got from each address it sent to."""
-    # Two semi-join marks; the hosts are the few addresses of one machine, and
-    # Catalyst broadcasts them only if their size allows.
+    """What the capture host sent to and got from each address it sent to.
+
+    Pass stored ``hosts``: the addresses of one machine are a tiny table, and
+    its size lets Catalyst mark packets without shuffling them.
+    """
     sent_by = hosts.select(F.col("ip_address").alias("src_ip"), F.lit(True).alias("from_host"))
     sent_to = hosts.select(F.col("ip_address").alias("dst_ip"), F.lit(True).alias("to_host"))
     marked = packets.join(sent_by, "src_ip", "left").join(sent_to, "dst_ip", "left")

@@ -109,7 +109,8 @@ def detect_anomalies(
         scatter = plane(points, clustering.dims).join(labels, "ip_address")
         explained = space.explained
     scored = materialize(score_endpoints(data, labels), "scored")
-    hosts = host_ips(metadata)
+    # Stored, so that its true size decides how packets are joined with it.
+    hosts = materialize(host_ips(metadata), "hosts")
     flows = materialize(describe_destinations(host_outbound_flows(packets, hosts), metadata), "destinations")
     destinations = materialize(score_host_outbound(flows), "outbound")
 

@@ -35,7 +35,9 @@ def fetch_traffic(
     """Profiles of the last ``minutes``, newest first, at most ``limit``."""
     now = F.current_timestamp() if as_of is None else as_of
     recent = endpoints.filter(F.col("profiled_at") > now - F.make_dt_interval(mins=F.lit(minutes)))
-    return _profile(recent, metadata).distinct().orderBy(F.desc("timestamp"), "ip_address").limit(limit)
+    # An endpoint has one owner, so the rows to show are known before the join.
+    shown = recent.distinct().orderBy(F.desc("profiled_at"), "ip_address").limit(limit)
+    return _profile(shown, metadata).orderBy(F.desc("timestamp"), "ip_address")
 
 
 def inspect_profile(endpoints: DataFrame, metadata: DataFrame, ip: str) -> DataFrame:
@@ -77,18 +79,19 @@ def inspect_peers(packets: DataFrame, metadata: DataFrame, ip: str, limit: int =
             clean_ports(F.collect_set("src_port"), F.collect_set("dst_port")).alias("ports"),
         )
     )
+    # An address has one owner, so the rows to show are known before the join.
+    shown = conversations.orderBy(F.desc("bytes_total"), "peer_ip").limit(limit)
     peers = metadata.select(
         F.col("ip_address").alias("peer_ip"),
         *[F.col(c).alias(f"peer_{c}") for c in ("org", "hostname", "location")],
     )
     return (
-        conversations.join(peers, "peer_ip", "left")
+        shown.join(peers, "peer_ip", "left")
         .select(
             "peer_ip", "peer_org", "peer_hostname", "peer_location",
             "bytes_out", "packets_out", "bytes_in", "packets_in", "bytes_total", "protocols", "ports",
         )
         .orderBy(F.desc("bytes_total"), "peer_ip")
-        .limit(limit)
     )
 
 
