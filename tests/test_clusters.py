@@ -114,3 +114,25 @@ def test_eps_sources(spark):
     assert recommend_eps(flat).source == "auto" and recommend_eps(flat).eps == 2.0
     assert recommend_eps(flat).knee_index is None
     assert recommend_eps(flat, 0.7) == recommend_eps(flat, 0.7).__class__(0.7, "override", None)
+
+
+@pytest.mark.parametrize("dims", [1, 2])
+def test_distances_equal_to_the_radius_count(spark, dims):
+    """Lattice points: many distances are exactly the radius, many are tied."""
+    rng = np.random.default_rng(8)
+    points = rng.integers(0, 40 if dims == 1 else 9, (70, dims)).astype(float)
+    space = prepare(frame(spark, points))
+    assert by_ip(neighbours.eps_neighbours(space, 1.0, 8), "neighbours").tolist() == (
+        brute.neighbour_counts(points, 1.0).tolist()
+    )
+    assert by_ip(dbscan(space, 1.0, 4, 8), "cluster").tolist() == brute.dbscan(points, 1.0, 4).tolist()
+    assert by_ip(neighbours.k_distances(space, 4, 8), "k_distance").tolist() == (
+        brute.k_distances(points, 4).tolist()
+    )
+
+
+def test_far_from_the_origin(spark):
+    """The matrix product loses digits far out; close calls are measured again."""
+    points = 1e7 + scattered(9)[:120]
+    space = prepare(frame(spark, points))
+    assert by_ip(dbscan(space, 0.5, 4, 16), "cluster").tolist() == brute.dbscan(points, 0.5, 4).tolist()
