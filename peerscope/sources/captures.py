@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,8 @@ PORT_NAMES = {
 ETHERNET, RAW_IP = 1, 101
 IPV4, ARP, VLAN, IPV6 = 0x0800, 0x0806, 0x8100, 0x86DD
 ICMP, TCP, UDP = 1, 6, 17
-# Bytes past the end that a truncated header may be looked up in.
-SLACK = 128
+# Packets dissected together; bounds what a task holds beside the file itself.
+FRAMES_AT_ONCE = 50_000
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -62,23 +63,22 @@ def decode_captures(files: DataFrame) -> DataFrame:
 def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            frames = _frames(content)
-            if len(frames):
-                yield _dissect(path, content, frames)
+            frames, done = _frames(content), 0
+            while part := list(islice(frames, FRAMES_AT_ONCE)):
+                yield _dissect(path, content, np.array(part, dtype=np.int64), done)
+                done += len(part)
 
 
-def _frames(content: bytes) -> np.ndarray:
-    """Rows (offset, captured, length, time in us, link type) of each frame."""
+def _frames(content: bytes) -> Iterator[tuple]:
+    """(offset, captured, length, time in us, link type) of each frame."""
     magic = content[:4]
     if magic == b"\x0a\x0d\x0d\x0a":
-        rows = list(_pcapng_frames(content))
-    elif magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
-        rows = list(_pcap_frames(content, "<", 1 if magic[0] == 0xD4 else 1000))
-    elif magic in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
-        rows = list(_pcap_frames(content, ">", 1 if magic[2] == 0xC3 else 1000))
-    else:
-        raise ValueError("not a pcap or pcapng file")
-    return np.array(rows, dtype=np.int64).reshape(-1, 5)
+        return _pcapng_frames(content)
+    if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1"):
+        return _pcap_frames(content, "<", 1 if magic[0] == 0xD4 else 1000)
+    if magic in (b"\xa1\xb2\xc3\xd4", b"\xa1\xb2\x3c\x4d"):
+        return _pcap_frames(content, ">", 1 if magic[2] == 0xC3 else 1000)
+    raise ValueError("not a pcap or pcapng file")
 
 
 def _pcap_frames(content: bytes, order: str, ticks_per_us: int) -> Iterator[tuple]:
@@ -87,6 +87,8 @@ def _pcap_frames(content: bytes, order: str, ticks_per_us: int) -> Iterator[tupl
     at = 24
     while at + 16 <= len(content):
         seconds, fraction, captured, length = header.unpack_from(content, at)
+        if at + 16 + captured > len(content):
+            break  # the capture was cut off inside this packet
         yield at + 16, captured, length, seconds * 1_000_000 + fraction // ticks_per_us, link
         at += 16 + captured
 
@@ -99,6 +101,8 @@ def _pcapng_frames(content: bytes) -> Iterator[tuple]:
             order = "<" if content[at + 8:at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
             interfaces = []
         size = struct.unpack_from(order + "I", content, at + 4)[0]
+        if at + size > len(content):
+            break  # the capture was cut off inside this block
         if kind == 1:
             link = struct.unpack_from(order + "H", content, at + 8)[0]
             interfaces.append((link, _ticks_per_second(content, order, at + 16, at + size - 4)))
@@ -121,44 +125,44 @@ def _ticks_per_second(content: bytes, order: str, at: int, end: int) -> int:
     return 1_000_000
 
 
-def _dissect(path: str, content: bytes, frames: np.ndarray) -> pd.DataFrame:
-    """Header fields of all frames of a file at once."""
-    octets = np.frombuffer(content + bytes(SLACK), dtype=np.uint8).astype(np.int64)
+def _dissect(path: str, content: bytes, frames: np.ndarray, first_record: int) -> pd.DataFrame:
+    """Header fields of many frames at once."""
+    octets = np.frombuffer(content, dtype=np.uint8)
     start, captured, length, time, link = frames.T
 
+    def octet(at: np.ndarray) -> np.ndarray:
+        # A cut-off header may point past the end; its fields are not used.
+        return octets[np.minimum(at, len(octets) - 1)].astype(np.int64)
+
     def pair(at: np.ndarray) -> np.ndarray:
-        at = np.minimum(at, len(octets) - 2)
-        return octets[at] * 256 + octets[at + 1]
+        return octet(at) * 256 + octet(at + 1)
 
     ethernet = link == ETHERNET
     kind = np.where(ethernet, pair(start + 12), 0)
     tagged = kind == VLAN
     network = start + np.where(ethernet, np.where(tagged, 18, 14), 0)
     kind = np.where(tagged, pair(start + 16), kind)
-    version = octets[np.minimum(network, len(octets) - 1)] >> 4
+    first = octet(network)
+    version = first >> 4
     raw = link == RAW_IP
     kind = np.where(raw & (version == 4), IPV4, np.where(raw & (version == 6), IPV6, kind))
     end = start + captured
     is_v4 = (kind == IPV4) & (network + 20 <= end)
     is_v6 = (kind == IPV6) & (network + 40 <= end)
 
-    first = octets[np.minimum(network, len(octets) - 1)]
-    protocol = np.where(
-        is_v4, octets[np.minimum(network + 9, len(octets) - 1)],
-        np.where(is_v6, octets[np.minimum(network + 6, len(octets) - 1)], -1),
-    )
+    protocol = np.where(is_v4, octet(network + 9), np.where(is_v6, octet(network + 6), -1))
     transport = network + np.where(is_v4, (first & 15) * 4, 40)
     packet_end = network + np.where(is_v4, pair(network + 2), 40 + pair(network + 4))
     is_tcp = (protocol == TCP) & (transport + 20 <= end)
     is_udp = (protocol == UDP) & (transport + 8 <= end)
     has_ports = is_tcp | is_udp
     source, target = pair(transport), pair(transport + 2)
-    data_offset = octets[np.minimum(transport + 12, len(octets) - 1)] >> 4
+    data_offset = octet(transport + 12) >> 4
     body = transport + np.where(is_tcp, data_offset * 4, 8)
     carries = has_ports & (packet_end > body)
 
     def address(at: np.ndarray) -> list:
-        parts = [octets[np.minimum(at + i, len(octets) - 1)] for i in range(4)]
+        parts = [octet(at + i) for i in range(4)]
         return [
             f"{a}.{b}.{c}.{d}" if ok else None for a, b, c, d, ok in zip(*parts, is_v4)
         ]
@@ -179,7 +183,7 @@ def _dissect(path: str, content: bytes, frames: np.ndarray) -> pd.DataFrame:
     ]
     return pd.DataFrame({
         "path": path,
-        "record": np.arange(len(frames)),
+        "record": first_record + np.arange(len(frames)),
         "ts_us": time,
         "highest_layer": names,
         "ip_src": address(network + 12),

@@ -112,8 +112,10 @@ def test_capture_files(spark, tmp_path, content):
 
 
 def test_truncated_capture_keeps_whole_packets(spark, tmp_path):
-    (tmp_path / "cut.pcap").write_bytes(pcap()[: 24 + 16 + 5])
-    assert captures.read_captures(spark, str(tmp_path)).count() == 1
+    (tmp_path / "cut.pcap").write_bytes(pcap()[:-3])
+    (tmp_path / "cut.pcapng").write_bytes(pcapng()[:-3])
+    (tmp_path / "empty.pcap").write_bytes(pcap()[:24])
+    assert captures.read_captures(spark, str(tmp_path)).count() == 2 * (len(FRAMES) - 1)
 
 
 @pytest.mark.parametrize("record,org", [
@@ -162,3 +164,12 @@ def test_snapshots(spark, tmp_path):
         store.wipe(tables, confirm="other")
     assert store.wipe(tables, confirm=store.root) == {"dropped": 2, "empty": False}
     assert store.wipe(tables, confirm=store.root) == {"dropped": 0, "empty": True}
+
+
+def test_packets_are_dissected_in_parts(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(captures, "FRAMES_AT_ONCE", 3)
+    files = pd.DataFrame({"path": ["one"], "content": [pcap()]})
+    parts = list(captures._decode_files(iter([files])))
+    assert [len(p) for p in parts] == [3, 3, 1]
+    assert pd.concat(parts)["record"].tolist() == list(range(len(FRAMES)))
