@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.schema import MIN_TIMING_PACKETS
+from peerscope.session import materialize
 
 MINUTE_MS = 60_000
 # Slots to choose from, the widest first. The squared gaps inside 6-hour slots
@@ -57,8 +58,9 @@ def choose_slots(packets: DataFrame, slot_packets: int = SLOT_PACKETS, busy_pack
     )
     counts = [c or 0 for c in fullest]
     width = next((w for w, c in zip(SLOT_WIDTHS, counts) if c <= slot_packets), MINUTE_MS)
-    busy = minutes.filter(F.col("packets") > busy_packets).select("minute") if counts[2] > busy_packets else None
-    return Slots(width, busy)
+    if counts[2] <= busy_packets:
+        return Slots(width, None)
+    return Slots(width, materialize(minutes.filter(F.col("packets") > busy_packets).select("minute"), "busy"))
 
 
 def instants(packets: DataFrame, slots: Slots) -> DataFrame:
