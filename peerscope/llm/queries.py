@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import decontamination
-from peerscope.llm.texts import read_table
+from peerscope.llm import compression_quality, decontamination, language_id, quality_rules, toxicity
+from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -18,6 +18,44 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return build
 
 
+def with_fold(scored: DataFrame, parts: int, held: int) -> DataFrame:
+    """``scored`` with the caller's ids and whether each row was kept from learning."""
+    return scored.withColumn("held_out", fold(F.col("doc_id"), parts) == held).withColumn("doc_id", public_id())
+
+
+def learning_rows(docs: DataFrame, parts: int, held: int) -> DataFrame:
+    return docs.filter(fold(docs["doc_id"].cast("long"), parts) != held)
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.labelled_bags(learning_rows(docs, 3, 1), labels, "toxic"))
+    scored = with_fold(toxicity.score(docs, model), 3, 1)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    learned = language_id.prototypes(learning_rows(docs, 3, 1))
+    return with_fold(language_id.identify(docs, learned), 3, 1).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = compression_quality.fit(learning_rows(docs, 5, 0), labels, "quality")
+    scored = with_fold(compression_quality.score(docs, model), 5, 0)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.references(docs))
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
