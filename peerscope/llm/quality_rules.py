@@ -130,7 +130,7 @@ def references(docs: DataFrame, common_words: int = COMMON_WORDS) -> DataFrame:
             n += [chars, counts]
         return {"lang": pa.array(lang, pa.string()), "kind": np.concatenate(kind), "key": np.concatenate(key), "n": np.concatenate(n)}
 
-    totals = map_texts(rows, count, "lang string, kind bigint, key bigint, n bigint", 1 << 23).groupBy("lang", "kind", "key").agg(
+    totals = map_texts(rows, count, "lang string, kind bigint, key bigint, n bigint", 1 << 22).groupBy("lang", "kind", "key").agg(
         F.sum("n").alias("n")
     )
     chars = totals.filter("kind = 0").groupBy("lang").agg(

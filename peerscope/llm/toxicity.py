@@ -1,14 +1,16 @@
 """Toxicity from subword-bag embeddings.
 
 A text is the bag of the character n-grams of its words, word edges included.
-Every n-gram (hashed) has an embedding; the mean of the bag goes through a
-linear softmax. Embeddings and softmax are trained together in numpy, so a
-misspelling that was never seen still shares most of its n-grams.
+Every n-gram (hashed) has an embedding; the mean of the bag, where a repeated
+n-gram weighs the root of its count and ``PRIOR_GRAMS`` blank ones damp short
+texts, goes through a linear softmax. Embeddings and softmax are trained
+together in numpy, so a misspelling that was never seen still shares most of
+its n-grams.
 
 Fitting takes at most ``per_class`` labelled rows of each class, chosen by the
-hash of their id; the counts of the classes restore the prior. Scoring covers
-every row whole. Since the softmax is linear, each task folds it into one
-number per n-gram.
+hash of their id. A fifth of them calibrates the logits, weighted to the true
+class sizes. Scoring covers every row whole. Since the softmax is linear, each
+task folds it into one number per n-gram.
 
 Defined cases: an empty or null text has an empty bag and scores the prior;
 without labels of both classes every score is the share of label 1, or 0;
@@ -20,7 +22,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,8 @@ from peerscope.llm.texts import arrow_lists, doc_texts, map_texts
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 17
 PER_CLASS = 3000
+#: Blank n-grams in every bag; n-grams in fewer training texts have no embedding.
+PRIOR_GRAMS, MIN_TEXTS = 300, 4
 
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[0, *BLANK]] = True
@@ -40,18 +43,39 @@ _FLAT[_IS_BLANK] = 0x20
 
 @dataclass
 class Model:
-    """Embeddings, softmax weights and bias, and the correction to the true prior."""
+    """Embeddings, softmax weights and bias; the calibration is part of the last two."""
 
     embeddings: np.ndarray
     weights: np.ndarray
     bias: float
-    prior: float
 
     def scores(self) -> np.ndarray:
         """What each n-gram adds to the difference of the two logits."""
         return (self.embeddings @ self.weights).astype(np.float32)
 
 
+def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-gram buckets row after row, their weights, and the bounds of the rows."""
+    buckets, row = text_subwords(data, offsets)
+    key, counts = np.unique(row.astype(np.int64) << BUCKET_BITS | buckets, return_counts=True)
+    bounds = np.searchsorted(key, np.arange(len(offsets)) << BUCKET_BITS)
+    weight = np.sqrt(counts).astype(np.float32)
+    total = np.zeros(len(weight) + 1)
+    np.cumsum(weight, out=total[1:])
+    total = total[bounds[1:]] - total[bounds[:-1]] + PRIOR_GRAMS
+    weight /= np.repeat(total, np.diff(bounds)).astype(np.float32)
+    return (key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), weight, bounds
+
+
+def probabilities(model: tuple[np.ndarray, float], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    value, bias = model
+    buckets, weight, bounds = bags(data, offsets)
+    total = np.zeros(len(weight) + 1)
+    np.cumsum(value[buckets] * weight, dtype=np.float64, out=total[1:])
+    logit = total[bounds[1:]] - total[bounds[:-1]] + bias
+    return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
+
+
 def text_subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of every character n-gram that lies in one word, edges included."""
     n = len(offsets) - 1
@@ -82,7 +106,7 @@ def text_subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def labelled_bags(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> DataFrame:
-    """``(label, total, buckets, counts)`` of at most ``per_class`` rows per class; ``total`` is the size of the class."""
+    """``(label, total, buckets, weights)`` of at most ``per_class`` rows per class; ``total`` is the size of the class."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).filter(
         "label IN (0, 1) AND doc_id IS NOT NULL"
     ).dropDuplicates(["doc_id"])
@@ -98,100 +122,105 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         chosen = known.limit(0)
     rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id")
 
-    def bags(batch, data, offsets):
-        buckets, row = text_subwords(data, offsets)
-        key, counts = np.unique(row.astype(np.int64) << BUCKET_BITS | buckets, return_counts=True)
-        bounds = np.searchsorted(key, np.arange(len(offsets)) << BUCKET_BITS)
+    def collect(batch, data, offsets):
+        buckets, weight, bounds = bags(data, offsets)
         return {
             "label": batch.column("label"), "doc_id": batch.column("doc_id"),
-            "buckets": arrow_lists((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32), bounds),
-            "counts": arrow_lists(counts.astype(np.int32), bounds),
+            "buckets": arrow_lists(buckets, bounds), "weights": arrow_lists(weight, bounds),
         }
 
-    bagged = map_texts(rows, bags, "label int, doc_id bigint, buckets array<int>, counts array<int>")
+    bagged = map_texts(rows, collect, "label int, doc_id bigint, buckets array<int>, weights array<float>")
     total = F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in sizes.items()], F.lit(0))
     return bagged.withColumn("total", total.cast("long"))
 
 
-def fit(bags: DataFrame, width: int = 8, epochs: int = 12, rate: float = 0.05, batch: int = 128, seed: int = 7) -> Model:
+def fit(bagged: DataFrame, width: int = 8, epochs: int = 10, rate: float = 0.05, batch: int = 128, seed: int = 7) -> Model:
     """Train on the driver from the bounded bags."""
-    table = bags.toArrow().combine_chunks().sort_by("doc_id")
-    size = 1 << BUCKET_BITS
-    label = np.array(table["label"].to_pylist(), np.float32)
+    table = bagged.toArrow().combine_chunks().sort_by("doc_id")
+    label = np.array(table["label"].to_pylist(), np.float64)
     totals = dict(zip(label.tolist(), table["total"].to_pylist(), strict=True))
+    size = 1 << BUCKET_BITS
+    if len(totals) < 2:
+        return Model(np.zeros((size, width), np.float32), np.zeros(width, np.float32), 40.0 if 1.0 in totals else -40.0)
+    lists = table["buckets"].combine_chunks()
+    bounds, buckets = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    share = table["weights"].combine_chunks().flatten().to_numpy()
+    share = np.where(np.bincount(buckets, minlength=size)[buckets] >= MIN_TEXTS, share, 0).astype(np.float32)
+    calibrate = np.arange(len(label)) % 5 == 4
+    train = np.flatnonzero(~calibrate) if len(np.unique(label[calibrate])) == 2 and len(np.unique(label[~calibrate])) == 2 else np.arange(len(label))
+
+    def bag(rows):
+        """The rows' dense bags over the n-grams that occur in them."""
+        sizes = bounds[rows + 1] - bounds[rows]
+        place = np.arange(sizes.sum()) + np.repeat(bounds[rows] - np.cumsum(sizes) + sizes, sizes)
+        distinct, where = np.unique(buckets[place], return_inverse=True)
+        out = np.zeros((len(rows), len(distinct)), np.float32)
+        out[np.repeat(np.arange(len(rows)), sizes), where] = share[place]
+        return out, distinct
+
     random = np.random.default_rng(seed)
     embeddings = random.normal(0, 0.01, (size, width)).astype(np.float32)
-    weights = np.full(width, 1 / np.sqrt(width), np.float32)
-    if len(totals) < 2:
-        share = next(iter(totals), 0.0)
-        return Model(np.zeros((size, width), np.float32), weights, 20.0 * (2 * share - 1), 0.0)
-    buckets = table["buckets"].combine_chunks()
-    bounds = buckets.offsets.to_numpy()
-    buckets = buckets.flatten().to_numpy()
-    counts = table["counts"].combine_chunks().flatten().to_numpy().astype(np.float32)
-    length = np.maximum(np.add.reduceat(np.append(counts, 0), bounds[:-1]), 1)
-    length[np.diff(bounds) == 0] = 1
-    share = counts / np.repeat(length, np.diff(bounds))
-    positive = label.sum()
-    weigh = np.where(label == 1, len(label) / (2 * positive), len(label) / (2 * (len(label) - positive))).astype(np.float32)
-    bias = 0.0
-    state = [np.zeros_like(embeddings), np.zeros_like(embeddings), np.zeros(width), np.zeros(width), 0.0, 0.0]
+    weights, bias = np.full(width, 1 / np.sqrt(width)), 0.0
+    positives = label[train].mean()
+    weigh = np.where(label == 1, 0.5 / positives, 0.5 / (1 - positives))
+    moments = [(np.zeros_like(embeddings), np.zeros_like(embeddings)), (np.zeros(width), np.zeros(width)), (np.zeros(1), np.zeros(1))]
     step = 0
     for _ in range(epochs):
-        order = random.permutation(len(label))
+        order = random.permutation(train)
         for first in range(0, len(order), batch):
             rows = order[first:first + batch]
-            sizes = bounds[rows + 1] - bounds[rows]
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[rows], sizes)
-            used, own_share = buckets[place], share[place]
-            distinct, where = np.unique(used, return_inverse=True)
-            bag = np.zeros((len(rows), len(distinct)), np.float32)
-            bag[owner, where] = own_share
-            mean = bag @ embeddings[distinct]
-            logit = np.clip(mean @ weights + bias, -30, 30)
-            error = (1 / (1 + np.exp(-logit)) - label[rows]) * weigh[rows] / len(rows)
+            dense, distinct = bag(rows)
+            mean = dense @ embeddings[distinct]
+            error = (1 / (1 + np.exp(-np.clip(mean @ weights + bias, -30, 30))) - label[rows]) * weigh[rows] / len(rows)
+            gradients = [dense.T @ np.outer(error, weights).astype(np.float32), mean.T @ error, np.array([error.sum()])]
             step += 1
-            gradients = [bag.T @ (error[:, None] * weights), mean.T @ error, error.sum()]
             scale = rate * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+            moves = []
             # Adam; embeddings of n-grams that the batch lacks stay as they are.
-            m, v = state[0][distinct], state[1][distinct]
-            m, v = 0.9 * m + 0.1 * gradients[0], 0.999 * v + 0.001 * gradients[0] ** 2
-            state[0][distinct], state[1][distinct] = m, v
-            embeddings[distinct] -= 20 * scale * m / (np.sqrt(v) + 1e-8)
-            state[2], state[3] = 0.9 * state[2] + 0.1 * gradients[1], 0.999 * state[3] + 0.001 * gradients[1] ** 2
-            weights -= (scale * state[2] / (np.sqrt(state[3]) + 1e-8)).astype(np.float32)
-            state[4], state[5] = 0.9 * state[4] + 0.1 * gradients[2], 0.999 * state[5] + 0.001 * gradients[2] ** 2
-            bias -= float(scale * state[4] / (np.sqrt(state[5]) + 1e-8))
-    return Model(embeddings, weights, bias, float(np.log(totals[1.0] / totals[0.0])))
+            for (m, v), g, own in zip(moments, gradients, (distinct, slice(None), slice(None)), strict=True):
+                m[own], v[own] = 0.9 * m[own] + 0.1 * g, 0.999 * v[own] + 0.001 * g * g
+                moves.append(scale * m[own] / (np.sqrt(v[own]) + 1e-8))
+            embeddings[distinct] -= 20 * moves[0]
+            weights, bias = weights - moves[1], bias - float(moves[2][0])
+    if len(train) == len(label):
+        return Model(embeddings, weights, bias + float(np.log(totals[1.0] / totals[0.0])))
+    rows = np.flatnonzero(calibrate)
+    logit = np.concatenate([d @ (embeddings[k] @ weights) for d, k in (bag(rows[i:i + batch]) for i in range(0, len(rows), batch))])
+    slope, shift = _calibration(logit + bias, label[rows], totals)
+    return Model(embeddings, slope * weights, slope * bias + shift)
+
+
+def _calibration(logit: np.ndarray, label: np.ndarray, totals: dict) -> tuple[float, float]:
+    """Slope and shift of the logits by Newton's method, rows weighted to the class sizes."""
+    scale = max(np.abs(logit).mean(), 1e-9)
+    x = np.stack([logit / scale, np.ones(len(logit))], axis=1)
+    weigh = np.where(label == 1, totals[1.0] / label.sum(), totals[0.0] / (len(label) - label.sum()))
+    weigh *= len(label) / weigh.sum()
+    w = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        curve = (x * (weigh * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+        w -= np.clip(np.linalg.solve(curve, x.T @ (weigh * (p - label)) + 0.05 * w), -1, 1)
+    return max(float(w[0]), 1e-6) / scale, float(w[1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, score)`` for every text; the model ships as one number per n-gram."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.scores(), model.bias + model.prior))
+    shipped = docs.sparkSession.sparkContext.broadcast((model.scores(), model.bias))
 
     def predict(batch, data, offsets):
-        value, bias = shipped.value
-        n = len(offsets) - 1
-        buckets, row = text_subwords(data, offsets)
-        total = np.bincount(row, weights=value[buckets], minlength=n)
-        logit = total / np.maximum(np.bincount(row, minlength=n), 1) + bias
-        return {"doc_id": batch.column("doc_id"), "score": 1 / (1 + np.exp(-np.clip(logit, -40, 40)))}
+        return {"doc_id": batch.column("doc_id"), "score": probabilities(shipped.value, data, offsets)}
 
     return map_texts(doc_texts(docs), predict, "doc_id bigint, score double")
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a ``toxicity`` column beside its own; no join, so each row keeps its place."""
+def with_scores(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with the score in a further column; no join, so every row keeps its own."""
     names = docs.columns
-    shipped = docs.sparkSession.sparkContext.broadcast((model.scores(), model.bias + model.prior))
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
+    shipped = docs.sparkSession.sparkContext.broadcast((model.scores(), model.bias))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def predict(batch, data, offsets):
-        value, bias = shipped.value
-        n = len(offsets) - 1
-        buckets, row = text_subwords(data, offsets)
-        logit = np.bincount(row, weights=value[buckets], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1) + bias
-        return {**{c: batch.column(c) for c in names}, "toxicity": pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))}
+        return {**{c: batch.column(c) for c in names}, name: probabilities(shipped.value, data, offsets)}
 
     return map_texts(docs, predict, schema)
