@@ -134,27 +134,13 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
 
-def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum over each ``width`` consecutive values, in log2(width) passes."""
-    out, have = values, 1
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first minimum among each ``width`` consecutive values."""
+    out, place, have = values, np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[:-step], out[step:])
+        left = out[:-step] <= out[step:]
+        place = np.where(left, place[:-step], place[step:])
+        out = np.where(left, out[:-step], out[step:])
         have += step
-    return out
-
-
-def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the minimum of some ``width`` consecutive grams.
-
-    Two equal runs of ``width`` grams choose the same position in the run: the
-    minimum, and all places of it where it repeats.
-    """
-    n = len(grams)
-    if n < width:
-        return np.zeros(0, np.int64)
-    low = sliding_min(grams, width)
-    # A position is chosen if one of the runs that hold it has it as minimum.
-    padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
-    best = ~sliding_min(~padded, width)
-    return np.flatnonzero(best == grams)
+    return place.astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, decontamination, language_id, quality_rules, toxicity
+from peerscope.llm import compression_quality, decontamination, language_id, lz_dedup, quality_rules, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factored = lz_dedup.factor_documents(read_table(spark, sf_dir, "documents"))
+    return factored.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 #: Lower-cases A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -96,4 +102,24 @@ ORACLES: dict[str, str] = {
                coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op10_lz_dedup": r"""
+        WITH d AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), g AS (
+          SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS t
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+        ), late AS (
+          SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM g) WHERE k > 1
+        ), gone AS (
+          SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late
+        ), words AS (
+          SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+        ), kept AS (
+          SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+          FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY 1
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
 }
