@@ -144,3 +144,8 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
         out = np.where(left, out[:-step], out[step:])
         have += step
     return place.astype(np.int64)
+
+
+def powers_inverse(n: int) -> np.ndarray:
+    """Powers of the inverse base, which move a span's hash to position 0."""
+    return _power("inverse", INVERSE, n)

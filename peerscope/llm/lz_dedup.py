@@ -24,13 +24,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.llm.hashing import Words, mix, prefix_hashes, span_hashes
 from peerscope.llm.repeats import MATCHED, by_document, find_runs, unpack
-from peerscope.llm.texts import NO_ID, doc_texts, map_texts, public_id
+from peerscope.llm.texts import NO_ID, doc_texts, flat_structs, map_texts, public_id, struct_lists
 from peerscope.session import materialize
 
 WINDOW = 20
@@ -44,15 +43,6 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return words.hashes, words.bounds
 
 
-def flat_structs(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Row and fields of every entry of a list of structs; null lists are empty."""
-    lengths = np.array(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    flat = column.flatten()
-    return np.repeat(np.arange(len(column)), lengths), {
-        f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)
-    }
-
-
 def join_matches(row, start, end, source, source_start):
     """Overlapping matches on one diagonal of one source become one match."""
     shift = source_start - start
@@ -167,12 +157,7 @@ def _result(rows, words: Words, factors: list, removed: np.ndarray, whole_rows:
 def _struct_lists(lists: list) -> pa.Array:
     flat = np.array([x for one in lists for x in one], np.int64).reshape(-1, 4)
     bounds = np.concatenate([[0], np.cumsum([len(one) for one in lists])])
-    return _as_lists(bounds, start=flat[:, 0], length=flat[:, 1], source=flat[:, 2], source_start=flat[:, 3])
-
-
-def _as_lists(bounds: np.ndarray, **fields: np.ndarray) -> pa.Array:
-    values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in fields.values()], names=list(fields))
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+    return struct_lists(bounds, start=flat[:, 0], length=flat[:, 1], source=flat[:, 2], source_start=flat[:, 3])
 
 
 def _settler(window: int, whole_rows: bool):
@@ -206,7 +191,7 @@ def _settler(window: int, whole_rows: bool):
         out = _result(rows, words, factors, removed, whole_rows)
         held = pa.array(np.arange(n), mask=~waiting)
         bounds = np.searchsorted(owner[ask], np.arange(n + 1))
-        asked = _as_lists(bounds, start=where[ask], anchor=anchor[ask], hash=value[ask])
+        asked = struct_lists(bounds, start=where[ask], anchor=anchor[ask], hash=value[ask])
         matches = _struct_lists([f if w else [] for f, w in zip(factors, waiting, strict=True)])
         return out | {
             "text": rows.column("text").take(held),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, decontamination, language_id, lz_dedup, quality_rules, toxicity
+from peerscope.llm import compression_quality, decontamination, language_id, lz_dedup, quality_rules, suffix_dedup, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def learning_rows(docs: DataFrame, parts: int, held: int) -> DataFrame:
     return docs.filter(fold(docs["doc_id"].cast("long"), parts) != held)
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")

@@ -54,7 +54,7 @@ def runs(values: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     at = np.arange(len(values) - gram + 1)
     grams = mix(span_hashes(prefix, at, at + gram))
     anchor = sliding_argmin(grams, window - gram + 1)
-    row = np.searchsorted(bounds, np.arange(size), side="right") - 1
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:size]
     whole = np.arange(size) + window <= bounds[row + 1]
     start = np.flatnonzero(whole)
     row, anchor = row[start], anchor[start]

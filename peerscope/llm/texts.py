@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,18 @@ def map_texts(
 def arrow_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A list column: row ``i`` is ``values[bounds[i]:bounds[i + 1]]``."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def flat_structs(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row and fields of every entry of a list of structs; null lists are empty."""
+    lengths = np.array(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    flat = column.flatten()
+    return np.repeat(np.arange(len(column)), lengths), {
+        f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)
+    }
+
+
+def struct_lists(bounds: np.ndarray, **fields: np.ndarray) -> pa.Array:
+    """A column of lists of structs from the fields of all entries."""
+    values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in fields.values()], names=list(fields))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
