@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, decontamination, language_id, lz_dedup, quality_rules, suffix_dedup, toxicity
+from peerscope.llm import compression_quality, decontamination, language_id, lz_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(language_id.identify(docs, learned), 3, 1).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
