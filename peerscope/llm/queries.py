@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, decontamination, language_id, lz_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
+from peerscope.llm import compression_quality, decontamination, hmm, language_id, lz_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.references(docs))
 
 
+@query
+def op8_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = with_fold(hmm.fit_and_score(docs, learning_rows(docs, 5, 1)), 5, 1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
