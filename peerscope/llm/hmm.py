@@ -39,7 +39,7 @@ SETTLED_TOKENS = 1 << 18
 PRIOR_TOKENS = 2000.0
 #: A power of two.
 RARE_SYMBOLS = 64
-ROUNDS = 3
+ROUNDS = 5
 #: The end of a text; no word has this hash but by chance.
 END = np.uint64(0x656E64)
 
@@ -90,7 +90,7 @@ class Model:
 
 
 def initial(counted: DataFrame, states: int = STATES, top_symbols: int = TOP_SYMBOLS, seed: int = 11) -> Model:
-    """Parameters near the unigram distribution, jittered so that states can part."""
+    """Parameters around the unigram distribution, jittered so that states can part; states tend to stay."""
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counted.orderBy(F.desc("n"), "token").limit(top_symbols).toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
@@ -105,8 +105,8 @@ def initial(counted: DataFrame, states: int = STATES, top_symbols: int = TOP_SYM
         rare_total[r["bucket"]], rare_distinct[r["bucket"]] = r["n"], r["v"]
     random = np.random.default_rng(seed)
     mass = np.concatenate([counts, rare_total]) + 0.5
-    emit = mass[:, None] * random.uniform(0.5, 1.5, (len(mass), states))
-    move = random.uniform(0.5, 1.5, (states, states))
+    emit = mass[:, None] * random.uniform(0.1, 1.9, (len(mass), states))
+    move = random.uniform(0.5, 1.5, (states, states)) + 20 * states * np.eye(states)
     return Model(
         tokens, counts, np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0),
         int(sums["n"]), int(sums["v"]), rare_total, rare_distinct,
