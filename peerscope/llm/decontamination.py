@@ -143,14 +143,15 @@ def _rare_shingles(docs: DataFrame, block: Block) -> dict[int, tuple[np.ndarray,
 
 
 def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``(doc_id, text, n_words, hits, items)``: word ranges within occurring windows, and whose they are.
+    """``(doc_id, text, row, n_words, hits, items)``: word ranges within occurring windows, and whose they are.
 
-    ``hits`` holds ``start, end`` of disjoint word ranges one after the other.
+    ``hits`` holds ``start, end`` of disjoint word ranges one after the other;
+    ``row`` is the caller's row but for its text.
     """
-    marked = doc_texts(docs).withColumns({
+    marked = doc_texts(docs, rows=True).withColumns({
         "n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>"),
     })
-    schema = "doc_id bigint, text string, n_words bigint, hits array<bigint>, items array<string>"
+    schema = marked.schema
     blocks = _blocks(items, window, block_windows)
     empty = Block(np.zeros((0, window), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
     for block in blocks or [empty]:
@@ -202,7 +203,7 @@ def _marker(shipped, window: int):
                 hits[row] = np.flatnonzero(np.diff(inside, prepend=0)).tolist()
                 owners[row] = sorted({*owners[row], *(names[i] for i in np.unique(item[which[own]]))})
             hits, owners = pa.array(hits, pa.list_(pa.int64())), pa.array(owners, pa.list_(pa.string()))
-        return {"doc_id": rows.column("doc_id"), "text": rows.column("text"), "n_words": counts, "hits": hits, "items": owners}
+        return {"doc_id": rows.column("doc_id"), "text": rows.column("text"), "row": rows.column("row"), "n_words": counts, "hits": hits, "items": owners}
 
     return mark
 
@@ -214,5 +215,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     """
     pairs = F.expr("aggregate(sequence(1, size(hits) div 2), 0L, (n, i) -> n + hits[2 * i - 1] - hits[2 * i - 2])")
     return find_items(docs, items, window, block_windows).select(
-        public_id(), "n_words", F.when(F.size("hits") > 0, pairs).otherwise(F.lit(0)).cast("long").alias("n_hit"), "hits", "items",
+        public_id(), "row", "text", "n_words", F.when(F.size("hits") > 0, pairs).otherwise(F.lit(0)).cast("long").alias("n_hit"), "hits", "items",
     ).withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))

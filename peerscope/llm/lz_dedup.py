@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peerscope.llm.hashing import Words, mix, prefix_hashes, span_hashes
 from peerscope.llm.repeats import MATCHED, by_document, find_runs, unpack
-from peerscope.llm.texts import NO_ID, doc_texts, flat_structs, map_texts, public_id, struct_lists
+from peerscope.llm.texts import doc_texts, flat_structs, map_texts, public_id, struct_lists
 from peerscope.session import materialize
 
 WINDOW = 20
@@ -113,24 +114,18 @@ def kept_texts(words: Words, removed: np.ndarray) -> list[bytes]:
 
 
 def factor_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, rows: bool = False) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256, factors)``, with ``row`` and ``kept_text`` if ``rows``.
+    """``(doc_id, n_words, n_removed, kept_sha256, factors)``; with ``rows`` also ``kept_text`` and the caller's ``row``.
 
-    ``row`` is the caller's row as a struct.
+    ``kept_text`` is the text as it was where nothing is removed.
     """
-    own = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if rows else []
-    texts = doc_texts(docs)
-    carried = docs.select(
-        F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), docs["text"].cast("string").alias("text"), *own
-    )
-    found = by_document(find_runs(texts, word_units, window, gram))
-    row_type = f", row {carried.schema['row'].dataType.simpleString()}" if rows else ""
-    text_type = ", kept_text string" if rows else ""
-    settled = f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors {FACTORS}{text_type}{row_type}"
-    partial = (
-        f"{settled}, text string, matches {FACTORS}, windows array<struct<start:bigint,anchor:bigint,hash:bigint>>"
-    )
-    first = materialize(map_texts(carried.join(found, "doc_id", "left"), _settler(window, rows), partial), "factors")
-    names = [c.split()[0] for c in ("doc_id", "n_words", "n_removed", "kept_sha256", "factors", *(["kept_text", "row"] if rows else []))]
+    texts = doc_texts(docs, rows=rows)
+    found = by_document(find_runs(doc_texts(docs), word_units, window, gram))
+    base = f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors {FACTORS}"
+    more = f"text string, matches {FACTORS}, windows array<struct<start:bigint,anchor:bigint,hash:bigint>>"
+    own = [T.StructField("kept_text", T.StringType()), texts.schema["row"]] if rows else []
+    settled = T.StructType([*T.StructType.fromDDL(base).fields, *own])
+    partial = T.StructType([*settled.fields, *T.StructType.fromDDL(more).fields])
+    first = materialize(map_texts(texts.join(found, "doc_id", "left"), _settler(window, rows), partial), "factors")
     waiting = first.filter("windows IS NOT NULL")
     place = Window.partitionBy("anchor", "hash").orderBy("doc_id", "start")
     again = (
@@ -141,7 +136,7 @@ def factor_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ro
     )
     rest = waiting.select("doc_id", "text", "matches", *(["row"] if rows else [])).join(again, "doc_id", "left")
     second = map_texts(rest, _finisher(rows), settled)
-    return first.filter("windows IS NULL").select(names).unionByName(second).withColumn("doc_id", public_id())
+    return first.filter("windows IS NULL").select(settled.names).unionByName(second).withColumn("doc_id", public_id())
 
 
 def _result(rows, words: Words, factors: list, removed: np.ndarray, whole_rows: bool) -> dict:
@@ -151,7 +146,12 @@ def _result(rows, words: Words, factors: list, removed: np.ndarray, whole_rows:
         "doc_id": rows.column("doc_id"), "n_words": words.counts(), "n_removed": np.diff(total[words.bounds]),
         "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept], "factors": _struct_lists(factors),
     }
-    return out | {"kept_text": pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()), "row": rows.column("row")} if whole_rows else out
+    if not whole_rows:
+        return out
+    touched = np.diff(total[words.bounds]) > 0
+    texts = rows.column("text").to_pylist()
+    texts = [k.decode("utf-8", "replace") if t else old for k, t, old in zip(kept, touched, texts, strict=True)]
+    return out | {"kept_text": pa.array(texts, pa.string()), "row": rows.column("row")}
 
 
 def _struct_lists(lists: list) -> pa.Array:

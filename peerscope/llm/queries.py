@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, decontamination, hmm, language_id, lz_dedup, ngram_join, quality_rules, suffix_dedup, toxicity
+from peerscope.llm import compression_quality, decontamination, hmm, language_id, lz_dedup, mixing, ngram_join, quality_rules, suffix_dedup, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
@@ -91,7 +97,52 @@ def op10_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Lower-cases A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _mixing_sql() -> str:
+    """The raking written out, one step per dimension and round."""
+    steps = [r"""
+        d AS (
+          SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+                 CASE WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(lower(coalesce(text, '')), 'license') THEN 'legal'
+                      WHEN contains(coalesce(text, ''), ' | ') THEN 'table' ELSE 'prose' END AS topic,
+                 CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+          FROM documents
+        ), cells AS (
+          SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL
+        ), w0 AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells)"""]
+    for name, power in mixing.POWERS.items():
+        steps.append(f"""t_{name} AS MATERIALIZED (
+          SELECT {name}, pow(n, {power}) / sum(pow(n, {power})) OVER () AS share
+          FROM (SELECT {name}, CAST(sum(tokens) AS DOUBLE) AS n FROM cells GROUP BY 1) WHERE n > 0)""")
+    last = "w0"
+    for step in range(mixing.ROUNDS):
+        for name in mixing.POWERS:
+            now = f"w{step}_{name}"
+            steps.append(f"""{now} AS MATERIALIZED (
+          SELECT source, lang, topic, tokens,
+                 CASE WHEN sum(w) OVER (PARTITION BY {name}) > 0 AND share IS NOT NULL
+                      THEN w * (share * (SELECT sum(tokens) FROM cells) / sum(w) OVER (PARTITION BY {name})) ELSE 0 END AS w
+          FROM {last} LEFT JOIN t_{name} USING ({name}))""")
+            last = now
+    ratio = "CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END"
+    steps.append(f"s0 AS MATERIALIZED (SELECT CAST({mixing.KEEP} AS DOUBLE) AS s)")
+    for step in range(mixing.SCALING_ROUNDS):
+        steps.append(f"""s{step + 1} AS MATERIALIZED (
+          SELECT s * {mixing.KEEP} * (SELECT sum(tokens) FROM cells) / (SELECT sum(tokens * least(1.0, {ratio} * s)) FROM {last}) AS s
+          FROM s{step})""")
+    return f"""
+        WITH {", ".join(steps)}, chances AS (
+          SELECT source, lang, topic, least(1.0, {ratio} * (SELECT s FROM s{mixing.SCALING_ROUNDS})) AS p FROM {last}
+        )
+        SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,
+               CAST('0x' || substr(md5('{mixing.SEED}' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept
+        FROM d JOIN chances USING (source, lang, topic)
+    """
+
+
 ORACLES: dict[str, str] = {
+    "op2_mixing": _mixing_sql(),
     "op9_decontamination": rf"""
         WITH d AS (
           SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from peerscope.llm.hashing import CHUNK_BYTES, chunks, text_column
 
@@ -20,10 +21,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id`` (never null) and ``text``; other columns only if named."""
+def doc_texts(docs: DataFrame, *more: str, rows: bool = False) -> DataFrame:
+    """``doc_id`` (never null) and ``text``; other columns only if named.
+
+    With ``rows`` the caller's row, but for its text, goes along as the struct ``row``.
+    """
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id")
-    return docs.select(key, docs["text"].cast("string").alias("text"), *[docs[c] for c in more])
+    whole = [F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != "text"]).alias("row")] if rows else []
+    return docs.select(key, docs["text"].cast("string").alias("text"), *[docs[c] for c in more], *whole)
+
+
+def caller_rows(df: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The rows that ``doc_texts(docs, rows=True)`` took along, as ``columns`` again, with ``text`` as their text."""
+    text = F.col("text") if text is None else text
+    return df.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def public_id() -> Column:
@@ -40,7 +51,7 @@ def fold(column: Column, parts: int) -> Column:
 def map_texts(
     df: DataFrame,
     function: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict | None],
-    schema: str,
+    schema: str | StructType,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Run ``function(rows, data, offsets)`` over slices of about ``chunk_bytes`` of text.
