@@ -34,7 +34,7 @@ from peerscope.llm.texts import doc_texts, flat_structs, map_texts, public_id, s
 from peerscope.session import materialize
 
 WINDOW = 20
-GRAM = 8
+GRAM = 6
 
 FACTORS = "array<struct<start:bigint,length:bigint,source:bigint,source_start:bigint>>"
 

@@ -86,13 +86,15 @@ def find_runs(texts: DataFrame, units: Units, window: int, gram: int, hot_runs:
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])
         head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         again = (doc != doc[head]) | (place != place[head])  # else a repeated row
-        keep = fresh | again
+        # Rows leave in the order of the texts, whose ids and places then pack well.
+        keep = np.flatnonzero(fresh | again)
+        keep = keep[np.argsort(order[keep])]
         group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
         hot = (np.bincount(group[fresh], minlength=group[-1] + 1) > hot_runs)[group]
         # A matched row carries its source in place of the keys, and is spread at random.
         part = np.where(again, -1 - np.arange(len(doc)) % SPREAD, np.where(hot, 1 + (span & (SPREAD - 1)), 0))
         key, second = np.where(again, doc[head], anchor), np.where(again, place[head], span)
-        marked = np.unique(anchor[hot & fresh])
+        marked = np.unique(anchor[hot])
         return {
             "part": np.append(part[keep], np.zeros(len(marked), np.int64)).astype(np.int32),
             "key": np.append(key[keep], marked), "second": np.append(second[keep], np.full(len(marked), _MARK)),
