@@ -176,7 +176,7 @@ def identify(docs: DataFrame, learned: DataFrame, dimensions: int = DIMENSIONS,
     """
     model = sorted((r["lang"], r["bundle"]) for r in learned.collect())
     langs = [m[0] for m in model]
-    matrix = np.array([m[1] for m in model], np.float64).reshape(len(model), -1)
+    matrix = np.array([m[1] for m in model], np.float64).reshape(len(model), dimensions)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12) if len(model) else 1
     matrix = matrix.astype(np.float32)
 

@@ -134,7 +134,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return bagged.withColumn("total", total.cast("long"))
 
 
-def fit(bagged: DataFrame, width: int = 8, epochs: int = 10, rate: float = 0.05, batch: int = 128, seed: int = 7) -> Model:
+def fit(bagged: DataFrame, width: int = 8, steps: int = 400, rate: float = 0.05, batch: int = 128, seed: int = 7) -> Model:
     """Train on the driver from the bounded bags."""
     table = bagged.toArrow().combine_chunks().sort_by("doc_id")
     label = np.array(table["label"].to_pylist(), np.float64)
@@ -165,7 +165,7 @@ def fit(bagged: DataFrame, width: int = 8, epochs: int = 10, rate: float = 0.05,
     weigh = np.where(label == 1, 0.5 / positives, 0.5 / (1 - positives))
     moments = [(np.zeros_like(embeddings), np.zeros_like(embeddings)), (np.zeros(width), np.zeros(width)), (np.zeros(1), np.zeros(1))]
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = random.permutation(train)
         for first in range(0, len(order), batch):
             rows = order[first:first + batch]
