@@ -10,7 +10,7 @@ straddles the end of the one before; that boundary is kept as part of the match,
 so exactly the words inside earlier-seen windows are in factors.
 
 Seeds whose block holds different neighbourhoods are compared window by window
-in a second, smaller round.
+in a second, smaller round before the parse.
 
 Defined cases: null, empty and shorter texts have no window and stay whole; rows
 that repeat a ``doc_id`` are one document and each get its row; of equal texts
@@ -31,11 +31,13 @@ from pyspark.sql import types as T
 from peerscope.llm.hashing import Words, mix, prefix_hashes, span_hashes
 from peerscope.llm.repeats import MATCHED, by_document, find_runs, unpack
 from peerscope.llm.texts import doc_texts, flat_structs, map_texts, public_id, struct_lists
-from peerscope.session import materialize
 
 WINDOW = 20
 GRAM = 6
 
+OPEN_WINDOWS = (
+    "doc_id bigint, start bigint, settled boolean, anchor bigint, hash bigint, source bigint, source_start bigint"
+)
 FACTORS = "array<struct<start:bigint,length:bigint,source:bigint,source_start:bigint>>"
 
 
@@ -119,24 +121,22 @@ def factor_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ro
     ``kept_text`` is the text as it was where nothing is removed.
     """
     texts = doc_texts(docs, rows=rows)
-    found = by_document(find_runs(doc_texts(docs), word_units, window, gram))
-    base = f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors {FACTORS}"
-    more = f"text string, matches {FACTORS}, windows array<struct<start:bigint,anchor:bigint,hash:bigint>>"
-    own = [T.StructField("kept_text", T.StringType()), texts.schema["row"]] if rows else []
-    settled = T.StructType([*T.StructType.fromDDL(base).fields, *own])
-    partial = T.StructType([*settled.fields, *T.StructType.fromDDL(more).fields])
-    first = materialize(map_texts(texts.join(found, "doc_id", "left"), _settler(window, rows), partial), "factors")
-    waiting = first.filter("windows IS NOT NULL")
-    place = Window.partitionBy("anchor", "hash").orderBy("doc_id", "start")
-    again = (
-        waiting.select("doc_id", F.inline("windows"))
-        .withColumns({"source": F.first("doc_id").over(place), "source_start": F.first("start").over(place)})
+    # Both rounds join the texts with their runs alike, so Spark shuffles them once.
+    seeded = texts.join(by_document(find_runs(doc_texts(docs), word_units, window, gram)), "doc_id", "left")
+    place = Window.partitionBy("settled", "anchor", "hash").orderBy("doc_id", "start")
+    more = (
+        map_texts(seeded, _open_windows(window), OPEN_WINDOWS)
+        .withColumns({
+            "source": F.coalesce("source", F.first("doc_id").over(place)),
+            "source_start": F.coalesce("source_start", F.first("start").over(place)),
+        })
         .filter("doc_id != source OR start != source_start")
-        .groupBy("doc_id").agg(F.collect_list(F.struct("start", F.lit(window).cast("long").alias("length"), "source", "source_start")).alias("more"))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("start", "source", "source_start")).alias("more"))
     )
-    rest = waiting.select("doc_id", "text", "matches", *(["row"] if rows else [])).join(again, "doc_id", "left")
-    second = map_texts(rest, _finisher(rows), settled)
-    return first.filter("windows IS NULL").select(settled.names).unionByName(second).withColumn("doc_id", public_id())
+    base = f"doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, factors {FACTORS}"
+    own = [T.StructField("kept_text", T.StringType()), texts.schema["row"]] if rows else []
+    schema = T.StructType([*T.StructType.fromDDL(base).fields, *own])
+    return map_texts(seeded.join(more, "doc_id", "left"), _finisher(window, rows), schema).withColumn("doc_id", public_id())
 
 
 def _result(rows, words: Words, factors: list, removed: np.ndarray, whole_rows: bool) -> dict:
@@ -160,59 +160,51 @@ def _struct_lists(lists: list) -> pa.Array:
     return struct_lists(bounds, start=flat[:, 0], length=flat[:, 1], source=flat[:, 2], source_start=flat[:, 3])
 
 
-def _settler(window: int, whole_rows: bool):
-    def settle(rows, data, offsets):
-        words = Words(data, offsets)
-        n = len(offsets) - 1
+def _open_windows(window: int):
+    """The windows of open runs, one by one; copies within a slice come with their source."""
+    def list_windows(rows, data, offsets):
         row, runs = flat_structs(rows.column("runs"))
-        start, windows, _ = unpack(runs["place"].astype(np.int64))
-        source_start, _, _ = unpack(runs["source_place"].astype(np.int64))
-        matched = runs["state"] == MATCHED
-        match = [x[matched] for x in (row, start, start + windows + window - 1, runs["source"], source_start)]
-        # Windows of open runs, one by one.
-        many = np.where(matched, 0, windows)
-        where = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        owner, anchor = np.repeat(row, many), np.repeat(runs["anchor"], many)
-        at = words.bounds[owner] + where
+        open_run = runs["state"] != MATCHED
+        if not open_run.any():
+            return None
+        words = Words(data, offsets)
+        row, anchor = row[open_run], runs["anchor"][open_run]
+        first, many, _ = unpack(runs["place"][open_run].astype(np.int64))
+        start = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        at = words.bounds[np.repeat(row, many)] + start
         value = mix(span_hashes(prefix_hashes(words.hashes), at, at + window)).view(np.int64)
-        doc = rows.column("doc_id").to_numpy()[owner]
-        # Copies within this slice are matched here; only the first one is compared further.
-        order = np.lexsort((where, doc, value, anchor))
+        doc, anchor = rows.column("doc_id").to_numpy()[np.repeat(row, many)], np.repeat(anchor, many).astype(np.int64)
+        order = np.lexsort((start, doc, value, anchor))
+        doc, start, anchor, value = doc[order], start[order], anchor[order], value[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (anchor[order][1:] != anchor[order][:-1]) | (value[order][1:] != value[order][:-1])
-        head = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
-        again = ~fresh & ((doc[order] != doc[head]) | (where[order] != where[head]))
-        late, first = order[again], head[again]
-        more = (owner[late], where[late], where[late] + window, doc[first], where[first])
-        match = [np.concatenate([a, b]).astype(np.int64) for a, b in zip(match, more, strict=True)]
-        ask = np.sort(order[fresh])
-        waiting = np.bincount(owner[ask], minlength=n) > 0
-        factors, removed = _factor_rows(words, match)
-        out = _result(rows, words, factors, removed, whole_rows)
-        held = pa.array(np.arange(n), mask=~waiting)
-        bounds = np.searchsorted(owner[ask], np.arange(n + 1))
-        asked = struct_lists(bounds, start=where[ask], anchor=anchor[ask], hash=value[ask])
-        matches = _struct_lists([f if w else [] for f, w in zip(factors, waiting, strict=True)])
-        return out | {
-            "text": rows.column("text").take(held),
-            "matches": matches,
-            "windows": pa.ListArray.from_arrays(
-                pa.array(bounds.astype(np.int32), mask=np.append(~waiting, False)), asked.values
-            ),
+        fresh[1:] = (anchor[1:] != anchor[:-1]) | (value[1:] != value[:-1])
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        late = (doc != doc[head]) | (start != start[head])
+        keep = fresh | late
+        # A settled window is spread by its own place.
+        spread = mix(doc.view(np.uint64) + start.astype(np.uint64)).view(np.int64)
+        return {
+            "doc_id": doc[keep], "start": start[keep], "settled": late[keep], "anchor": np.where(late, spread, anchor)[keep],
+            "hash": value[keep], "source": pa.array(doc[head][keep], mask=~late[keep]),
+            "source_start": pa.array(start[head][keep], mask=~late[keep]),
         }
 
-    return settle
+    return list_windows
 
 
-def _finisher(whole_rows: bool):
+def _finisher(window: int, whole_rows: bool):
     def finish(rows, data, offsets):
         words = Words(data, offsets)
-        parts = [flat_structs(rows.column(c)) for c in ("matches", "more")]
+        row, runs = flat_structs(rows.column("runs"))
+        matched = runs["state"] == MATCHED
+        start, windows, _ = unpack(runs["place"][matched].astype(np.int64))
+        source_start, _, _ = unpack(runs["source_place"][matched].astype(np.int64))
+        late, more = flat_structs(rows.column("more"))
         match = [
-            np.concatenate([p[0] for p in parts]),
-            *[np.concatenate([f(p[1]) for p in parts]).astype(np.int64) for f in (
-                lambda m: m["start"], lambda m: m["start"] + m["length"], lambda m: m["source"], lambda m: m["source_start"],
-            )],
+            np.concatenate([row[matched], late]), np.concatenate([start, more["start"]]).astype(np.int64),
+            np.concatenate([start + windows + window - 1, more["start"] + window]).astype(np.int64),
+            np.concatenate([runs["source"][matched], more["source"]]).astype(np.int64),
+            np.concatenate([source_start, more["source_start"]]).astype(np.int64),
         ]
         factors, removed = _factor_rows(words, match)
         return _result(rows, words, factors, removed, whole_rows)
