@@ -21,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.hashing import mix, powers_inverse, prefix_hashes, span_hashes
-from peerscope.llm.repeats import HOT, MATCHED, by_document, find_runs, unpack
+from peerscope.llm.repeats import HOT, MATCHED, by_document, find_runs, pack, unpack
 from peerscope.llm.texts import doc_texts, flat_structs, map_texts, public_id, struct_lists
-from peerscope.session import materialize
 
 WINDOW = 100
 GRAM = 32
@@ -140,21 +140,19 @@ def repeated_suffixes(text: np.ndarray, start: np.ndarray, group: np.ndarray, ra
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)``: bytes that an earlier window covers."""
-    found = by_document(find_runs(doc_texts(docs), byte_units, window, gram))
-    settled = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {SPANS}"
-    partial = settled + ", text string, open array<struct<key:bigint,place:bigint,piece:binary>>"
-    first = materialize(map_texts(doc_texts(docs).join(found, "doc_id", "left"), _settler(window), partial), "spans")
-    waiting = first.filter("open IS NOT NULL")
-    pieces = waiting.select("doc_id", F.inline("open")).repartition("key").sortWithinPartitions("key", "doc_id", "place")
-    more = pieces.mapInArrow(_sorter(window), "doc_id bigint, start bigint, end bigint").groupBy("doc_id").agg(
+    texts = doc_texts(docs)
+    # Both rounds join the texts with their runs alike, so Spark shuffles them once.
+    seeded = texts.join(by_document(find_runs(texts, byte_units, window, gram)), "doc_id", "left")
+    pieces = map_texts(seeded, _open_pieces(window), "key bigint, doc_id bigint, place bigint, piece binary")
+    dealt = pieces.repartition("key").sortWithinPartitions("key", "doc_id", "place")
+    more = dealt.mapInArrow(_sorter(window), "doc_id bigint, start bigint, end bigint").groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "end")).alias("more")
     )
-    second = map_texts(waiting.select("doc_id", "text", "spans").join(more, "doc_id", "left"), _finish, settled)
-    done = first.filter("open IS NULL").select(*[c.split()[0] for c in settled.split(", ")])
-    return done.unionByName(second).withColumn("doc_id", public_id())
+    schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {SPANS}"
+    return map_texts(seeded.join(more, "doc_id", "left"), _finisher(window), schema).withColumn("doc_id", public_id())
 
 
-def _cut(rows, data: np.ndarray, offsets: np.ndarray, row, start, end) -> tuple[dict, np.ndarray, np.ndarray]:
+def _cut(rows, data: np.ndarray, offsets: np.ndarray, row, start, end) -> dict:
     """Results of some rows whose ``[start, end)`` byte ranges go."""
     first = int(offsets[0])
     text, bounds = data[first:int(offsets[-1])], offsets - first
@@ -177,60 +175,63 @@ def _cut(rows, data: np.ndarray, offsets: np.ndarray, row, start, end) -> tuple[
         "doc_id": rows.column("doc_id"), "n_bytes": np.diff(bounds), "n_removed": np.diff(total[bounds]),
         "n_spans": np.diff(runs[bounds]),
         "kept_sha256": [hashlib.sha256(kept[edge[i]:edge[i + 1]]).hexdigest() for i in range(len(edge) - 1)], "spans": spans,
-    }, text, bounds
+    }
 
 
-def _settler(window: int):
-    def settle(rows, data, offsets):
-        n = len(offsets) - 1
+def _open_pieces(window: int):
+    """The bytes of open runs, keyed by their anchor.
+
+    Runs of a hot anchor are taken window by window, keyed by the window, so
+    that they spread; its copies within a slice come settled, without bytes.
+    """
+    def list_pieces(rows, data, offsets):
         row, runs = flat_structs(rows.column("runs"))
-        start, windows, offset = unpack(runs["place"].astype(np.int64))
-        state, anchor = runs["state"], runs["anchor"].astype(np.int64)
-        matched, hot = state == MATCHED, state == HOT
-        prefix = prefix_hashes(data[int(offsets[0]):int(offsets[-1])])
-        # Runs of a hot anchor are taken window by window, so that they spread.
+        open_run = runs["state"] != MATCHED
+        if not open_run.any():
+            return None
+        first = int(offsets[0])
+        text, bounds = data[first:int(offsets[-1])], offsets - first
+        doc = rows.column("doc_id").to_numpy()
+        row, anchor, hot = row[open_run], runs["anchor"][open_run].astype(np.int64), runs["state"][open_run] == HOT
+        start, windows, offset = unpack(runs["place"][open_run].astype(np.int64))
         many = np.where(hot, windows, 0)
         owner = np.repeat(row, many)
         where = np.repeat(start, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        at = offsets[owner] - offsets[0] + where
-        value = mix(span_hashes(prefix, at, at + window)).view(np.int64) ^ np.repeat(anchor, many)
-        doc = rows.column("doc_id").to_numpy()
+        at = bounds[owner] + where
+        value = mix(span_hashes(prefix_hashes(text), at, at + window)).view(np.int64) ^ np.repeat(anchor, many)
         order = np.lexsort((where, doc[owner], value))
+        owner, where, value = owner[order], where[order], value[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = value[order][1:] != value[order][:-1]
-        head = order[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(order) else order
-        again = ~fresh & ((doc[owner[order]] != doc[owner[head]]) | (where[order] != where[head]))
-        late, ask = order[again], np.sort(order[fresh])
-        out, text, bounds = _cut(
-            rows, data, offsets, np.concatenate([row[matched], owner[late]]), np.concatenate([start[matched], where[late]]),
-            np.concatenate([start[matched] + windows[matched] + window - 1, where[late] + window]),
-        )
-        whole = ~matched & ~hot
-        key = np.concatenate([anchor[whole], value[ask]])
-        piece_row, piece_start = np.concatenate([row[whole], owner[ask]]), np.concatenate([start[whole], where[ask]])
-        piece_windows = np.concatenate([windows[whole], np.ones(len(ask), np.int64)])
-        place = (piece_start << 14) | (piece_windows << 7) | np.concatenate([offset[whole], np.zeros(len(ask), np.int64)])
-        order = np.argsort(piece_row, kind="stable")
-        base = (bounds[piece_row] + piece_start)[order]
-        pieces = [text[b:b + w].tobytes() for b, w in zip(base.tolist(), (piece_windows[order] + window - 1).tolist(), strict=True)]
-        edges = np.searchsorted(piece_row[order], np.arange(n + 1))
-        waiting = np.diff(edges) > 0
-        values = pa.StructArray.from_arrays(
-            [pa.array(key[order]), pa.array(place[order]), pa.array(pieces, pa.binary())], names=["key", "place", "piece"]
-        )
-        return out | {
-            "text": rows.column("text").take(pa.array(np.arange(n), mask=~waiting)),
-            "open": pa.ListArray.from_arrays(pa.array(edges.astype(np.int32), mask=np.append(~waiting, False)), values),
+        fresh[1:] = value[1:] != value[:-1]
+        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        late = (doc[owner] != doc[owner[head]]) | (where != where[head])
+        keep = fresh | late
+        owner, where, value, late = owner[keep], where[keep], value[keep], late[keep]
+        value[late] = mix(doc[owner[late]].view(np.uint64) + where[late].astype(np.uint64)).view(np.int64)
+        whole = ~hot
+        piece_row = np.concatenate([row[whole], owner])
+        piece_start = np.concatenate([start[whole], where])
+        piece_windows = np.concatenate([windows[whole], np.ones(len(owner), np.int64)])
+        settled = np.concatenate([np.zeros(whole.sum(), bool), late])
+        base = bounds[piece_row] + piece_start
+        ends = base + np.where(settled, 0, piece_windows + window - 1)
+        return {
+            "key": np.concatenate([anchor[whole], value]), "doc_id": doc[piece_row],
+            "place": pack(piece_start, piece_windows, np.concatenate([offset[whole], np.zeros(len(owner), np.int64)])),
+            "piece": pa.array([text[a:b].tobytes() for a, b in zip(base.tolist(), ends.tolist(), strict=True)], pa.binary()),
         }
 
-    return settle
+    return list_pieces
 
 
 def _sorter(window: int):
-    def sort(table: pa.Table) -> pa.RecordBatch | None:
+    def sort(table: pa.Table) -> pa.RecordBatch:
         """Removed ranges of some pieces, all pieces of a key among them."""
         doc, key = table["doc_id"].to_numpy(), table["key"].to_numpy()
         start, windows, offset = unpack(table["place"].to_numpy())
+        # Pieces without bytes were settled before; they are removed as they are.
+        settled = pc.equal(pc.binary_length(table["piece"]), 0).to_numpy()
+        windows = np.where(settled, 0, windows)
         pieces = table["piece"].combine_chunks().cast(pa.large_binary())
         bounds = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:pieces.offset + len(pieces) + 1]
         text = np.frombuffer(pieces.buffers()[2], np.uint8)[bounds[0]:bounds[-1]]
@@ -247,13 +248,14 @@ def _sorter(window: int):
         changed = np.r_[False, (doc[owner[order]][1:] != doc[owner[order]][:-1]) | (at[order][1:] != at[order][:-1])]
         rank[order] = np.cumsum(changed)
         late = repeated_suffixes(text, bounds[owner] + step, group, rank, window)
-        if not late.any():
-            return None
         new = late.copy()
         new[1:] &= ~late[:-1] | (owner[1:] != owner[:-1])
         last = late.copy()
         last[:-1] &= ~late[1:] | (owner[1:] != owner[:-1])
-        return pa.RecordBatch.from_pydict({"doc_id": doc[owner[new]], "start": at[new], "end": at[last] + window})
+        return pa.RecordBatch.from_pydict({
+            "doc_id": np.concatenate([doc[settled], doc[owner[new]]]), "start": np.concatenate([start[settled], at[new]]),
+            "end": np.concatenate([start[settled], at[last]]) + window,
+        })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,18 +266,24 @@ def _sorter(window: int):
             cut = int(np.searchsorted(key, key[-1]))
             # Keys before the last one of this batch are complete.
             if cut or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                out = sort(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield sort(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
-                if out is not None:
-                    yield out
             held.append(batch.slice(cut))
-        if held and (out := sort(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield sort(pa.Table.from_batches(held))
 
     return run
 
 
-def _finish(rows, data, offsets):
-    parts = [flat_structs(rows.column(c)) for c in ("spans", "more")]
-    row, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*[(p[0], p[1]["start"], p[1]["end"]) for p in parts], strict=True))
-    return _cut(rows, data, offsets, row, start, end)[0]
+def _finisher(window: int):
+    def finish(rows, data, offsets):
+        row, runs = flat_structs(rows.column("runs"))
+        matched = runs["state"] == MATCHED
+        start, windows, _ = unpack(runs["place"][matched].astype(np.int64))
+        late, more = flat_structs(rows.column("more"))
+        return _cut(
+            rows, data, offsets, np.concatenate([row[matched], late]), np.concatenate([start, more["start"]]).astype(np.int64),
+            np.concatenate([start + windows + window - 1, more["end"]]).astype(np.int64),
+        )
+
+    return finish
