@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.hashing import Words, chunks, text_column
-from peerscope.llm.texts import doc_texts, map_texts
+from peerscope.llm.texts import doc_texts, map_texts, most_frequent
 from peerscope.session import materialize
 
 STATES = 6
@@ -92,10 +92,9 @@ class Model:
 def initial(counted: DataFrame, states: int = STATES, top_symbols: int = TOP_SYMBOLS, seed: int = 11) -> Model:
     """Parameters around the unigram distribution, jittered so that states can part; states tend to stay."""
     sums = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counted.orderBy(F.desc("n"), "token").limit(top_symbols).toArrow()
-    tokens = top["token"].to_numpy().view(np.uint64)
+    tokens, counts = most_frequent(counted, top_symbols)
     order = np.argsort(tokens)
-    tokens, counts = tokens[order], top["n"].to_numpy()[order].astype(np.int64)
+    tokens, counts = tokens[order], counts[order].astype(np.int64)
     known = counted.sparkSession.createDataFrame(pa.table({"token": pa.array(tokens.view(np.int64))}))
     rare = counted.join(F.broadcast(known), "token", "left_anti").groupBy(_rare_class().alias("bucket")).agg(
         F.sum("n").alias("n"), F.count("*").alias("v")
@@ -213,8 +212,7 @@ def score(docs: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
     Frequent tokens are settled in the scan; of the others each text sends the
     distinct ones to the vocabulary.
     """
-    top = counted.orderBy(F.desc("n"), "token").limit(SETTLED_TOKENS).toArrow()
-    tokens, counts = top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    tokens, counts = most_frequent(counted, SETTLED_TOKENS)
     order = np.argsort(tokens)
     shipped = docs.sparkSession.sparkContext.broadcast((model, tokens[order], counts[order]))
     texts = doc_texts(docs)

@@ -34,17 +34,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.llm.hashing import BASE, Words, gram_hashes, mix, text_column
-from peerscope.llm.texts import NO_ID, doc_texts, map_texts, public_id
+from peerscope.llm.texts import NO_ID, doc_texts, map_texts, most_frequent, public_id
 from peerscope.operators.components import connected_components
 from peerscope.session import materialize
 
 SHINGLE = 5
 PERCENT = 80
-ORDER_TOKENS = 1 << 18
+ORDER_TOKENS = 1 << 20
 #: A token in fewer sets than this is not worth a place among the frequent ones.
-MIN_FREQUENT = 8
+MIN_FREQUENT = 4
 BLOCK_SETS = 256
-_LOW_PART = np.uint64(int(0.3 * 2**64))
+#: What a set is in a part of a block: the one that is queried first, one that is
+#: queried if the centre does not link it, one sent from another part, one that is
+#: only compared with those.
+CENTRE, MEMBER, ASKED, COMPARED = range(4)
+_LOW_PART = np.uint64(int(0.25 * 2**64))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +98,19 @@ def set_classes(texts: DataFrame) -> DataFrame:
 def frequent_tokens(texts: DataFrame, limit: int) -> np.ndarray:
     """The most frequent tokens with their counts' order, most frequent last.
 
-    Counted over all texts, for the low part of the hashes: only there are
-    tokens that reach a prefix.
+    Counted over all texts. Beyond the low part of the hashes only tokens that a
+    slice holds twice or more are sent, since only texts full of frequent tokens
+    have a prefix that reaches so far.
     """
     def scan(rows, data, offsets):
         token, _ = shingle_sets(data, offsets)
-        known, counts = np.unique(token[token < _LOW_PART], return_counts=True)
-        return {"token": known.view(np.int64), "n": counts}
+        known, counts = np.unique(token, return_counts=True)
+        sent = (known < _LOW_PART) | (counts > 1)
+        return {"token": known[sent].view(np.int64), "n": counts[sent]}
 
     counted = map_texts(texts, scan, "token bigint, n bigint", 1 << 22).groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.filter(F.col("n") >= MIN_FREQUENT).orderBy(F.desc("n"), "token").limit(limit).toArrow()
-    return top["token"].to_numpy().view(np.uint64)[::-1].copy() if top.num_rows else np.zeros(0, np.uint64)
+    tokens, counts = most_frequent(materialize(counted.filter(F.col("n") >= MIN_FREQUENT), "tokens"), limit)
+    return tokens[np.lexsort((tokens, counts))]
 
 
 def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
@@ -220,23 +226,31 @@ class Trie:
 
 
 def _block(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links of one block as places of two of its rows, and which rows the centre links."""
+    """Links of one block as places of two of its rows, and which rows the centre links.
+
+    Of all links that are found those are kept that join two groups: fewer than rows.
+    """
     data, offsets = text_column(table["text"].combine_chunks())
     token, bounds = shingle_sets(data, offsets)
     trie = Trie(token, bounds)
     n = len(offsets) - 1
     role = table["role"].to_numpy()
-    asks = list(np.flatnonzero(role == 2))
+    group = np.arange(n)
     links: list[tuple[int, int]] = []
+
+    def join(i: int) -> None:
+        for m in trie.query(i, percent):
+            if group[m] != group[i]:
+                links.append((i, m))
+                group[group == group[m]] = group[i]
+
     linked = np.zeros(n, bool)
-    centre = int(np.flatnonzero(role == 0)[0]) if (role == 0).any() else None
-    if centre is not None:
-        near = trie.query(centre, percent)
-        links += [(centre, m) for m in near]
-        linked[[centre, *near]] = True
-        asks += [i for i in range(n) if not linked[i] and role[i] == 1]
-    for i in asks:
-        links += [(i, m) for m in trie.query(i, percent)]
+    centre = np.flatnonzero(role == CENTRE)
+    if len(centre):
+        join(centre[0])
+        linked = group == group[centre[0]]
+    for i in np.flatnonzero((role == ASKED) | ((role == MEMBER) & ~linked & bool(len(centre)))):
+        join(i)
     return links, linked
 
 
@@ -272,8 +286,7 @@ def _joiner(percent: int):
     def join(table: pa.Table) -> pa.RecordBatch | None:
         links, linked = _block(table, percent)
         names = table["class"].to_numpy()
-        role = table["role"].to_numpy()
-        lonely = np.flatnonzero(~linked & (role == 1) & (table["parts"].to_numpy() > 1))
+        lonely = np.flatnonzero(~linked & (table["role"].to_numpy() == MEMBER) & (table["parts"].to_numpy() > 1))
         u = [names[a] for a, _ in links] + [names[i] for i in lonely]
         v = [names[b] for _, b in links] + [table["centre"][0].as_py()] * len(lonely)
         if not u:
@@ -293,8 +306,8 @@ def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, or
     sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
     spread = members.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("class", "centre"), F.col("parts")).cast("int"))
     centres = sizes.select("centre", F.col("centre").alias("class"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = spread.select("centre", "class", "parts", "part", F.lit(1).alias("role")).unionByName(
-        centres.withColumn("role", F.lit(0))
+    dealt = spread.select("centre", "class", "parts", "part", F.lit(MEMBER).alias("role")).unionByName(
+        centres.withColumn("role", F.lit(CENTRE))
     )
     # One text stands for each class that is in a block.
     wanted = dealt.select("class").distinct().join(classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
@@ -309,10 +322,10 @@ def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, or
     # Only blocks of several parts have more to compare: their unlinked sets, in all other parts.
     lonely = first.filter("unlinked = 1").select(F.col("u").alias("class"), F.col("v").alias("centre"))
     everywhere = lonely.join(sizes, "centre").select(
-        "centre", "class", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2).alias("role")
+        "centre", "class", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(ASKED).alias("role")
     )
     again = everywhere.unionByName(
-        spread.join(lonely.select("centre").distinct(), "centre", "left_semi").select("centre", "class", "parts", "part", F.lit(3).alias("role"))
+        spread.join(lonely.select("centre").distinct(), "centre", "left_semi").select("centre", "class", "parts", "part", F.lit(COMPARED).alias("role"))
     )
     second = joined(again)
     return first.filter("unlinked = 0").select("u", "v").unionByName(second.select("u", "v")).filter("u != v").distinct()

@@ -89,3 +89,23 @@ def struct_lists(bounds: np.ndarray, **fields: np.ndarray) -> pa.Array:
     """A column of lists of structs from the fields of all entries."""
     values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(v)) for v in fields.values()], names=list(fields))
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+
+
+def most_frequent(counted: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and counts of the stored ``(token, n)`` with the highest counts, at most ``limit`` of them.
+
+    A histogram of the counts gives the lowest count that still fits, so no task
+    sorts more than it has and the driver gets no more than ``limit`` rows.
+    Counts within a hundredth of each other are taken together or not at all.
+    """
+    step = F.floor(F.log2("n") * 64)
+    cutoff, room = None, limit
+    for row in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).collect(), key=lambda r: -r["step"]):
+        room -= row["tokens"]
+        if room < 0:
+            break
+        cutoff = row["step"]
+    if cutoff is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = counted.filter(step >= cutoff).toArrow()
+    return top["token"].to_numpy().view(np.uint64), top["n"].to_numpy()
