@@ -22,6 +22,8 @@ from peerscope.sources import captures, ownership, packets
 from peerscope.streaming import ingest
 
 EPS, MIN_SAMPLES = 0.53, 4
+# Small blocks, so that searches go over many of them at every size of the tables.
+BLOCK_ROWS = 48
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -388,23 +390,23 @@ def blended_features(spark, sf):
 
 @query
 def eps_neighbors(spark, sf):
-    return neighbours.eps_neighbours(prepare(numeric_space(spark, sf)), EPS)
+    return neighbours.eps_neighbours(prepare(numeric_space(spark, sf)), EPS, BLOCK_ROWS)
 
 
 @query
 def k_distance(spark, sf):
-    return plain(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES))
+    return plain(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES, BLOCK_ROWS))
 
 
 @query
 def k_distance_curve(spark, sf):
-    curve = neighbours.k_distance_curve(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES))
+    curve = neighbours.k_distance_curve(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES, BLOCK_ROWS))
     return plain(curve.select("place", "k_distance"))
 
 
 @query
 def recommended_eps(spark, sf):
-    curve = neighbours.k_distance_curve(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES))
+    curve = neighbours.k_distance_curve(neighbours.k_distances(prepare(numeric_space(spark, sf)), MIN_SAMPLES, BLOCK_ROWS))
     radius = knee.recommend_eps(materialize(curve, "curve"))
     return plain(spark.createDataFrame(
         [(radius.eps, radius.knee_index, radius.source)], "eps double, knee_index long, eps_source string"
@@ -413,19 +415,19 @@ def recommended_eps(spark, sf):
 
 @query
 def dbscan_labels(spark, sf):
-    return clusters.dbscan(prepare(numeric_space(spark, sf)), EPS, MIN_SAMPLES)
+    return clusters.dbscan(prepare(numeric_space(spark, sf)), EPS, MIN_SAMPLES, BLOCK_ROWS)
 
 
 @query
 def silhouette(spark, sf):
     points = numeric_space(spark, sf)
-    labels = materialize(clusters.dbscan(prepare(points), EPS, MIN_SAMPLES), "labels")
-    score = evaluation.silhouette(points, labels)
+    labels = materialize(clusters.dbscan(prepare(points), EPS, MIN_SAMPLES, BLOCK_ROWS), "labels")
+    score = evaluation.silhouette(points, labels, BLOCK_ROWS)
     return plain(spark.createDataFrame([(score,)], "silhouette double"))
 
 
 def _ablation(spark, sf):
-    return evaluation.ablation(clustering_data(spark, sf, embedded=True))
+    return evaluation.ablation(clustering_data(spark, sf, embedded=True), block_rows=BLOCK_ROWS)
 
 
 @query
@@ -461,7 +463,8 @@ def ablation_jaccard(spark, sf):
 
 def _detection(spark, sf):
     return detection.detect_anomalies(
-        tables.endpoints(spark, sf, embedded=True), tables.ip_metadata(spark, sf), tables.packets(spark, sf)
+        tables.endpoints(spark, sf, embedded=True), tables.ip_metadata(spark, sf), tables.packets(spark, sf),
+        block_rows=BLOCK_ROWS,
     )
 
 

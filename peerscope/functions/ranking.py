@@ -24,9 +24,6 @@ def with_global_rank(df: DataFrame, order_by: list, name: str) -> DataFrame:
         df.orderBy(*order_by).withColumn("_place", F.monotonically_increasing_id()), "ranked"
     )
     place = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    if len(ordered.inputFiles()) == 1:
-        # All rows were sorted in one partition.
-        return ordered.withColumn(name, place).drop("_place")
     partition = F.shiftright("_place", ROW_BITS)
     sizes = ordered.groupBy(partition.alias("_partition")).agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The factor that makes the MAD comparable to a standard
@@ -13,80 +13,82 @@ from pyspark.sql import functions as F
 MAD_FACTOR = 1.4826
 FLAT = 1e-9
 
-# percentile_approx is exact to 1/SKETCH_ACCURACY of the rows.
-SKETCH_ACCURACY = 100_000
-# Up to this many rows all values of a column may meet in one aggregation buffer.
-BUFFERED_ROWS = 100_000
+# How many parts a range is cut into at each pass of a search for a rank.
+RANGE_PARTS = 4096
+
+
+@dataclass(frozen=True)
+class _Search:
+    """The values ``[low, high]`` of a column that hold its ``rank``-th value, ``before`` of which come earlier."""
+
+    column: str
+    rank: int
+    low: float
+    high: float
+    before: int
 
 
 def exact_medians(
-    df: DataFrame, columns: list[str], counts: dict[str, int] | None = None,
-    buffered_rows: int = BUFFERED_ROWS,
+    df: DataFrame, columns: list[str], counts: dict[str, int] | None = None, parts: int = RANGE_PARTS
 ) -> dict[str, float | None]:
     """The interpolated median of each column over its non-null values.
 
-    Beyond ``buffered_rows`` a sketch first brackets the middle of each column;
-    then only the values inside the bracket are counted and ranked. The bracket
-    holds about 1/8000 of the values, so with one row per IPv4 address (2^32)
-    each column's window has at most some 500 000 rows. If the middle is not
-    inside, the bracket is widened, so the result never depends on the sketch.
+    The range of a column is cut into ``parts``, values are counted per part, and
+    the part that holds the middle is cut again, until all its values are equal.
+    Counts combine before the shuffle: a task sends at most ``parts`` rows for
+    each middle, whatever the number or the distribution of the values.
     """
-    medians: dict[str, float | None] = {c: None for c in columns}
-    if counts is None:
-        counts = df.selectExpr(*[f"count({c}) AS {c}" for c in columns]).first().asDict()
-    pending = [c for c in columns if counts[c]]
-    if pending and max(counts[c] for c in pending) <= buffered_rows:
-        return medians | df.selectExpr(*[f"median({c}) AS {c}" for c in pending]).first().asDict()
-    margin = 5 / SKETCH_ACCURACY
-    while pending:
-        found = _medians_within(df, pending, counts, margin)
-        medians.update(found)
-        pending = [c for c in pending if c not in found]
-        margin *= 10
-    return medians
-
-
-def _medians_within(df: DataFrame, columns: list[str], counts: dict, margin: float) -> dict:
-    low, high = max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)
-    cuts = df.agg(
-        *[F.percentile_approx(c, [low, high], SKETCH_ACCURACY).alias(c) for c in columns]
-    ).first()
-    # Below the bracket only the number of rows matters: their value becomes null.
-    entry = [
+    names = [f"{kind}({c}) AS {kind}_{i}" for i, c in enumerate(columns) for kind in ("count", "min", "max")]
+    shape = df.selectExpr(*names).first()
+    searches, found = [], {}
+    for i, c in enumerate(columns):
+        count = shape[f"count_{i}"] if counts is None else counts[c]
+        for rank in {(count - 1) // 2, count // 2} if count else ():
+            searches.append(_Search(c, rank, float(shape[f"min_{i}"]), float(shape[f"max_{i}"]), 0))
+    while searches:
+        for s in searches:
+            if s.low == s.high:
+                found.setdefault(s.column, []).append(s.low)
+        searches = _narrowed(df, [s for s in searches if s.low != s.high], parts)
+    return {c: sum(found[c]) / len(found[c]) if c in found else None for c in columns}
+
+
+def _narrowed(df: DataFrame, searches: list[_Search], parts: int) -> list[_Search]:
+    """Each search within the part that holds its rank; one pass over the data for all."""
+    if not searches:
+        return []
+    entries = [
         F.when(
-            F.col(c) <= F.lit(cuts[c][1]),
+            F.col(s.column).between(s.low, s.high),
             F.struct(
-                F.lit(c).alias("name"),
-                F.when(F.col(c) >= F.lit(cuts[c][0]), F.col(c)).alias("value"),
-                F.lit((counts[c] - 1) // 2).alias("lower"),
-                F.lit(counts[c] // 2).alias("upper"),
+                F.lit(i).alias("search"),
+                # Rounding is monotone, so no value lands in a part before a lower one.
+                F.least(
+                    F.floor((F.col(s.column) / 2 - s.low / 2) / (s.high / 2 - s.low / 2) * parts), F.lit(parts - 1)
+                ).alias("part"),
+                F.col(s.column).cast("double").alias("value"),
             ),
         )
-        for c in columns
+        for i, s in enumerate(searches)
     ]
-    histogram = (
-        df.select(F.explode(F.array(*entry)).alias("entry"))
-        .filter("entry is not null")
-        .groupBy("entry.name", "entry.value", "entry.lower", "entry.upper")
-        .agg(F.count("*").alias("rows"))
+    counted = (
+        df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("entry"))
+        .groupBy("entry.search", "entry.part")
+        .agg(F.count("*").alias("rows"), F.min("entry.value").alias("low"), F.max("entry.value").alias("high"))
     )
-    ranked = histogram.withColumn(
-        "upto",
-        F.sum("rows").over(Window.partitionBy("name").orderBy(F.asc_nulls_first("value"))),
-    )
-
-    def covers(rank: str) -> Column:
-        return (F.col(rank) >= F.col("upto") - F.col("rows")) & (F.col(rank) < F.col("upto"))
-
-    middles = ranked.groupBy("name").agg(
-        F.max(F.when(covers("lower"), F.col("value"))).alias("lower_value"),
-        F.max(F.when(covers("upper"), F.col("value"))).alias("upper_value"),
-    )
-    return {
-        row["name"]: (row["lower_value"] + row["upper_value"]) / 2
-        for row in middles.collect()  # one row per column
-        if row["lower_value"] is not None and row["upper_value"] is not None
-    }
+    # At most ``parts`` rows for each search reach the driver.
+    by_search: dict[int, list] = {i: [] for i in range(len(searches))}
+    for row in counted.collect():
+        by_search[row["search"]].append(row)
+    narrowed = []
+    for i, s in enumerate(searches):
+        before = s.before
+        for row in sorted(by_search[i], key=lambda r: r["part"]):
+            if before + row["rows"] > s.rank:
+                narrowed.append(_Search(s.column, s.rank, row["low"], row["high"], before))
+                break
+            before += row["rows"]
+    return narrowed
 
 
 @dataclass(frozen=True)
@@ -128,19 +130,17 @@ class Spread:
     std: float
 
 
-def log_spread(
-    df: DataFrame, columns: list[str], buffered_rows: int = BUFFERED_ROWS
-) -> dict[str, Spread]:
+def log_spread(df: DataFrame, columns: list[str]) -> dict[str, Spread]:
     """Median, MAD and population standard deviation of log1p of each column."""
     logs = _logs(df, columns)
     moments = _moments(logs, columns)
     counts = {c: moments[c][0] for c in columns}
-    medians = exact_medians(logs, columns, counts, buffered_rows)
+    medians = exact_medians(logs, columns, counts)
     present = [c for c in columns if counts[c]]
     if not present:
         return {c: Spread(0.0, 0.0, 0.0) for c in columns}
     distances = logs.selectExpr(*[f"abs({c} - ({medians[c]!r}D)) AS {c}" for c in present])
-    mads = exact_medians(distances, present, counts, buffered_rows)
+    mads = exact_medians(distances, present, counts)
     return {
         c: Spread(medians[c], mads[c], moments[c][2]) if c in present else Spread(0.0, 0.0, 0.0)
         for c in columns

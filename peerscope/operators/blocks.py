@@ -20,8 +20,8 @@ from peerscope.functions.ranking import with_global_rank
 from peerscope.session import materialize
 
 BLOCK_ROWS = 2048
-# Each axis is cut at these quantiles.
-CUTS = 31
+# How many quantiles may cut an axis; a box covers at most 64 x 64 bins.
+FEWEST_CUTS, MOST_CUTS = 7, 63
 SORT_AXES = 4
 SEARCH_AXES = 2
 # Room for rounding when a bounding box lies just outside a radius.
@@ -29,6 +29,9 @@ ROUNDING = 1e-9
 # Comparing blocks costs far more than their bytes suggest, so the number of
 # tasks follows the comparisons and not the size of the data.
 COMPARISONS_PER_TASK = 4
+# The driver keeps track of so many tasks at most; beyond, a task has more to do.
+MOST_TASKS = 20_000
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -87,24 +90,22 @@ def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOC
     spots, rows, dims = space.spots, space.rows, space.dims
     count = max(1, rows // block_rows)
     placed = spots.withColumn("cell", F.lit(None).cast("array<bigint>"))
-    axes, cuts = list(range(min(dims, SEARCH_AXES))), [[] for _ in range(dims)]
-    if count == 1:
-        placed = placed.withColumn("block", F.lit(0).cast("bigint"))
-    else:
-        steps = [(i + 1) / (CUTS + 1) for i in range(CUTS)]
-        quantiles = spots.agg(
-            *[F.percentile_approx(F.col("features")[i], steps, 1000).alias(str(i)) for i in range(dims)]
-        ).first()
-        cuts = [sorted(set(quantiles[i])) for i in range(dims)]
-        if cell_side:
-            shifts = ", ".join(f"{_grid_shift(c, cell_side)!r}D" for c in cuts)
-            placed = placed.withColumn("cell", F.expr(
-                f"transform(features, (x, i) -> floor((x - array({shifts})[i]) / {cell_side!r}D))"
-            ))
-        axes = sorted(range(dims), key=lambda i: -len(cuts[i]))
-        order = [_bin(F.col("features")[i], cuts[i]) for i in axes[:SORT_AXES]]
-        placed = with_global_rank(placed, [*order, "cell", "features", "pid"], "place")
-        placed = placed.withColumn("block", F.expr(f"(place * {count}) div {rows}")).drop("place")
+    # More blocks are told apart by more cuts, so a bin holds about as many.
+    parts = min(MOST_CUTS, max(FEWEST_CUTS, 2 * math.isqrt(count)))
+    steps = [(i + 1) / (parts + 1) for i in range(parts)]
+    quantiles = spots.agg(
+        *[F.percentile_approx(F.col("features")[i], steps, 1000).alias(str(i)) for i in range(dims)]
+    ).first() if dims else []
+    cuts = [sorted(set(quantiles[i] or [])) for i in range(dims)]
+    if cell_side and dims:
+        shifts = ", ".join(f"{_grid_shift(c, cell_side)!r}D" for c in cuts)
+        placed = placed.withColumn("cell", F.expr(
+            f"transform(features, (x, i) -> floor((x - array({shifts})[i]) / {cell_side!r}D))"
+        ))
+    axes = sorted(range(dims), key=lambda i: -len(cuts[i]))
+    order = [_bin(F.col("features")[i], cuts[i]) for i in axes[:SORT_AXES]]
+    placed = with_global_rank(placed, [*order, "cell", "features", "pid"], "place")
+    placed = placed.withColumn("block", F.expr(f"(place * {count}) div {max(rows, 1)}")).drop("place")
     members = F.sort_array(F.collect_list(F.struct("name", "pid", "weight", "features")))
     blocks = (
         placed.groupBy("block")
@@ -122,9 +123,7 @@ def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOC
             "low", "high", "cell",
         )
     )
-    if count > 1:
-        blocks = materialize(blocks, "blocks")
-    return Layout(blocks, count, dims, axes[:SEARCH_AXES], cuts)
+    return Layout(materialize(blocks, "blocks"), count, dims, axes[:SEARCH_AXES], cuts)
 
 
 def _grid_shift(cuts: list[float], side: float) -> float:
@@ -149,7 +148,7 @@ def near_pairs(layout: Layout, radius: Column, both_ways: bool) -> DataFrame:
     """Pairs ``(a, b)`` of blocks whose boxes are within ``radius`` of block a.
 
     A box is listed under the quantile bins it covers on the two most varied
-    axes, at most 32 x 32; blocks sharing a bin meet in an equi-join. A pair is
+    axes, at most 64 x 64; blocks sharing a bin meet in an equi-join. A pair is
     kept only in the first bin both cover, so none comes twice. Without
     ``both_ways`` a pair is listed once, with a <= b.
     """
@@ -173,9 +172,12 @@ def near_pairs(layout: Layout, radius: Column, both_ways: bool) -> DataFrame:
         )
         keys.append(f"bin{n}")
         once = once & (F.col(f"bin{n}") == F.greatest(f"a_from{n}", f"b_from{n}"))
-    apart = F.expr(" + ".join(
-        f"pow(greatest(0.0D, b_low[{i}] - a_high[{i}], a_low[{i}] - b_high[{i}]), 2)" for i in range(layout.dims)
-    ))
+    if not keys:  # a table without points has no axes
+        left, right, keys = left.withColumn("bin", F.lit(0)), right.withColumn("bin", F.lit(0)), ["bin"]
+    apart = F.expr(" + ".join([
+        "0.0D",
+        *[f"pow(greatest(0.0D, b_low[{i}] - a_high[{i}], a_low[{i}] - b_high[{i}]), 2)" for i in range(layout.dims)],
+    ]))
     pairs = left.join(right, keys).filter(once)
     if not both_ways:
         pairs = pairs.filter("a <= b")
@@ -206,10 +208,10 @@ def marked(blocks: DataFrame, rows: DataFrame, column: str) -> DataFrame:
 
 def spread_out(df: DataFrame, comparisons: int) -> DataFrame:
     """``df`` over enough tasks for so many block comparisons."""
-    tasks = math.ceil(comparisons / COMPARISONS_PER_TASK)
+    tasks = min(math.ceil(comparisons / COMPARISONS_PER_TASK), MOST_TASKS)
     return df.repartition(tasks) if tasks > 1 else df
 
 
 def cell_side(eps: float, dims: int) -> float:
     """Side of a cube in which any two points are within ``eps``."""
-    return eps / math.sqrt(dims) * (1 - ROUNDING)
+    return eps / math.sqrt(max(dims, 1)) * (1 - ROUNDING)

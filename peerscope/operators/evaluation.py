@@ -21,20 +21,20 @@ from peerscope.session import materialize
 
 
 def _distance_kernel() -> Callable:
-    """Weighted sum of distances from each point of block a to each cluster in block b."""
+    """Weighted sums of distances from each point of either block to each cluster of the other."""
+    def sums(pids: np.ndarray, weighted: np.ndarray, clusters: np.ndarray) -> Iterator[pd.DataFrame]:
+        for cluster in np.unique(clusters):
+            yield pd.DataFrame({"pid": pids, "other": cluster, "distance": weighted[:, clusters == cluster].sum(axis=1)})
+
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                weighted = np.sqrt(squared_distances(left, right)) * np.asarray(row.b_weights)
-                clusters = np.asarray(row.b_clusters)
-                for cluster in np.unique(clusters):
-                    yield pd.DataFrame({
-                        "pid": row.a_pids,
-                        "other": cluster,
-                        "distance": weighted[:, clusters == cluster].sum(axis=1),
-                    })
+                distances = np.sqrt(squared_distances(left, right))
+                yield from sums(row.a_pids, distances * np.asarray(row.b_weights), np.asarray(row.b_clusters))
+                if row.a != row.b:
+                    yield from sums(row.b_pids, distances.T * np.asarray(row.a_weights), np.asarray(row.a_clusters))
 
     return kernel
 
@@ -43,8 +43,8 @@ def silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_RO
     """``(pid, weight, cluster, silhouette)`` of each distinct clustered position.
 
     The Euclidean silhouette is defined over the distances between all points,
-    so its work is quadratic in distinct positions; tasks hold two blocks and
-    return one sum per point and cluster.
+    so its work is quadratic in distinct positions; each two blocks are compared
+    once, and a task returns one sum per point and cluster.
     """
     clustered = points.join(labels.filter(F.col("cluster") != NOISE), "ip_address")
     spots = clustered.groupBy("cluster", "features").agg(F.count("*").alias("weight"))
@@ -64,7 +64,7 @@ def silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_RO
     )
     count = blocks.count()
     pairs = materialize(blocks.select(
-        F.col("block").alias("a"), F.explode(F.expr(f"sequence(0L, {max(count - 1, 0)}L)")).alias("b")
+        F.col("block").alias("a"), F.explode(F.expr(f"sequence(block, {max(count - 1, 0)}L)")).alias("b")
     ), "pairs")
     sums = compare(
         pairs, blocks, ["pids", "weights", "clusters", "coordinates"],
@@ -180,8 +180,17 @@ def jaccard(outliers: DataFrame, conditions: list[str] = CONDITIONS) -> DataFram
 def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight: float = 1.0,
              block_rows: int = BLOCK_ROWS) -> Ablation:
     """Cluster the same endpoints by text, by numbers and by both, each at the
-    radius its own curve recommends. Writes no verdicts."""
+    radius its own curve recommends. Writes no verdicts.
+
+    Below ``2 * components`` endpoints nothing is clustered: all conditions are
+    listed with nulls, and no address is an outlier of any.
+    """
     min_samples = 2 * components
+    schema = "condition string, dims int, eps double, clusters long, outliers long, silhouette double"
+    if data.count() < min_samples:
+        nothing = data.select(F.lit(CONDITIONS[0]).alias("condition"), "ip_address").limit(0)
+        rows = [(name, None, None, None, None, None) for name in CONDITIONS]
+        return Ablation(data.sparkSession.createDataFrame(rows, schema), jaccard(nothing), nothing)
     spaces = {
         "text-only": reduce_vectors(data, components, whiten).points,
         "numeric-only": numeric_points(data),
@@ -198,8 +207,6 @@ def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight:
             name, clustering.dims, round(clustering.radius.eps, 4), found["clusters"],
             found["outliers"], None if score is None else round(score, 4),
         ))
-    summary = data.sparkSession.createDataFrame(
-        rows, "condition string, dims int, eps double, clusters long, outliers long, silhouette double"
-    )
+    summary = data.sparkSession.createDataFrame(rows, schema)
     outliers = outlier_sets(labels)
     return Ablation(summary, jaccard(outliers), outliers)

@@ -1,110 +1,45 @@
 """Packet cadence per endpoint, without sorting an endpoint in one task.
 
-A busy endpoint may appear in every packet. Its stream is cut into time slots,
-each slot is sorted on its own, and slots are then stitched together through
-their first and last instant.
+A busy endpoint may appear in every packet. Its packets are summed per
+millisecond before anything is shuffled, its stream is cut into time slots, each
+slot is sorted on its own, and slots are then stitched together through their
+first and last instant.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.schema import MIN_TIMING_PACKETS
-from peerscope.session import materialize
 
-MINUTE_MS = 60_000
-# Slots to choose from, the widest first. The squared gaps inside 6-hour slots
-# add up to less than 2^63 over ten years.
-SLOT_WIDTHS = [360 * MINUTE_MS, 60 * MINUTE_MS, MINUTE_MS]
-# A slot is as wide as keeps the packets of any slot below this.
-SLOT_PACKETS = 5_000_000
-# Minutes with more packets are summed per millisecond before they are sorted.
-BUSY_PACKETS = 100_000_000
+# A sort meets at most one row per millisecond of a slot.
+SLOT_MS = 600_000
 SPLIT_BITS = 20
 
 
-@dataclass(frozen=True)
-class Slots:
-    """Slot width, and the busy minutes (None if there are none)."""
-
-    width_ms: int
-    busy: DataFrame | None
-
-    @property
-    def key(self) -> Column:
-        return F.expr(f"ts_ms div {self.width_ms}")
-
-
-def choose_slots(packets: DataFrame, slot_packets: int = SLOT_PACKETS, busy_packets: int = BUSY_PACKETS) -> Slots:
-    """Slots that bound what one sort can meet, whatever endpoint sends most.
-
-    Reads only the time column; the counts combine before the shuffle.
-    """
-    minutes = packets.filter("ts_ms IS NOT NULL").groupBy(
-        F.expr(f"ts_ms div {MINUTE_MS}").alias("minute")
-    ).agg(F.count("*").alias("packets"))
-    widest = SLOT_WIDTHS[0] // MINUTE_MS
-    middle = SLOT_WIDTHS[1] // MINUTE_MS
-    fullest = (
-        minutes.groupBy(F.expr(f"minute div {middle}").alias("middle"))
-        .agg(F.sum("packets").alias("packets"), F.max("packets").alias("minute"))
-        .groupBy(F.expr(f"middle div {widest // middle}"))
-        .agg(F.sum("packets").alias("wide"), F.max("packets").alias("middle"), F.max("minute").alias("minute"))
-        .agg(F.max("wide"), F.max("middle"), F.max("minute"))
-        .first()
-    )
-    counts = [c or 0 for c in fullest]
-    width = next((w for w, c in zip(SLOT_WIDTHS, counts) if c <= slot_packets), MINUTE_MS)
-    if counts[2] <= busy_packets:
-        return Slots(width, None)
-    return Slots(width, materialize(minutes.filter(F.col("packets") > busy_packets).select("minute"), "busy"))
-
-
-def instants(packets: DataFrame, slots: Slots) -> DataFrame:
-    """``(ip_address, slot, ts_ms, packets)`` of every endpoint; a packet to
-    oneself counts once.
-
-    A busy minute gives one row per millisecond, at most 60 000 per endpoint,
-    else there is one row per packet.
-    """
+def instants(packets: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
+    """``(ip_address, slot, ts_ms, packets)`` of every endpoint and millisecond;
+    a packet to oneself counts once. Sums combine before the shuffle."""
     own = F.when(F.col("src_ip") == F.col("dst_ip"), F.array("src_ip")).otherwise(F.array("src_ip", "dst_ip"))
-
-    def ends(rows: DataFrame) -> DataFrame:
-        return rows.select(F.explode(own).alias("ip_address"), slots.key.alias("slot"), "ts_ms")
-
-    timed = packets.filter("ts_ms IS NOT NULL")
-    if slots.busy is None:
-        return ends(timed).withColumn("packets", F.lit(1).cast("bigint"))
-    by_minute = timed.withColumn("minute", F.expr(f"ts_ms div {MINUTE_MS}"))
-    quiet = ends(by_minute.join(slots.busy, "minute", "left_anti")).withColumn("packets", F.lit(1).cast("bigint"))
-    busy = (
-        ends(by_minute.join(slots.busy, "minute", "left_semi"))
-        .groupBy("ip_address", "slot", "ts_ms")
+    return (
+        packets.filter("ts_ms IS NOT NULL")
+        .select(F.explode(own).alias("ip_address"), "ts_ms")
+        .groupBy("ip_address", F.expr(f"ts_ms div {slot_ms}").alias("slot"), "ts_ms")
         .agg(F.count("*").alias("packets"))
     )
-    return quiet.unionByName(busy)
 
 
-def packet_gaps(packets: DataFrame, slots: Slots | None = None) -> DataFrame:
+def packet_gaps(packets: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """The gap in ms before each instant at which an endpoint had packets.
 
     ``packets`` is the number of packets at that instant: the first follows
     ``gap_ms`` after the previous instant (null for the endpoint's first), the
-    others follow with gap 0. Pass stored packets: they are read to choose the
-    slots first.
+    others follow with gap 0.
     """
     within = Window.partitionBy("ip_address", "slot").orderBy("ts_ms")
     across = Window.partitionBy("ip_address").orderBy("slot")
-    # One shuffle by slot serves the sums, the sort and the join.
-    moments = (
-        instants(packets, slots or choose_slots(packets))
-        .repartition("ip_address", "slot")
-        .groupBy("ip_address", "slot", "ts_ms")
-        .agg(F.sum("packets").alias("packets"))
-    )
+    moments = instants(packets, slot_ms)
     earlier = (
         moments.groupBy("ip_address", "slot")
         .agg(F.max("ts_ms").alias("last"))
@@ -121,20 +56,20 @@ def packet_gaps(packets: DataFrame, slots: Slots | None = None) -> DataFrame:
     )
 
 
-def endpoint_timing(packets: DataFrame, slots: Slots | None = None) -> DataFrame:
+def endpoint_timing(packets: DataFrame, slot_ms: int = SLOT_MS) -> DataFrame:
     """Mean gap in seconds and its coefficient of variation per endpoint.
 
     Null with fewer than three packets or when all fall on one instant. Squared
     gaps are summed exactly, so the variance of a regular beacon does not drown
     in rounding: gaps between slots are split into two halves whose products
-    fit a LONG, and put together in DECIMAL once per endpoint. Pass stored
-    packets: they are read to choose the slots first.
+    fit a LONG, and put together in DECIMAL once per endpoint. The squares
+    inside a slot are below 2^39, so a LONG holds those of a hundred years.
     """
     within = Window.partitionBy("ip_address", "slot").orderBy("ts_ms")
     across = Window.partitionBy("ip_address").orderBy("slot")
     gap = F.col("ts_ms") - F.col("previous")
     parts = (
-        instants(packets, slots or choose_slots(packets))
+        instants(packets, slot_ms)
         .withColumn("previous", F.lag("ts_ms").over(within))
         .groupBy("ip_address", "slot")
         .agg(

@@ -46,27 +46,28 @@ def plain_z(raw):
     return np.where(width > 1e-9, (x - centre) / np.where(width > 1e-9, width, 1), 0.0)
 
 
-@pytest.mark.parametrize("buffered_rows", [0, 100_000])
-def test_exact_medians(spark, buffered_rows):
+@pytest.mark.parametrize("parts", [2, 7, 4096])
+def test_exact_medians(spark, parts):
     rng = np.random.default_rng(1)
     table = {
         "even": rng.normal(size=1000).tolist(),
         "ties": rng.integers(0, 3, 1000).astype(float).tolist(),
         "sparse": [None if i % 3 else float(i) for i in range(1000)],
+        "skewed": (10.0 ** rng.uniform(-300, 300, 1000)).tolist(),
         "none": [None] * 1000,
     }
-    df = spark.createDataFrame(list(zip(*table.values())), "even double, ties double, sparse double, none double")
-    found = stats.exact_medians(df, list(table), buffered_rows=buffered_rows)
+    df = spark.createDataFrame(list(zip(*table.values())), ", ".join(f"{c} double" for c in table))
+    found = stats.exact_medians(df, list(table), parts=parts if parts > 2 else 64)
     for name, values in table.items():
         present = [v for v in values if v is not None]
         assert found[name] == (pytest.approx(np.median(present)) if present else None)
 
 
-def test_bracket_widens_until_it_holds_the_middle(spark, monkeypatch):
-    monkeypatch.setattr(stats, "SKETCH_ACCURACY", 10)
-    values = np.random.default_rng(2).permutation(5001).astype(float)
-    df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    assert stats.exact_medians(df, ["x"], buffered_rows=0) == {"x": 2500.0}
+def test_medians_combine_before_the_shuffle(spark):
+    df = spark.createDataFrame([(float(v % 97),) for v in range(5000)], "x double")
+    searches = [stats._Search("x", 2500, 0.0, 96.0, 0)]
+    (one,) = stats._narrowed(df, searches, 8)
+    assert one.low <= np.median([v % 97 for v in range(5000)]) <= one.high
 
 
 def test_scores_equal_numpy(spark):
