@@ -177,16 +177,19 @@ CTES["scores"] = """
   SELECT ip_address, round(sqrt(sum(z * z)), 4) AS anomaly_score FROM z GROUP BY ip_address
 """
 
+# Fixed values, as in the operators.
 FLOW = {
     "bytes_out": "out", "packets_out": "out", "bytes_in": "in", "packets_in": "in",
     "bytes_out_in_ratio": "out", "packets_out_in_ratio": "out", "bytes_per_peer": "out",
 }
+# Fixed values, as in the operators.
 UNITS = {
     "bytes_out": "bytes", "bytes_in": "bytes", "packets_out": "packets", "packets_in": "packets",
     "out_peers": "peers", "in_peers": "peers", "bytes_out_in_ratio": "ratio", "packets_out_in_ratio": "ratio",
     "bytes_per_packet": "bytes/packet", "bytes_per_peer": "bytes/peer",
     "interval_mean": "seconds", "interval_cv": "ratio",
 }
+# Fixed values, as in the operators.
 REMOTE = {
     "out": "remote → host: traffic the capture host downloaded (NOT host exfil)",
     "in": "host → remote: traffic the capture host sent to this IP (outbound-from-host signal)",
@@ -226,7 +229,9 @@ CTES["destinations"] = """
   FROM uploads LEFT JOIN metadata USING (ip_address)
 """
 
+# Fixed values, as in the operators.
 HOST_UNITS = {"upload_bytes": "bytes", "upload_packets": "packets", "upload_download_ratio": "ratio"}
+# Fixed values, as in the operators.
 HOST_WORDS = {
     "upload_bytes": "host → remote: data the capture host sent out (outbound from host)",
     "upload_packets": "host → remote: packets the capture host sent out (outbound from host)",

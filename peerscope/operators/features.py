@@ -9,6 +9,7 @@ from peerscope.functions.columns import known
 from peerscope.functions.stats import Scale, exact_medians, robust_scales, standard_scales
 from peerscope.schema import LOCAL_ORG
 
+# The names of the features, and below the formulas of the ratios.
 BASE = ["bytes_out", "bytes_in", "packets_out", "packets_in", "out_peers", "in_peers"]
 TIMING = ["interval_mean", "interval_cv"]
 
@@ -17,8 +18,7 @@ def _per(numerator: Column, denominator: Column) -> Column:
     return numerator / (denominator + F.lit(1.0))
 
 
-# Derived features by name; each is a Column over the base counts. The 1 added
-# to a denominator keeps a one-way endpoint finite.
+# Denominators are shifted by one, since traffic may flow one way only.
 RATIOS = {
     "bytes_out_in_ratio": lambda: _per(F.col("bytes_out"), F.col("bytes_in")),
     "packets_out_in_ratio": lambda: _per(F.col("packets_out"), F.col("packets_in")),

@@ -77,12 +77,12 @@ def _reasons(units: dict[str, str], words: dict[str, str]) -> Column:
 
 
 def score_endpoints(data: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Score every endpoint of the clustering input.
+    """``anomaly_score``, ``reasons`` and ``is_outlier`` of every clustering input.
 
-    ``anomaly_score`` is the length of the robust z vector, so it ranks
-    endpoints even when clustering flags none. ``is_outlier`` is the clustering
-    verdict, null without ``labels`` ``(ip_address, cluster)``. The timing
-    columns stay raw while reasons cite the imputed value.
+    The score is the Euclidean norm of the robust z values and does not depend
+    on a clustering. ``labels`` ``(ip_address, cluster)`` decide ``is_outlier``
+    (null without them). Cadence columns are returned as measured; reasons use
+    them after imputation.
     """
     raw = F.struct("bytes_out", "packets_out", "bytes_in", "packets_in", "interval_mean", "interval_cv")
     rows = data.select(

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from peerscope.operators.blocks import BLOCK_ROWS
 from peerscope.operators.evaluation import cluster_points
 from peerscope.operators.features import clustering_input, excluded_local
-from peerscope.operators.profiles import endpoint_profile
+from peerscope.operators.graph import ip_nodes
+from peerscope.operators.profiles import endpoint_profile, upsert_endpoints, write_verdicts
 from peerscope.operators.reduction import MIN_COMPONENTS, blended_points, hash_vectors, plane, with_vectors
 from peerscope.operators.scoring import (
     describe_destinations, host_outbound_flows, score_endpoints, score_host_outbound,
 )
-from peerscope.schema import ENDPOINTS
+from peerscope.schema import ENDPOINTS, IP_METADATA
 from peerscope.session import materialize
 from peerscope.sources.ownership import enrich, host_ips, undocumented, upsert_metadata
+from peerscope.sources.snapshots import Snapshots
 
 
 def document_organizations(addresses: DataFrame, metadata: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +61,38 @@ def profile_endpoints(
     return endpoints, summary
 
 
+def store_organizations(store: Snapshots, addresses: DataFrame, records: DataFrame) -> DataFrame:
+    """Enrich the stored metadata and write it back. Returns the summary."""
+    metadata, summary = document_organizations(addresses, store.read("metadata", IP_METADATA), records)
+    summary = materialize(summary, "summary")
+    store.write("metadata", metadata, sort_by="ip_address")
+    return summary
+
+
+def store_endpoints(store: Snapshots, packets: DataFrame, **options) -> DataFrame:
+    """Profile the addresses of ``packets`` and merge them into the stored endpoints.
+
+    Verdicts of earlier runs stay, as do endpoints that did not occur again.
+    A run may be repeated. Returns the summary.
+    """
+    fresh, summary = profile_endpoints(packets, store.read("metadata", IP_METADATA), **options)
+    summary = materialize(summary, "summary")
+    store.write("endpoints", upsert_endpoints(store.read("endpoints", ENDPOINTS), fresh, ip_nodes(packets)), sort_by="ip_address")
+    return summary
+
+
+def store_verdicts(store: Snapshots, verdicts: DataFrame) -> None:
+    """Stamp ``(ip_address, is_outlier)`` on the stored endpoints; those not scored keep what they have."""
+    store.write("endpoints", write_verdicts(store.read("endpoints", ENDPOINTS), verdicts), sort_by="ip_address")
+
+
+def run_detection(store: Snapshots, packets: DataFrame, **options) -> Detection:
+    """Cluster and score the stored endpoints, and write the verdicts back."""
+    found = detect_anomalies(store.read("endpoints", ENDPOINTS), store.read("metadata", IP_METADATA), packets, **options)
+    store_verdicts(store, found.verdicts)
+    return found
+
+
 @dataclass(frozen=True)
 class Detection:
     """Result of :func:`detect_anomalies`.

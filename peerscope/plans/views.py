@@ -36,7 +36,7 @@ def fetch_traffic(
     now = F.current_timestamp() if as_of is None else as_of
     recent = endpoints.filter(F.col("profiled_at") > now - F.make_dt_interval(mins=F.lit(minutes)))
     # An endpoint has one owner, so the rows to show are known before the join.
-    shown = recent.distinct().orderBy(F.desc("profiled_at"), "ip_address").limit(limit)
+    shown = recent.orderBy(F.desc("profiled_at"), "ip_address").limit(limit)
     return _profile(shown, metadata).orderBy(F.desc("timestamp"), "ip_address")
 
 

@@ -31,9 +31,18 @@ PORT_NAMES = {
 }
 
 # Link types, EtherTypes and IP protocol numbers.
-ETHERNET, RAW_IP = 1, 101
-IPV4, ARP, VLAN, IPV6 = 0x0800, 0x0806, 0x8100, 0x86DD
+LOOPBACK, ETHERNET, RAW_IP, LOOP, COOKED, COOKED_V2 = 0, 1, 101, 108, 113, 276
+IPV4, ARP, IPV6 = 0x0800, 0x0806, 0x86DD
+VLANS = [0x8100, 0x88A8, 0x9100]
 ICMP, TCP, UDP = 1, 6, 17
+HOP_BY_HOP, ROUTING, FRAGMENT, DESTINATION = 0, 43, 44, 60
+LOOPBACK_IPV4, LOOPBACK_IPV6 = [2], [10, 24, 28, 30]
+# At most so many tags or extension headers are followed.
+MOST_TAGS, MOST_EXTENSIONS = 4, 8
+# No capture cuts packets at more than this, whatever its header says.
+MOST_CAPTURED = 262_144
+# The time of a packet that the file gives none for.
+NO_TIME = -1
 # Packets dissected together; bounds what a task holds beside the file itself.
 FRAMES_AT_ONCE = 50_000
 
@@ -47,12 +56,14 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 def decode_captures(files: DataFrame) -> DataFrame:
     """Rows ``(path, content)`` to raw packets.
 
-    ``packet_id`` only breaks ties between packets of the same time.
+    ``packet_id`` only breaks ties between packets of the same time. A file that
+    ends inside a packet gives the packets before; one with an impossible length
+    in it fails the read, since what follows cannot be trusted.
     """
     decoded = files.select("path", "content").mapInPandas(_decode_files, DECODED)
     return decoded.select(
         F.xxhash64("path", "record").alias("packet_id"),
-        F.timestamp_micros("ts_us").alias("ts"),
+        F.when(F.col("ts_us") != NO_TIME, F.timestamp_micros("ts_us")).alias("ts"),
         "highest_layer", "ip_src", "ip_dst",
         "tcp_srcport", "tcp_dstport", "tcp_payload",
         "udp_srcport", "udp_dstport", "udp_payload",
@@ -63,12 +74,20 @@ def decode_captures(files: DataFrame) -> DataFrame:
 def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            frames, done = _frames(content), 0
+            frames, done = _named(path, _frames(content)), 0
             while part := list(islice(frames, FRAMES_AT_ONCE)):
                 yield _dissect(path, content, np.array(part, dtype=np.int64), done)
                 done += len(part)
 
 
+def _named(path: str, frames: Iterator[tuple]) -> Iterator[tuple]:
+    """``frames``, with the file in any error."""
+    try:
+        yield from frames
+    except (ValueError, IndexError, struct.error) as error:
+        raise ValueError(f"{path}: {error}") from error
+
+
 def _frames(content: bytes) -> Iterator[tuple]:
     """(offset, captured, length, time in us, link type) of each frame."""
     magic = content[:4]
@@ -82,11 +101,14 @@ def _frames(content: bytes) -> Iterator[tuple]:
 
 
 def _pcap_frames(content: bytes, order: str, ticks_per_us: int) -> Iterator[tuple]:
-    link = struct.unpack_from(order + "I", content, 20)[0] & 0xFFFF
+    longest, link = struct.unpack_from(order + "II", content, 16)
+    longest, link = max(longest, MOST_CAPTURED), link & 0xFFFF
     header = struct.Struct(order + "IIII")
     at = 24
     while at + 16 <= len(content):
         seconds, fraction, captured, length = header.unpack_from(content, at)
+        if captured > longest:
+            raise ValueError(f"record at byte {at} claims {captured} bytes")
         if at + 16 + captured > len(content):
             break  # the capture was cut off inside this packet
         yield at + 16, captured, length, seconds * 1_000_000 + fraction // ticks_per_us, link
@@ -101,16 +123,32 @@ def _pcapng_frames(content: bytes) -> Iterator[tuple]:
             order = "<" if content[at + 8:at + 12] == b"\x4d\x3c\x2b\x1a" else ">"
             interfaces = []
         size = struct.unpack_from(order + "I", content, at + 4)[0]
+        if size < 12 or size % 4:
+            raise ValueError(f"block at byte {at} claims {size} bytes")
         if at + size > len(content):
             break  # the capture was cut off inside this block
         if kind == 1:
-            link = struct.unpack_from(order + "H", content, at + 8)[0]
-            interfaces.append((link, _ticks_per_second(content, order, at + 16, at + size - 4)))
+            link, longest = struct.unpack_from(order + "HxxI", content, at + 8)
+            interfaces.append((link, _ticks_per_second(content, order, at + 16, at + size - 4), longest or MOST_CAPTURED))
         elif kind == 6:
             interface, high, low, captured, length = struct.unpack_from(order + "IIIII", content, at + 8)
-            link, ticks = interfaces[interface]
-            yield at + 28, captured, length, ((high << 32) | low) * 1_000_000 // ticks, link
-        at += max(size, 12)
+            link, ticks, _ = interfaces[interface]
+            yield at + 28, _fitting(captured, size - 32, at), length, ((high << 32) | low) * 1_000_000 // ticks, link
+        elif kind == 2:  # the packet block of old files
+            interface, high, low, captured, length = struct.unpack_from(order + "HxxIIII", content, at + 8)
+            link, ticks, _ = interfaces[interface]
+            yield at + 28, _fitting(captured, size - 32, at), length, ((high << 32) | low) * 1_000_000 // ticks, link
+        elif kind == 3:  # a simple packet block has no time, and is of the first interface
+            length = struct.unpack_from(order + "I", content, at + 8)[0]
+            link, _, longest = interfaces[0]
+            yield at + 12, min(length, longest, size - 16), length, NO_TIME, link
+        at += size
+
+
+def _fitting(captured: int, room: int, at: int) -> int:
+    if captured > room:
+        raise ValueError(f"block at byte {at} claims {captured} bytes of packet")
+    return captured
 
 
 def _ticks_per_second(content: bytes, order: str, at: int, end: int) -> int:
@@ -138,10 +176,17 @@ def _dissect(path: str, content: bytes, frames: np.ndarray, first_record: int) -
         return octet(at) * 256 + octet(at + 1)
 
     ethernet = link == ETHERNET
-    kind = np.where(ethernet, pair(start + 12), 0)
-    tagged = kind == VLAN
-    network = start + np.where(ethernet, np.where(tagged, 18, 14), 0)
-    kind = np.where(tagged, pair(start + 16), kind)
+    family = np.where(link == LOOPBACK, octet(start) + octet(start + 3), octet(start + 3))  # either byte order
+    loop = (link == LOOPBACK) | (link == LOOP)
+    # Where the EtherType is, and where what it names begins.
+    type_at = start + np.select([ethernet, link == COOKED], [12, 14], 0)
+    network = start + np.select([ethernet, loop, link == COOKED, link == COOKED_V2], [14, 4, 16, 20], 0)
+    kind = np.where(ethernet | (link == COOKED) | (link == COOKED_V2), pair(type_at), 0)
+    for _ in range(MOST_TAGS):
+        tagged = np.isin(kind, VLANS)
+        kind = np.where(tagged, pair(network + 2), kind)
+        network = network + np.where(tagged, 4, 0)
+    kind = np.where(loop, np.select([np.isin(family, LOOPBACK_IPV4), np.isin(family, LOOPBACK_IPV6)], [IPV4, IPV6], 0), kind)
     first = octet(network)
     version = first >> 4
     raw = link == RAW_IP
@@ -152,7 +197,19 @@ def _dissect(path: str, content: bytes, frames: np.ndarray, first_record: int) -
 
     protocol = np.where(is_v4, octet(network + 9), np.where(is_v6, octet(network + 6), -1))
     transport = network + np.where(is_v4, (first & 15) * 4, 40)
-    packet_end = network + np.where(is_v4, pair(network + 2), 40 + pair(network + 4))
+    # Only the first fragment has a transport header.
+    later = is_v4 & (pair(network + 6) & 0x1FFF != 0)
+    for _ in range(MOST_EXTENSIONS):
+        extended = is_v6 & np.isin(protocol, [HOP_BY_HOP, ROUTING, FRAGMENT, DESTINATION]) & (transport + 8 <= end)
+        fragment = extended & (protocol == FRAGMENT)
+        later |= fragment & (pair(transport + 2) >> 3 != 0)
+        step = np.where(fragment, 8, (octet(transport + 1) + 1) * 8)
+        protocol = np.where(extended, octet(transport), protocol)
+        transport = transport + np.where(extended, step, 0)
+    protocol = np.where(later, -1, protocol)
+    stated = np.where(is_v4, pair(network + 2), pair(network + 4))
+    # The sending host leaves the length 0 where its network card cuts the packet.
+    packet_end = np.where(stated == 0, end, network + np.where(is_v4, stated, 40 + stated))
     is_tcp = (protocol == TCP) & (transport + 20 <= end)
     is_udp = (protocol == UDP) & (transport + 8 <= end)
     has_ports = is_tcp | is_udp

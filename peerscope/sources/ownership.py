@@ -33,6 +33,14 @@ def one_owner(owners: DataFrame) -> DataFrame:
     ).select("ip_address", F.col("best.org").alias("org"))
 
 
+def _lowest(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row per address, whatever the order of ``rows``: the lowest values, known before unknown."""
+    order = [part for c in columns for part in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))]
+    return rows.groupBy("ip_address").agg(F.min(F.struct(*order)).alias("best")).select(
+        "ip_address", *[F.col("best").getField(c).alias(c) for c in columns]
+    )
+
+
 def ip_metadata(addresses: DataFrame, owners: DataFrame, hosts: DataFrame) -> DataFrame:
     """Metadata of every address; org, hostname and location are null if unknown.
 
@@ -41,7 +49,7 @@ def ip_metadata(addresses: DataFrame, owners: DataFrame, hosts: DataFrame) -> Da
     return (
         addresses.select("ip_address")
         .join(one_owner(owners), "ip_address", "left")
-        .join(hosts.dropDuplicates(["ip_address"]), "ip_address", "left")
+        .join(_lowest(hosts, "hostname", "location"), "ip_address", "left")
         .select("ip_address", "org", "hostname", "location")
     )
 
@@ -55,7 +63,7 @@ def undocumented(addresses: DataFrame, metadata: DataFrame) -> DataFrame:
 def enrich(missing: DataFrame, records: DataFrame) -> DataFrame:
     """Metadata of the ``missing`` addresses that have an ownership record."""
     wanted = records.join(missing.select("ip_address"), "ip_address", "left_semi")
-    return resolve_records(wanted).dropDuplicates(["ip_address"])
+    return _lowest(resolve_records(wanted), "org", "hostname", "location")
 
 
 def upsert_metadata(current: DataFrame, new: DataFrame) -> DataFrame:

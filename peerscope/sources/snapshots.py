@@ -46,14 +46,15 @@ class Snapshots:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/version={versions[-1]}")
 
     def wipe(self, tables: dict[str, T.StructType], confirm: str) -> dict:
-        """Empty every table; ``confirm`` must repeat the root.
+        """Delete every version of every table; ``confirm`` must repeat the root.
 
         Returns the number of rows dropped and whether there were none.
         """
         if confirm.rstrip("/") != self.root:
             raise ValueError("confirm must name the root to wipe")
         dropped = sum(self.read(name, schema).count() for name, schema in tables.items())
-        if dropped:
-            for name, schema in tables.items():
-                self.write(name, self.spark.createDataFrame([], schema))
+        jvm = self.spark.sparkContext._jvm
+        for name in tables:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         return {"dropped": dropped, "empty": dropped == 0}

@@ -126,3 +126,40 @@ def test_packet_paths_stay_out_of_python_and_read_few_columns(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     plan = physical_plan(views.inspect_packets(seen, "a"))
     assert "TakeOrderedAndProject" in plan and "PushedFilters: [Or(EqualTo(src_ip,a),EqualTo(dst_ip,a))]" in plan
+
+
+def test_two_runs_write_back(spark, sf_dir, tmp_path):
+    from peerscope.sources.snapshots import Snapshots
+
+    store = Snapshots(spark, str(tmp_path / "store"))
+    store.write("metadata", tables.ip_metadata(spark, sf_dir))
+    seen = materialize(tables.packets(spark, sf_dir), "packets")
+    halves = [seen.filter("packet_id % 2 = 0"), seen.filter("packet_id % 2 = 1 AND src_ip < '10.0.0.3'")]
+    one = detection.store_endpoints(store, halves[0])
+    assert one.first()["packets"] == halves[0].count()
+    detection.store_endpoints(store, halves[0])  # a repeat changes nothing
+    first = {r["ip_address"]: r for r in store.read("endpoints", ENDPOINTS).collect()}
+    flags = spark.createDataFrame([(ip, k % 3 == 0) for k, ip in enumerate(sorted(first)) if k % 4], "ip_address string, is_outlier boolean")
+    detection.store_verdicts(store, flags)
+    verdicts = {r["ip_address"]: r["is_outlier"] for r in flags.collect()}
+    detection.store_endpoints(store, halves[1])
+    second = {r["ip_address"]: r for r in store.read("endpoints", ENDPOINTS).collect()}
+    touched = {r[0] for r in halves[1].select(F.explode(F.array("src_ip", "dst_ip"))).filter("col != '0.0.0.0'").distinct().collect()}
+    assert set(second) == set(first) | touched
+    for ip, row in second.items():
+        assert row["outlier"] == verdicts.get(ip)
+        if ip not in touched:
+            assert [row[c] for c in ("bytes_out", "in_peers", "interval_mean")] == [first[ip][c] for c in ("bytes_out", "in_peers", "interval_mean")]
+    found = detection.run_detection(store, seen, block_rows=48)
+    scored = {r["ip_address"]: r["is_outlier"] for r in found.verdicts.collect()}
+    third = {r["ip_address"]: r["outlier"] for r in store.read("endpoints", ENDPOINTS).collect()}
+    assert third == {ip: scored.get(ip, second[ip]["outlier"]) for ip in second}
+
+
+def test_ablation_of_too_few_endpoints(spark):
+    from peerscope.operators import evaluation
+
+    data = spark.createDataFrame([("a",), ("b",)], "ip_address string")
+    found = evaluation.ablation(data)
+    assert [tuple(r)[1:] for r in found.summary.collect()] == [(None,) * 5] * 3
+    assert found.outliers.count() == 0 and {r["jaccard"] for r in found.agreement.collect()} == {1.0}

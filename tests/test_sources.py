@@ -173,3 +173,72 @@ def test_packets_are_dissected_in_parts(monkeypatch):
     parts = list(captures._decode_files(iter([files])))
     assert [len(p) for p in parts] == [3, 3, 1]
     assert pd.concat(parts)["record"].tolist() == list(range(len(FRAMES)))
+
+
+def one_packet(link, body, length=None):
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, link)
+    return head + struct.pack("<IIII", 1000, 0, len(body), length or len(body)) + body
+
+
+def ipv4(transport, protocol=6, fragment=0, total=None):
+    total = 20 + len(transport) if total is None else total
+    return struct.pack(">BBHHHBBH4s4s", 0x45, 0, total, 0, fragment, 64, protocol, 0, bytes([10, 0, 0, 1]), bytes([10, 0, 0, 2])) + transport
+
+
+def ipv6(following, first):
+    return struct.pack(">IHBB", 0x60000000, len(following), first, 64) + bytes(32) + following
+
+
+TLS = tcp(50000, 443, b"\x17")
+SEEN = ("TLS", 50000, 443)
+
+
+@pytest.mark.parametrize("link,body,found", [
+    (0, struct.pack("<I", 2) + ipv4(TLS), SEEN),
+    (0, struct.pack(">I", 2) + ipv4(TLS), SEEN),
+    (0, struct.pack("<I", 30) + ipv6(udp(5, 53, b"x"), 17), ("DNS", 5, 53)),
+    (108, struct.pack(">I", 2) + ipv4(TLS), SEEN),
+    (113, bytes(14) + b"\x08\x00" + ipv4(TLS), SEEN),
+    (276, b"\x08\x00" + bytes(18) + ipv4(TLS), SEEN),
+    (1, bytes(12) + b"\x88\xa8\x00\x01\x81\x00\x00\x02\x08\x00" + ipv4(TLS), SEEN),
+    (101, ipv4(b"AABBCCDD", fragment=100), ("IP", 0, 0)),
+    (101, ipv4(TLS, fragment=0x2000), SEEN),
+    (101, ipv4(TLS, total=0), SEEN),
+    (101, ipv6(bytes([60, 0]) + bytes(6) + bytes([17, 0]) + bytes(6) + udp(5, 53, b"x"), 0), ("DNS", 5, 53)),
+    (101, ipv6(bytes([17, 0, 0, 8]) + bytes(4) + b"ABCDEFGH", 44), ("IPV6", 0, 0)),
+], ids=["loopback", "loopback big", "loopback v6", "loop", "cooked", "cooked 2", "two tags", "later fragment",
+        "first fragment", "no length", "extensions", "later v6 fragment"])
+def test_link_types_and_headers(spark, tmp_path, link, body, found):
+    (tmp_path / "one.pcap").write_bytes(one_packet(link, body))
+    (row,) = packets.normalize(captures.read_captures(spark, str(tmp_path))).collect()
+    assert (row["protocol"], row["src_port"], row["dst_port"]) == found
+
+
+def test_simple_and_old_packet_blocks():
+    def block(kind, body):
+        body += bytes(-len(body) % 4)
+        size = struct.pack("<I", 12 + len(body))
+        return struct.pack("<I", kind) + size + body + size
+
+    body = ipv4(TLS)
+    content = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack("<HHI", 101, 0, 0))
+    content += block(3, struct.pack("<I", len(body)) + body) + block(5, bytes(12))
+    content += block(2, struct.pack("<HHIIII", 0, 0, 0, 7, len(body), len(body)) + body)
+    simple, old = captures._frames(content)
+    assert content[simple[0]:simple[0] + simple[1]] == body == content[old[0]:old[0] + old[1]]
+    assert simple[3] == captures.NO_TIME and old[3] == 7
+
+
+def test_a_bad_length_fails_the_read(spark, tmp_path):
+    good = one_packet(101, ipv4(TLS))
+    (tmp_path / "bad.pcap").write_bytes(good + struct.pack("<IIII", 1, 0, 1 << 30, 60) + good[24:])
+    with pytest.raises(Exception, match="bad.pcap.*claims 1073741824 bytes"):
+        captures.read_captures(spark, str(tmp_path)).count()
+
+
+def test_enrichment_does_not_depend_on_order(spark):
+    records = [("a", '{"org": "B", "hostname": "x"}'), ("a", '{"org": "A", "hostname": "z"}')]
+    for rows in (records, records[::-1]):
+        missing = spark.createDataFrame([("a",)], "ip_address string")
+        (row,) = ownership.enrich(missing, spark.createDataFrame(rows, "ip_address string, record string")).collect()
+        assert (row["org"], row["hostname"]) == ("A", "z")
