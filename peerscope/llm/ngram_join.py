@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerscope.llm.hashing import BASE, Words, gram_hashes, mix, text_column
@@ -142,8 +142,8 @@ def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataF
 
 def block_members(prefixes: DataFrame) -> DataFrame:
     """``(centre, class)``: each class with the lowest class of every block that it is in."""
-    centres = prefixes.groupBy("token").agg(F.min("class").alias("centre"), F.max("class").alias("top")).filter("centre != top")
-    return prefixes.join(centres.select("token", "centre"), "token").filter("class != centre").select("centre", "class").distinct()
+    by_token = Window.partitionBy("token").orderBy("class")
+    return prefixes.withColumn("centre", F.first("class").over(by_token)).filter("class != centre").select("centre", "class").distinct()
 
 
 class Trie:
@@ -232,6 +232,9 @@ def _block(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.nda
     """
     data, offsets = text_column(table["text"].combine_chunks())
     token, bounds = shingle_sets(data, offsets)
+    # Another text of a repeated id is not of the class; it takes no part.
+    strange = _class_keys(token, bounds) != table["class"].to_numpy()
+    token, bounds = token[~np.repeat(strange, np.diff(bounds))], np.concatenate([[0], np.cumsum(np.diff(bounds) * ~strange)])
     trie = Trie(token, bounds)
     n = len(offsets) - 1
     role = table["role"].to_numpy()
@@ -244,12 +247,12 @@ def _block(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.nda
                 links.append((i, m))
                 group[group == group[m]] = group[i]
 
-    linked = np.zeros(n, bool)
-    centre = np.flatnonzero(role == CENTRE)
+    linked = strange.copy()
+    centre = np.flatnonzero((role == CENTRE) & ~strange)
     if len(centre):
         join(centre[0])
-        linked = group == group[centre[0]]
-    for i in np.flatnonzero((role == ASKED) | ((role == MEMBER) & ~linked & bool(len(centre)))):
+        linked |= group == group[centre[0]]
+    for i in np.flatnonzero(~strange & ((role == ASKED) | ((role == MEMBER) & ~linked & bool(len(centre))))):
         join(i)
     return links, linked
 
@@ -309,9 +312,9 @@ def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, or
     dealt = spread.select("centre", "class", "parts", "part", F.lit(MEMBER).alias("role")).unionByName(
         centres.withColumn("role", F.lit(CENTRE))
     )
-    # One text stands for each class that is in a block.
+    # The text of one id stands for each class that is in a block.
     wanted = dealt.select("class").distinct().join(classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
-    standing = materialize(texts.join(wanted, "doc_id").dropDuplicates(["class"]).select("class", "text"), "texts")
+    standing = materialize(texts.join(wanted, "doc_id").select("class", "text"), "texts")
     schema = "u bigint, v bigint, unlinked int"
 
     def joined(rows: DataFrame) -> DataFrame:
