@@ -3,17 +3,18 @@
 A text's set holds the hashes of its distinct five-word shingles. Equal sets are
 one class from the start. All tokens have one global order: frequent ones last,
 the rest by hash. Two sets with a Jaccard similarity of at least ``percent`` share a
-token among the first ``n - ceil(percent * n) + 1`` of each, so classes that
-share such a token go to the block of the token's lowest class, its centre.
+token among the first ``n - ceil(percent * n) + 1`` of each. So classes that
+share such a token, and whose sizes allow a link, go to the block of the smallest
+of them, its centre.
 
 In a block the sets form a compressed trie over one order of their tokens. A
 query walks it once for all sets: shared beginnings are overlapped once, and a
 subtree is left when neither its remaining length nor that of the query can
-reach the overlap its sizes ask for. The centre is queried first; sets that it
-links need not be compared with each other, since only the groups count. Every
+reach the overlap its sizes ask for. The centre is queried first; sets in its
+group need not be compared with each other, since only the groups count. Every
 other set is queried against the whole block. A block of more than
-``block_sets`` sets is dealt over several tasks, each with the centre, and its
-unlinked sets are then sent to all of them.
+``block_sets`` sets is dealt over several tasks, each with the centre, and the
+sets outside of its group are then sent to all of them.
 
 Which tokens count as frequent changes the work, never the result: the most
 frequent ``order_tokens`` are shipped to the tasks.
@@ -114,7 +115,7 @@ def frequent_tokens(texts: DataFrame, limit: int) -> np.ndarray:
 
 
 def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """``(token, class)``: the first tokens of each set in the global order."""
+    """``(token, class, size)``: the first tokens of each set in the global order."""
     order = np.argsort(frequent)
     shipped = texts.sparkSession.sparkContext.broadcast((frequent[order], order))
 
@@ -135,15 +136,24 @@ def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataF
         order = np.lexsort((token, last, owner))
         within = np.arange(len(token)) - np.repeat(bounds[:-1], n)
         chosen = order[within < np.repeat(length, n)]
-        return {"token": token[chosen].view(np.int64), "class": key[owner[chosen]]}
+        return {"token": token[chosen].view(np.int64), "class": key[owner[chosen]], "size": n[owner[chosen]].astype(np.int32)}
 
-    return map_texts(texts, scan, "token bigint, class bigint")
+    return map_texts(texts, scan, "token bigint, class bigint, size int")
 
 
-def block_members(prefixes: DataFrame) -> DataFrame:
-    """``(centre, class)``: each class with the lowest class of every block that it is in."""
-    by_token = Window.partitionBy("token").orderBy("class")
-    return prefixes.withColumn("centre", F.first("class").over(by_token)).filter("class != centre").select("centre", "class").distinct()
+def block_members(prefixes: DataFrame, percent: int) -> DataFrame:
+    """``(centre, class)``: each class with the smallest class of every block that it is in.
+
+    The classes of a token are cut where the next size is so much larger that no
+    set before can be linked with one after.
+    """
+    by_size = Window.partitionBy("token").orderBy("size", "class")
+    far = F.coalesce(100 * F.lag("size").over(by_size) < percent * F.col("size"), F.lit(True))
+    return (
+        prefixes.withColumn("head", F.when(far, F.col("class")))
+        .withColumn("centre", F.last("head", ignorenulls=True).over(by_size))
+        .filter("class != centre").select("centre", "class").distinct()
+    )
 
 
 class Trie:
@@ -226,7 +236,7 @@ class Trie:
 
 
 def _block(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links of one block as places of two of its rows, and which rows the centre links.
+    """Links of one block as places of two of its rows, and which rows are in the centre's group.
 
     Of all links that are found those are kept that join two groups: fewer than rows.
     """
@@ -247,13 +257,13 @@ def _block(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.nda
                 links.append((i, m))
                 group[group == group[m]] = group[i]
 
-    linked = strange.copy()
-    centre = np.flatnonzero((role == CENTRE) & ~strange)
-    if len(centre):
-        join(centre[0])
-        linked |= group == group[centre[0]]
-    for i in np.flatnonzero(~strange & ((role == ASKED) | ((role == MEMBER) & ~linked & bool(len(centre))))):
-        join(i)
+    # A set that has joined the centre's group need not be queried: one that is
+    # outside of the group is, and would find it.
+    first = np.flatnonzero((role == CENTRE) & ~strange)[:1]
+    for i in [*first, *np.flatnonzero(~strange & ((role == ASKED) | ((role == MEMBER) & bool(len(first)))))]:
+        if i in first or role[i] == ASKED or group[i] != group[first[0]]:
+            join(i)
+    linked = strange | (group == group[first[0]] if len(first) else False)
     return links, linked
 
 
@@ -305,7 +315,7 @@ def _joiner(percent: int):
 def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, order_tokens: int = ORDER_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """``(u, v)``: links between classes that connect every group of linked classes."""
     frequent = frequent_tokens(texts, order_tokens)
-    members = materialize(block_members(prefix_tokens(texts, frequent, percent)), "members")
+    members = materialize(block_members(prefix_tokens(texts, frequent, percent), percent), "members")
     sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
     spread = members.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("class", "centre"), F.col("parts")).cast("int"))
     centres = sizes.select("centre", F.col("centre").alias("class"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
