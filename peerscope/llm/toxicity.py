@@ -31,7 +31,7 @@ from peerscope.llm.texts import arrow_lists, doc_texts, map_texts
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 17
-PER_CLASS = 3000
+PER_CLASS = 2000
 #: Blank n-grams in every bag; n-grams in fewer training texts have no embedding.
 PRIOR_GRAMS, MIN_TEXTS = 300, 4
 
@@ -134,25 +134,37 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return bagged.withColumn("total", total.cast("long"))
 
 
+def _collected(bagged: DataFrame) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray, np.ndarray]:
+    """Labels in the order of the ids, class sizes, each row's range in the n-grams, and these with their weights.
+
+    The lists stay where they arrive; only their ranges are put in order.
+    """
+    table = bagged.toArrow()
+    doc, label = table["doc_id"].to_numpy(), table["label"].to_numpy().astype(np.float64)
+    totals = dict(zip(label.tolist(), table["total"].to_pylist(), strict=True))
+    lengths = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in table["buckets"].chunks]])
+    buckets = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in table["buckets"].chunks]])
+    table = table.select(["weights"])
+    share = np.concatenate([np.zeros(0, np.float32), *[c.flatten().to_numpy() for c in table["weights"].chunks]])
+    ends = np.cumsum(lengths)
+    order = np.argsort(doc, kind="stable")
+    return label[order], totals, np.stack([ends - lengths, ends], axis=1)[order], buckets, share
+
+
 def fit(bagged: DataFrame, width: int = 8, steps: int = 400, rate: float = 0.05, batch: int = 128, seed: int = 7) -> Model:
     """Train on the driver from the bounded bags."""
-    table = bagged.toArrow().combine_chunks().sort_by("doc_id")
-    label = np.array(table["label"].to_pylist(), np.float64)
-    totals = dict(zip(label.tolist(), table["total"].to_pylist(), strict=True))
+    label, totals, bounds, buckets, share = _collected(bagged)
     size = 1 << BUCKET_BITS
     if len(totals) < 2:
         return Model(np.zeros((size, width), np.float32), np.zeros(width, np.float32), 40.0 if 1.0 in totals else -40.0)
-    lists = table["buckets"].combine_chunks()
-    bounds, buckets = lists.offsets.to_numpy(), lists.flatten().to_numpy()
-    share = table["weights"].combine_chunks().flatten().to_numpy()
-    share = np.where(np.bincount(buckets, minlength=size)[buckets] >= MIN_TEXTS, share, 0).astype(np.float32)
+    share[(np.bincount(buckets, minlength=size) < MIN_TEXTS)[buckets]] = 0
     calibrate = np.arange(len(label)) % 5 == 4
     train = np.flatnonzero(~calibrate) if len(np.unique(label[calibrate])) == 2 and len(np.unique(label[~calibrate])) == 2 else np.arange(len(label))
 
     def bag(rows):
         """The rows' dense bags over the n-grams that occur in them."""
-        sizes = bounds[rows + 1] - bounds[rows]
-        place = np.arange(sizes.sum()) + np.repeat(bounds[rows] - np.cumsum(sizes) + sizes, sizes)
+        first, sizes = bounds[rows, 0], bounds[rows, 1] - bounds[rows, 0]
+        place = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
         distinct, where = np.unique(buckets[place], return_inverse=True)
         out = np.zeros((len(rows), len(distinct)), np.float32)
         out[np.repeat(np.arange(len(rows)), sizes), where] = share[place]
