@@ -5,8 +5,9 @@ tokens, or one of the ``rare_symbols`` classes that all other tokens fall into b
 hash; within a class a token has its smoothed share, so the model gives every
 token a probability. Baum-Welch sums expected counts over all learning texts in
 the tasks, and the driver, which only holds the states by symbols, sets the next
-parameters. A text's likelihood is the scaled forward recursion over all its
-tokens, exact for the model.
+parameters. Learning takes texts in sequences of at most ``SEQUENCE`` tokens; a
+text's likelihood is the scaled forward recursion over all its tokens at once,
+exact for the model.
 
 The vocabulary is counted whole. What it says about rare tokens is joined to the
 texts by token: tokens of a text are summed per text first.
@@ -40,6 +41,8 @@ PRIOR_TOKENS = 2000.0
 #: A power of two.
 RARE_SYMBOLS = 64
 ROUNDS = 5
+#: Learning cuts texts into sequences of at most so many tokens, and takes all of them.
+SEQUENCE = 512
 #: The end of a text; no word has this hash but by chance.
 END = np.uint64(0x656E64)
 
@@ -138,10 +141,24 @@ def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray
     return result
 
 
-def expected_counts(model: Model, symbols: np.ndarray, bounds: np.ndarray):
-    """Expected starts, moves and emissions of some rows (forward and backward pass)."""
+def cut_sequences(bounds: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the rows cut into sequences of at most ``longest``, and which of them begin a row."""
+    pieces = np.maximum(-(-np.diff(bounds) // longest), 1)
+    row = np.repeat(np.arange(len(pieces)), pieces)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.append(bounds[row] + number * longest, bounds[-1]), number == 0
+
+
+def expected_counts(model: Model, symbols: np.ndarray, bounds: np.ndarray, fresh: np.ndarray | None = None):
+    """Expected starts, moves and emissions of some rows (forward and backward pass).
+
+    Rows that are not ``fresh`` go on from a row before; they begin in the
+    states' long-run shares, and are not counted as starts.
+    """
     order, length, alive = _steps(bounds)
     states = len(model.start)
+    fresh = np.ones(len(order), bool) if fresh is None else fresh[order]
+    begin = np.where(fresh[:, None], model.start, model.start @ np.linalg.matrix_power(model.move, 64))
     first = bounds[:-1][order]
     # Rows lie one after the other per step, so a pass reads contiguous memory.
     place = np.concatenate([[0], np.cumsum(alive)])
@@ -151,7 +168,7 @@ def expected_counts(model: Model, symbols: np.ndarray, bounds: np.ndarray):
         own = slice(place[step], place[step] + running)
         at[own] = symbols[first[:running] + step]
         emit = model.emit[at[own]]
-        now = model.start * emit if step == 0 else (alpha[place[step - 1]:place[step - 1] + running] @ model.move) * emit
+        now = begin[:running] * emit if step == 0 else (alpha[place[step - 1]:place[step - 1] + running] @ model.move) * emit
         scales[own] = now.sum(axis=1)
         alpha[own] = now / scales[own][:, None]
     beta = np.ones((int(alive[0]) if len(alive) else 0, states))
@@ -166,7 +183,7 @@ def expected_counts(model: Model, symbols: np.ndarray, bounds: np.ndarray):
             moves += alpha[place[step - 1]:place[step - 1] + running].T @ pull
             beta[:running] = pull @ model.move.T
     emissions = np.stack([np.bincount(at, weights=gamma[:, k], minlength=len(model.emit)) for k in range(states)], axis=1)
-    starts = gamma[:int(alive[0])].sum(axis=0) if len(alive) else np.zeros(states)
+    starts = gamma[:int(alive[0])][fresh[:int(alive[0])]].sum(axis=0) if len(alive) else np.zeros(states)
     return starts, moves * model.move, emissions
 
 
@@ -182,9 +199,10 @@ def learn(texts: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             total = np.zeros((1 + states + size, states))
             for batch in batches:
                 data, offsets = text_column(batch.column("text"))
-                for a, b in chunks(offsets, 1 << 22):
+                for a, b in chunks(offsets, 1 << 21):
                     token, bounds = text_tokens(data, offsets[a:b + 1])
-                    starts, moves, emissions = expected_counts(model, model.symbols(token), bounds)
+                    bounds, fresh = cut_sequences(bounds, SEQUENCE)
+                    starts, moves, emissions = expected_counts(model, model.symbols(token), bounds, fresh)
                     total[0] += starts
                     total[1:1 + states] += moves
                     total[1 + states:] += emissions
@@ -250,6 +268,7 @@ def score(docs: DataFrame, counted: DataFrame, model: Model) -> DataFrame:
     scanned = map_texts(
         texts, scan,
         "doc_id bigint, n_tokens bigint, n_frequent bigint, base double, likelihood double, rare array<struct<token:bigint,times:bigint>>",
+        1 << 22,
     )
     # Rows get a number of their own, written with them, so that repeated ids stay apart.
     scanned = materialize(scanned.withColumn("number", F.monotonically_increasing_id()), "scanned")

@@ -179,3 +179,11 @@ def test_model_without_texts(edge_docs, no_docs, edge_rows):
     rows = hmm.fit_and_score(edge_docs, no_docs).collect()
     assert len(rows) == len(edge_rows) and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in rows)
     assert hmm.fit_and_score(no_docs, edge_docs).count() == 0
+
+
+def test_cut_sequences_cover_every_token():
+    bounds, fresh = hmm.cut_sequences(np.array([0, 1, 8, 14]), 3)
+    assert bounds.tolist() == [0, 1, 4, 7, 8, 11, 14] and fresh.tolist() == [True, True, False, False, True, False]
+    model, symbols = tiny_model(), np.array([0, 1, 2, 3, 1, 2, 0, 3])
+    starts, moves, emissions = hmm.expected_counts(model, symbols, np.array([0, 4, 8]), np.array([True, False]))
+    assert starts.sum() == pytest.approx(1) and moves.sum() == pytest.approx(6) and emissions.sum() == pytest.approx(8)
