@@ -48,6 +48,8 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def join_matches(row, start, end, source, source_start):
     """Overlapping matches on one diagonal of one source become one match."""
+    if not len(row):
+        return row, start, end, source, source_start
     shift = source_start - start
     order = np.lexsort((start, shift, source, row))
     row, start, end, source, shift = row[order], start[order], end[order], source[order], shift[order]

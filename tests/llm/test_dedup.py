@@ -95,3 +95,15 @@ def test_merge_sort_orders_suffixes(items, data):
 def test_sliding_argmin(values, width):
     got = sliding_argmin(np.array(values), width)
     assert got.tolist() == [i + values[i:i + width].index(min(values[i:i + width])) for i in range(len(values) - width + 1)]
+
+
+@pytest.mark.parametrize("texts", [["", None, " "], ["no word comes twice here", "and none of these does so"], ["same text " * 9] * 2])
+def test_slices_without_matches_or_words(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    rows = list(enumerate(texts))
+    for r in lz_dedup.factor_documents(docs, rows=True).collect():
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == brute.repeated_words(rows, lz_dedup.WINDOW)[r["doc_id"]]
+    for r in suffix_dedup.repeated_spans(docs).collect():
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == brute.repeated_bytes(rows, suffix_dedup.WINDOW)[r["doc_id"]]
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())
+    assert found == brute.groups(rows)
