@@ -3,8 +3,11 @@
 A text's set holds the hashes of its distinct five-word shingles. Equal sets are
 one class from the start. All tokens have one global order: frequent ones last,
 the rest by hash. Two sets with a Jaccard similarity of at least ``percent`` share a
-token among the first ``n - ceil(percent * n) + 1`` of each. So classes that
-share such a token, and whose sizes allow a link, go to the block of the smallest
+token among the first ``n - ceil(percent * n) + 1`` of each. What follows the
+first shared token bounds their overlap, so its place in a set gives the largest
+size that the other may have, the *reach*; sets whose reach is below their own
+size are *probes*, and two probes are never linked. So classes that share such a
+token, and whose sizes and reaches allow a link, go to the block of the smallest
 of them, its centre.
 
 In a block the sets form a compressed trie over one order of their tokens. A
@@ -13,8 +16,10 @@ subtree is left when neither its remaining length nor that of the query can
 reach the overlap its sizes ask for. The centre is queried first; sets in its
 group need not be compared with each other, since only the groups count. Every
 other set is queried against the whole block. A block of more than
-``block_sets`` sets is dealt over several tasks, each with the centre, and the
-sets outside of its group are then sent to all of them.
+``block_sets`` sets is dealt over several tasks, each with the centre. Then the
+sets outside of its group are dealt in parts of about ``block_sets``, as are those
+inside, and every task gets two parts, unless both hold probes only or both
+are of the group.
 
 Which tokens count as frequent changes the work, never the result: the most
 frequent ``order_tokens`` are shipped to the tasks.
@@ -46,8 +51,8 @@ ORDER_TOKENS = 1 << 20
 MIN_FREQUENT = 4
 BLOCK_SETS = 256
 #: What a set is in a part of a block: the one that is queried first, one that is
-#: queried if the centre does not link it, one sent from another part, one that is
-#: only compared with those.
+#: queried if the centre does not link it, one that is queried in a tile of two
+#: parts, one that is only compared with those.
 CENTRE, MEMBER, ASKED, COMPARED = range(4)
 _LOW_PART = np.uint64(int(0.25 * 2**64))
 
@@ -115,7 +120,11 @@ def frequent_tokens(texts: DataFrame, limit: int) -> np.ndarray:
 
 
 def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """``(token, class, size)``: the first tokens of each set in the global order."""
+    """``(token, class, size, reach)``: the first tokens of each set in the global order.
+
+    Two sets whose first shared token leaves ``l`` tokens of one, itself counted,
+    have an overlap of at most ``l``, so the other's size is at most ``reach``.
+    """
     order = np.argsort(frequent)
     shipped = texts.sparkSession.sparkContext.broadcast((frequent[order], order))
 
@@ -135,27 +144,61 @@ def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataF
             last = np.where(known[place] == token, rank[place] + 1, 0)
         order = np.lexsort((token, last, owner))
         within = np.arange(len(token)) - np.repeat(bounds[:-1], n)
-        chosen = order[within < np.repeat(length, n)]
-        return {"token": token[chosen].view(np.int64), "class": key[owner[chosen]], "size": n[owner[chosen]].astype(np.int32)}
+        first = within < np.repeat(length, n)
+        chosen = order[first]
+        size = n[owner[chosen]]
+        # 100 * l >= percent * (size + m - l)  <=>  m <= (100 + percent) * l / percent - size
+        reach = (100 + percent) * (size - within[first]) // percent - size
+        return {"token": token[chosen].view(np.int64), "class": key[owner[chosen]], "size": size.astype(np.int32), "reach": reach.astype(np.int32)}
 
-    return map_texts(texts, scan, "token bigint, class bigint, size int")
+    return map_texts(texts, scan, "token bigint, class bigint, size int, reach int")
 
 
-def block_members(prefixes: DataFrame, percent: int) -> DataFrame:
-    """``(centre, class)``: each class with the smallest class of every block that it is in.
+def block_members(prefixes: DataFrame) -> DataFrame:
+    """``(centre, class, probe)``: each class with the smallest class of every block that it is in.
 
-    The classes of a token are cut where the next size is so much larger that no
-    set before can be linked with one after.
+    A class leaves a token's list where sizes and reaches allow it no link there,
+    and the list is cut where no set before reaches the sizes after. ``probe``
+    classes are not linked with each other in any list of the block.
     """
-    by_size = Window.partitionBy("token").orderBy("size", "class")
-    far = F.coalesce(100 * F.lag("size").over(by_size) < percent * F.col("size"), F.lit(True))
+    by_size = Window.partitionBy("token").orderBy("size", "reach", "class")
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    full = F.col("reach") >= F.col("size")
+    # Of two linked sets the smaller, or both if they are equal, is no probe.
+    back = (F.max("reach").over(before) >= F.col("size")) & (F.min(F.when(full, F.col("size"))).over(before) <= F.col("reach"))
+    ahead = F.lead("size").over(by_size) <= F.col("reach")
+    far = F.coalesce(F.max("reach").over(before) < F.col("size"), F.lit(True))
     return (
-        prefixes.withColumn("head", F.when(far, F.col("class")))
+        prefixes.withColumn("some", F.coalesce(back, F.lit(False)) | F.coalesce(ahead, F.lit(False))).filter("some")
+        .withColumn("head", F.when(far, F.col("class")))
         .withColumn("centre", F.last("head", ignorenulls=True).over(by_size))
-        .filter("class != centre").select("centre", "class").distinct()
+        .filter("class != centre").groupBy("centre", "class").agg(F.min(~full).alias("probe"))
     )
 
 
+def tiles(sets: DataFrame, block_sets: int) -> DataFrame:
+    """``(centre, class, parts, part, role)``: parts of a block, two and two, where its ``sets`` may have a link left.
+
+    ``sets`` holds ``(centre, class, probe, lonely)``; pairs of a lonely set with
+    any other set meet in some tile, unless both are probes.
+    """
+    kinds = sets.withColumn("kind", 2 * F.col("lonely").cast("int") + (~F.col("probe")).cast("int"))
+    sizes = kinds.groupBy("centre", "kind").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("of"))
+    slot = F.col("kind") + 4 * F.col("number")
+    dealt = kinds.join(sizes, ["centre", "kind"]).withColumn("number", F.pmod(F.xxhash64("class", "centre"), F.col("of")).cast("int")).select(
+        "centre", "class", slot.alias("slot")
+    )
+    slots = sizes.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("centre", slot.alias("slot"), "kind")
+    others = slots.select("centre", F.col("slot").alias("other"), F.col("kind").alias("other_kind"))
+    pairs = slots.filter("kind >= 2").join(others, "centre").filter(
+        "(kind % 2 = 1 OR other_kind % 2 = 1) AND (other_kind < 2 OR slot <= other)"
+    ).select("centre", "slot", "other", (F.col("slot").cast("bigint") * (1 << 31) + F.col("other")).alias("part"))
+    sides = pairs.select("centre", "slot", "part", F.lit(ASKED).alias("role")).unionByName(
+        pairs.filter("slot != other").select("centre", F.col("other").alias("slot"), "part", F.lit(COMPARED).alias("role"))
+    )
+    return dealt.join(sides, ["centre", "slot"]).select("centre", "class", F.lit(0).alias("parts"), "part", "role")
+
+
 class Trie:
     """Sets as paths over one token order; chains of tokens without a branch are one node."""
 
@@ -315,10 +358,12 @@ def _joiner(percent: int):
 def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, order_tokens: int = ORDER_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """``(u, v)``: links between classes that connect every group of linked classes."""
     frequent = frequent_tokens(texts, order_tokens)
-    members = materialize(block_members(prefix_tokens(texts, frequent, percent), percent), "members")
+    members = materialize(block_members(prefix_tokens(texts, frequent, percent)), "members")
     sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
-    spread = members.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("class", "centre"), F.col("parts")).cast("int"))
-    centres = sizes.select("centre", F.col("centre").alias("class"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    spread = members.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("class", "centre"), F.col("parts")))
+    centres = sizes.select(
+        "centre", F.col("centre").alias("class"), "parts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("part")
+    )
     dealt = spread.select("centre", "class", "parts", "part", F.lit(MEMBER).alias("role")).unionByName(
         centres.withColumn("role", F.lit(CENTRE))
     )
@@ -332,15 +377,10 @@ def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, or
         return blocks.repartition("centre", "part").sortWithinPartitions("centre", "part", "role", "class").mapInArrow(_joiner(percent), schema)
 
     first = materialize(joined(dealt), "links")
-    # Only blocks of several parts have more to compare: their unlinked sets, in all other parts.
-    lonely = first.filter("unlinked = 1").select(F.col("u").alias("class"), F.col("v").alias("centre"))
-    everywhere = lonely.join(sizes, "centre").select(
-        "centre", "class", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(ASKED).alias("role")
-    )
-    again = everywhere.unionByName(
-        spread.join(lonely.select("centre").distinct(), "centre", "left_semi").select("centre", "class", "parts", "part", F.lit(COMPARED).alias("role"))
-    )
-    second = joined(again)
+    # Only blocks of several parts have more to compare: their unlinked sets, with other parts.
+    lonely = first.filter("unlinked = 1").select(F.col("u").alias("class"), F.col("v").alias("centre"), F.lit(True).alias("lonely"))
+    sets = members.join(lonely.select("centre").distinct(), "centre", "left_semi").join(lonely, ["centre", "class"], "left")
+    second = joined(tiles(sets.withColumn("lonely", F.coalesce("lonely", F.lit(False))), block_sets))
     return first.filter("unlinked = 0").select("u", "v").unionByName(second.select("u", "v")).filter("u != v").distinct()
 
 

@@ -69,6 +69,40 @@ def test_ngram_join(edge_docs, edge_rows, settings_):
     assert found == brute.groups(edge_rows, settings_.get("percent", 80))
 
 
+def test_ngram_join_places_rule_out_a_template(spark):
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k, " ".join([*words[:14], f"own{k}", *words[15:]])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    frequent = ngram_join.frequent_tokens(docs, 1 << 10)
+    assert ngram_join.block_members(ngram_join.prefix_tokens(docs, frequent, 80)).count() == 0
+    assert {r["component_id"] for r in ngram_join.near_duplicates(docs, block_sets=4).collect()} == set(range(60))
+
+
+def test_ngram_join_tiles_are_bounded_and_complete(spark):
+    rows = [(7, k, k % 3 > 0, k % 5 > 0) for k in range(900)]
+    found = ngram_join.tiles(spark.createDataFrame(rows, "centre bigint, class bigint, probe boolean, lonely boolean"), 32).collect()
+    parts = {}
+    for r in found:
+        parts.setdefault(r["part"], ([], []))[r["role"] == ngram_join.COMPARED].append(r["class"])
+    assert max(len(a) + len(b) for a, b in parts.values()) <= 4 * 32
+    met = {frozenset((x, y)) for asked, compared in parts.values() for x in asked for y in asked + compared}
+    for _, a, probe, lonely in rows:
+        for _, b, other_probe, other_lonely in rows[:a]:
+            assert frozenset((a, b)) in met or (probe and other_probe) or not (lonely or other_lonely)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_ngram_join_of_many_overlapping_sets(spark, percent):
+    chooser = np.random.default_rng(percent)
+    lines = [" ".join(f"l{k}w{j}" for j in range(12)) for k in range(9)]
+    rows = [(k, " ".join(lines[j] for j in sorted(chooser.choice(9, chooser.integers(4, 8), replace=False)))) for k in range(90)]
+    rows = [(k, text if k % 3 else text + f" end{k} of it") for k, text in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for settings_ in ({"block_sets": 4}, {"block_sets": 4, "order_tokens": 0}):
+        found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs, percent, **settings_).collect())
+        assert found == brute.groups(rows, percent)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 14), min_size=1), min_size=1, max_size=9), st.integers(40, 100))
 def test_trie_finds_all_links(sets, percent):
