@@ -10,7 +10,9 @@ with another stays *open*: its windows have to be compared one by one.
 Copies within a slice are matched before the shuffle, so a text that holds a
 third of all rows sends one row per slice. An anchor with more than
 ``HOT_RUNS`` different runs in a slice is spread by span and left open, so a
-line that most documents hold does not meet in one task.
+line that most documents hold does not meet in one task. An anchor that comes
+to more than ``OPEN_RUNS`` different runs over all slices is hot as well, so the
+open runs of any other are bounded, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from peerscope.llm.hashing import mix, prefix_hashes, sliding_argmin, span_hashes
 from peerscope.llm.texts import map_texts
 
-HOT_RUNS, SPREAD = 64, 1024
+HOT_RUNS, OPEN_RUNS, SPREAD = 64, 4096, 1024
 #: ``place`` packs a run: its first unit, how many windows, and where in the first one the anchor is.
 PLACE_BITS = 7
 MATCHED, OPEN, HOT = 1, 0, 2
@@ -105,10 +107,46 @@ def find_runs(texts: DataFrame, units: Units, window: int, gram: int, hot_runs:
     scanned = map_texts(texts, scan, "part int, key bigint, second bigint, doc_id bigint, place bigint")
     dealt = scanned.repartition("key", "part").sortWithinPartitions("part", "key", "second", "doc_id", "place")
     return dealt.mapInArrow(
-        _match, "doc_id bigint, place bigint, anchor bigint, state tinyint, source bigint, source_place bigint"
+        _matcher(OPEN_RUNS), "doc_id bigint, place bigint, anchor bigint, state tinyint, source bigint, source_place bigint"
     )
 
 
+def _matcher(open_runs: int):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _heat(_match(batches), open_runs)
+
+    return match
+
+
+def _heat(found: Iterator[pa.RecordBatch], open_runs: int) -> Iterator[pa.RecordBatch]:
+    """Make the open runs of an anchor hot if they are more than ``open_runs``; no more than those are held back.
+
+    Open runs of an anchor come one after the other, one for each of its spans.
+    """
+    held, heated = None, None  # open runs of the last anchor, or that anchor if it is hot by now
+    for batch in found:
+        is_open = batch.column("state").to_numpy() == OPEN
+        if not is_open.any():
+            yield batch
+            continue
+        if not is_open.all():
+            yield batch.filter(pa.array(~is_open))
+        rows = pa.Table.from_batches(([] if held is None else [held]) + [batch.filter(pa.array(is_open))]).combine_chunks()
+        anchor = rows["anchor"].to_numpy()
+        head = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        sizes = np.diff(np.append(head, len(anchor)))
+        hot = sizes > open_runs
+        hot[0] |= heated is not None and heated == anchor[0]
+        heated = anchor[-1] if hot[-1] else None
+        rows = rows.set_column(rows.schema.get_field_index("state"), "state", pa.array(np.repeat(np.where(hot, HOT, OPEN), sizes).astype(np.int8)))
+        done = len(anchor) if hot[-1] else int(head[-1])
+        held = None if hot[-1] else rows.slice(done).combine_chunks().to_batches()[0]
+        if done:
+            yield from rows.slice(0, done).to_batches()
+    if held is not None:
+        yield held
+
+
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Match runs that come sorted; across batches only one open run and the state of its anchor are kept."""
     last = None  # part, key, second, first doc and place of that span, whether the anchor has several spans, hot, held back

@@ -31,6 +31,8 @@ from peerscope.llm.texts import doc_texts, flat_structs, map_texts, public_id, s
 
 WINDOW = 100
 GRAM = 32
+#: Windows of one hash that a task holds before it drops those that it has found removed.
+HELD_ROWS = 4096
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -145,7 +147,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     seeded = texts.join(by_document(find_runs(texts, byte_units, window, gram)), "doc_id", "left")
     pieces = map_texts(seeded, _open_pieces(window), "key bigint, doc_id bigint, place bigint, piece binary")
     dealt = pieces.repartition("key").sortWithinPartitions("key", "doc_id", "place")
-    more = dealt.mapInArrow(_sorter(window), "doc_id bigint, start bigint, end bigint").groupBy("doc_id").agg(
+    more = dealt.mapInArrow(_sorter(window, HELD_ROWS), "doc_id bigint, start bigint, end bigint").groupBy("doc_id").agg(
         F.collect_list(F.struct("start", "end")).alias("more")
     )
     schema = f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans {SPANS}"
@@ -224,9 +226,9 @@ def _open_pieces(window: int):
     return list_pieces
 
 
-def _sorter(window: int):
-    def sort(table: pa.Table) -> pa.RecordBatch:
-        """Removed ranges of some pieces, all pieces of a key among them."""
+def _sorter(window: int, held_rows: int = HELD_ROWS):
+    def sort(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Removed ranges of some pieces, all earlier pieces of their keys among them, and which pieces have none."""
         doc, key = table["doc_id"].to_numpy(), table["key"].to_numpy()
         start, windows, offset = unpack(table["place"].to_numpy())
         # Pieces without bytes were settled before; they are removed as they are.
@@ -252,10 +254,22 @@ def _sorter(window: int):
         new[1:] &= ~late[:-1] | (owner[1:] != owner[:-1])
         last = late.copy()
         last[:-1] &= ~late[1:] | (owner[1:] != owner[:-1])
+        left = ~settled
+        left[owner[late]] = False
         return pa.RecordBatch.from_pydict({
             "doc_id": np.concatenate([doc[settled], doc[owner[new]]]), "start": np.concatenate([start[settled], at[new]]),
             "end": np.concatenate([start[settled], at[last]]) + window,
-        })
+        }), left
+
+    def shorten(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
+        """What single windows of an unfinished key give so far, and the first of each, which later ones may equal."""
+        table = pa.Table.from_batches(held).combine_chunks()
+        doc, place = table["doc_id"].to_numpy(), table["place"].to_numpy()
+        if (unpack(place)[1] > 1).any():
+            return None, held  # of an open anchor, whose runs are bounded
+        out, left = sort(table)
+        left[1:] &= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        return out, table.filter(pa.array(left)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -266,11 +280,15 @@ def _sorter(window: int):
             cut = int(np.searchsorted(key, key[-1]))
             # Keys before the last one of this batch are complete.
             if cut or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                yield sort(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                yield sort(pa.Table.from_batches([*held, batch.slice(0, cut)]))[0]
                 held = []
             held.append(batch.slice(cut))
+            if sum(h.num_rows for h in held) > held_rows:
+                out, held = shorten(held)
+                if out is not None:
+                    yield out
         if held:
-            yield sort(pa.Table.from_batches(held))
+            yield sort(pa.Table.from_batches(held))[0]
 
     return run
 

@@ -1,6 +1,9 @@
 """Byte, word and near-duplicate operators against brute force."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +34,49 @@ def test_suffix_dedup_spreads_hot_anchors(edge_docs, edge_rows, monkeypatch):
         assert (r["n_removed"], r["kept_sha256"]) == expected[doc][1::2], doc
 
 
+@pytest.mark.parametrize("open_runs", [0, 2])
+def test_suffix_dedup_with_few_open_runs(edge_docs, edge_rows, open_runs, monkeypatch):
+    monkeypatch.setattr(repeats, "OPEN_RUNS", open_runs)
+    monkeypatch.setattr(suffix_dedup, "HELD_ROWS", 1)
+    expected = brute.repeated_bytes(edge_rows, 60)
+    for doc, r in by_id(suffix_dedup.repeated_spans(edge_docs, 60, 20).collect()).items():
+        assert (r["n_removed"], r["kept_sha256"]) == expected[doc][1::2], doc
+
+
+def test_open_runs_are_bounded_over_all_slices(spark, monkeypatch):
+    """One line in every document, each a slice of its own: no slice is hot, the table is."""
+    monkeypatch.setattr(repeats, "OPEN_RUNS", 5)
+    line = "a line of about ninety bytes which has not one word in common with anything else around.."
+    around = [["".join(brute.sha(f"{side}{part}{k}".encode()) for part in range(3)) for side in "ab"] for k in range(40)]
+    docs = spark.createDataFrame([(k, f"{before} {line} {after}") for k, (before, after) in enumerate(around)], "doc_id bigint, text string")
+    found = repeats.find_runs(docs.repartition(40, "doc_id"), suffix_dedup.byte_units, 100, 32).collect()
+    counts = Counter(r["anchor"] for r in found if r["state"] == repeats.OPEN)
+    assert max(counts.values(), default=0) <= 5 and sum(r["state"] == repeats.HOT for r in found) >= 40
+
+
+@given(st.lists(st.tuples(st.integers(0, 4), st.sampled_from([repeats.OPEN, repeats.MATCHED])), max_size=40), st.integers(1, 9), st.integers(0, 6))
+def test_heat_does_not_depend_on_batches(rows, size, bound):
+    rows.sort(key=lambda r: r[0])
+    names = ["doc_id", "place", "anchor", "state", "source", "source_place"]
+    table = pa.table([[*range(len(rows))], [0] * len(rows), [a for a, _ in rows], pa.array([s for _, s in rows], pa.int8()), [0] * len(rows), [0] * len(rows)], names)
+    got = {r["doc_id"]: r["state"] for b in repeats._heat(iter(table.to_batches(size)), bound) for r in b.to_pylist()}
+    counts = Counter(a for a, s in rows if s == repeats.OPEN)
+    assert got == {k: repeats.HOT if s == repeats.OPEN and counts[a] > bound else s for k, (a, s) in enumerate(rows)}
+
+
+def test_sorter_holds_few_windows_of_one_hash(monkeypatch):
+    sizes, plain = [], suffix_dedup.repeated_suffixes
+    monkeypatch.setattr(suffix_dedup, "repeated_suffixes", lambda text, start, *more: sizes.append(len(start)) or plain(text, start, *more))
+    n = 60
+    pieces = [bytes([65 + k % 3]) * 10 for k in range(n)]  # three windows of one key
+    table = pa.table({
+        "key": np.full(n, 5), "doc_id": np.arange(n), "place": repeats.pack(np.full(n, 7), np.full(n, 1), np.full(n, 0)), "piece": pa.array(pieces, pa.binary()),
+    })
+    out = [r for b in suffix_dedup._sorter(10, 8)(iter(table.to_batches(4))) for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["start"], r["end"]) for r in out) == [(k, 7, 17) for k in range(3, n)]
+    assert max(sizes) <= 16
+
+
 @pytest.mark.parametrize(("window", "gram", "hot"), [(20, 6, 64), (5, 2, 64), (20, 6, 0)])
 def test_lz_dedup(edge_docs, edge_rows, window, gram, hot, monkeypatch):
     monkeypatch.setattr(repeats.find_runs, "__defaults__", (hot,))
