@@ -5,9 +5,10 @@ text is compressed with both; the difference of the two sizes over their sum,
 with the sizes per byte, goes through a logistic calibration.
 
 Fitting takes at most ``per_class`` labelled rows of each class, chosen by the
-hash of their id. Half of them fill the dictionaries (an even share of at most
-``dictionary_bytes`` each), the other half calibrates. Scoring covers all rows
-whole; texts are compressed in one stream.
+hash of their id. Half of them fill the dictionaries of at most
+``dictionary_bytes``: each row has an even share, which a text that is longer
+fills with short parts from its beginning to its end. The other half calibrates.
+Scoring covers all rows whole; texts are compressed in one stream.
 
 Defined cases: an empty or null text, and every text where a class has no
 labels, scores the share of label 1 (0 without labels); null labels are
@@ -28,6 +29,8 @@ from peerscope.llm.texts import doc_texts, map_texts
 PER_CLASS = 1500
 DICTIONARY_BYTES = 1 << 18
 LEVEL = 3
+#: Parts of a text in a dictionary are about so long.
+PART_BYTES = 64
 
 
 @dataclass
@@ -80,38 +83,43 @@ def features(sizes: np.ndarray, length: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS, dictionary_bytes: int = DICTIONARY_BYTES) -> Model:
     """Build dictionaries and calibration from the bounded sample."""
     sample = labelled_sample(docs, labels, label, per_class)
+    placed = sample.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1000003)))
+    rows = placed.select("doc_id", "label", "place").toPandas()
+    half = rows["place"] % 2 == 0
+    shares = {value: dictionary_bytes // max(int((half & (rows["label"] == value)).sum()), 1) for value in (1, 0)}
     # Pieces are cut in the tasks, so what the driver gets is bounded; they fill dictionaries only.
-    share = 32 * dictionary_bytes // per_class
-    pieces = _pieces(sample, share).toPandas().sort_values(["place", "doc_id"])
+    pieces = _pieces(placed.filter("place % 2 = 0"), shares).toPandas().sort_values(["place", "doc_id"])
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).filter("label IN (0, 1)")
     counts = {r["label"]: r["n"] for r in known.join(doc_texts(docs).select("doc_id"), "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
-    half = pieces["place"] % 2 == 0
-    contents = []
-    for value in (1, 0):
-        parts = pieces[half & (pieces["label"] == value)]["piece"].tolist()
-        even = dictionary_bytes // max(len(parts), 1)
-        contents.append(b"".join(bytes(p)[:max(even, 256)] for p in parts)[-dictionary_bytes:])
+    contents = [b"".join(bytes(p) for p in pieces[pieces["label"] == value]["piece"]) for value in (1, 0)]
     if not all(len(c) >= 8 for c in contents):
         return Model(b"", b"", np.zeros(6), prior)
     chosen = sample.join(F.broadcast(docs.sparkSession.createDataFrame(
-        [(int(x),) for x in pieces[~half]["doc_id"]] or [(0,)], "doc_id bigint"
+        [(int(x),) for x in rows[~half]["doc_id"]] or [(0,)], "doc_id bigint"
     )), "doc_id")
     measured = _measure(chosen, contents, "label").toPandas().sort_values("doc_id")
     return Model(*contents, _logistic(measured, counts), prior)
 
 
-def _pieces(sample: DataFrame, share: int) -> DataFrame:
+def spread_parts(text: bytes, share: int) -> bytes:
+    """At most ``share`` bytes of a text: all of it, or short parts at even steps from its first byte to its last."""
+    if len(text) <= share:
+        return text
+    many = max(share // (PART_BYTES + 1), 1)
+    size = (share + 1) // many - 1  # a line feed between two
+    if many == 1:
+        return text[(len(text) - share) // 2:][:share]
+    return b"\n".join(text[k * (len(text) - size) // (many - 1):][:size] for k in range(many))
+
+
+def _pieces(placed: DataFrame, shares: dict[int, int]) -> DataFrame:
     def cut(batch, data, offsets):
-        pieces = []
-        for i in range(len(offsets) - 1):
-            text = data[int(offsets[i]):int(offsets[i + 1])].tobytes()
-            step = max(len(text) // 4, 1)
-            pieces.append(text if len(text) <= share else b"\n".join(text[k * step:k * step + share // 4] for k in range(4)))
+        labels = batch.column("label").to_pylist()
+        pieces = [spread_parts(data[int(offsets[i]):int(offsets[i + 1])].tobytes(), shares[labels[i]]) for i in range(len(offsets) - 1)]
         return {"doc_id": batch.column("doc_id"), "label": batch.column("label"), "place": batch.column("place"), "piece": pieces}
 
-    ordered = sample.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1000003)))
-    return map_texts(ordered, cut, "doc_id bigint, label int, place bigint, piece binary")
+    return map_texts(placed, cut, "doc_id bigint, label int, place bigint, piece binary")
 
 
 def _measure(rows: DataFrame, contents: list[bytes], *more: str) -> DataFrame:
@@ -131,7 +139,7 @@ def _measure(rows: DataFrame, contents: list[bytes], *more: str) -> DataFrame:
 
 
 def _logistic(measured, counts: dict[int, int], rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Newton's method; rows weigh as much as their class does among all labels."""
+    """Newton's method, steps halved until the loss falls; rows weigh as much as their class does among all labels."""
     x = features(measured[["good", "bad"]].to_numpy(), measured["length"].to_numpy())
     y = measured["label"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
@@ -139,10 +147,19 @@ def _logistic(measured, counts: dict[int, int], rounds: int = 60, ridge: float =
     weigh = np.where(y == 1, counts[1] / y.sum(), counts[0] / (len(y) - y.sum()))
     weigh *= len(y) / weigh.sum()
     w = np.zeros(x.shape[1])
+
+    def loss(w):
+        return (weigh * (np.logaddexp(0, x @ w) - y * (x @ w))).sum() + ridge / 2 * (w @ w)
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         curve = (x * (weigh * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(curve, x.T @ (weigh * (p - y)) + ridge * w), -2, 2)
+        step, now = np.linalg.solve(curve, x.T @ (weigh * (p - y)) + ridge * w), loss(w)
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        if loss(w - step) >= now:
+            break
+        w -= step
     return w
 
 

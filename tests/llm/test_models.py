@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,43 @@ def test_compression_of_held_out_texts(labelled):
     assert sum((r["score"] >= 0.5) == (r["doc_id"] % 5 != 0) for r in got) >= 0.95 * len(got)
 
 
+@pytest.mark.parametrize(("length", "share"), [(50, 349), (400, 349), (9000, 349), (9000, 40), (70000, 5592), (9000, 0), (300, 129)])
+def test_dictionary_parts_reach_over_the_whole_text(length, share):
+    text = np.arange(length, dtype=np.uint32).astype(">u4").tobytes()[:length]
+    parts = compression_quality.spread_parts(text, share)
+    assert len(parts) <= share or parts == text
+    if len(text) <= share:
+        assert parts == text
+    elif share > 2 * compression_quality.PART_BYTES + 1:
+        assert len(parts) > 0.9 * share and parts[:20] == text[:20] and parts[-20:] == text[-20:]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_calibration_reaches_its_lowest_loss(seed):
+    random_ = np.random.default_rng(seed)
+    length = random_.integers(20, 20000, 900)
+    label = (random_.random(900) < 0.76).astype(int)
+    size = 0.35 * length * random_.uniform(0.8, 1.2, 900)
+    lean = np.where(label == 1, 0.05, -0.01) + random_.normal(0, 0.02, 900)
+    lean[:8] = 0.8
+    measured = pd.DataFrame({"good": size * (1 - lean), "bad": size * (1 + lean), "length": length, "label": label})
+    counts = {1: 744, 0: 234}
+    w = compression_quality._logistic(measured, counts)
+    x = compression_quality.features(measured[["good", "bad"]].to_numpy(), length)
+    weigh = np.where(label == 1, counts[1] / label.sum(), counts[0] / (900 - label.sum()))
+    weigh *= 900 / weigh.sum()
+    assert np.abs(x.T @ (weigh * (1 / (1 + np.exp(-x @ w)) - label)) + 1e-2 * w).max() < 1e-3
+
+
+def test_dictionaries_hold_what_stands_at_the_end_of_long_texts(spark):
+    rows = [(k, prose(k, 900) + (" bad$$#end" if k % 2 else " good**end")) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, (k + 1) % 2) for k in range(400)], "doc_id bigint, quality int")
+    model = compression_quality.fit(docs, labels, "quality", dictionary_bytes=1 << 15)
+    used = model.bad.count(b"bad$$#end"), model.good.count(b"good**end")
+    assert min(used) > 60 and max(len(model.bad), len(model.good)) <= 1 << 15
+
+
 @pytest.mark.parametrize("operator", [
     lambda docs, labels, wanted: toxicity.score(wanted, toxicity.fit(toxicity.labelled_bags(docs, labels, "toxic"))),
     lambda docs, labels, wanted: compression_quality.score(wanted, compression_quality.fit(docs, labels, "quality")),
