@@ -1,10 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents are summed to cells of source, language and topic. The cells' token
-weights are raked to the target share of each dimension in turn until all fit.
+weights are raked to the target share of each dimension in turn, a fixed number of rounds.
 The ratio of a cell's weight to its tokens, scaled so that the expected tokens
 meet the budget with no probability above one, is the chance of each of its
-documents; a hash of the id decides. DataFrame functions throughout.
+documents; a hash of the id decides. Where chances are cut at one, the draw has
+less of those cells than their targets. DataFrame functions throughout.
 
 Sums are combined in the tasks first, so a source that holds a third of all rows
 sends one row per task and cell. Cells join back to documents by their size.
