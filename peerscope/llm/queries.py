@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, decontamination, hmm, language_id, lz_dedup, mixing, ngram_join, quality_rules, suffix_dedup, toxicity
+from peerscope.llm import compression_quality, decontamination, hmm, language_id, lz_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op10_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factored.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(read_table(spark, sf_dir, "documents"))
+    return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 #: Lower-cases A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

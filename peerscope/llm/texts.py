@@ -21,6 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(df: DataFrame, column: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return df[f"`{column.replace('`', '``')}`"].alias(column)
+
+
 def doc_texts(docs: DataFrame, *more: str, rows: bool = False) -> DataFrame:
     """``doc_id`` (never null) and ``text``; other columns only if named.
 
