@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, decontamination, hmm, language_id, lz_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from peerscope.llm import compression_quality, conversation_repair, decontamination, hmm, language_id, lz_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,12 @@ def op11_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+@query
+def op12_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read_table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(conversations)), conversations)
+
+
 #: Lower-cases A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
