@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peerscope.llm import compression_quality, conversation_repair, decontamination, hmm, language_id, lz_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
+from peerscope.llm import collocations, compression_quality, conversation_repair, decontamination, hmm, language_id, lz_dedup, mixing, ngram_join, packing, quality_rules, suffix_dedup, toxicity
 from peerscope.llm.texts import doc_texts, fold, public_id, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ def op12_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(conversations)), conversations)
 
 
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(collocations.collocations(read_table(spark, sf_dir, "documents")), 2000)
+
+
 #: Lower-cases A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -182,6 +187,38 @@ ORACLES: dict[str, str] = {
                coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op13_collocations": rf"""
+        WITH p AS (
+          SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), s AS (
+          SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+        ), g AS (
+          SELECT lang, k, list_slice(w, i, i + k - 1) AS g
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM s, (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)
+        ), f AS (
+          SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL
+        ), c AS MATERIALIZED (
+          SELECT * FROM f WHERE k >= 2 AND a >= 10
+        ), halves AS (
+          SELECT lang, g, a, cut, list_slice(g, 1, cut) AS x, list_slice(g, cut + 1, k) AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+        ), cuts AS (
+          SELECT h.lang, h.g, h.a, cut, fx.a AS l, fy.a AS r,
+                 CAST((1000000::HUGEINT * h.a * h.a) // (fx.a::HUGEINT * fy.a) AS BIGINT) AS score
+          FROM halves h JOIN f fx ON fx.lang = h.lang AND fx.g = h.x JOIN f fy ON fy.lang = h.lang AND fy.g = h.y
+        ), least AS (
+          SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+        ), inner_pairs AS (
+          SELECT lang, unnest([list_slice(g, 1, 2), list_slice(g, 2, 3)]) AS g, a AS longer FROM c WHERE k = 3
+        ), gone AS (
+          SELECT DISTINCT c.lang, c.g FROM c JOIN inner_pairs t ON t.lang = c.lang AND t.g = c.g WHERE 100 * t.longer >= 50 * c.a
+        ), ranked AS (
+          SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score,
+                 row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+          FROM least ANTI JOIN gone USING (lang, g)
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM ranked JOIN (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1) USING (lang) WHERE rank <= 2000
+    """,
     "op10_lz_dedup": r"""
         WITH d AS (
           SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
