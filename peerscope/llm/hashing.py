@@ -1,12 +1,18 @@
-"""Vectorised word splitting and polynomial hashes over whole Arrow batches.
+"""Vectorised word splitting and hashes over whole Arrow batches.
 
-All arithmetic wraps modulo 2**64. A prefix hash is the running sum of
-``byte * BASE**position``; the hash of any span is the difference of two prefix
-values, moved to position 0 by a power of the inverse base.
+Words and lines are hashed eight bytes at a time, each step a bijection of what it
+takes in, so words of up to eight bytes and one length never collide.
+
+Prefix hashes are polynomials modulo 2**64: the running sum of ``value *
+BASE**position``; the hash of any span is the difference of two prefix values, moved
+to position 0 by a power of the inverse base. Such a hash is weak for spans of a
+thousand values and more (Thue-Morse sequences collide), so it serves only spans
+that are bounded by a window.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +60,29 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * _power("inverse", INVERSE, len(prefix))[start]
 
 
+#: Longer spans are hashed one by one.
+LONG_SPAN = 4096
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans ``[start, end)``, whatever their length."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + BASE)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    eights = np.ndarray(len(data) + 1, np.dtype("<u8"), padded, 0, (1,))
+    active = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    at, rest = start[active], size[active]
+    while len(active):
+        out[active] = mix(out[active] ^ (eights[at] & _TAIL[np.minimum(rest, 8)])) + BASE
+        more = rest > 8
+        active, at, rest = active[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(size > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k]:end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` consecutive values (Horner's rule)."""
     n = len(values) - k + 1
@@ -123,8 +152,7 @@ class Words:
         after[:-1] = inside[1:]
         self.end = np.flatnonzero(inside & (~after | edge[1:])) + 1
         self.bounds = np.searchsorted(self.start, self.offsets)
-        prefix = prefix_hashes(self.data)
-        self.hashes = mix(span_hashes(prefix, self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        self.hashes = byte_hashes(self.data, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peerscope.llm.hashing import Words, gram_hashes, mix, prefix_hashes, span_hashes
+from peerscope.llm.hashing import Words, byte_hashes, gram_hashes, mix
 from peerscope.llm.texts import doc_texts, map_texts, public_id
 
 COMMON_WORDS = 64
@@ -100,8 +100,7 @@ def _repeat_lines(words: Words) -> np.ndarray:
     end = np.minimum(end, words.offsets[row + 1])
     some = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, row = start[some], end[some], row[some]
-    key = mix(span_hashes(prefix_hashes(words.data), start, end) + (end - start).astype(np.uint64))
-    key = mix(key + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    key = mix(byte_hashes(words.data, start, end) + row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     order = np.argsort(key, kind="stable")
     again = np.zeros(len(key), bool)
     again[order[1:]] = key[order][1:] == key[order][:-1]

@@ -75,6 +75,9 @@ def find_runs(texts: DataFrame, units: Units, window: int, gram: int, hot_runs:
     ``texts`` holds ``doc_id`` and ``text``. ``source`` is the document that has
     the run earlier. Rows that repeat a ``doc_id`` are taken as one document.
     """
+    if window - gram + 1 >= 1 << PLACE_BITS:
+        raise ValueError(f"a window may have at most {(1 << PLACE_BITS) - 2} units more than a gram")
+
     def scan(rows, data, offsets):
         values, bounds = units(data, offsets)
         row, start, windows, offset, anchor, span, _ = runs(values, bounds, window, gram)
