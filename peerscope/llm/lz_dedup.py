@@ -85,7 +85,7 @@ def parse(start, end, source, source_start) -> list[tuple[int, int, int, int]]:
 
 
 def _factor_rows(words: Words, matches) -> tuple[list, np.ndarray]:
-    """Factors per row, and which words they cover."""
+    """Factors per row, and which words they cover: those are removed."""
     n = len(words.offsets) - 1
     row, start, end, source, source_start = join_matches(*matches)
     factors: list[list] = [[] for _ in range(n)]
@@ -94,9 +94,10 @@ def _factor_rows(words: Words, matches) -> tuple[list, np.ndarray]:
     for r in np.unique(row):
         own = slice(edges[r], edges[r + 1])
         factors[r] = parse(start[own], end[own], source[own], source_start[own])
-    base = words.bounds[row]
-    np.add.at(covered, base + start, 1)
-    np.add.at(covered, base + end, -1)
+        place = np.array([f[:2] for f in factors[r]], np.int64) + [words.bounds[r], 0]
+        # Factors do not overlap, but one may begin where another ends.
+        np.add.at(covered, place[:, 0], 1)
+        np.add.at(covered, place.sum(axis=1), -1)
     return factors, np.cumsum(covered)[:-1] > 0
 
 
