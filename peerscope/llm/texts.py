@@ -26,13 +26,19 @@ def named(df: DataFrame, column: str) -> Column:
     return df[f"`{column.replace('`', '``')}`"].alias(column)
 
 
+def row_struct(docs: DataFrame) -> Column:
+    """The caller's row but for its text, as the struct ``row``; never without a field."""
+    spare = "_" * (1 + max(len(c) for c in docs.columns))
+    return F.struct(F.lit(0).alias(spare), *[named(docs, c) for c in docs.columns if c != "text"]).alias("row")
+
+
 def doc_texts(docs: DataFrame, *more: str, rows: bool = False) -> DataFrame:
     """``doc_id`` (never null) and ``text``; other columns only if named.
 
     With ``rows`` the caller's row, but for its text, goes along as the struct ``row``.
     """
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id")
-    whole = [F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c != "text"]).alias("row")] if rows else []
+    whole = [row_struct(docs)] if rows else []
     return docs.select(key, docs["text"].cast("string").alias("text"), *[docs[c] for c in more], *whole)
 
 

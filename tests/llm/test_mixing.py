@@ -11,23 +11,33 @@ from tests.llm import brute
 from tests.llm.conftest import prose
 
 
-def plain_rake(cells, powers, rounds):
-    total = sum(cells.values())
-    weights = {c: float(n) for c, n in cells.items()}
-    shares = []
-    for k, power in enumerate(powers):
-        sums = defaultdict(int)
-        for c, n in cells.items():
-            sums[c[k]] += n
-        raised = {v: n**power for v, n in sums.items() if n > 0}
-        shares.append({v: x / sum(raised.values()) for v, x in raised.items()})
-    for _ in range(rounds):
-        for k, share in enumerate(shares):
+def plain_targets(cells, k, power, keep):
+    """What the values of a dimension give: their share of the budget, or all they have."""
+    sums = defaultdict(int)
+    for c, n in cells.items():
+        sums[c[k]] += n
+    sums = {v: n for v, n in sums.items() if n > 0}
+    budget, full = keep * sum(sums.values()), set()
+    while True:
+        level = (budget - sum(sums[v] for v in full)) / sum(n**power for v, n in sums.items() if v not in full)
+        more = {v for v, n in sums.items() if v not in full and level * n**power >= n}
+        if not more:
+            return {v: n if v in full else level * n**power for v, n in sums.items()}
+        full |= more
+
+
+def plain_rake(cells, targets, keep):
+    weights = {c: keep * n for c, n in cells.items()}
+    for step in range(1, mixing.MAX_ROUNDS + 1):
+        for k, target in enumerate(targets):
             now = defaultdict(float)
             for c, w in weights.items():
                 now[c[k]] += w
-            weights = {c: w * share[c[k]] * total / now[c[k]] if now[c[k]] > 0 and c[k] in share else 0.0 for c, w in weights.items()}
-    return weights
+            weights = {c: min(cells[c], w * target[c[k]] / now[c[k]]) if now[c[k]] > 0 else 0.0 for c, w in weights.items()}
+        error = max(abs(sum(w for c, w in weights.items() if c[k] == v) / t - 1) for k, target in enumerate(targets) for v, t in target.items())
+        if step % mixing.ROUNDS == 0 and error <= mixing.TOLERANCE:
+            break
+    return weights, error
 
 
 @pytest.fixture(scope="module")
@@ -39,18 +49,20 @@ def corpus(spark):
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
 
 
-def test_raked_weights(corpus):
-    rows = mixing.tagged(corpus)
-    cells = mixing.cell_tokens(rows)
-    fitted = mixing.rake(cells, mixing.tempered_targets(cells, mixing.POWERS)).collect()
-    counts = {(r["source"], r["lang"], r["topic"]): r["tokens"] for r in fitted}
-    expected = plain_rake(counts, mixing.POWERS.values(), mixing.ROUNDS)
-    for r in fitted:
-        assert r["weight"] == pytest.approx(expected[r["source"], r["lang"], r["topic"]], rel=1e-9)
-    by_source = defaultdict(float)
-    for r in fitted:
-        by_source[r["source"]] += r["weight"]
-    assert max(by_source.values()) == pytest.approx(min(by_source.values()), rel=1e-3)
+@pytest.mark.parametrize("keep", [0.2, 0.5, 0.9])
+def test_raked_weights(corpus, keep):
+    fitted, targets = mixing.fit(corpus, keep)
+    rows = fitted.collect()
+    counts = {(r["source"], r["lang"], r["topic"]): r["tokens"] for r in rows}
+    wanted = [plain_targets(counts, k, power, keep) for k, power in enumerate(mixing.POWERS.values())]
+    for k, name in enumerate(mixing.DIMENSIONS):
+        assert {r[name]: r["target"] for r in targets[name].collect()} == pytest.approx(wanted[k], rel=1e-9)
+    expected, error = plain_rake(counts, wanted, keep)
+    for r in rows:
+        assert r["weight"] == pytest.approx(expected[r["source"], r["lang"], r["topic"]], rel=1e-9) and r["weight"] <= r["tokens"]
+    assert max(r["error"] for r in rows) == pytest.approx(error, rel=1e-6) and error <= mixing.TOLERANCE
+    for r in mixing.marginals(fitted, targets).collect():
+        assert r["attained"] == pytest.approx(r["feasible"], rel=2 * mixing.TOLERANCE)
 
 
 def test_chances_and_draw(corpus):
@@ -66,10 +78,19 @@ def test_chances_and_draw(corpus):
 
 def test_given_targets(spark, corpus):
     wanted = spark.createDataFrame([("en", 0.7), ("de", 0.3), ("absent", 0.5)], "lang string, share double")
-    cells = mixing.cell_tokens(mixing.tagged(corpus))
-    fitted = mixing.rake(cells, {"lang": wanted}).groupBy("lang").agg(F.sum("weight").alias("w")).collect()
-    weights = {r["lang"]: r["w"] for r in fitted}
+    fitted, targets = mixing.fit(corpus, 0.2, shares={"lang": wanted})
+    weights = {r["lang"]: r["w"] for r in fitted.groupBy("lang").agg(F.sum("weight").alias("w")).collect()}
     assert weights["en"] / weights["de"] == pytest.approx(7 / 3) and weights["fr"] == 0
+    # With half of all tokens to keep, English gives all it has.
+    fitted, targets = mixing.fit(corpus, 0.6, shares={"lang": wanted})
+    english = next(r for r in mixing.marginals(fitted, targets).collect() if r["value"] == "en")
+    assert english["feasible"] == pytest.approx(english["attained"]) and english["feasible"] < english["wanted"] * 1.5
+
+
+def test_clashing_columns(spark, corpus):
+    rows = corpus.limit(5).selectExpr("*", "1 AS _", "2 AS __", "3 AS `a.b`", "4 AS weight", "5 AS probability", "6 AS tokens")
+    out = mixing.mix(rows).collect()
+    assert len(out) == 5 and all(r["row"]["a.b"] == 3 and r["row"]["_"] == 1 and r["row"]["probability"] == 5 for r in out)
 
 
 def test_odd_rows(edge_docs, edge_rows, no_docs):
