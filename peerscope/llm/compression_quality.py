@@ -45,11 +45,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most ``per_class`` labelled texts of each class, the lowest by the hash of their id."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).filter(
         "label IN (0, 1) AND doc_id IS NOT NULL"
-    ).dropDuplicates(["doc_id"])
+    ).groupBy("doc_id").agg(F.min("label").alias("label"))
     present = known.join(doc_texts(docs).select("doc_id"), "doc_id", "left_semi")
     classes = [present.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = classes[0].unionByName(classes[1])
-    return doc_texts(docs).join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL AND text != ''")
+    # One row an id, so the sample is bounded however often an id occurs.
+    rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL AND text != ''")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def _compressors(model_good: bytes, model_bad: bytes):

@@ -8,20 +8,23 @@ together in numpy, so a misspelling that was never seen still shares most of
 its n-grams.
 
 Fitting takes at most ``per_class`` labelled rows of each class, chosen by the
-hash of their id. A fifth of them calibrates the logits, weighted to the true
+hash of their id, in one task. A fifth of them calibrates the logits, weighted to the true
 class sizes. Scoring covers every row whole. Since the softmax is linear, each
 task folds it into one number per n-gram.
 
 Defined cases: an empty or null text has an empty bag and scores the prior;
 without labels of both classes every score is the share of label 1, or 0;
-repeated rows are each scored; labels that are null are ignored.
+repeated rows are each scored, and learned from once, with the least of their texts;
+labels that are null are ignored, of labels that disagree the higher one counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,7 +112,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     """``(label, total, buckets, weights)`` of at most ``per_class`` rows per class; ``total`` is the size of the class."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).filter(
         "label IN (0, 1) AND doc_id IS NOT NULL"
-    ).dropDuplicates(["doc_id"])
+    ).groupBy("doc_id").agg(F.max("label").alias("label"))
     totals = known.join(doc_texts(docs).select("doc_id"), "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()
     sizes = {r["label"]: r["n"] for r in totals}
     # The lowest hashes of each class: an order statistic, so no sort in one task.
@@ -120,7 +123,8 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label: str, per_class: int
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         chosen = known.limit(0)
-    rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id")
+    # One row an id, so the sample is bounded however often an id occurs.
+    rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def collect(batch, data, offsets):
         buckets, weight, bounds = bags(data, offsets)
@@ -134,17 +138,16 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     return bagged.withColumn("total", total.cast("long"))
 
 
-def _collected(bagged: DataFrame) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray, np.ndarray]:
+def _collected(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, dict, np.ndarray, np.ndarray, np.ndarray]:
     """Labels in the order of the ids, class sizes, each row's range in the n-grams, and these with their weights.
 
     The lists stay where they arrive; only their ranges are put in order.
     """
-    table = bagged.toArrow()
+    table = pa.Table.from_batches(batches)
     doc, label = table["doc_id"].to_numpy(), table["label"].to_numpy().astype(np.float64)
     totals = dict(zip(label.tolist(), table["total"].to_pylist(), strict=True))
     lengths = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in table["buckets"].chunks]])
     buckets = np.concatenate([np.zeros(0, np.int32), *[c.flatten().to_numpy() for c in table["buckets"].chunks]])
-    table = table.select(["weights"])
     share = np.concatenate([np.zeros(0, np.float32), *[c.flatten().to_numpy() for c in table["weights"].chunks]])
     ends = np.cumsum(lengths)
     order = np.argsort(doc, kind="stable")
@@ -152,8 +155,22 @@ def _collected(bagged: DataFrame) -> tuple[np.ndarray, dict, np.ndarray, np.ndar
 
 
 def fit(bagged: DataFrame, width: int = 8, steps: int = 400, rate: float = 0.05, batch: int = 128, seed: int = 7) -> Model:
-    """Train on the driver from the bounded bags."""
-    label, totals, bounds, buckets, share = _collected(bagged)
+    """Train in one task on the bounded bags; only the model comes to the driver."""
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            model = _train(held, width, steps, rate, batch, seed)
+            yield pa.RecordBatch.from_pydict({
+                "embeddings": [model.embeddings.astype("<f4").tobytes()], "weights": [model.weights.astype("<f8").tobytes()], "bias": [float(model.bias)],
+            })
+
+    row = bagged.repartition(1).mapInArrow(learn, "embeddings binary, weights binary, bias double").first()
+    if row is None:  # no labels at all
+        return Model(np.zeros((1 << BUCKET_BITS, width), np.float32), np.zeros(width), -40.0)
+    return Model(np.frombuffer(row["embeddings"], "<f4").reshape(-1, width), np.frombuffer(row["weights"], "<f8"), row["bias"])
+
+
+def _train(batches: list[pa.RecordBatch], width: int, steps: int, rate: float, batch: int, seed: int) -> Model:
+    label, totals, bounds, buckets, share = _collected(batches)
     size = 1 << BUCKET_BITS
     if len(totals) < 2:
         return Model(np.zeros((size, width), np.float32), np.zeros(width, np.float32), 40.0 if 1.0 in totals else -40.0)
