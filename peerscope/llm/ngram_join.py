@@ -32,6 +32,7 @@ belong to one group if their texts are linked.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -82,23 +83,52 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     return token, np.searchsorted(owner, np.arange(n + 1))
 
 
-def _class_keys(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each row's set."""
-    def total(values):
-        run = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values, out=run[1:])
-        return run[bounds[1:]] - run[bounds[:-1]]
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    run = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=run[1:])
+    return run[bounds[1:]] - run[bounds[:-1]]
 
-    return mix(total(mix(token ^ np.uint64(0x5851F42D4C957F2D))) + mix(total(token) + np.diff(bounds).astype(np.uint64))).view(np.int64)
 
+def _class_keys(token: np.ndarray, bounds: np.ndarray, taken: dict[tuple[int, int], int] | None = None) -> np.ndarray:
+    """A 64-bit name of each row's set; ``taken`` has other names for sets that share one, see ``set_classes``."""
+    sizes = np.diff(bounds).astype(np.uint64)
+    first = mix(_sums(mix(token ^ np.uint64(0x5851F42D4C957F2D)), bounds) + mix(_sums(token, bounds) + sizes)).view(np.int64)
+    if taken:
+        shared = np.flatnonzero(np.isin(first, np.array([k for k, _ in taken], np.int64)))
+        second = _second_keys(token, bounds)
+        for k in shared.tolist():
+            first[k] = taken.get((int(first[k]), int(second[k])), first[k])
+    return first
 
-def set_classes(texts: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, class)``; equal sets have one class."""
+
+def _second_keys(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 more bits of each row's set."""
+    return mix(_sums(mix(token + np.uint64(0x14057B7EF767814F)), bounds) ^ np.diff(bounds).astype(np.uint64)).view(np.int64)
+
+
+def set_classes(texts: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """``(doc_id, n_shingles, class)``, where equal sets have one class, and the names of sets that had to give way.
+
+    Two sets are equal if 128 bits of them are. Of different sets with one 64-bit
+    name, all but one get another name, made of all their bits. Those are about
+    one pair in 2**64, so the driver can hold them.
+    """
     def scan(rows, data, offsets):
         token, bounds = shingle_sets(data, offsets)
-        return {"doc_id": rows.column("doc_id"), "n_shingles": np.diff(bounds), "class": _class_keys(token, bounds)}
-
-    return map_texts(texts, scan, "doc_id bigint, n_shingles bigint, class bigint")
+        return {
+            "doc_id": rows.column("doc_id"), "n_shingles": np.diff(bounds), "class": _class_keys(token, bounds), "second": _second_keys(token, bounds),
+        }
+
+    classes = materialize(map_texts(texts, scan, "doc_id bigint, n_shingles bigint, class bigint, second bigint"), "classes")
+    seconds = classes.groupBy("class").agg(F.min("second").alias("stays"), F.max("second").alias("other")).filter("stays != other").drop("other")
+    names = classes.join(seconds, "class").filter("second != stays").select("class", "second").distinct().collect()
+    taken = {
+        (r["class"], r["second"]): int.from_bytes(hashlib.blake2b(f"{r['class']} {r['second']}".encode(), digest_size=8).digest(), "little", signed=True) for r in names
+    }
+    if taken:
+        renamed = texts.sparkSession.createDataFrame([(*key, name) for key, name in taken.items()], "class bigint, second bigint, name bigint")
+        classes = materialize(classes.join(renamed, ["class", "second"], "left").withColumn("class", F.coalesce("name", "class")).drop("name"), "classes")
+    return classes.drop("second"), taken
 
 
 def frequent_tokens(texts: DataFrame, limit: int) -> np.ndarray:
@@ -119,7 +149,7 @@ def frequent_tokens(texts: DataFrame, limit: int) -> np.ndarray:
     return tokens[np.lexsort((tokens, counts))]
 
 
-def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int, taken: dict | None = None) -> DataFrame:
     """``(token, class, size, reach)``: the first tokens of each set in the global order.
 
     Two sets whose first shared token leaves ``l`` tokens of one, itself counted,
@@ -131,7 +161,7 @@ def prefix_tokens(texts: DataFrame, frequent: np.ndarray, percent: int) -> DataF
     def scan(rows, data, offsets):
         known, rank = shipped.value
         token, bounds = shingle_sets(data, offsets)
-        key = _class_keys(token, bounds)
+        key = _class_keys(token, bounds, taken)
         n = np.diff(bounds)
         _, first = np.unique(key, return_index=True)  # one row per class and slice
         keep = np.zeros(len(n), bool)
@@ -278,7 +308,7 @@ class Trie:
         return found
 
 
-def _block(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+def _block(table: pa.Table, percent: int, taken: dict | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
     """Links of one block as places of two of its rows, and which rows are in the centre's group.
 
     Of all links that are found those are kept that join two groups: fewer than rows.
@@ -286,7 +316,7 @@ def _block(table: pa.Table, percent: int) -> tuple[list[tuple[int, int]], np.nda
     data, offsets = text_column(table["text"].combine_chunks())
     token, bounds = shingle_sets(data, offsets)
     # Another text of a repeated id is not of the class; it takes no part.
-    strange = _class_keys(token, bounds) != table["class"].to_numpy()
+    strange = _class_keys(token, bounds, taken) != table["class"].to_numpy()
     token, bounds = token[~np.repeat(strange, np.diff(bounds))], np.concatenate([[0], np.cumsum(np.diff(bounds) * ~strange)])
     trie = Trie(token, bounds)
     n = len(offsets) - 1
@@ -338,9 +368,9 @@ def complete_groups(function: Callable[[pa.Table], pa.RecordBatch | None], *keys
     return run
 
 
-def _joiner(percent: int):
+def _joiner(percent: int, taken: dict | None):
     def join(table: pa.Table) -> pa.RecordBatch | None:
-        links, linked = _block(table, percent)
+        links, linked = _block(table, percent, taken)
         names = table["class"].to_numpy()
         lonely = np.flatnonzero(~linked & (table["role"].to_numpy() == MEMBER) & (table["parts"].to_numpy() > 1))
         u = [names[a] for a, _ in links] + [names[i] for i in lonely]
@@ -355,10 +385,11 @@ def _joiner(percent: int):
     return complete_groups(join, "centre", "part")
 
 
-def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, order_tokens: int = ORDER_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
+def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, order_tokens: int = ORDER_TOKENS, block_sets: int = BLOCK_SETS,
+                taken: dict | None = None) -> DataFrame:
     """``(u, v)``: links between classes that connect every group of linked classes."""
     frequent = frequent_tokens(texts, order_tokens)
-    members = materialize(block_members(prefix_tokens(texts, frequent, percent)), "members")
+    members = materialize(block_members(prefix_tokens(texts, frequent, percent, taken)), "members")
     sizes = members.groupBy("centre").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
     spread = members.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("class", "centre"), F.col("parts")))
     centres = sizes.select(
@@ -374,7 +405,7 @@ def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, or
 
     def joined(rows: DataFrame) -> DataFrame:
         blocks = rows.join(standing, "class").select("centre", "part", "parts", "role", "class", "text")
-        return blocks.repartition("centre", "part").sortWithinPartitions("centre", "part", "role", "class").mapInArrow(_joiner(percent), schema)
+        return blocks.repartition("centre", "part").sortWithinPartitions("centre", "part", "role", "class").mapInArrow(_joiner(percent, taken), schema)
 
     first = materialize(joined(dealt), "links")
     # Only blocks of several parts have more to compare: their unlinked sets, with other parts.
@@ -387,14 +418,18 @@ def class_links(texts: DataFrame, classes: DataFrame, percent: int = PERCENT, or
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, order_tokens: int = ORDER_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: the lowest ``doc_id`` that links reach."""
     texts = doc_texts(docs)
-    classes = materialize(set_classes(texts), "classes")
+    classes, taken = set_classes(texts)
     some = classes.filter("n_shingles > 0")
-    roots = connected_components(class_links(texts, some, percent, order_tokens, block_sets))
-    rooted = some.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn(
-        "root", F.coalesce("root", "class")
+    roots = connected_components(class_links(texts, some, percent, order_tokens, block_sets, taken))
+    # Copies share a class and classes a root, so a class is one row on the way from
+    # documents to groups, and both sides of a join are plain tables, whose hot keys are split.
+    named = some.groupBy("class").agg(F.min("doc_id").alias("lowest"))
+    rooted = materialize(
+        named.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")), "roots"
     )
-    lowest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = rooted.join(lowest, "root").select("doc_id", "n_shingles", "component_id")
+    lowest = materialize(rooted.groupBy("root").agg(F.min("lowest").alias("component_id")), "lowest")
+    groups = materialize(rooted.join(lowest, "root").select("class", "component_id"), "groups")
+    grouped = some.join(groups, "class").select("doc_id", "n_shingles", "component_id")
     alone = classes.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = grouped.unionByName(alone)
     return out.withColumns({"component_id": F.when(F.col("component_id") != NO_ID, F.col("component_id")), "doc_id": public_id()})

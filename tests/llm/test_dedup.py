@@ -187,3 +187,14 @@ def test_slices_without_matches_or_words(spark, texts):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == brute.repeated_bytes(rows, suffix_dedup.WINDOW)[r["doc_id"]]
     found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect())
     assert found == brute.groups(rows)
+
+
+def test_sets_that_share_a_name_stay_apart(edge_docs):
+    token = np.array([5, 9, 5, 7, 1], np.uint64)
+    bounds = np.array([0, 2, 4, 4, 5])
+    names, seconds = ngram_join._class_keys(token, bounds), ngram_join._second_keys(token, bounds)
+    assert len(set(names.tolist())) == len(set(seconds.tolist())) == 4
+    taken = {(int(names[1]), int(seconds[1])): 77, (int(names[0]), int(seconds[0]) + 1): 78}
+    assert ngram_join._class_keys(token, bounds, taken).tolist() == [names[0], 77, names[2], names[3]]
+    classes, taken = ngram_join.set_classes(ngram_join.doc_texts(edge_docs))
+    assert taken == {} and classes.columns == ["doc_id", "n_shingles", "class"]
