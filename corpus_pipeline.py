@@ -52,9 +52,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn to the target weights of source, language and topic."""
     drawn = mixing.mix(docs).filter("kept")
-    columns = [c for c in docs.columns if c != "probability"]
+    # A caller's column of that name stays.
+    free = "probability" + "_" * max([len(c) for c in docs.columns if c.rstrip("_") == "probability"], default=0)
     return drawn.select(
-        *[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in columns], "probability"
+        *[(F.col("text") if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns], F.col("probability").alias(free)
     )
 
 
