@@ -261,8 +261,11 @@ def _scored(cut: str, a: str = "a") -> str:
     return f"CAST({a} AS DECIMAL(19,0)) * CAST({a} AS DECIMAL(19,0)) * 1000000 DIV (CAST({cut}.l AS DECIMAL(19,0)) * CAST({cut}.r AS DECIMAL(19,0)))"
 
 
-def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, **limits: int) -> DataFrame:
-    """``(lang, phrase, a, l, r, n, score)`` of all phrases that no longer one covers."""
+def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, most: int | None = None, **limits: int) -> DataFrame:
+    """``(lang, phrase, a, l, r, n, score)`` of all phrases that no longer one covers.
+
+    With ``most`` only the first ``most`` of each language, with their ``rank``.
+    """
     counted, phrases = phrase_counts(docs, least, **limits)
     words = counted.filter("word IS NOT NULL").select("lang", "hash", F.col("word").cast("string").alias("word"), "n")
     totals = counted.filter("hash IS NULL").select("lang", "n")
@@ -292,11 +295,13 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, **
         F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a"))
     ).select("lang", "phrase", "a", "cut")
     found = free.unionByName(triples).select("lang", "phrase", "a", "cut.l", "cut.r", F.expr(_scored("cut")).cast("bigint").alias("score"))
-    return found.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    if most is None:
+        return found.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    return top(found, most).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def top(found: DataFrame, most: int) -> DataFrame:
     """The first ``most`` of each language, with their ``rank``; tasks send no more than that."""
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
-    return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    ranked = materialize(found, "scored").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))

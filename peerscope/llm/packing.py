@@ -15,8 +15,9 @@ sizes are summed up per length, so a length that a third of all pieces have is
 spread over many tasks. The plan (some tens of thousands of rows at most, since a
 bin holds fewer than a hundred different lengths) is all that is shipped.
 
-Words are encoded once per worker and slice: the tokenizer's parts never cross a
-blank, so a text's ids are those of its words one after the other.
+Words are encoded once per worker as long as it remembers them: the parts of the
+default tokenizer never cross a blank, so a text's ids are those of its words one
+after the other. Texts are encoded whole if the tokenizer is of another build.
 
 Defined cases: a null or empty text is the end id alone; rows that repeat a
 ``doc_id`` are packed one by one; ties in length are settled by the place of the
@@ -26,6 +27,8 @@ are encoded whole, in memory that follows the longest single text.
 
 from __future__ import annotations
 
+import json
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,29 +47,81 @@ END_ID = 1
 #: Pieces of one length that are numbered together, and the most buckets of a length.
 BUCKET_ROWS, MAX_BUCKETS = 512, 4096
 #: Words that a worker remembers the ids of.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 3 << 17
 _RANK_BITS = 44
 
 
+#: The normaliser and splitter whose parts never cross a blank or the edge between Latin
+#: letters and ASCII signs, so that the ids of a text are those of such parts one after the other.
+_BLANKS_DROPPED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes: Latin letters of one or two bytes, ASCII signs and digits that never join a letter, all others.
+_LETTER, _SIGN, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[[*b"'<|>"]] = _OTHER  # contractions and special tokens
+_ENCODED_AT_ONCE = 2048
+
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return "".join(chr(k if k in printable else next(others)) for k in range(256))
+
+
 class WordEncoder:
-    """Ids of words, remembered for the next slice."""
+    """Ids of words, remembered for the next slices: those of the last ``CACHE_WORDS`` parts or more."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian 32-bit numbers."""
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known.clear()
-            fresh = words
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(fresh, found, strict=True)}
-        self.known.update(new)
-        return [self.known[w] for w in words]
+        known = json.loads(vocabulary)
+        splitters = (known.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        #: Whether words may be encoded apart; otherwise whole texts are.
+        self.by_words = (
+            (known.get("normalizer") or {}).get("normalizers") == _BLANKS_DROPPED and len(splitters) == 2
+            and (splitters[0].get("pattern") or {}).get("Regex") == _SPLIT and splitters[1].get("type") == "ByteLevel"
+        )
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+
+    def encode(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part as little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        later: list[int] = []
+        tokenize = self.tokenizer.model.tokenize
+        for k, part in enumerate(parts):
+            ids = self.new.get(part)
+            if ids is None:
+                ids = self.old.get(part)
+                if ids is None:
+                    word = part.decode("utf-8", "replace")
+                    if self.by_words and word.isalpha() and word.islower() and max(word) <= "\xff":
+                        # Lower-case Latin letters are one part of the splitter as they are.
+                        ids = array("I", [t.id for t in tokenize(part.decode("latin-1").translate(self.letters))]).tobytes()
+                    else:
+                        later.append(k)
+                        out.append(b"")
+                        continue
+                self._keep(part, ids)
+            out.append(ids)
+        for first in range(0, len(later), _ENCODED_AT_ONCE):
+            some = later[first:first + _ENCODED_AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([parts[k].decode("utf-8", "replace") for k in some], add_special_tokens=False)
+            for k, one in zip(some, found, strict=True):
+                out[k] = array("I", one.ids).tobytes()
+                if self.by_words:
+                    self._keep(parts[k], out[k])
+        return out
+
+    def _keep(self, part: bytes, ids: bytes) -> None:
+        if len(self.new) >= CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[part] = ids
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -79,22 +134,52 @@ def _encoder(vocabulary: str) -> WordEncoder:
     return _encoders[key]
 
 
+def _parts(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the blanks between them, cut between letters and signs; those in lower case that hold nothing else."""
+    kind = _KIND[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    edge[-1] = True
+    # A letter of two bytes: 0xC3 and what follows, but for the signs of multiplication and division.
+    lead = np.flatnonzero((data[:-1] == 0xC3) & ~edge[1:-1])
+    second = data[lead + 1]
+    latin = (second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7)
+    lead, second = lead[latin], second[latin]
+    kind[lead] = kind[lead + 1] = _LETTER
+    others = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(kind == _OTHER, out=others[1:])
+    limits = np.append(starts, len(data))
+    plain = np.repeat(others[limits[1:]] == others[limits[:-1]], np.diff(limits))
+    lowered = np.where(plain & (data >= 0x41) & (data <= 0x5A), data + 0x20, data).astype(np.uint8)
+    upper = lead[(second < 0x9F) & plain[lead]] + 1
+    lowered[upper] += 0x20
+    edge[1:-1] |= plain[1:] & plain[:-1] & (kind[1:] != kind[:-1])
+    return lowered, np.flatnonzero(edge[:-1])
+
+
 def encode_texts(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows, the end id after each, and the bounds of the rows."""
     first = int(offsets[0])
     data, offsets = data[first:int(offsets[-1])], offsets - first
     rows = len(offsets) - 1
-    inside = WORD[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before = np.r_[False, inside[:-1]]
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    # Without the blanks the words lie one after the other.
-    place = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(inside, out=place[1:])
-    limits = np.append(place[starts], place[-1])
+    if encoder.by_words:
+        inside = WORD[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        before = np.zeros(len(data), bool)
+        before[1:] = inside[:-1]
+        words = np.flatnonzero(inside & (~before | edge[:-1]))
+        # Without the blanks the words lie one after the other.
+        place = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(inside, out=place[1:])
+        offsets = place[offsets]
+        data, starts = _parts(data[inside], place[words]) if len(words) else (data[:0], words)
+    else:
+        starts = offsets[:-1]
+        data = np.ascontiguousarray(data)
+    limits = np.append(starts, len(data))
     packed = pa.Array.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(data[inside]))]
+        pa.large_binary(), len(starts), [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(data)]
     ).dictionary_encode()
     codes = packed.indices.to_numpy().astype(np.int64)
     pieces = encoder.encode(packed.dictionary.to_pylist())
@@ -105,7 +190,8 @@ def encode_texts(data: np.ndarray, offsets: np.ndarray, encoder: WordEncoder, en
     ends = np.cumsum(many)
     source = np.arange(int(many.sum())) + np.repeat((at[codes] if len(codes) else many) - (ends - many), many)
     # The ids of a row begin after those of the rows before and their end ids.
-    total = np.append(0, ends)[np.searchsorted(starts, offsets)]
+    row_parts = np.searchsorted(starts, offsets) if encoder.by_words else np.arange(rows + 1)
+    total = np.append(0, ends)[row_parts]
     bounds = total + np.arange(rows + 1)
     out = np.full(int(bounds[-1]), end_id, "<u4")
     out[np.arange(len(source)) + np.repeat(np.arange(rows), np.diff(total))] = ids[source]

@@ -108,7 +108,7 @@ def op12_hirschberg_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collocations.top(collocations.collocations(read_table(spark, sf_dir, "documents")), 2000)
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), most=2000)
 
 
 #: Lower-cases A-Z only.
@@ -127,30 +127,38 @@ def _mixing_sql() -> str:
           FROM documents
         ), cells AS (
           SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL
-        ), w0 AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) AS w FROM cells)"""]
+        )""", f"budget AS (SELECT {mixing.KEEP} * sum(tokens) AS budget FROM cells)"]
+    names = list(mixing.POWERS)
     for name, power in mixing.POWERS.items():
-        steps.append(f"""t_{name} AS MATERIALIZED (
-          SELECT {name}, pow(n, {power}) / sum(pow(n, {power})) OVER () AS share
-          FROM (SELECT {name}, CAST(sum(tokens) AS DOUBLE) AS n FROM cells GROUP BY 1) WHERE n > 0)""")
-    last = "w0"
-    for step in range(mixing.ROUNDS):
-        for name in mixing.POWERS:
-            now = f"w{step}_{name}"
-            steps.append(f"""{now} AS MATERIALIZED (
-          SELECT source, lang, topic, tokens,
-                 CASE WHEN sum(w) OVER (PARTITION BY {name}) > 0 AND share IS NOT NULL
-                      THEN w * (share * (SELECT sum(tokens) FROM cells) / sum(w) OVER (PARTITION BY {name})) ELSE 0 END AS w
-          FROM {last} LEFT JOIN t_{name} USING ({name}))""")
-            last = now
-    ratio = "CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END"
-    steps.append(f"s0 AS MATERIALIZED (SELECT CAST({mixing.KEEP} AS DOUBLE) AS s)")
-    for step in range(mixing.SCALING_ROUNDS):
-        steps.append(f"""s{step + 1} AS MATERIALIZED (
-          SELECT s * {mixing.KEEP} * (SELECT sum(tokens) FROM cells) / (SELECT sum(tokens * least(1.0, {ratio} * s)) FROM {last}) AS s
-          FROM s{step})""")
+        # The level at which values give what they can and the others fill the budget.
+        steps.append(f"""m_{name} AS (
+          SELECT {name}, n, pow(n, {power}) AS share FROM (SELECT {name}, CAST(sum(tokens) AS DOUBLE) AS n FROM cells GROUP BY 1) WHERE n > 0
+        ), q_{name} AS (
+          SELECT n / share AS q, (budget - coalesce(sum(n) OVER (ORDER BY n / share, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(share) OVER (ORDER BY n / share, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM m_{name}, budget
+        ), t_{name} AS MATERIALIZED (
+          SELECT {name}, least(n, share * (SELECT arg_min(level, q) FROM q_{name} WHERE level <= q)) AS {name}_target FROM m_{name}
+        )""")
+    steps.append(f"""w0 AS MATERIALIZED (
+          SELECT source, lang, topic, tokens, {", ".join(f"coalesce({n}_target, 0) AS {n}_target" for n in names)}, {mixing.KEEP} * CAST(tokens AS DOUBLE) AS weight
+          FROM cells {" ".join(f"LEFT JOIN t_{n} USING ({n})" for n in names)}
+        )""")
+    own = f"source, lang, topic, tokens, {', '.join(f'{n}_target' for n in names)}"
+    table = "(SELECT * FROM rounds WHERE NOT done)"
+    for name in names:
+        now = f"sum(weight) OVER (PARTITION BY {name})"
+        table = f"(SELECT {own}, step, least(tokens, CASE WHEN {now} > 0 THEN weight * ({name}_target / {now}) ELSE 0 END) AS weight FROM {table})"
+    error = ", ".join(f"CASE WHEN {n}_target > 0 THEN abs(sum(weight) OVER (PARTITION BY {n}) / {n}_target - 1) ELSE 0 END" for n in names)
+    steps.append(f"""rounds AS (
+          SELECT {own}, 0 AS step, weight, false AS done FROM w0
+          UNION ALL
+          SELECT {own}, step + 1, weight, step + 1 >= {mixing.MAX_ROUNDS} OR ((step + 1) % {mixing.ROUNDS} = 0 AND max(error) OVER () <= {mixing.TOLERANCE})
+          FROM (SELECT *, greatest({error}) AS error FROM {table})
+        )""")
     return f"""
-        WITH {", ".join(steps)}, chances AS (
-          SELECT source, lang, topic, least(1.0, {ratio} * (SELECT s FROM s{mixing.SCALING_ROUNDS})) AS p FROM {last}
+        WITH RECURSIVE {", ".join(steps)}, chances AS (
+          SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS p FROM rounds WHERE done
         )
         SELECT doc_id, source, lang, topic, tokens, round(p, 6) AS probability,
                CAST('0x' || substr(md5('{mixing.SEED}' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < p AS kept

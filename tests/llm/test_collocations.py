@@ -58,7 +58,7 @@ def test_collocations(spark, limits):
     rows = text_rows()
     table = spark.createDataFrame([(k, t, lang, "x", 1) for k, (lang, t) in enumerate(rows)], "doc_id int, text string, lang string, word string, `a.b` int").repartition(4)
     for least, most in ((10, 2000), (3, 7)):
-        found = collocations.top(collocations.collocations(table, least, **limits), most).collect()
+        found = collocations.collocations(table, least, most=most, **limits).collect()
         assert sorted(tuple(r[k] for k in NAMES) for r in found) == brute(rows, least, most)
 
 
@@ -98,7 +98,7 @@ def test_large_counts_stay_exact(spark):
 
 
 def test_empty_table(no_docs):
-    assert collocations.top(collocations.collocations(no_docs), 10).count() == 0
+    assert collocations.collocations(no_docs, most=10).count() == 0 and collocations.collocations(no_docs).count() == 0
 
 
 def test_sql_twin(spark):

@@ -14,7 +14,8 @@ from peerscope.llm import packing
 from tests.llm.conftest import prose
 
 ODD = [
-    "", " ", "\n\t\x0b\x0c\r", "don't I'LL we've 's", "a  b c d\u0085e", "x<|endoftext|>y <|startoftext|> z", "été ﬁne ÄÖÜ ΣΑΣ",
+    "", " ", "Élan,ÀÉÎ-Ñandú... 3×4÷2 ß Straße. 'Ärger' J\u030c x\u0301, I\u0307. a\u0301b (Über) ýÿÞþÐð ŒuvreŒ, l’été… “Ça!” ÉT'S É's 12Été34",
+    "\u00c3\u0097 à\u0300. <b>Bold</b> a|b ª µ º ½ É½ ½É", "\n\t\x0b\x0c\r", "don't I'LL we've 's", "a  b c d\u0085e", "x<|endoftext|>y <|startoftext|> z", "été ﬁne ÄÖÜ ΣΑΣ",
     "1234567890 12,5%", "☃☃ 𝒳𝒴 日本語 текст", "a" * 3000, "\x00\x01 b", "...,,, !?", "ü ̈u", " leading", "trailing ",
 ]
 
@@ -69,6 +70,14 @@ def test_real_documents(spark):
     assert len(bins) <= -(-sum(len(i) for _, i in texts) // 4096) + 1
 
 
+def test_other_tokenizers_take_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    docs = [(k, t) for k, t in enumerate(ODD)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string"), vocabulary=path, capacity=100, end_id=50256).collect()
+    check(rows, [(i, [*other.encode(t, add_special_tokens=False).ids, 50256]) for i, t in docs], 100)
+
+
 def test_remembered_words_may_be_forgotten(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 5)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
