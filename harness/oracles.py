@@ -70,6 +70,29 @@ CTES["ends"] = """
   SELECT dst_ip, dst_port, 'RECEIVED', packet_id FROM packets
 """
 
+CTES["both_ends"] = """
+  SELECT src_ip AS ip_address, packet_id, epoch_us(ts) AS micros, ts_ms, size, true AS sent
+  FROM packets WHERE src_ip <> '0.0.0.0' AND dst_ip <> '0.0.0.0'
+  UNION ALL
+  SELECT dst_ip, packet_id, epoch_us(ts), ts_ms, size, false
+  FROM packets WHERE src_ip <> '0.0.0.0' AND dst_ip <> '0.0.0.0' AND src_ip <> dst_ip
+"""
+
+# Ten dot nothing is number 167772160, ten dot nine 168361984.
+CTES["address_ranges"] = """
+  SELECT CASE r_regionkey WHEN 0 THEN '0.0.0.0/0' WHEN 1 THEN '10.0.0.0/8'
+      ELSE '10.0.' || (r_regionkey * 4 - 8) || '.250-10.0.' || (r_regionkey * 4) || '.128' END AS range, r_name AS org, 'region' AS location,
+    CASE r_regionkey WHEN 0 THEN 0 WHEN 1 THEN 167772160 ELSE 167772160 + (r_regionkey * 4 - 8) * 256 + 250 END AS first,
+    CASE r_regionkey WHEN 0 THEN 4294967295 WHEN 1 THEN 184549375 ELSE 167772160 + r_regionkey * 4 * 256 + 128 END AS last
+  FROM region
+  UNION ALL
+  SELECT '10.0.' || n_nationkey || '.7/24', n_name, 'nation', 167772160 + n_nationkey * 256, 167772160 + n_nationkey * 256 + 255 FROM nation
+  UNION ALL
+  SELECT '10.' || CASE WHEN s_suppkey % 3 = 0 THEN '9.0.' ELSE '0.' || (s_suppkey % 7) || '.' END || (s_suppkey * 16 % 256) || '/28', s_name, 'supplier',
+    base + s_suppkey * 16 % 256, base + s_suppkey * 16 % 256 + 15
+  FROM (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN 168361984 ELSE 167772160 + s_suppkey % 7 * 256 END AS base FROM supplier)
+"""
+
 CTES["missing"] = """
   SELECT DISTINCT ip_address FROM ends WHERE ip_address NOT IN (SELECT ip_address FROM metadata)
 """
@@ -430,6 +453,33 @@ ORACLES: dict[str, str] = {
         CASE WHEN size = 40 AND protocol <> 'ARP' THEN 'TCP' ELSE protocol END AS protocol, size + 14 AS size
       FROM packets"""),
     "stream_ingest": sql("SELECT * FROM normalized"),
+    "stream_endpoint_windows": sql("""
+      SELECT kind, ip_address, s AS start_ms, s + 21600000 AS end_ms, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes,
+        count(*) FILTER (sent) AS packets_out, CAST(coalesce(sum(size) FILTER (sent), 0) AS BIGINT) AS bytes_out
+      FROM (SELECT 'tumbling' AS kind, *, ts_ms // 21600000 * 21600000 AS s FROM both_ends
+            UNION ALL SELECT 'sliding', *, (ts_ms // 7200000 - unnest([0, 1, 2])) * 7200000 FROM both_ends)
+      WHERE s + 21600000 <= (SELECT max(ts_ms) - 600000 FROM both_ends)
+      GROUP BY kind, ip_address, s"""),
+    "stream_sessions": sql("""
+      SELECT ip_address, min(micros) // 1000 AS start_ms, (max(micros) + 28800000000) // 1000 AS end_ms, count(*) AS packets,
+        CAST(sum(size) AS BIGINT) AS bytes, count(*) FILTER (sent) AS packets_out, CAST(coalesce(sum(size) FILTER (sent), 0) AS BIGINT) AS bytes_out
+      FROM (SELECT *, sum(CASE WHEN pause > 28800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY ip_address ORDER BY micros, packet_id) AS session
+            FROM (SELECT *, micros - lag(micros) OVER (PARTITION BY ip_address ORDER BY micros, packet_id) AS pause FROM both_ends))
+      GROUP BY ip_address, session
+      HAVING max(micros) + 28800000000 <= (SELECT (max(ts_ms) - 600000) * 1000 FROM both_ends)"""),
+    "session_islands": sql("""
+      SELECT ip_address, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes,
+        count(*) FILTER (sent) AS packets_out, CAST(coalesce(sum(size) FILTER (sent), 0) AS BIGINT) AS bytes_out
+      FROM (SELECT *, sum(CASE WHEN pause > 28800000 THEN 1 ELSE 0 END) OVER (PARTITION BY ip_address ORDER BY ts_ms, packet_id) AS session
+            FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY ip_address ORDER BY ts_ms, packet_id) AS pause FROM both_ends))
+      GROUP BY ip_address, session"""),
+    "stream_cadence": sql(f"SELECT ip_address, {rounded(TIMING)} FROM timing"),
+    "enrich_cidr": sql("""
+      SELECT ip_address, range, org, location
+      FROM (SELECT ip_address, a[1] * 16777216 + a[2] * 65536 + a[3] * 256 + a[4] AS number
+            FROM (SELECT ip_address, CAST(string_split(ip_address, '.') AS BIGINT[]) AS a FROM missing))
+      JOIN address_ranges ON number BETWEEN first AND last
+      QUALIFY row_number() OVER (PARTITION BY ip_address ORDER BY last - first, org, range) = 1"""),
     "packet_scan": sql("SELECT src_ip, dst_ip, src_port, dst_port, size, protocol, ts_ms FROM packets"),
     "ip_metadata_scan": sql(f"""
       SELECT ip_address, CASE WHEN ip_address = '{HOST}' THEN '{LOCAL}' ELSE org END AS org, hostname, location

@@ -18,8 +18,8 @@ from peerscope.operators import (
 from peerscope.operators.blocks import prepare
 from peerscope.plans import detection, views
 from peerscope.session import materialize, new_path
-from peerscope.sources import captures, ownership, packets
-from peerscope.streaming import ingest
+from peerscope.sources import captures, ownership, packets, ranges
+from peerscope.streaming import cadence, ingest, windows
 
 EPS, MIN_SAMPLES = 0.53, 4
 # Small blocks, so that searches go over many of them at every size of the tables.
@@ -87,6 +87,57 @@ def stream_ingest(spark, sf):
     return packets.read_packets(spark, table).drop("ts", "day")
 
 
+def _landed(spark, sf):
+    """Packets as a stream of two batches, the second all later than the first."""
+    seen = packets.real_packets(tables.packets(spark, sf)).select("packet_id", "ts", "ts_ms", "src_ip", "dst_ip", "size")
+    landing = new_path(spark, "landing")
+    middle = seen.agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("bigint")).first()[0]
+    for part in (seen.filter(F.col("ts_ms") < middle), seen.filter(F.col("ts_ms") >= middle)):
+        part.repartition(2).write.mode("append").parquet(landing)
+    return ingest.watch(spark, landing, seen.schema, files_per_batch=2)
+
+
+def _rolled_up(spark, rollup):
+    out, checkpoint = (new_path(spark, n) for n in ("rollup", "progress"))
+    windows.store_rollup(rollup, out, checkpoint, drain=True).awaitTermination()
+    return spark.read.schema(rollup.schema).parquet(out)
+
+
+_SUMS = ("packets", "bytes", "packets_out", "bytes_out")
+
+
+@query
+def stream_endpoint_windows(spark, sf):
+    stream = _landed(spark, sf)
+    kinds = {"tumbling": None, "sliding": "2 hours"}
+    rolled = [
+        _rolled_up(spark, windows.endpoint_windows(stream, "6 hours", slide)).withColumn("kind", F.lit(kind)) for kind, slide in kinds.items()
+    ]
+    return rolled[0].unionByName(rolled[1]).select(
+        "kind", "ip_address", F.unix_millis("window_start").alias("start_ms"), F.unix_millis("window_end").alias("end_ms"), *_SUMS
+    )
+
+
+@query
+def stream_sessions(spark, sf):
+    rolled = _rolled_up(spark, windows.endpoint_sessions(_landed(spark, sf), "8 hours"))
+    return rolled.select("ip_address", F.unix_millis("session_start").alias("start_ms"), F.unix_millis("session_end").alias("end_ms"), *_SUMS)
+
+
+@query
+def session_islands(spark, sf):
+    return windows.session_islands(packets.real_packets(tables.stored_packets(spark, sf)), 8 * 3_600_000)
+
+
+@query
+def stream_cadence(spark, sf):
+    out, checkpoint = (new_path(spark, n) for n in ("cadence", "progress"))
+    changes = cadence.endpoint_cadence(_landed(spark, sf), timeout_ms=400 * 86_400_000)
+    cadence.store_cadence(changes, out, checkpoint, drain=True).awaitTermination()
+    latest = cadence.latest_cadence(spark.read.schema(f"{cadence.RESULT}, step int").parquet(out))
+    return plain(latest.select("ip_address", "interval_mean", "interval_cv"))
+
+
 @query
 def packet_scan(spark, sf):
     return packets.packet_scan(tables.packets(spark, sf))
@@ -226,6 +277,12 @@ def enrich_organizations(spark, sf):
     return ownership.enrich(missing, tables.ownership_records(spark, sf))
 
 
+@query
+def enrich_cidr(spark, sf):
+    missing = ownership.undocumented(graph.ip_nodes(tables.packets(spark, sf)), tables.ip_metadata(spark, sf))
+    return ranges.match_ranges(missing, tables.address_ranges(spark, sf))
+
+
 @query
 def org_name_resolution(spark, sf):
     return ownership.resolve_records(tables.ownership_records(spark, sf))

@@ -95,6 +95,20 @@ def ownership_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(address(F.col("c_custkey")).alias("ip_address"), record.alias("record"))
 
 
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions own everything, a block and spans that overlap, nations a block each, suppliers small blocks, some alike."""
+    region, nation, supplier = (load(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    r, n, s = F.col("r_regionkey"), F.col("n_nationkey"), F.col("s_suppkey")
+    wide = F.when(r == 0, "0.0.0.0/0").when(r == 1, "10.0.0.0/8").otherwise(
+        F.concat(F.lit("10.0."), (r * 4 - 8).cast("string"), F.lit(".250-10.0."), (r * 4).cast("string"), F.lit(".128"))
+    )
+    small = F.concat(F.lit("10."), F.when(s % 3 == 0, "9.0.").otherwise(F.concat(F.lit("0."), (s % 7).cast("string"), F.lit("."))),
+                     (s * 16 % 256).cast("string"), F.lit("/28"))
+    return region.select(wide.alias("range"), F.col("r_name").alias("org"), F.lit("region").alias("location")).unionByName(
+        nation.select(F.concat(F.lit("10.0."), n.cast("string"), F.lit(".7/24")).alias("range"), F.col("n_name").alias("org"), F.lit("nation").alias("location"))
+    ).unionByName(supplier.select(small.alias("range"), F.col("s_name").alias("org"), F.lit("supplier").alias("location")))
+
+
 def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owner, host name and location of the customers not in debt, and the host."""
     customer = load(spark, sf_dir, "customer").filter("c_acctbal >= 0")
