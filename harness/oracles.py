@@ -473,6 +473,7 @@ ORACLES: dict[str, str] = {
       FROM (SELECT *, sum(CASE WHEN pause > 28800000 THEN 1 ELSE 0 END) OVER (PARTITION BY ip_address ORDER BY ts_ms, packet_id) AS session
             FROM (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY ip_address ORDER BY ts_ms, packet_id) AS pause FROM both_ends))
       GROUP BY ip_address, session"""),
+    "refreshed_profiles": sql(f"SELECT {PROFILE} FROM profiles"),
     "stream_cadence": sql(f"SELECT ip_address, {rounded(TIMING)} FROM timing"),
     "enrich_cidr": sql("""
       SELECT ip_address, range, org, location

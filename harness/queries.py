@@ -19,7 +19,7 @@ from peerscope.operators.blocks import prepare
 from peerscope.plans import detection, views
 from peerscope.session import materialize, new_path
 from peerscope.sources import captures, ownership, packets, ranges
-from peerscope.streaming import cadence, ingest, windows
+from peerscope.streaming import batchlog, cadence, ingest, windows
 
 EPS, MIN_SAMPLES = 0.53, 4
 # Small blocks, so that searches go over many of them at every size of the tables.
@@ -89,7 +89,7 @@ def stream_ingest(spark, sf):
 
 def _landed(spark, sf):
     """Packets as a stream of two batches, the second all later than the first."""
-    seen = packets.real_packets(tables.packets(spark, sf)).select("packet_id", "ts", "ts_ms", "src_ip", "dst_ip", "size")
+    seen = packets.real_packets(tables.packets(spark, sf)).drop("payload")
     landing = new_path(spark, "landing")
     middle = seen.agg(((F.min("ts_ms") + F.max("ts_ms")) / 2).cast("bigint")).first()[0]
     for part in (seen.filter(F.col("ts_ms") < middle), seen.filter(F.col("ts_ms") >= middle)):
@@ -138,6 +138,16 @@ def stream_cadence(spark, sf):
     return plain(latest.select("ip_address", "interval_mean", "interval_cv"))
 
 
+@query
+def refreshed_profiles(spark, sf):
+    flow_path, cadence_path, *checkpoints = (new_path(spark, n) for n in ("flows", "cadence", "progress", "progress"))
+    stream = _landed(spark, sf)
+    edges, changes = batchlog.flow_log(spark, flow_path, 2), batchlog.cadence_log(spark, cadence_path, 2)
+    batchlog.keep_flows(stream, edges, checkpoints[0], drain=True).awaitTermination()
+    batchlog.keep_cadence(stream, changes, checkpoints[1], drain=True, timeout_ms=400 * 86_400_000).awaitTermination()
+    return plain(batchlog.refreshed_profiles(materialize(edges.read(), "flows"), changes.read(), tables.ip_metadata(spark, sf)))
+
+
 @query
 def packet_scan(spark, sf):
     return packets.packet_scan(tables.packets(spark, sf))
