@@ -427,6 +427,18 @@ def half(name: str, condition: str) -> str:
       FROM directed WHERE {condition} GROUP BY ip_address"""
 
 
+PROFILE_COLUMNS = [
+    "ip_address", "org", "hostname", "location", "bytes_out", "packets_out", "out_peers", "out_ports",
+    "bytes_in", "packets_in", "in_peers", "in_ports", "protocols", "interval_mean", "interval_cv",
+]
+
+
+def profile_of(condition: str) -> str:
+    """Profiles of the packets that meet ``condition``."""
+    kept = f"real_packets AS MATERIALIZED ({CTES['real_packets']} AND {condition})"
+    return sql(f"SELECT {PROFILE} FROM profiles").replace(f"real_packets AS MATERIALIZED ({CTES['real_packets']})", kept)
+
+
 REASON_COLUMNS = "ip_address, CAST(rank AS INTEGER) AS place, feature, value, unit, robust_z, direction, host_relative"
 TOUCHES = f"(src_ip = '{HOST}' OR dst_ip = '{HOST}')"
 PEER = f"CASE WHEN src_ip = '{HOST}' THEN dst_ip ELSE src_ip END"
@@ -481,6 +493,12 @@ ORACLES: dict[str, str] = {
             FROM (SELECT ip_address, CAST(string_split(ip_address, '.') AS BIGINT[]) AS a FROM missing))
       JOIN address_ranges ON number BETWEEN first AND last
       QUALIFY row_number() OVER (PARTITION BY ip_address ORDER BY last - first, org, range) = 1"""),
+    "sketched_peers": sql("""
+      SELECT ip_address, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes,
+        count(DISTINCT sent_to) AS out_peers, count(DISTINCT got_from) AS in_peers
+      FROM (SELECT src_ip AS ip_address, size, dst_ip AS sent_to, CASE WHEN src_ip = dst_ip THEN src_ip END AS got_from FROM real_packets
+            UNION ALL SELECT dst_ip, size, NULL, src_ip FROM real_packets WHERE src_ip <> dst_ip)
+      GROUP BY ip_address"""),
     "packet_scan": sql("SELECT src_ip, dst_ip, src_port, dst_port, size, protocol, ts_ms FROM packets"),
     "ip_metadata_scan": sql(f"""
       SELECT ip_address, CASE WHEN ip_address = '{HOST}' THEN '{LOCAL}' ELSE org END AS org, hostname, location
@@ -497,6 +515,18 @@ ORACLES: dict[str, str] = {
     "packet_edges": sql("SELECT ip_address, port, relation, packet_id FROM ends"),
     "ip_metadata_upsert": sql("""
       SELECT * FROM metadata UNION ALL SELECT resolved.* FROM resolved JOIN missing USING (ip_address)"""),
+    "batch_append": sql("SELECT * FROM normalized"),
+    "metadata_replace": sql("""
+      SELECT * FROM (WITH replacing AS (SELECT * FROM resolved WHERE org = 'Unknown' OR hostname = 'Unknown')
+        SELECT * FROM replacing UNION ALL SELECT * FROM metadata WHERE ip_address NOT IN (SELECT ip_address FROM replacing))"""),
+    "endpoint_replace": f"""
+      SELECT {', '.join(f'CASE WHEN new.ip_address IS NOT NULL THEN new.{c} ELSE old.{c} END AS {c}' for c in PROFILE_COLUMNS)},
+        old.bytes_out > old.bytes_in AS outlier
+      FROM ({profile_of("protocol = 'TLS'")}) old
+      FULL JOIN (SELECT * FROM ({profile_of("protocol <> 'TLS'")}) WHERE ip_address NOT LIKE '10.9.%') new ON old.ip_address = new.ip_address""",
+    "verdict_replace": sql("""
+      SELECT ip_address, CASE WHEN ip_address IN (SELECT ip_address FROM data)
+        THEN ip_address IN (SELECT ip_address FROM reasons) ELSE true END AS outlier FROM profiles"""),
     "endpoint_upsert": sql(f"""
       SELECT ip_address,
         {', '.join(f'CASE WHEN new.ip_address IS NOT NULL THEN new.{c} ELSE old.{c} END AS {c}'
@@ -618,3 +648,7 @@ ORACLES: dict[str, str] = {
       SELECT src_ip, src_port, dst_ip, dst_port, protocol, size, {TEXT_TS.format('ts')} AS timestamp
       FROM packets WHERE {TOUCHES} ORDER BY ts DESC, packet_id DESC LIMIT 20"""),
 }
+
+# The index gives what the views over all packets give.
+for view in ("totals", "peers", "packets"):
+    ORACLES[f"indexed_{view}"] = ORACLES[f"inspect_{view}"]

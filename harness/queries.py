@@ -18,8 +18,8 @@ from peerscope.operators import (
 from peerscope.operators.blocks import prepare
 from peerscope.plans import detection, views
 from peerscope.session import materialize, new_path
-from peerscope.sources import captures, ownership, packets, ranges
-from peerscope.streaming import batchlog, cadence, ingest, windows
+from peerscope.sources import captures, drilldown, ownership, packets, ranges
+from peerscope.streaming import batchlog, cadence, ingest, sketches, windows
 
 EPS, MIN_SAMPLES = 0.53, 4
 # Small blocks, so that searches go over many of them at every size of the tables.
@@ -148,6 +148,15 @@ def refreshed_profiles(spark, sf):
     return plain(batchlog.refreshed_profiles(materialize(edges.read(), "flows"), changes.read(), tables.ip_metadata(spark, sf)))
 
 
+@query
+def sketched_peers(spark, sf):
+    """Peers over all windows from sketches that a stream has stored in two batches."""
+    path, checkpoint = (new_path(spark, n) for n in ("sketches", "progress"))
+    log = sketches.sketch_log(spark, path, 2)
+    sketches.keep_sketches(_landed(spark, sf), log, checkpoint, "6 hours", drain=True).awaitTermination()
+    return sketches.estimates(sketches.sketches_between(log.read()))
+
+
 @query
 def packet_scan(spark, sf):
     return packets.packet_scan(tables.packets(spark, sf))
@@ -205,6 +214,42 @@ def ip_metadata_upsert(spark, sf):
     return ownership.upsert_metadata(metadata, added)
 
 
+@query
+def batch_append(spark, sf):
+    """Packets in three batches, the second of which is appended twice."""
+    path, flat = new_path(spark, "packets"), packets.normalize(tables.raw_packets(spark, sf))
+    for batch in (0, 1, 2, 1):
+        packets.append_batch(flat.filter(F.col("packet_id") % 3 == batch), path, batch)
+    return packets.read_batches(spark, path).drop("ts", "day")
+
+
+@query
+def metadata_replace(spark, sf):
+    """Records that name a company replace what is known; those without an owner add addresses."""
+    records = tables.ownership_records(spark, sf).filter(~F.col("record").contains('"org":') & ~F.col("record").contains('"asn":'))
+    return ownership.upsert_metadata(tables.ip_metadata(spark, sf), ownership.resolve_records(records))
+
+
+@query
+def endpoint_replace(spark, sf):
+    """All fields of profiles of TLS packets, replaced by those of the others; verdicts stay, unknown addresses do not come in."""
+    everything = materialize(tables.packets(spark, sf), "packets")
+    metadata, web = tables.ip_metadata(spark, sf), F.col("protocol") == "TLS"
+    earlier = profiles.endpoint_profile(everything.filter(web), metadata).withColumn("outlier", F.col("bytes_out") > F.col("bytes_in"))
+    later = profiles.endpoint_profile(everything.filter(~web), metadata)
+    in_graph = graph.ip_nodes(everything).filter(~F.col("ip_address").startswith("10.9."))
+    return plain(profiles.upsert_endpoints(materialize(earlier, "earlier"), materialize(later, "later"), in_graph))
+
+
+@query
+def verdict_replace(spark, sf):
+    """Verdicts that were all true: the scored endpoints get theirs, the others stay true."""
+    endpoints = tables.endpoints(spark, sf).withColumn("outlier", F.lit(True))
+    data = materialize(features.clustering_input(endpoints, tables.ip_metadata(spark, sf)), "data")
+    verdicts = scoring.score_endpoints(data).select("ip_address", (F.size("reasons") > 0).alias("is_outlier"))
+    return profiles.write_verdicts(endpoints, verdicts).select("ip_address", "outlier")
+
+
 @query
 def endpoint_upsert(spark, sf):
     everything = materialize(tables.packets(spark, sf), "packets")
@@ -577,3 +622,27 @@ def inspect_peers(spark, sf):
 @query
 def inspect_packets(spark, sf):
     return plain(views.inspect_packets(tables.packets(spark, sf), HOST))
+
+
+def _indexed(spark, sf):
+    """The drill-down tables, built from two batches."""
+    index = drilldown.DrillDown(spark, new_path(spark, "drilldown"), buckets=16)
+    seen = tables.stored_packets(spark, sf)
+    for batch in (0, 1):
+        index.append(seen.filter(F.col("packet_id") % 2 == batch), batch)
+    return index
+
+
+@query
+def indexed_totals(spark, sf):
+    return views.indexed_totals(_indexed(spark, sf), tables.endpoints(spark, sf), HOST)
+
+
+@query
+def indexed_peers(spark, sf):
+    return plain(views.indexed_peers(_indexed(spark, sf), tables.ip_metadata(spark, sf), HOST))
+
+
+@query
+def indexed_packets(spark, sf):
+    return plain(views.indexed_packets(_indexed(spark, sf), HOST))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.columns import clean_names, clean_ports, peer_of, touches
 from peerscope.schema import FETCH_MINUTES, FETCH_ROWS, PACKET_ROWS, PEER_ROWS
+from peerscope.sources.drilldown import DrillDown
 
 PROFILE = [
     "bytes_out", "packets_out", "out_peers", "out_ports",
@@ -79,6 +80,10 @@ def inspect_peers(packets: DataFrame, metadata: DataFrame, ip: str, limit: int =
             clean_ports(F.collect_set("src_port"), F.collect_set("dst_port")).alias("ports"),
         )
     )
+    return _top_peers(conversations, metadata, limit)
+
+
+def _top_peers(conversations: DataFrame, metadata: DataFrame, limit: int) -> DataFrame:
     # An address has one owner, so the rows to show are known before the join.
     shown = conversations.orderBy(F.desc("bytes_total"), "peer_ip").limit(limit)
     peers = metadata.select(
@@ -97,14 +102,36 @@ def inspect_peers(packets: DataFrame, metadata: DataFrame, ip: str, limit: int =
 
 def inspect_packets(packets: DataFrame, ip: str, limit: int = PACKET_ROWS) -> DataFrame:
     """The latest packets of one address."""
+    return _latest(packets.filter(touches(ip)), limit)
+
+
+def _latest(packets: DataFrame, limit: int) -> DataFrame:
     return (
-        packets.filter(touches(ip))
-        .orderBy(F.desc("ts"), F.desc("packet_id"))
+        packets.orderBy(F.desc("ts"), F.desc("packet_id"))
         .limit(limit)
         .select("src_ip", "src_port", "dst_ip", "dst_port", "protocol", "size", F.col("ts").alias("timestamp"))
     )
 
 
+def indexed_totals(index: DrillDown, endpoints: DataFrame, ip: str) -> DataFrame:
+    """As ``inspect_totals``, from the address's rows of the index alone."""
+    profiled = endpoints.filter(F.col("ip_address") == ip).agg(F.count("*").alias("n")).scalar()
+    return index.conversations_of(ip).agg(
+        F.coalesce(F.sum(F.col("packets_out") + F.col("packets_in")), F.lit(0)).alias("packets"), F.count("peer_ip").alias("peers")
+    ).select(F.lit(ip).alias("ip_address"), "packets", "peers", ((F.col("packets") > 0) | (profiled > 0)).alias("found"))
+
+
+def indexed_peers(index: DrillDown, metadata: DataFrame, ip: str, limit: int = PEER_ROWS) -> DataFrame:
+    """As ``inspect_peers``, from the address's rows of the index alone."""
+    total = F.col("bytes_out") + F.col("bytes_in")
+    return _top_peers(index.conversations_of(ip).withColumn("bytes_total", total), metadata, limit)
+
+
+def indexed_packets(index: DrillDown, ip: str, limit: int = PACKET_ROWS) -> DataFrame:
+    """As ``inspect_packets``, from the address's rows of the index alone."""
+    return _latest(index.packets_of(ip), limit)
+
+
 def port_size_points(packets: DataFrame) -> DataFrame:
     """Packet size against both ports, one row per packet."""
     return packets.select("size", "src_port", "dst_port")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from peerscope.functions.columns import epoch_millis, flow_line, port_number
 from peerscope.schema import NO_IP, PACKETS, RAW_PACKETS
+from peerscope.sources.snapshots import Snapshots
 
 
 def read_raw_packets(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +62,26 @@ def append_packets(packets: DataFrame, path: str) -> None:
     ``rebalance`` gathers each day into files of the advisory size and splits
     a day that holds most rows; sorting lets row groups be skipped by address.
     """
-    (
-        packets.withColumn("day", F.to_date("ts"))
-        .hint("rebalance", "day")
-        .sortWithinPartitions("day", "src_ip")
-        .write.mode("append")
-        .partitionBy("day")
-        .parquet(path)
-    )
+    _by_day(packets).write.mode("append").partitionBy("day").parquet(path)
+
+
+def _by_day(packets: DataFrame) -> DataFrame:
+    return packets.withColumn("day", F.to_date("ts")).hint("rebalance", "day").sortWithinPartitions("day", "src_ip")
+
+
+def append_batch(packets: DataFrame, path: str, batch: int) -> None:
+    """Append one numbered batch, in a folder of its own per day.
+
+    A batch that is given again replaces itself, so a job may be retried; it counts
+    once Spark has put its ``_SUCCESS`` file.
+    """
+    _by_day(packets).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batches/version={batch}")
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All complete batches of :func:`append_batch`, with their ``day``; filter it to prune."""
+    schema = T.StructType([*PACKETS, T.StructField("day", T.DateType())])
+    folders = [f"{path}/batches/version={b}" for b in Snapshots(spark, path).versions("batches")]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/batches").parquet(*folders).select(schema.fieldNames())

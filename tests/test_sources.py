@@ -3,6 +3,7 @@ import struct
 
 import pytest
 
+from harness import tables
 from peerscope.schema import ENDPOINTS, IP_METADATA, RAW_PACKETS
 from peerscope.sources import captures, ownership, packets
 from peerscope.sources.snapshots import Snapshots
@@ -242,3 +243,46 @@ def test_enrichment_does_not_depend_on_order(spark):
         missing = spark.createDataFrame([("a",)], "ip_address string")
         (row,) = ownership.enrich(missing, spark.createDataFrame(rows, "ip_address string, record string")).collect()
         assert (row["org"], row["hostname"]) == ("A", "z")
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    first, second = (Snapshots(spark, str(tmp_path / "tables")) for _ in range(2))
+    assert first.claim("t") == 1
+    assert second.write("t", spark.range(2)) == 2  # the first has claimed 1 and is not done
+    assert second.versions("t") == [2]
+    assert first.write("t", spark.range(3)) == 3
+    assert second.read("t", spark.range(1).schema).count() == 3
+
+
+def test_a_number_taken_meanwhile_is_skipped(spark, tmp_path, monkeypatch):
+    """The listing is from before the other writer's claim."""
+    store, other = (Snapshots(spark, str(tmp_path / "tables")) for _ in range(2))
+    assert other.claim("t") == 1
+    monkeypatch.setattr(store, "_numbers", lambda name, complete: [])
+    assert store.claim("t") == 2
+
+
+def test_retain_keeps_the_newest(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path / "tables"))
+    for n in range(4):
+        store.write("t", spark.range(n))
+    assert store.retain("t", 2) == [1, 2] and store.versions("t") == [3, 4]
+    assert store.retain("t", 2) == [] and store.retain("empty") == []
+    assert store.write("t", spark.range(1)) == 5
+    with pytest.raises(ValueError):
+        store.retain("t", 0)
+
+
+def test_retried_batch_changes_nothing(spark, sf_dir, tmp_path):
+    path = str(tmp_path / "packets")
+    flat = packets.normalize(tables.raw_packets(spark, sf_dir))
+    assert packets.read_batches(spark, path).isEmpty()
+    for batch in (0, 1, 1):
+        packets.append_batch(flat.filter(f"packet_id % 2 = {batch}"), path, batch)
+    assert packets.read_batches(spark, path).drop("day").exceptAll(flat).isEmpty()
+    assert packets.read_batches(spark, path).count() == flat.count()
+    # A job that died leaves no _SUCCESS: its batch does not count until it is given again.
+    (tmp_path / "packets/batches/version=1/_SUCCESS").unlink()
+    assert packets.read_batches(spark, path).filter("packet_id % 2 = 1").isEmpty()
+    packets.append_batch(flat.filter("packet_id % 2 = 1"), path, 1)
+    assert packets.read_batches(spark, path).count() == flat.count()
