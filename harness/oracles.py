@@ -649,6 +649,7 @@ ORACLES: dict[str, str] = {
       FROM packets WHERE {TOUCHES} ORDER BY ts DESC, packet_id DESC LIMIT 20"""),
 }
 
+ORACLES["pcap_split_import"] = ORACLES["pcap_import"]
 # The index gives what the views over all packets give.
 for view in ("totals", "peers", "packets"):
     ORACLES[f"indexed_{view}"] = ORACLES[f"inspect_{view}"]

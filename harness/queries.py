@@ -18,7 +18,7 @@ from peerscope.operators import (
 from peerscope.operators.blocks import prepare
 from peerscope.plans import detection, views
 from peerscope.session import materialize, new_path
-from peerscope.sources import captures, drilldown, ownership, packets, ranges
+from peerscope.sources import capture_splits, captures, drilldown, ownership, packets, ranges
 from peerscope.streaming import batchlog, cadence, ingest, sketches, windows
 
 EPS, MIN_SAMPLES = 0.53, 4
@@ -78,6 +78,17 @@ def pcap_import(spark, sf):
     )
 
 
+@query
+def pcap_split_import(spark, sf):
+    """The capture files from storage, each cut into splits of 16 KB."""
+    folder = new_path(spark, "captures")
+    tables.capture_files(spark, sf, folder)
+    raw = capture_splits.read_large_captures(spark, folder, split_bytes=16 * 1024)
+    return packets.normalize(raw).select(
+        "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "size"
+    )
+
+
 @query
 def stream_ingest(spark, sf):
     landing, table, checkpoint = (new_path(spark, n) for n in ("landing", "packets", "progress"))

@@ -215,6 +215,25 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets(spark, sf_dir).mapInPandas(_encode, "path string, content binary")
 
 
+def capture_files(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The same capture files, written below ``folder``."""
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.LocalFileSystem(), folder
+        if "://" in folder:
+            store, root = fs.FileSystem.from_uri(folder)
+        root = root.removeprefix("file:")
+        store.create_dir(root, recursive=True)
+        for batch in _encode(batches):
+            for name, content in zip(batch["path"], batch["content"]):
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield batch[["path"]]
+
+    packets(spark, sf_dir).mapInPandas(write, "path string").count()
+
+
 def _encode(batches):
     import numpy as np
     import pandas as pd

@@ -2,7 +2,7 @@
 
 Each file is one row of Spark's ``binaryFile`` source, so files spread over the
 cluster. A file must stay below the 2 GB a binary cell can hold, as rotated
-captures do.
+captures do; ``capture_splits`` reads larger ones.
 """
 
 from __future__ import annotations
@@ -60,7 +60,11 @@ def decode_captures(files: DataFrame) -> DataFrame:
     ends inside a packet gives the packets before; one with an impossible length
     in it fails the read, since what follows cannot be trusted.
     """
-    decoded = files.select("path", "content").mapInPandas(_decode_files, DECODED)
+    return packets_of(files.select("path", "content").mapInPandas(_decode_files, DECODED))
+
+
+def packets_of(decoded: DataFrame) -> DataFrame:
+    """:data:`DECODED` rows as raw packets."""
     return decoded.select(
         F.xxhash64("path", "record").alias("packet_id"),
         F.when(F.col("ts_us") != NO_TIME, F.timestamp_micros("ts_us")).alias("ts"),
@@ -76,7 +80,7 @@ def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(batch["path"], batch["content"]):
             frames, done = _named(path, _frames(content)), 0
             while part := list(islice(frames, FRAMES_AT_ONCE)):
-                yield _dissect(path, content, np.array(part, dtype=np.int64), done)
+                yield dissect_frames(path, content, np.array(part, dtype=np.int64), done)
                 done += len(part)
 
 
@@ -163,7 +167,7 @@ def _ticks_per_second(content: bytes, order: str, at: int, end: int) -> int:
     return 1_000_000
 
 
-def _dissect(path: str, content: bytes, frames: np.ndarray, first_record: int) -> pd.DataFrame:
+def dissect_frames(path: str, content: bytes, frames: np.ndarray, first_record: int) -> pd.DataFrame:
     """Header fields of many frames at once."""
     octets = np.frombuffer(content, dtype=np.uint8)
     start, captured, length, time, link = frames.T
