@@ -505,6 +505,14 @@ ORACLES: dict[str, str] = {
       FROM (SELECT DISTINCT ip_address FROM ends) LEFT JOIN metadata USING (ip_address)"""),
     "clustering_input": sql(f"""
       SELECT ip_address, org, hostname, location, {', '.join(BASE)}, {rounded(TIMING)} FROM data"""),
+    "embedded_only": sql(f"""
+      SELECT ip_address, org, hostname, location, {', '.join(BASE)}, {rounded(TIMING)} FROM data WHERE packets_in <= packets_out"""),
+    "owner_fallback": sql(f"""
+      SELECT ip_address, {', '.join(
+          f"CASE WHEN packets_out % 2 = 0 OR location <> 'ASIA' THEN coalesce({c}, 'Unknown') ELSE 'Unknown' END AS {c}"
+          for c in ('org', 'hostname', 'location'))}, {', '.join(BASE)}, {rounded(TIMING)}
+      FROM profiles"""),
+    "seeded_host": sql(f"SELECT DISTINCT ip_address FROM ends WHERE ip_address IN ('{HOST}', '10.0.0.2')"),
     "port_size_points": sql("SELECT size, src_port, dst_port FROM packets"),
     "port_size_summary": sql("""
       SELECT CASE relation WHEN 'SENT' THEN 'src' ELSE 'dst' END AS direction, port, count(*) AS packets,

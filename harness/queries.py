@@ -190,6 +190,32 @@ def clustering_input(spark, sf):
     return plain(data.drop("embedding"))
 
 
+@query
+def embedded_only(spark, sf):
+    """Endpoints that received more than they sent are not embedded yet."""
+    vector = F.when(F.col("packets_in") <= F.col("packets_out"), F.col("embedding"))
+    endpoints = tables.endpoints(spark, sf).withColumn("embedding", vector)
+    return plain(features.clustering_input(endpoints, tables.ip_metadata(spark, sf)).drop("embedding"))
+
+
+@query
+def owner_fallback(spark, sf):
+    """Every second packet count comes without an owner of its own, and a region is missing in the metadata."""
+    endpoints = tables.endpoints(spark, sf)
+    for c in ("org", "hostname", "location"):
+        endpoints = endpoints.withColumn(c, F.when(F.col("packets_out") % 2 == 0, F.col(c)))
+    metadata = tables.ip_metadata(spark, sf).filter("location <> 'ASIA'")
+    return plain(features.clustering_input(endpoints, metadata, include_local=True).drop("embedding"))
+
+
+@query
+def seeded_host(spark, sf):
+    """An address that another owner holds becomes a local host."""
+    seeded = ownership.seed_local_host(tables.owners(spark, sf).select("ip_address", "org"), "10.0.0.2")
+    hosts = tables.owners(spark, sf).select("ip_address", "hostname", "location")
+    return ownership.host_ips(ownership.ip_metadata(graph.ip_nodes(tables.packets(spark, sf)), seeded, hosts))
+
+
 @query
 def port_size_points(spark, sf):
     return views.port_size_points(tables.packets(spark, sf))

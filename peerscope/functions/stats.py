@@ -15,80 +15,95 @@ FLAT = 1e-9
 
 # How many parts a range is cut into at each pass of a search for a rank.
 RANGE_PARTS = 4096
+# The approximate quantiles around a middle are off by one rank in so many.
+BRACKET_ACCURACY = 10_000
 
 
 @dataclass(frozen=True)
 class _Search:
-    """The values ``[low, high]`` of a column that hold its ``rank``-th value, ``before`` of which come earlier."""
+    """The values ``[low, high]`` of a column that should hold its ``ranks``, ``before`` of which come earlier, if known."""
 
-    column: str
-    rank: int
+    column: int
+    ranks: tuple[int, ...]
     low: float
     high: float
-    before: int
+    before: int | None = None
 
 
 def exact_medians(
-    df: DataFrame, columns: list[str], counts: dict[str, int] | None = None, parts: int = RANGE_PARTS
+    df: DataFrame, columns: list[str], parts: int = RANGE_PARTS, accuracy: int = BRACKET_ACCURACY
 ) -> dict[str, float | None]:
-    """The interpolated median of each column over its non-null values.
-
-    The range of a column is cut into ``parts``, values are counted per part, and
-    the part that holds the middle is cut again, until all its values are equal.
-    Counts combine before the shuffle: a task sends at most ``parts`` rows for
-    each middle, whatever the number or the distribution of the values.
+    """The interpolated median of each column over its values that are neither null nor NaN.
+
+    The first pass takes approximate quantiles just below and above each middle. The
+    second counts what is below them and, in ``parts`` of the range between, what is
+    inside; the part that holds the middle is cut again until all its values are
+    equal. That makes two passes for up to some ten million different values near
+    each other, and one more for each ``parts`` times as many. Middles outside their
+    quantiles are looked for on the side that the counts name. Counts combine before the
+    shuffle: a task sends at most ``parts`` + 1 rows for each middle, whatever the
+    number or the distribution of the values.
     """
-    names = [f"{kind}({c}) AS {kind}_{i}" for i, c in enumerate(columns) for kind in ("count", "min", "max")]
-    shape = df.selectExpr(*names).first()
-    searches, found = [], {}
-    for i, c in enumerate(columns):
-        count = shape[f"count_{i}"] if counts is None else counts[c]
-        for rank in {(count - 1) // 2, count // 2} if count else ():
-            searches.append(_Search(c, rank, float(shape[f"min_{i}"]), float(shape[f"max_{i}"]), 0))
+    clean = df.selectExpr(*[f"nanvl(CAST({c} AS DOUBLE), CAST(NULL AS DOUBLE)) AS c{i}" for i, c in enumerate(columns)])
+    near = f"array({max(0.0, 0.5 - 2 / accuracy)}D, {min(1.0, 0.5 + 2 / accuracy)}D), {accuracy}"
+    shape = clean.selectExpr(*[
+        f"struct(count(c{i}) AS count, min(c{i}) AS min, max(c{i}) AS max, percentile_approx(c{i}, {near}) AS near) AS c{i}"
+        for i in range(len(columns))
+    ]).first()
+    searches = [
+        _Search(i, tuple(sorted({(shape[i]["count"] - 1) // 2, shape[i]["count"] // 2})), *shape[i]["near"])
+        for i in range(len(columns)) if shape[i]["count"]
+    ]
+    found: dict[int, list[float]] = {}
     while searches:
-        for s in searches:
-            if s.low == s.high:
-                found.setdefault(s.column, []).append(s.low)
-        searches = _narrowed(df, [s for s in searches if s.low != s.high], parts)
-    return {c: sum(found[c]) / len(found[c]) if c in found else None for c in columns}
-
-
-def _narrowed(df: DataFrame, searches: list[_Search], parts: int) -> list[_Search]:
-    """Each search within the part that holds its rank; one pass over the data for all."""
-    if not searches:
-        return []
-    entries = [
-        F.when(
-            F.col(s.column).between(s.low, s.high),
-            F.struct(
-                F.lit(i).alias("search"),
-                # Rounding is monotone, so no value lands in a part before a lower one.
-                F.least(
-                    F.floor((F.col(s.column) / 2 - s.low / 2) / (s.high / 2 - s.low / 2) * parts), F.lit(parts - 1)
-                ).alias("part"),
-                F.col(s.column).cast("double").alias("value"),
-            ),
+        searches = [
+            after for s, counted in zip(searches, _counted(clean, searches, parts))
+            for after in _narrowed(s, counted, shape[s.column], found)
+        ]
+    return {c: sum(found[i]) / len(found[i]) if i in found else None for i, c in enumerate(columns)}
+
+
+def _counted(clean: DataFrame, searches: list[_Search], parts: int) -> list[list]:
+    """Rows, lowest and highest value of each part of each search, in order; part -1 is all below. One pass for all."""
+    entries = []
+    for i, s in enumerate(searches):
+        value = F.col(f"c{s.column}")
+        # Rounding is monotone, so no value lands in a part before a lower one.
+        part = F.lit(0) if s.low == s.high else F.least(
+            F.floor((value / 2 - s.low / 2) / (s.high / 2 - s.low / 2) * parts).cast("int"), F.lit(parts - 1)
         )
-        for i, s in enumerate(searches)
-    ]
+        inside = F.when(value.between(s.low, s.high), part)
+        if s.before is None:
+            inside = F.when(value < s.low, F.lit(-1)).otherwise(inside)
+        entries.append(F.when(inside.isNotNull(), F.struct(F.lit(i).alias("search"), inside.alias("part"), value.alias("value"))))
     counted = (
-        df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("entry"))
+        clean.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("entry"))
         .groupBy("entry.search", "entry.part")
         .agg(F.count("*").alias("rows"), F.min("entry.value").alias("low"), F.max("entry.value").alias("high"))
     )
-    # At most ``parts`` rows for each search reach the driver.
-    by_search: dict[int, list] = {i: [] for i in range(len(searches))}
+    # At most ``parts`` + 1 rows for each search reach the driver.
+    by_search: list[list] = [[] for _ in searches]
     for row in counted.collect():
         by_search[row["search"]].append(row)
-    narrowed = []
-    for i, s in enumerate(searches):
-        before = s.before
-        for row in sorted(by_search[i], key=lambda r: r["part"]):
-            if before + row["rows"] > s.rank:
-                narrowed.append(_Search(s.column, s.rank, row["low"], row["high"], before))
+    return [sorted(rows, key=lambda r: r["part"]) for rows in by_search]
+
+
+def _narrowed(search: _Search, counted: list, shape, found: dict[int, list[float]]) -> list[_Search]:
+    """What is still to be searched for the ranks of ``search``; values that are settled go to ``found``."""
+    after: dict[tuple, list[int]] = {}
+    for rank in search.ranks:
+        before = search.before or 0
+        for row in counted:
+            if before + row["rows"] > rank:
+                if row["low"] == row["high"]:
+                    found.setdefault(search.column, []).append(row["low"])
+                else:
+                    after.setdefault((row["low"], row["high"], before), []).append(rank)
                 break
             before += row["rows"]
-    return narrowed
+        else:
+            after.setdefault((search.high, shape["max"], None), []).append(rank)
+    return [_Search(search.column, tuple(ranks), low, high, before) for (low, high, before), ranks in after.items()]
 
 
 @dataclass(frozen=True)
@@ -134,13 +149,12 @@ def log_spread(df: DataFrame, columns: list[str]) -> dict[str, Spread]:
     """Median, MAD and population standard deviation of log1p of each column."""
     logs = _logs(df, columns)
     moments = _moments(logs, columns)
-    counts = {c: moments[c][0] for c in columns}
-    medians = exact_medians(logs, columns, counts)
-    present = [c for c in columns if counts[c]]
+    medians = exact_medians(logs, columns)
+    present = [c for c in columns if medians[c] is not None]
     if not present:
         return {c: Spread(0.0, 0.0, 0.0) for c in columns}
     distances = logs.selectExpr(*[f"abs({c} - ({medians[c]!r}D)) AS {c}" for c in present])
-    mads = exact_medians(distances, present, counts)
+    mads = exact_medians(distances, present)
     return {
         c: Spread(medians[c], mads[c], moments[c][2]) if c in present else Spread(0.0, 0.0, 0.0)
         for c in columns

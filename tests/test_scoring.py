@@ -65,11 +65,41 @@ def test_exact_medians(spark, parts):
 
 def test_medians_combine_before_the_shuffle(spark):
     df = spark.createDataFrame([(float(v % 97),) for v in range(5000)], "x double")
-    searches = [stats._Search("x", 2500, 0.0, 96.0, 0)]
-    (one,) = stats._narrowed(df, searches, 8)
+    search = stats._Search(0, (2500,), 0.0, 96.0, 0)
+    (counted,) = stats._counted(df.selectExpr("x AS c0"), [search], 8)
+    assert len(counted) <= 8
+    (one,) = stats._narrowed(search, counted, {"max": 96.0}, {})
     assert one.low <= np.median([v % 97 for v in range(5000)]) <= one.high
 
 
+@pytest.mark.parametrize("low, high", [(0.0, 10.0), (90.0, 96.0), (48.0, 48.0), (47.5, 48.5), (0.0, 96.0)])
+def test_medians_outside_their_quantiles(spark, low, high):
+    """Wherever the search begins, counts lead it to the middle."""
+    clean = spark.createDataFrame([(float(v % 97),) for v in range(5000)], "c0 double")
+    searches, found = [stats._Search(0, (2499, 2500), low, high)], {}
+    while searches:
+        searches = [
+            after for s, counted in zip(searches, stats._counted(clean, searches, 4))
+            for after in stats._narrowed(s, counted, {"max": 96.0}, found)
+        ]
+    assert sorted(found[0]) == sorted(v % 97 for v in range(5000))[2499:2501]
+
+
+def test_medians_take_two_passes(spark, monkeypatch):
+    values = np.random.default_rng(2).normal(size=(100_000, 2))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in values], "a double, b double")
+    calls, counted = [], stats._counted
+    monkeypatch.setattr(stats, "_counted", lambda *args: calls.append(1) or counted(*args))
+    found = stats.exact_medians(df, ["a", "b"])
+    assert [found["a"], found["b"]] == pytest.approx(np.median(values, axis=0).tolist(), abs=1e-15)
+    assert len(calls) == 1
+
+
+def test_medians_skip_nan(spark):
+    df = spark.createDataFrame([(1.0, None, 3), (float("nan"), float("nan"), 1), (5.0, None, 2), (2.0, float("nan"), None)], "x double, y double, n long")
+    assert stats.exact_medians(df, ["x", "y", "n"]) == {"x": 2.0, "y": None, "n": 2.0}
+
+
 def test_scores_equal_numpy(spark):
     rows = random_rows(3)
     z = plain_z(plain_features(rows))
