@@ -494,11 +494,8 @@ ORACLES: dict[str, str] = {
       JOIN address_ranges ON number BETWEEN first AND last
       QUALIFY row_number() OVER (PARTITION BY ip_address ORDER BY last - first, org, range) = 1"""),
     "sketched_peers": sql("""
-      SELECT ip_address, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes,
-        count(DISTINCT sent_to) AS out_peers, count(DISTINCT got_from) AS in_peers
-      FROM (SELECT src_ip AS ip_address, size, dst_ip AS sent_to, CASE WHEN src_ip = dst_ip THEN src_ip END AS got_from FROM real_packets
-            UNION ALL SELECT dst_ip, size, NULL, src_ip FROM real_packets WHERE src_ip <> dst_ip)
-      GROUP BY ip_address"""),
+      SELECT ip_address, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes, true AS out_within, true AS in_within
+      FROM both_ends GROUP BY ip_address"""),
     "packet_scan": sql("SELECT src_ip, dst_ip, src_port, dst_port, size, protocol, ts_ms FROM packets"),
     "ip_metadata_scan": sql(f"""
       SELECT ip_address, CASE WHEN ip_address = '{HOST}' THEN '{LOCAL}' ELSE org END AS org, hostname, location

@@ -161,11 +161,18 @@ def refreshed_profiles(spark, sf):
 
 @query
 def sketched_peers(spark, sf):
-    """Peers over all windows from sketches that a stream has stored in two batches."""
+    """Sketches that a stream has stored in two batches, merged over all windows: exact sums, and whether the estimated
+    peers are within five standard errors of the exact counts."""
     path, checkpoint = (new_path(spark, n) for n in ("sketches", "progress"))
     log = sketches.sketch_log(spark, path, 2)
     sketches.keep_sketches(_landed(spark, sf), log, checkpoint, "6 hours", drain=True).awaitTermination()
-    return sketches.estimates(sketches.sketches_between(log.read()))
+    found = sketches.estimates(sketches.sketches_between(log.read()))
+    exact = tables.endpoints(spark, sf).select("ip_address", F.col("out_peers").alias("sent_to"), F.col("in_peers").alias("got_from"))
+    return found.join(exact, "ip_address").select(
+        "ip_address", "packets", "bytes",
+        (F.abs(F.col("out_peers") - F.col("sent_to")) <= 0.08 * F.col("sent_to")).alias("out_within"),
+        (F.abs(F.col("in_peers") - F.col("got_from")) <= 0.08 * F.col("got_from")).alias("in_within"),
+    )
 
 
 @query
