@@ -620,6 +620,10 @@ ORACLES: dict[str, str] = {
     "silhouette": sql("""
       SELECT round(avg(coalesce((nearest - inner_distance) / greatest(inner_distance, nearest), 0.0)), 6) AS silhouette
       FROM silhouettes"""),
+    "silhouette_bounds": sql("""
+      SELECT round(avg(coalesce((nearest - inner_distance) / greatest(inner_distance, nearest), 0.0)), 6) AS silhouette,
+        true AS holds, true AS narrow
+      FROM silhouettes"""),
     "ablation_jaccard": sql(f"""
       SELECT * FROM (WITH cited AS (
         SELECT ip_address, bool_or(feature IN {in_list(BASE)}) AS volume,

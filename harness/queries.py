@@ -13,7 +13,7 @@ from harness.tables import HOST
 from peerscope.functions import columns, stats
 from peerscope.functions.ranking import with_global_rank
 from peerscope.operators import (
-    clusters, evaluation, features, flows, graph, knee, neighbours, profiles, reduction, scoring, timing,
+    bounded_silhouette, clusters, evaluation, features, flows, graph, knee, neighbours, profiles, reduction, scoring, timing,
 )
 from peerscope.operators.blocks import prepare
 from peerscope.plans import detection, views
@@ -582,6 +582,20 @@ def silhouette(spark, sf):
     return plain(spark.createDataFrame([(score,)], "silhouette double"))
 
 
+@query
+def silhouette_bounds(spark, sf):
+    """The pruned silhouette, exact at tolerance 0, and whether the bounds of a tolerance hold it and are as narrow as stated."""
+    points = materialize(numeric_space(spark, sf), "points")
+    labels = materialize(clusters.dbscan(prepare(points), EPS, MIN_SAMPLES, BLOCK_ROWS), "labels")
+    exact = bounded_silhouette.estimate_silhouette(points, labels, 0.0, BLOCK_ROWS)
+    rough = bounded_silhouette.estimate_silhouette(points, labels, 0.05, BLOCK_ROWS)
+    row = (None, rough is None, True)  # below two clusters neither has a value
+    if exact is not None:
+        holds = rough.low - 1e-9 <= exact.silhouette <= rough.high + 1e-9
+        row = (exact.silhouette, holds, rough.high - rough.low <= 2 * 0.05 + 1e-9)
+    return plain(spark.createDataFrame([row], "silhouette double, holds boolean, narrow boolean"))
+
+
 def _ablation(spark, sf):
     return evaluation.ablation(clustering_data(spark, sf, embedded=True), block_rows=BLOCK_ROWS)
 
