@@ -372,6 +372,16 @@ CTES["silhouettes"] = """
   FROM cluster_distances GROUP BY pid
 """
 
+CTES["text_lengths"] = """
+  SELECT ip_address, sum((v - mean) * (v - mean)) AS length FROM (
+    SELECT ip_address, v, avg(v) OVER (PARTITION BY axis) AS mean FROM (
+      SELECT ip_address, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS axis FROM data
+      JOIN (SELECT ip_address, row_number() OVER (ORDER BY ip_address) - 1 AS vec_id FROM profiles) USING (ip_address)
+      JOIN embeddings USING (vec_id)
+    )
+  ) GROUP BY ip_address
+"""
+
 ORDER = list(CTES)
 
 
@@ -620,6 +630,15 @@ ORACLES: dict[str, str] = {
     "silhouette": sql("""
       SELECT round(avg(coalesce((nearest - inner_distance) / greatest(inner_distance, nearest), 0.0)), 6) AS silhouette
       FROM silhouettes"""),
+    "pca_lengths": sql("SELECT ip_address, round(length, 4) AS length FROM text_lengths"),
+    "blend_lengths": sql("""
+      SELECT ip_address, round(any_value(length) + 0.25 * sum(standard * standard), 4) AS length
+      FROM text_lengths JOIN z USING (ip_address) GROUP BY ip_address"""),
+    "cluster_run_counts": sql("""
+      SELECT count(*) AS points, count(*) FILTER (cluster >= 0) AS clustered, count(*) FILTER (cluster < 0) AS outliers,
+        count(DISTINCT cluster) FILTER (cluster >= 0) AS clusters
+      FROM labels"""),
+    "noise_list": sql("SELECT 'numeric-only' AS condition, ip_address FROM labels WHERE cluster < 0"),
     "silhouette_bounds": sql("""
       SELECT round(avg(coalesce((nearest - inner_distance) / greatest(inner_distance, nearest), 0.0)), 6) AS silhouette,
         true AS holds, true AS narrow

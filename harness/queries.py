@@ -542,6 +542,29 @@ def blended_features(spark, sf):
     return reduction.blended_points(clustering_data(spark, sf, embedded=True), 2).points
 
 
+def _lengths(points: DataFrame) -> DataFrame:
+    """Squared lengths: what of all components together does not depend on their signs or on turns among equal ones."""
+    return plain(points.select("ip_address", F.aggregate("features", F.lit(0.0), lambda total, v: total + v * v).alias("length")), 4)
+
+
+def _width(data: DataFrame) -> int:
+    return data.agg(F.max(F.size("embedding"))).first()[0]
+
+
+@query
+def pca_lengths(spark, sf):
+    """Of all components together: centred lengths, which a rotation keeps."""
+    data = clustering_data(spark, sf, embedded=True)
+    return _lengths(reduction.reduce_vectors(data, _width(data)).points)
+
+
+@query
+def blend_lengths(spark, sf):
+    """Text vectors by all components beside numbers at half their scale."""
+    data = clustering_data(spark, sf, embedded=True)
+    return _lengths(reduction.blended_points(data, _width(data), weight=0.5).points)
+
+
 # Neighbours, clusters, evaluation
 
 @query
@@ -582,6 +605,20 @@ def silhouette(spark, sf):
     return plain(spark.createDataFrame([(score,)], "silhouette double"))
 
 
+def _labels(spark, sf):
+    return materialize(clusters.dbscan(prepare(numeric_space(spark, sf)), EPS, MIN_SAMPLES, BLOCK_ROWS), "labels")
+
+
+@query
+def cluster_run_counts(spark, sf):
+    return evaluation.cluster_counts(_labels(spark, sf))
+
+
+@query
+def noise_list(spark, sf):
+    return evaluation.outlier_sets({"numeric-only": _labels(spark, sf)})
+
+
 @query
 def silhouette_bounds(spark, sf):
     """The pruned silhouette, exact at tolerance 0, and whether the bounds of a tolerance hold it and are as narrow as stated."""
