@@ -30,7 +30,7 @@ from peerscope.operators.blocks import MOST_TASKS, Layout, Space, lay_out
 from peerscope.operators.clusters import NOISE
 from peerscope.operators.evaluation import cluster_counts
 from peerscope.operators.neighbours import matrix, squared_distances
-from peerscope.session import materialize
+from peerscope.session import materialize, temporary_tables
 
 TOLERANCE = 0.02
 PIECE_ROWS = 256
@@ -272,7 +272,8 @@ def estimate_silhouette(points: DataFrame, labels: DataFrame, tolerance: float =
     if found["clusters"] < 2 or found["clustered"] <= found["clusters"]:
         return None
     total = F.sum("weight")
-    row = bounded_silhouettes(points, labels, tolerance, piece_rows).agg(
-        *[(F.sum(F.col(c) * F.col("weight")) / total).alias(c) for c in ("silhouette", "low", "high")]
-    ).first()
+    with temporary_tables(points.sparkSession):
+        row = bounded_silhouettes(points, labels, tolerance, piece_rows).agg(
+            *[(F.sum(F.col(c) * F.col("weight")) / total).alias(c) for c in ("silhouette", "low", "high")]
+        ).first()
     return Estimate(row["silhouette"], row["low"], row["high"])

@@ -17,7 +17,7 @@ from peerscope.operators.clusters import NOISE, dbscan
 from peerscope.operators.knee import Radius, recommend_eps
 from peerscope.operators.neighbours import k_distance_curve, k_distances, matrix, squared_distances
 from peerscope.operators.reduction import blended_points, numeric_points, reduce_vectors
-from peerscope.session import materialize
+from peerscope.session import materialize, temporary_tables
 
 
 def _distance_kernel() -> Callable:
@@ -106,10 +106,11 @@ def silhouette(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROW
     found = cluster_counts(labels).first()
     if found["clusters"] < 2 or found["clustered"] <= found["clusters"]:
         return None
-    total = silhouettes(points, labels, block_rows).agg(
-        F.sum(F.col("silhouette") * F.col("weight")) / F.sum("weight")
-    )
-    return total.first()[0]
+    with temporary_tables(points.sparkSession):
+        total = silhouettes(points, labels, block_rows).agg(
+            F.sum(F.col("silhouette") * F.col("weight")) / F.sum("weight")
+        )
+        return total.first()[0]
 
 
 @dataclass(frozen=True)

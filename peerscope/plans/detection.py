@@ -18,7 +18,7 @@ from peerscope.operators.scoring import (
     describe_destinations, host_outbound_flows, score_endpoints, score_host_outbound,
 )
 from peerscope.schema import ENDPOINTS, IP_METADATA
-from peerscope.session import materialize
+from peerscope.session import materialize, temporary_tables
 from peerscope.sources.ownership import enrich, host_ips, undocumented, upsert_metadata
 from peerscope.sources.snapshots import Snapshots
 
@@ -63,9 +63,10 @@ def profile_endpoints(
 
 def store_organizations(store: Snapshots, addresses: DataFrame, records: DataFrame) -> DataFrame:
     """Enrich the stored metadata and write it back. Returns the summary."""
-    metadata, summary = document_organizations(addresses, store.read("metadata", IP_METADATA), records)
-    summary = materialize(summary, "summary")
-    store.write("metadata", metadata, sort_by="ip_address")
+    with temporary_tables(store.spark):
+        metadata, summary = document_organizations(addresses, store.read("metadata", IP_METADATA), records)
+        summary = materialize(summary, "summary", keep=True)
+        store.write("metadata", metadata, sort_by="ip_address")
     return summary
 
 
@@ -75,9 +76,10 @@ def store_endpoints(store: Snapshots, packets: DataFrame, **options) -> DataFram
     Verdicts of earlier runs stay, as do endpoints that did not occur again.
     A run may be repeated. Returns the summary.
     """
-    fresh, summary = profile_endpoints(packets, store.read("metadata", IP_METADATA), **options)
-    summary = materialize(summary, "summary")
-    store.write("endpoints", upsert_endpoints(store.read("endpoints", ENDPOINTS), fresh, ip_nodes(packets)), sort_by="ip_address")
+    with temporary_tables(store.spark):
+        fresh, summary = profile_endpoints(packets, store.read("metadata", IP_METADATA), **options)
+        summary = materialize(summary, "summary", keep=True)
+        store.write("endpoints", upsert_endpoints(store.read("endpoints", ENDPOINTS), fresh, ip_nodes(packets)), sort_by="ip_address")
     return summary
 
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Where the innermost ``temporary_tables`` keeps its tables.
+_STEP: ContextVar[str | None] = ContextVar("step", default=None)
+
 
 def get_session(app_name: str = "peerscope", **settings: str) -> SparkSession:
     """A session with the settings the library relies on; ``settings`` win."""
@@ -45,12 +51,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/peerscope/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that :func:`materialize` writes inside, once the step is done or has failed.
+
+    For steps that write their result before they end: what is still to be
+    computed from such a table afterwards can't be. Steps may be nested; tables
+    written with ``keep`` stay, and threads that are started inside have no step.
+    """
+    folder = new_path(spark, "step")
+    outer = _STEP.set(folder)
+    try:
+        yield
+    finally:
+        _STEP.reset(outer)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs a re-read and not a rerun, and
-    gives later joins true table sizes to choose a strategy from.
+    gives later joins true table sizes to choose a strategy from. Inside
+    :func:`temporary_tables` the table goes with the step unless ``keep`` is set.
     """
-    path = new_path(df.sparkSession, name)
+    step = _STEP.get()
+    path = f"{step}/{name}-{uuid.uuid4().hex}" if step and not keep else new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
