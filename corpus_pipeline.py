@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from peerscope.llm import decontamination, lz_dedup, mixing, ngram_join, toxicity
 from peerscope.llm.texts import caller_rows, read_table
-from peerscope.session import materialize
+from peerscope.session import materialize, temporary_tables
 
 #: A document at this score or above goes.
 TOXIC_SCORE = 0.7
@@ -72,8 +72,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote on its way goes when its result is written."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    for name, stage in STAGES:
+        with temporary_tables(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+    return docs
