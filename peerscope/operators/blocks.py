@@ -5,6 +5,10 @@ region in one task. Points are sorted along their most varied axes and cut into
 blocks of equal size, however crowded a region is. A search then works on pairs
 of blocks: the bounding boxes rule out most pairs, and a task compares the
 points of one pair and returns sums, never the pairs of points.
+
+The number of blocks is bounded, so a block grows with the table. Even where boxes
+rule out nothing, a point is sent to as many tasks as there are blocks, and what
+is shuffled stays in proportion to the points.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from peerscope.functions.ranking import with_global_rank
 from peerscope.session import materialize
 
 BLOCK_ROWS = 2048
+# At most so many blocks, whatever ``block_rows`` asks for.
+MOST_BLOCKS = 64
 # How many quantiles may cut an axis; a box covers at most 64 x 64 bins.
 FEWEST_CUTS, MOST_CUTS = 7, 63
 SORT_AXES = 4
@@ -27,8 +33,10 @@ SEARCH_AXES = 2
 # Room for rounding when a bounding box lies just outside a radius.
 ROUNDING = 1e-9
 # Comparing blocks costs far more than their bytes suggest, so the number of
-# tasks follows the comparisons and not the size of the data.
+# tasks follows the distances and not the size of the data: a few comparisons a
+# task until all cores are busy, beyond that about a second's work.
 COMPARISONS_PER_TASK = 4
+DISTANCES_PER_TASK = 1 << 26
 # The driver keeps track of so many tasks at most; beyond, a task has more to do.
 MOST_TASKS = 20_000
 
@@ -81,14 +89,19 @@ def prepare(points: DataFrame) -> Space:
     return Space(points, spots, size["rows"], size["dims"] or 0)
 
 
+def block_count(rows: int, block_rows: int) -> int:
+    return max(1, min(rows // block_rows, MOST_BLOCKS))
+
+
 def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOCK_ROWS) -> Layout:
-    """Cut the spots into blocks of ``block_rows`` to twice as many.
+    """Cut the spots into blocks of ``block_rows`` to twice as many, or into
+    ``MOST_BLOCKS`` larger ones.
 
     With ``cell_side`` they are also sorted by the cubic micro-cell they fall
     in. Within a block points are in the order of their names.
     """
     spots, rows, dims = space.spots, space.rows, space.dims
-    count = max(1, rows // block_rows)
+    count = block_count(rows, block_rows)
     placed = spots.withColumn("cell", F.lit(None).cast("array<bigint>"))
     # More blocks are told apart by more cuts, so a bin holds about as many.
     parts = min(MOST_CUTS, max(FEWEST_CUTS, 2 * math.isqrt(count)))
@@ -108,7 +121,8 @@ def lay_out(space: Space, cell_side: float | None = None, block_rows: int = BLOC
     placed = placed.withColumn("block", F.expr(f"(place * {count}) div {max(rows, 1)}")).drop("place")
     members = F.sort_array(F.collect_list(F.struct("name", "pid", "weight", "features")))
     blocks = (
-        placed.groupBy("block")
+        placed.repartition(count, "block")
+        .groupBy("block")
         .agg(
             members.alias("members"),
             F.expr(f"array({', '.join(f'min(features[{i}])' for i in range(dims))})").alias("low"),
@@ -188,13 +202,19 @@ def near_pairs(layout: Layout, radius: Column, both_ways: bool) -> DataFrame:
 def compare(pairs: DataFrame, blocks: DataFrame, columns: list[str], kernel: Callable, schema: str) -> DataFrame:
     """Run ``kernel`` on the points of each pair of blocks.
 
-    ``columns`` of both blocks arrive as ``a_<column>`` and ``b_<column>``.
-    ``pairs`` is stored.
+    ``columns`` of both blocks arrive as ``a_<column>`` and ``b_<column>``, beside
+    all columns of ``pairs``, which is stored. The points are shuffled once.
     """
-    left = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    right = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return spread_out(joined, pairs.count()).mapInPandas(kernel, schema)
+    count, largest = blocks.agg(F.count("*"), F.max(F.size("pids"))).first()
+    tasks = task_count(pairs, pairs.count(), (largest or 0) ** 2)
+    # Few files hold all blocks, and each block leaves its task once per pair.
+    dealt = blocks.repartition(max(count, 1), "block")
+    left = dealt.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = dealt.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    joined = pairs.join(left, "a").repartition(tasks, "a", "b").join(
+        pairs.select("a", "b").join(right, "b").repartition(tasks, "a", "b"), ["a", "b"]
+    )
+    return joined.mapInPandas(kernel, schema)
 
 
 def marked(blocks: DataFrame, rows: DataFrame, column: str) -> DataFrame:
@@ -206,9 +226,16 @@ def marked(blocks: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     return blocks.join(in_order.select("block", F.col(f"members.{column}").alias(column)), "block")
 
 
-def spread_out(df: DataFrame, comparisons: int) -> DataFrame:
+def task_count(df: DataFrame, comparisons: int, distances: int) -> int:
+    """Tasks for so many block comparisons of so many distances each."""
+    few = min(comparisons / COMPARISONS_PER_TASK, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    many = min(comparisons * distances / DISTANCES_PER_TASK, comparisons)
+    return max(1, min(math.ceil(max(few, many)), MOST_TASKS))
+
+
+def spread_out(df: DataFrame, comparisons: int, distances: int) -> DataFrame:
     """``df`` over enough tasks for so many block comparisons."""
-    tasks = min(math.ceil(comparisons / COMPARISONS_PER_TASK), MOST_TASKS)
+    tasks = task_count(df, comparisons, distances)
     return df.repartition(tasks) if tasks > 1 else df
 
 

@@ -13,23 +13,28 @@ from peerscope.functions.ranking import with_global_rank
 from peerscope.operators.blocks import BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, marked, spread_out
 from peerscope.operators.components import connected_components
 from peerscope.operators.neighbours import (
-    eps_pairs, matrix, spot_neighbours, within,
+    eps_pairs, matrix, spot_neighbours, strips, within,
 )
 from peerscope.session import materialize
 
 NOISE = -1
 
 
-def reachable_sets(near: np.ndarray) -> np.ndarray:
-    """For each point the lowest index it is linked to, by breadth-first search."""
-    lowest = np.full(len(near), -1)
-    for seed in range(len(near)):
+def linked_sets(points: np.ndarray, eps: float) -> np.ndarray:
+    """For each point the lowest index it is linked to, by breadth-first search
+    over distances that are measured when they are needed."""
+    lowest = np.full(len(points), -1)
+    for seed in range(len(points)):
         if lowest[seed] >= 0:
             continue
         front = np.array([seed])
         while len(front):
             lowest[front] = seed
-            front = np.flatnonzero(near[front].any(axis=0) & (lowest < 0))
+            rest = np.flatnonzero(lowest < 0)
+            others, hit = points[rest], np.zeros(len(rest), dtype=bool)
+            for part in strips(len(front), len(rest)):
+                hit |= within(points[front[part]], others, eps).any(axis=0)
+            front = rest[hit]
     return lowest
 
 
@@ -40,9 +45,8 @@ def _local_kernel(eps: float) -> Callable:
             for row in batch.itertuples():
                 pids, core = np.asarray(row.pids), np.asarray(row.core, dtype=bool)
                 points = matrix(row.coordinates, len(pids))[core]
-                near = within(points, points, eps)
                 group = np.full(len(pids), NOISE)
-                group[core] = pids[core][reachable_sets(near)]
+                group[core] = pids[core][linked_sets(points, eps)]
                 yield pd.DataFrame({
                     "pid": pids, "block": row.block, "place": np.arange(len(pids)), "locals": group,
                 })
@@ -61,27 +65,39 @@ def _link_kernel(eps: float) -> Callable:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                near = within(left, right, eps)
+                a_pids, b_pids = np.asarray(row.a_pids), np.asarray(row.b_pids)
                 a_sets, b_sets = np.asarray(row.a_locals), np.asarray(row.b_locals)
-                sides = [(near, np.asarray(row.a_pids), a_sets, b_sets)]
-                if row.a != row.b:
-                    sides.append((near.T, np.asarray(row.b_pids), b_sets, a_sets))
-                    yield _links(near, a_sets, b_sets)
-                for linked, pids, own, other in sides:
-                    at, to = np.nonzero(linked & (own == NOISE)[:, None] & (other != NOISE)[None, :])
-                    touched = np.unique(np.column_stack([pids[at], other[to]]), axis=0)
-                    yield pd.DataFrame({"border": True, "u": touched[:, 0], "v": touched[:, 1]})
+                links, borders = [], []
+                for part in strips(len(left), len(right)):
+                    near, own = within(left[part], right, eps), a_sets[part]
+                    borders.append(_touched(near, a_pids[part], own, b_sets))
+                    if row.a != row.b:
+                        borders.append(_touched(near.T, b_pids, b_sets, own))
+                        links.append(_linked(near, own, b_sets))
+                for border, found in ((False, links), (True, borders)):
+                    if found:
+                        rows = np.unique(np.concatenate(found), axis=0)
+                        yield pd.DataFrame({"border": border, "u": rows[:, 0], "v": rows[:, 1]})
 
     return kernel
 
 
-def _links(near: np.ndarray, a_sets: np.ndarray, b_sets: np.ndarray) -> pd.DataFrame:
-    rows, links = np.flatnonzero(a_sets != NOISE), []
-    for b_set in np.unique(b_sets[b_sets != NOISE]):
-        hit = near[np.ix_(rows, np.flatnonzero(b_sets == b_set))].any(axis=1)
-        links += [(a_set, b_set) for a_set in np.unique(a_sets[rows[hit]])]
-    links = np.array(links, dtype=np.int64).reshape(-1, 2)
-    return pd.DataFrame({"border": False, "u": links[:, 0], "v": links[:, 1]})
+def _touched(near: np.ndarray, pids: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Points that are not core, and the sets near them."""
+    border, core = np.flatnonzero(own == NOISE), np.flatnonzero(other != NOISE)
+    at, to = np.nonzero(near[np.ix_(border, core)])
+    return np.unique(np.column_stack([pids[border[at]], other[core[to]]]), axis=0)
+
+
+def _linked(near: np.ndarray, a_sets: np.ndarray, b_sets: np.ndarray) -> np.ndarray:
+    """Pairs of sets with points near each other."""
+    rows, others = np.flatnonzero(a_sets != NOISE), np.flatnonzero(b_sets != NOISE)
+    if not len(rows) or not len(others):
+        return np.empty((0, 2), dtype=np.int64)
+    others = others[np.argsort(b_sets[others], kind="stable")]
+    names, starts = np.unique(b_sets[others], return_index=True)
+    at, to = np.nonzero(np.logical_or.reduceat(near[np.ix_(rows, others)], starts, axis=1))
+    return np.unique(np.column_stack([a_sets[rows[at]], names[to]]), axis=0)
 
 
 def dbscan(space: Space, eps: float, min_samples: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -107,7 +123,9 @@ def _label_blocks(space: Space, layout: Layout, eps: float, min_samples: int) ->
     placed = layout.blocks.select("block", "pids", "coordinates", "cell")
     in_blocks = placed.select("block", F.posexplode("pids").alias("place", "pid")).join(cores, "pid")
     members = materialize(
-        spread_out(marked(placed.drop("cell"), in_blocks, "core"), layout.count).mapInPandas(
+        spread_out(
+            marked(placed.drop("cell"), in_blocks, "core"), layout.count, (space.rows // layout.count) ** 2
+        ).mapInPandas(
             _local_kernel(eps), "pid long, block long, place int, locals long"
         ),
         "members",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
 from peerscope.operators.blocks import (
-    BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, marked, near_pairs, spread_out,
+    BLOCK_ROWS, ROUNDING, Layout, Space, cell_side, compare, lay_out, marked, near_pairs, spread_out,
 )
 from peerscope.session import materialize
 
@@ -20,6 +20,17 @@ from peerscope.session import materialize
 # squared distance, with ample room.
 PRODUCT_ERROR = 1e-11
 ROWS_AT_ONCE = 64
+# Distances in memory at a time, however large the blocks are.
+DISTANCES_AT_ONCE = 1 << 20
+# A product is taken for a distance where its error is below this share of the square.
+ENOUGH_DIGITS = 1e-7
+
+
+def strips(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows`` whose distances to ``width`` points fit into memory."""
+    step = max(1, DISTANCES_AT_ONCE // max(width, 1))
+    for start in range(0, rows, step):
+        yield slice(start, min(start + step, rows))
 
 
 def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -41,6 +52,16 @@ def _by_product(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]
     return rough, PRODUCT_ERROR * (left_length.max() + right_length.max())
 
 
+def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All distances; those too short for the digits of a product are measured exactly."""
+    rough, error = _by_product(left, right)
+    rows, others = np.nonzero(rough * ENOUGH_DIGITS <= error)
+    if 8 * len(rows) > rough.size:
+        return np.sqrt(squared_distances(left, right))
+    rough[rows, others] = ((left[rows] - right[others]) ** 2).sum(axis=1)
+    return np.sqrt(rough, out=rough)
+
+
 def within(left: np.ndarray, right: np.ndarray, eps: float) -> np.ndarray:
     """Which points are within ``eps``; close calls are measured again exactly."""
     if not len(left) or not len(right):
@@ -64,10 +85,16 @@ def _count_kernel(eps: float) -> Callable:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                near = within(left, right, eps)
-                yield pd.DataFrame({"pid": row.a_pids, "neighbours": near @ row.b_weights})
-                if row.a != row.b:
-                    yield pd.DataFrame({"pid": row.b_pids, "neighbours": row.a_weights @ near})
+                # Floats, exact to 2**53, since products of integers are slow.
+                a_weights, b_weights = np.asarray(row.a_weights, dtype=float), np.asarray(row.b_weights, dtype=float)
+                a_sums, b_sums = np.zeros(len(left)), np.zeros(len(right))
+                for part in strips(len(left), len(right)):
+                    near = within(left[part], right, eps).astype(float)
+                    a_sums[part] = near @ b_weights
+                    b_sums += a_weights[part] @ near
+                sides = [(row.a_pids, a_sums)] if row.a == row.b else [(row.a_pids, a_sums), (row.b_pids, b_sums)]
+                for pids, sums in sides:
+                    yield pd.DataFrame({"pid": pids, "neighbours": sums.astype(np.int64)})
 
     return kernel
 
@@ -120,6 +147,11 @@ def nearest(left: np.ndarray, right: np.ndarray, weights: np.ndarray, k: int) ->
     A few more than k are picked by a matrix product and measured exactly; a
     point whose k-th might still be among the others is measured against all.
     """
+    parts = [_nearest_of_strip(left[part], right, weights, k) for part in strips(len(left), len(right))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _nearest_of_strip(left: np.ndarray, right: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     rough, error = _by_product(left, right)
     spare = 8
     picked = _smallest(rough, k + spare)
@@ -165,6 +197,17 @@ def _within_kernel(k: int) -> Callable:
     return kernel
 
 
+def _reaching(left: np.ndarray, right: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Places of the points of ``left`` that may have one of ``right`` within their ``reach``."""
+    gap = np.maximum(np.maximum(right.min(axis=0) - left, left - right.max(axis=0)), 0)
+    boxed = np.flatnonzero((gap**2).sum(axis=1) <= reach**2 * (1 + ROUNDING))
+    found = [boxed[:0]]
+    for part in strips(len(boxed), len(right)):
+        rough, error = _by_product(left[boxed[part]], right)
+        found.append(boxed[part][rough.min(axis=1) <= reach[boxed[part]] ** 2 + error])
+    return np.concatenate(found)
+
+
 def _across_kernel(k: int) -> Callable:
     """Nearest neighbours of block a's points in block b that may be among the k."""
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,10 +215,14 @@ def _across_kernel(k: int) -> Callable:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                distances, weights = nearest(left, right, np.asarray(row.b_weights), k)
-                at, nth = np.nonzero(distances <= np.asarray(row.a_reach)[:, None])
+                pids, reach = np.asarray(row.a_pids), np.asarray(row.a_reach)
+                some = _reaching(left, right, reach)
+                if not len(some):
+                    continue
+                distances, weights = nearest(left[some], right, np.asarray(row.b_weights), k)
+                at, nth = np.nonzero(distances <= reach[some][:, None])
                 yield pd.DataFrame({
-                    "pid": np.asarray(row.a_pids)[at],
+                    "pid": pids[some][at],
                     "distance": distances[at, nth],
                     "weight": weights[at, nth],
                 })
@@ -190,7 +237,8 @@ def k_distances(space: Space, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame
     searched. No rows come out if there are fewer than k points.
     """
     layout = lay_out(space, block_rows=max(block_rows, k))
-    inside = spread_out(layout.blocks.select("block", "pids", "weights", "coordinates"), layout.count).mapInPandas(
+    own = layout.blocks.select("block", "pids", "weights", "coordinates")
+    inside = spread_out(own, layout.count, (space.rows // layout.count) ** 2).mapInPandas(
         _within_kernel(k),
         "block long, place int, pid long, reach double, distances array<double>, weights array<long>",
     )

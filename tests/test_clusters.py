@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from peerscope.operators import components, neighbours
-from peerscope.operators.clusters import dbscan
+from peerscope.operators import blocks, components, neighbours
+from peerscope.operators.clusters import dbscan, linked_sets
 from peerscope.operators.knee import knee_place, recommend_eps
 from peerscope.operators.blocks import lay_out, prepare
 from tests import brute
@@ -136,3 +136,34 @@ def test_far_from_the_origin(spark):
     points = 1e7 + scattered(9)[:120]
     space = prepare(frame(spark, points))
     assert by_ip(dbscan(space, 0.5, 4, 16), "cluster").tolist() == brute.dbscan(points, 0.5, 4).tolist()
+
+
+def test_the_number_of_blocks_is_bounded(spark):
+    """So a point is sent to a bounded number of tasks, however many points there are."""
+    points = np.random.default_rng(10).uniform(0, 1, (1500, 3))
+    space = prepare(frame(spark, points))
+    layout = lay_out(space, 0.1, 8)
+    sizes = [len(r["pids"]) for r in layout.blocks.select("pids").collect()]
+    assert layout.count == len(sizes) == blocks.MOST_BLOCKS and sum(sizes) == 1500 and max(sizes) - min(sizes) <= 1
+    counts = by_ip(neighbours.eps_neighbours(space, 0.2, 8), "neighbours")
+    assert counts.tolist() == brute.neighbour_counts(points, 0.2).tolist()
+
+
+def test_large_blocks_are_measured_in_strips(monkeypatch):
+    """What a task holds does not grow with the square of a block."""
+    points = scattered(11)
+    whole = [neighbours.nearest(points, points, np.ones(len(points)), 5)[0], linked_sets(points, 0.5)]
+    squares = neighbours._by_product
+    most = []
+    monkeypatch.setattr(neighbours, "_by_product", lambda a, b: most.append(len(a) * len(b)) or squares(a, b))
+    monkeypatch.setattr(neighbours, "DISTANCES_AT_ONCE", 700)
+    assert np.allclose(neighbours.nearest(points, points, np.ones(len(points)), 5)[0], whole[0], atol=1e-12)
+    assert linked_sets(points, 0.5).tolist() == whole[1].tolist()
+    assert max(most) <= 700
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e5])
+def test_short_distances_are_exact(shift):
+    points = shift + scattered(12)
+    exact = np.sqrt(neighbours.squared_distances(points, points))
+    assert np.allclose(neighbours.distances(points, points), exact, rtol=1e-9, atol=0)
