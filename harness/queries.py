@@ -73,7 +73,7 @@ def packet_flow_line(spark, sf):
 @query
 def pcap_import(spark, sf):
     raw = captures.decode_captures(tables.captures(spark, sf))
-    return packets.normalize(raw).select(
+    return tables.with_derived_addresses(packets.normalize(raw)).select(
         "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "size"
     )
 
@@ -84,7 +84,7 @@ def pcap_split_import(spark, sf):
     folder = new_path(spark, "captures")
     tables.capture_files(spark, sf, folder)
     raw = capture_splits.read_large_captures(spark, folder, split_bytes=16 * 1024)
-    return packets.normalize(raw).select(
+    return tables.with_derived_addresses(packets.normalize(raw)).select(
         "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "size"
     )
 

@@ -34,7 +34,7 @@ SPLIT_BYTES = 128 * 1024 * 1024
 WINDOW_BYTES = 8 * 1024 * 1024
 #: So many plausible headers in a row make a border.
 CHAIN = 8
-#: Tasks at most; beyond them a task takes several splits.
+#: Tasks at most; a task takes several splits beyond them, and of small splits.
 MOST_TASKS = 100_000
 HEAD, RECORD = 24, 16
 UNKNOWN = -1
@@ -93,8 +93,10 @@ def decode_splits(walked: DataFrame) -> DataFrame:
 
 
 def _dealt(splits: DataFrame) -> DataFrame:
-    """About a task for each split: their rows are tiny, so Spark would put them together."""
-    return splits.repartition(max(1, min(splits.count(), MOST_TASKS)), "path", "lower")
+    """A task for each split, or for so many small ones as make a large one: their rows are tiny, so Spark would put them together."""
+    count, total = splits.agg(F.count("*"), F.coalesce(F.sum(F.col("upper") - F.col("lower")), F.lit(0))).first()
+    tasks = max(4 * splits.sparkSession.sparkContext.defaultParallelism, total // SPLIT_BYTES)
+    return splits.repartition(max(1, min(count, tasks, MOST_TASKS)), "path", "lower")
 
 
 def _walk(splits: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import struct
 import pytest
 
 from harness import tables
-from peerscope.schema import ENDPOINTS, IP_METADATA, RAW_PACKETS
+from peerscope.schema import ENDPOINTS, IP_METADATA, PACKETS, RAW_PACKETS
 from peerscope.sources import captures, ownership, packets
 from peerscope.sources.snapshots import Snapshots
 
@@ -286,3 +286,23 @@ def test_retried_batch_changes_nothing(spark, sf_dir, tmp_path):
     assert packets.read_batches(spark, path).filter("packet_id % 2 = 1").isEmpty()
     packets.append_batch(flat.filter("packet_id % 2 = 1"), path, 1)
     assert packets.read_batches(spark, path).count() == flat.count()
+
+
+def test_derived_addresses_beyond_one_octet_pass_through_captures(spark):
+    """Large tables have more users than 10.0.0.0/16 has addresses; frames hold them and give them back."""
+    wanted = [(1, 0, 3), (2, 63_999, 64_000), (3, 90_123, 5_000_000), (499 * 200 + 7, 4, 1), (499 * 70_000 + 7, 5, 2), (50, 9, 9)]
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, 0, n), user, "view", 1.0, f'{{"k": {k}}}')
+            for n, (i, user, k) in enumerate(wanted)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    flat = tables.packet_rows(events).select(PACKETS.fieldNames())
+    decoded = packets.normalize(captures.decode_captures(flat.coalesce(1).mapInPandas(tables._encode, "path string, content binary")))
+    found = tables.with_derived_addresses(decoded)
+    fields = ["ts_ms", "src_ip", "dst_ip"]
+    assert sorted(map(tuple, found.select(fields).collect())) == sorted(map(tuple, flat.select(fields).collect()))
+    assert found.filter("dst_ip = '10.9.0.70000' OR src_ip = '10.0.360.124'").count() == 2
+
+
+@pytest.mark.parametrize("ip", ["10.0.1.256", "10.9.1.300", "11.0.0.256", "250.1.1.1"])
+def test_an_address_without_a_place_is_refused(ip):
+    with pytest.raises(ValueError, match="no place"):
+        tables.wire_address(ip)
