@@ -214,7 +214,8 @@ def compare(pairs: DataFrame, blocks: DataFrame, columns: list[str], kernel: Cal
     joined = pairs.join(left, "a").repartition(tasks, "a", "b").join(
         pairs.select("a", "b").join(right, "b").repartition(tasks, "a", "b"), ["a", "b"]
     )
-    return joined.mapInPandas(kernel, schema)
+    # Spark shuffles for a join into its default number of partitions at least.
+    return joined.coalesce(tasks).mapInPandas(kernel, schema)
 
 
 def marked(blocks: DataFrame, rows: DataFrame, column: str) -> DataFrame:

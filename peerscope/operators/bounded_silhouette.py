@@ -11,7 +11,8 @@ where they do not, and measures the points of a piece that is still too near.
 Clusters that cannot be the nearest other one of any point of a block, by the same
 bounds, are not looked at further. The work per block then follows the logarithm of
 the number of blocks in few dimensions; where boxes rule out little, as in many
-dimensions, it approaches that of the exact silhouette.
+dimensions, it approaches that of the exact silhouette. The number of blocks is
+bounded, as in every search, so what is shuffled stays in proportion to the points.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
-from peerscope.operators.blocks import MOST_TASKS, Layout, Space, lay_out
+from peerscope.operators.blocks import MOST_TASKS, Layout, Space, compare, lay_out
 from peerscope.operators.clusters import NOISE
 from peerscope.operators.evaluation import cluster_counts
-from peerscope.operators.neighbours import matrix, squared_distances
+from peerscope.operators.neighbours import distances, matrix, squared_distances, strips
 from peerscope.session import materialize, temporary_tables
 
 TOLERANCE = 0.02
@@ -135,14 +136,23 @@ def _far_kernel() -> Callable:
 
 
 def _near_kernel() -> Callable:
-    """Summed distances from each point of a block to the points of a piece."""
+    """Summed distances from each point of block a to the points of the wanted clusters in block b.
+
+    The points of a block are in the order of their clusters.
+    """
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                weights = np.asarray(row.piece_weights, dtype=float)
-                squared = squared_distances(matrix(row.coordinates, len(row.pids)), matrix(row.piece, len(weights)))
-                total = np.sqrt(squared) @ weights
-                yield pd.DataFrame({"pid": row.pids, "other": row.cluster, "low": total, "high": total})
+                some = np.isin(row.b_clusters, row.wanted)
+                left, right = matrix(row.a_coordinates, len(row.a_pids)), matrix(row.b_coordinates, len(row.b_pids))[some]
+                weights = np.asarray(row.b_weights, dtype=float)[some]
+                names, starts = np.unique(np.asarray(row.b_clusters)[some], return_index=True)
+                totals = np.concatenate([
+                    np.add.reduceat(distances(left[part], right) * weights, starts, axis=1) for part in strips(len(left), len(right))
+                ]).ravel()
+                yield pd.DataFrame({
+                    "pid": np.repeat(row.a_pids, len(names)), "other": np.tile(names, len(left)), "low": totals, "high": totals,
+                })
 
     return kernel
 
@@ -204,10 +214,8 @@ def bounded_silhouettes(points: DataFrame, labels: DataFrame, tolerance: float =
     dims = size["dims"] or 0
     layout = lay_out(Space(clustered, spots, size["rows"], dims), block_rows=piece_rows)
     placed = materialize(layout.blocks.select("block", F.explode("pids").alias("pid")).join(spots, "pid"), "placed")
-    members = F.collect_list(F.struct("weight", "features"))
     pieces = materialize(
         placed.groupBy("cluster", "block").agg(
-            members.alias("m"),
             F.sum("weight").alias("weight"),
             *[F.sum(F.col("weight") * F.col("features")[i]).alias(f"sum_{i}") for i in range(dims)],
             F.sum(F.col("weight") * F.expr(" + ".join(["0.0D", *[f"pow(features[{i}], 2)" for i in range(dims)]]))).alias("squares"),
@@ -215,10 +223,10 @@ def bounded_silhouettes(points: DataFrame, labels: DataFrame, tolerance: float =
         "pieces",
     )
     sizes = materialize(
-        pieces.drop("m").groupBy("cluster").agg(*_added(dims)).select("cluster", *_group_columns(dims)), "sizes"
+        pieces.groupBy("cluster").agg(*_added(dims)).select("cluster", *_group_columns(dims)), "sizes"
     )
     own = placed.groupBy("block").agg(F.collect_set("cluster").alias("own"))
-    taken, near = _descend(layout, pieces.drop("m"), _candidates(layout, own, sizes), tolerance)
+    taken, near = _descend(layout, pieces, _candidates(layout, own, sizes), tolerance)
     targets = layout.blocks.select(F.col("block").alias("a"), "pids", "coordinates")
     listed = F.collect_list(F.struct("weight", "centre", "variance"))
     far = materialize(
@@ -229,12 +237,17 @@ def bounded_silhouettes(points: DataFrame, labels: DataFrame, tolerance: float =
         "far",
     )
     bounded = _over_tasks(far.join(targets, "a"), far.count() * GROUPS_AT_ONCE * piece_rows).mapInPandas(_far_kernel(), SUMS)
-    contents = pieces.select(
-        "cluster", F.col("block").alias("node"), F.col("m.weight").alias("piece_weights"), F.flatten("m.features").alias("piece")
+    # A block goes to each block that measures some of its pieces once, with all its clusters.
+    members = F.sort_array(F.collect_list(F.struct("cluster", "pid", "weight", "features")))
+    filled = materialize(
+        placed.repartition(layout.count, "block").groupBy("block").agg(members.alias("m")).select(
+            "block", F.col("m.pid").alias("pids"), F.col("m.weight").alias("weights"), F.col("m.cluster").alias("clusters"),
+            F.flatten("m.features").alias("coordinates"),
+        ),
+        "filled",
     )
-    measured = _over_tasks(
-        near.join(contents, ["cluster", "node"]).join(targets, "a"), near.count() * piece_rows * piece_rows
-    ).mapInPandas(_near_kernel(), SUMS)
+    pairs = materialize(near.groupBy("a", F.col("node").alias("b")).agg(F.collect_set("cluster").alias("wanted")), "pairs")
+    measured = compare(pairs, filled, ["pids", "weights", "clusters", "coordinates"], _near_kernel(), SUMS)
     sums = bounded.unionByName(measured).groupBy("pid", "other").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
     return _scored(sums, placed, sizes)
 

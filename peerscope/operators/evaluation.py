@@ -12,29 +12,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerscope.functions.ranking import with_global_rank
-from peerscope.operators.blocks import BLOCK_ROWS, compare, prepare
+from peerscope.operators.blocks import BLOCK_ROWS, block_count, compare, prepare
 from peerscope.operators.clusters import NOISE, dbscan
 from peerscope.operators.knee import Radius, recommend_eps
-from peerscope.operators.neighbours import k_distance_curve, k_distances, matrix, squared_distances
+from peerscope.operators.neighbours import distances, k_distance_curve, k_distances, matrix, strips
 from peerscope.operators.reduction import blended_points, numeric_points, reduce_vectors
 from peerscope.session import materialize, temporary_tables
 
 
 def _distance_kernel() -> Callable:
-    """Weighted sums of distances from each point of either block to each cluster of the other."""
-    def sums(pids: np.ndarray, weighted: np.ndarray, clusters: np.ndarray) -> Iterator[pd.DataFrame]:
-        for cluster in np.unique(clusters):
-            yield pd.DataFrame({"pid": pids, "other": cluster, "distance": weighted[:, clusters == cluster].sum(axis=1)})
+    """Weighted sums of distances from each point of either block to each cluster of the other.
+
+    The points of a block are in the order of their clusters.
+    """
+    def sums(pids: np.ndarray, names: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({
+            "pid": np.repeat(pids, len(names)), "other": np.tile(names, len(pids)), "distance": totals.ravel(),
+        })
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                distances = np.sqrt(squared_distances(left, right))
-                yield from sums(row.a_pids, distances * np.asarray(row.b_weights), np.asarray(row.b_clusters))
+                a_weights, b_weights = np.asarray(row.a_weights), np.asarray(row.b_weights)
+                a_names, a_places = np.unique(row.a_clusters, return_inverse=True)
+                b_names, b_starts = np.unique(row.b_clusters, return_index=True)
+                a_totals, b_totals = np.zeros((len(left), len(b_names))), np.zeros((len(right), len(a_names)))
+                for part in strips(len(left), len(right)):
+                    apart = distances(left[part], right)
+                    a_totals[part] = np.add.reduceat(apart * b_weights, b_starts, axis=1)
+                    if row.a != row.b:
+                        for nth in np.unique(a_places[part]):
+                            of = a_places[part] == nth
+                            b_totals[:, nth] += a_weights[part][of] @ apart[of]
+                yield sums(row.a_pids, b_names, a_totals)
                 if row.a != row.b:
-                    yield from sums(row.b_pids, distances.T * np.asarray(row.a_weights), np.asarray(row.a_clusters))
+                    yield sums(row.b_pids, a_names, b_totals)
 
     return kernel
 
@@ -44,16 +58,19 @@ def silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_RO
 
     The Euclidean silhouette is defined over the distances between all points,
     so its work is quadratic in distinct positions; each two blocks are compared
-    once, and a task returns one sum per point and cluster.
+    once, and a task returns one sum per point and cluster. There are at most
+    ``MOST_BLOCKS`` blocks, so what is shuffled is in proportion to the points.
     """
     clustered = points.join(labels.filter(F.col("cluster") != NOISE), "ip_address")
-    spots = clustered.groupBy("cluster", "features").agg(F.count("*").alias("weight"))
+    spots = materialize(clustered.groupBy("cluster", "features").agg(F.count("*").alias("weight")), "spots")
+    rows = spots.count()
+    count = block_count(rows, block_rows)
     ranked = with_global_rank(spots, ["cluster", "features"], "pid").withColumn(
-        "block", F.expr(f"pid div {block_rows}")
+        "block", F.expr(f"(pid * {count}) div {max(rows, 1)}")
     )
     members = F.sort_array(F.collect_list(F.struct("pid", "weight", "cluster", "features")))
     blocks = materialize(
-        ranked.groupBy("block").agg(members.alias("m")).select(
+        ranked.repartition(count, "block").groupBy("block").agg(members.alias("m")).select(
             "block",
             F.col("m.pid").alias("pids"),
             F.col("m.weight").alias("weights"),
@@ -62,9 +79,8 @@ def silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_RO
         ),
         "blocks",
     )
-    count = blocks.count()
     pairs = materialize(blocks.select(
-        F.col("block").alias("a"), F.explode(F.expr(f"sequence(block, {max(count - 1, 0)}L)")).alias("b")
+        F.col("block").alias("a"), F.explode(F.expr(f"sequence(block, {count - 1}L)")).alias("b")
     ), "pairs")
     sums = compare(
         pairs, blocks, ["pids", "weights", "clusters", "coordinates"],

@@ -1,8 +1,8 @@
 import numpy as np
 import pytest
 
-from peerscope.operators import evaluation, reduction
-from peerscope.operators.blocks import prepare
+from peerscope.operators import bounded_silhouette, evaluation, reduction
+from peerscope.operators.blocks import MOST_BLOCKS, prepare
 from peerscope.operators.clusters import dbscan
 from tests import brute
 from tests.test_clusters import by_ip, frame, scattered
@@ -127,3 +127,18 @@ def test_ablation(spark):
         n: r["outliers"] for n, r in found.items() if r["outliers"]
     }
     assert result.agreement.count() == 3
+
+
+def test_silhouettes_compare_a_bounded_number_of_blocks(spark, monkeypatch):
+    points = scattered(13)
+    labels = brute.dbscan(points, 0.5, 4)
+    df = frame(spark, points)
+    assigned = spark.createDataFrame([(f"ip{i:06d}", int(c)) for i, c in enumerate(labels)], "ip_address string, cluster long")
+    met = []
+    compare = evaluation.compare
+    for module in (evaluation, bounded_silhouette):
+        monkeypatch.setattr(module, "compare", lambda pairs, *rest: met.append(pairs.count()) or compare(pairs, *rest))
+    expected = brute.silhouette(points[labels >= 0], labels[labels >= 0])
+    assert evaluation.silhouette(df, assigned, 1) == pytest.approx(expected, abs=1e-9)
+    assert bounded_silhouette.estimate_silhouette(df, assigned, 0.0, 1).silhouette == pytest.approx(expected, abs=1e-9)
+    assert met[0] == MOST_BLOCKS * (MOST_BLOCKS + 1) // 2 and met[1] <= MOST_BLOCKS**2
