@@ -6,6 +6,10 @@ the stream runs. A batch sorts its own packets of an endpoint; one that is earli
 than the last instant of the state comes too late to be placed and is counted as
 ``late`` instead. An endpoint that is silent for ``timeout`` leaves the state, which
 ends its row with ``closed``.
+
+Endpoints share ``BUCKETS`` groups by the hash of their address, whose states are
+kept and updated together: a call of Python and its frames cost more than the
+packets of a quiet endpoint, and come once per bucket and batch.
 """
 
 from __future__ import annotations
@@ -22,7 +26,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from peerscope.schema import MIN_TIMING_PACKETS
 from peerscope.streaming.windows import endpoint_packets
 
-STATE = "packets bigint, first bigint, last bigint, squares string, late bigint"
+# Part of a stream's checkpoint, as the state of a bucket is found by its number.
+BUCKETS = 4096
+# The endpoints of a bucket, and until when each may be silent.
+STATE = ("ip_address array<string>, packets array<bigint>, first array<bigint>, last array<bigint>, squares array<string>, "
+         "late array<bigint>, deadline array<bigint>")
 RESULT = "ip_address string, packets bigint, interval_mean double, interval_cv double, late bigint, last_ms bigint, closed boolean"
 
 
@@ -48,31 +56,50 @@ def measures(state: tuple) -> tuple[float | None, float | None]:
     return span / gaps / 1000.0, max(gaps * int(squares) - span * span, 0) ** 0.5 / span
 
 
-def _update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        now, closed = state.get, True
-        state.remove()
+def _by_endpoint(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str | None, np.ndarray]]:
+    """The sorted instants of every address."""
+    columns = [(f["ip_address"].to_numpy(object), f["ts_ms"].to_numpy(np.int64)) for f in frames]
+    addresses, instants = (np.concatenate(c) for c in zip(*columns))
+    codes, own = pd.factorize(addresses, use_na_sentinel=False)
+    order = np.lexsort((instants, codes))
+    parts = np.split(instants[order], np.flatnonzero(np.diff(codes[order])) + 1)
+    return zip((None if pd.isna(ip) else ip for ip in own), parts)
+
+
+def _update(frames: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
+    watermark = state.getCurrentWatermarkMs()
+    known = {ip: tuple(own) for ip, *own in zip(*state.get)} if state.exists else {}
+    changed = {}
+    if not state.hasTimedOut:
+        for ip, instants in _by_endpoint(frames):
+            now = advance(known[ip][:-1] if ip in known else None, instants)
+            changed[ip] = now, False
+            known[ip] = *now, max(now[2] + timeout_ms, watermark + 1)
+    for ip in [ip for ip, own in known.items() if own[-1] < watermark]:
+        changed[ip] = known.pop(ip)[:-1], True
+    if known:
+        columns = [list(c) for c in zip(*((ip, *own) for ip, own in known.items()))]
+        state.update(tuple(columns))
+        state.setTimeoutTimestamp(min(columns[-1]))
     else:
-        instants = np.sort(np.concatenate([f["ts_ms"].to_numpy(np.int64) for f in frames]))
-        now, closed = advance(state.get if state.exists else None, instants), False
-        state.update(now)
-        if now[2] is not None:
-            state.setTimeoutTimestamp(max(now[2] + timeout_ms, state.getCurrentWatermarkMs() + 1))
-    mean, variation = measures(now) if now[2] is not None else (None, None)
+        state.remove()
+    states, closed = zip(*changed.values())
+    means, variations = zip(*map(measures, states))
     yield pd.DataFrame({
-        "ip_address": [key[0]], "packets": [now[0]], "interval_mean": pd.array([mean], "Float64"), "interval_cv": pd.array([variation], "Float64"),
-        "late": [now[4]], "last_ms": [now[2]], "closed": [closed],
+        "ip_address": list(changed), "packets": [s[0] for s in states], "interval_mean": pd.array(means, "Float64"),
+        "interval_cv": pd.array(variations, "Float64"), "late": [s[4] for s in states], "last_ms": [s[2] for s in states], "closed": list(closed),
     })
 
 
 def endpoint_cadence(packets: DataFrame, timeout_ms: int = 7 * 86_400_000, delay: str = "10 minutes") -> DataFrame:
     """A row of ``RESULT`` for every endpoint that a batch changes; its latest row is its cadence so far."""
-    rows = endpoint_packets(packets).withWatermark("ts", delay).select("ip_address", "ts", "ts_ms")
+    bucket = F.pmod(F.xxhash64("ip_address"), F.lit(BUCKETS)).alias("bucket")
+    rows = endpoint_packets(packets).withWatermark("ts", delay).select(bucket, "ip_address", "ts", "ts_ms")
 
     def update(key, frames, state):
-        return _update(key, frames, state, timeout_ms)
+        return _update(frames, state, timeout_ms)
 
-    return rows.groupBy("ip_address").applyInPandasWithState(update, RESULT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("bucket").applyInPandasWithState(update, RESULT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def store_cadence(cadence: DataFrame, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:

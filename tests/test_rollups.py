@@ -116,6 +116,28 @@ def test_cadence_closes_silent_endpoints(spark, tmp_path, parts, delay, closed,
     assert rows["c"]["closed"] is closed and (rows["a"]["packets"], rows["a"]["late"]) == (5, late)
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_endpoints_of_a_bucket_share_a_state_and_nothing_else(spark, tmp_path, monkeypatch, parts, buckets):
+    monkeypatch.setattr(cadence, "BUCKETS", buckets)
+    out = str(tmp_path / "out")
+    # The last batch has packets of a nameless endpoint and of h, while four others of the bucket have been silent for too long.
+    stream = stream_of(spark, str(tmp_path / "landing"), [*parts, packet_table(spark, [(9100, None, "h", 1), (9200, None, "h", 1)])])
+    changes = cadence.endpoint_cadence(stream, timeout_ms=1_800_000, delay="1 second")
+    query = cadence.store_cadence(changes, out, str(tmp_path / "progress"), drain=True)
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= min(buckets, 4)
+    stored = spark.read.parquet(out)
+    assert {r[:5] for r in stored.select("step", "ip_address", "packets", "late", "closed").collect()} == {
+        (0, "a", 4, 0, False), (0, "b", 3, 0, False), (0, "c", 1, 0, False), (0, "d", 1, 0, False), (1, "a", 5, 0, False), (1, "b", 4, 0, False),
+        (2, "e", 1, 0, False), (2, "f", 1, 0, False), (3, None, 2, 0, False), (3, "h", 2, 0, False),
+        (3, "a", 5, 0, True), (3, "b", 4, 0, True), (3, "c", 1, 0, True), (3, "d", 1, 0, True),
+    }
+    last = {r["ip_address"]: r for r in cadence.latest_cadence(stored).collect()}
+    gaps = [200, 100, 600, 2800]
+    assert last["a"]["interval_mean"] == 925 and last["a"]["interval_cv"] == pytest.approx(np.std(gaps) / np.mean(gaps))
+    assert last["h"]["interval_mean"] is None and last["h"]["last_ms"] - last["a"]["last_ms"] == 5_500_000
+
+
 def test_squares_are_exact():
     far = 10**12
     state = cadence.advance(None, np.array([0, far]))
