@@ -13,7 +13,7 @@ from peerscope.functions.ranking import with_global_rank
 from peerscope.operators.blocks import BLOCK_ROWS, Layout, Space, cell_side, compare, lay_out, marked, spread_out
 from peerscope.operators.components import connected_components
 from peerscope.operators.neighbours import (
-    eps_pairs, matrix, spot_neighbours, strips, within,
+    eps_pairs, matrix, near_parts, spot_neighbours, strips, within,
 )
 from peerscope.session import materialize
 
@@ -68,12 +68,12 @@ def _link_kernel(eps: float) -> Callable:
                 a_pids, b_pids = np.asarray(row.a_pids), np.asarray(row.b_pids)
                 a_sets, b_sets = np.asarray(row.a_locals), np.asarray(row.b_locals)
                 links, borders = [], []
-                for part in strips(len(left), len(right)):
-                    near, own = within(left[part], right, eps), a_sets[part]
-                    borders.append(_touched(near, a_pids[part], own, b_sets))
+                for rows, others in near_parts(left, right, eps):
+                    near, own, other = within(left[rows], right[others], eps), a_sets[rows], b_sets[others]
+                    borders.append(_touched(near, a_pids[rows], own, other))
                     if row.a != row.b:
-                        borders.append(_touched(near.T, b_pids, b_sets, own))
-                        links.append(_linked(near, own, b_sets))
+                        borders.append(_touched(near.T, b_pids[others], other, own))
+                        links.append(_linked(near, own, other))
                 for border, found in ((False, links), (True, borders)):
                     if found:
                         rows = np.unique(np.concatenate(found), axis=0)

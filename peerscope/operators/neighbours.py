@@ -20,8 +20,12 @@ from peerscope.session import materialize
 # squared distance, with ample room.
 PRODUCT_ERROR = 1e-11
 ROWS_AT_ONCE = 64
-# Distances in memory at a time, however large the blocks are.
-DISTANCES_AT_ONCE = 1 << 20
+# Distances in memory at a time, however large the blocks are; so few stay in a core's cache.
+DISTANCES_AT_ONCE = 1 << 18
+# Points of one box, by which a block is searched.
+BOX_ROWS = 128
+# One in so many neighbours are fewer to list than to multiply; so many times k to sort than to pick from.
+FEW = 32
 # A product is taken for a distance where its error is below this share of the square.
 ENOUGH_DIGITS = 1e-7
 
@@ -43,23 +47,41 @@ def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
-def _by_product(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared distances from one matrix product, and the most they can miss by."""
+def _factors(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Two matrices whose product holds the squared distances, and the most that can miss by."""
     centre = left.mean(axis=0)
     left, right = left - centre, right - centre
     left_length, right_length = (left**2).sum(axis=1), (right**2).sum(axis=1)
-    rough = left_length[:, None] + right_length[None, :] - 2 * (left @ right.T)
-    return rough, PRODUCT_ERROR * (left_length.max() + right_length.max())
+    rows = np.column_stack([-2 * left, left_length, np.ones(len(left))])
+    columns = np.vstack([right.T, np.ones(len(right)), right_length])
+    return rows, columns, PRODUCT_ERROR * (left_length.max() + right_length.max())
+
+
+def _by_product(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances from one matrix product, and the most they can miss by."""
+    rows, columns, error = _factors(left, right)
+    return rows @ columns, error
+
+
+def distance_strips(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """All distances, strip by strip; those too short for the digits of a product are measured exactly."""
+    rows, columns, error = _factors(left, right)
+    for part in strips(len(left), len(right)):
+        rough = rows[part] @ columns
+        short = rough <= error / ENOUGH_DIGITS
+        found = np.count_nonzero(short)
+        if 8 * found > rough.size:
+            yield part, np.sqrt(squared_distances(left[part], right))
+            continue
+        if found:
+            at, to = np.nonzero(short)
+            rough[at, to] = ((left[part][at] - right[to]) ** 2).sum(axis=1)
+        yield part, np.sqrt(rough, out=rough)
 
 
 def distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """All distances; those too short for the digits of a product are measured exactly."""
-    rough, error = _by_product(left, right)
-    rows, others = np.nonzero(rough * ENOUGH_DIGITS <= error)
-    if 8 * len(rows) > rough.size:
-        return np.sqrt(squared_distances(left, right))
-    rough[rows, others] = ((left[rows] - right[others]) ** 2).sum(axis=1)
-    return np.sqrt(rough, out=rough)
+    """All distances at once."""
+    return np.concatenate([apart for _, apart in distance_strips(left, right)])
 
 
 def within(left: np.ndarray, right: np.ndarray, eps: float) -> np.ndarray:
@@ -67,14 +89,61 @@ def within(left: np.ndarray, right: np.ndarray, eps: float) -> np.ndarray:
     if not len(left) or not len(right):
         return np.zeros((len(left), len(right)), dtype=bool)
     rough, error = _by_product(left, right)
-    near = rough <= eps * eps
-    rows, others = np.nonzero(np.abs(rough - eps * eps) <= error)
+    near, sure = rough <= eps * eps + error, rough <= eps * eps - error
+    if np.count_nonzero(near) == np.count_nonzero(sure):
+        return near
+    rows, others = np.nonzero(near != sure)
     for start in range(0, len(rows), 1_000_000):
         at, to = rows[start:start + 1_000_000], others[start:start + 1_000_000]
         near[at, to] = ((left[at] - right[to]) ** 2).sum(axis=1) <= eps * eps
     return near
 
 
+def _boxes(points: np.ndarray) -> list[np.ndarray]:
+    """Places of the points of each box: halves along the widest axis, down to ``BOX_ROWS``."""
+    pieces, boxes = [np.arange(len(points))], []
+    while pieces:
+        piece = pieces.pop()
+        if len(piece) <= BOX_ROWS:
+            boxes.append(np.sort(piece))
+            continue
+        found, middle = points[piece], len(piece) // 2
+        order = np.argpartition(found[:, np.ptp(found, axis=0).argmax()], middle)
+        pieces += [piece[order[:middle]], piece[order[middle:]]]
+    return boxes
+
+
+def near_parts(left: np.ndarray, right: np.ndarray, reach: np.ndarray | float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``left`` and in ``right`` that hold all points within their ``reach``.
+
+    No two points meet twice. Blocks grow with the table, so the boxes of whole
+    blocks rule out little; a point is only measured against small boxes in reach.
+    """
+    def gaps(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(points), len(low)))
+        for axis in range(points.shape[1]):
+            at = points[:, axis][:, None]
+            total += np.maximum(np.maximum(low[:, axis] - at, at - high[:, axis]), 0) ** 2
+        return total
+
+    limit = np.broadcast_to(np.square(reach) * (1 + ROUNDING), len(left))
+    low, high = right.min(axis=0, keepdims=True), right.max(axis=0, keepdims=True)
+    boxed = np.flatnonzero(gaps(left, low, high)[:, 0] <= limit)
+    if not len(boxed):
+        return
+    boxes = _boxes(right)
+    low, high = (np.stack([end(right[b], axis=0) for b in boxes]) for end in (np.min, np.max))
+    for rows in _boxes(left[boxed]):
+        rows = boxed[rows]
+        near = gaps(left[rows], low, high) <= limit[rows][:, None]
+        rows, met = rows[near.any(axis=1)], np.flatnonzero(near.any(axis=0))
+        if not len(rows):
+            continue
+        others = np.concatenate([boxes[b] for b in met])
+        for part in strips(len(rows), len(others)):
+            yield rows[part], others
+
+
 def matrix(coordinates: np.ndarray, rows: int) -> np.ndarray:
     return np.asarray(coordinates, dtype=float).reshape(rows, -1)
 
@@ -88,10 +157,16 @@ def _count_kernel(eps: float) -> Callable:
                 # Floats, exact to 2**53, since products of integers are slow.
                 a_weights, b_weights = np.asarray(row.a_weights, dtype=float), np.asarray(row.b_weights, dtype=float)
                 a_sums, b_sums = np.zeros(len(left)), np.zeros(len(right))
-                for part in strips(len(left), len(right)):
-                    near = within(left[part], right, eps).astype(float)
-                    a_sums[part] = near @ b_weights
-                    b_sums += a_weights[part] @ near
+                for rows, others in near_parts(left, right, eps):
+                    near = within(left[rows], right[others], eps)
+                    if np.count_nonzero(near) * FEW < near.size:
+                        at, to = np.nonzero(near)
+                        a_sums[rows] += np.bincount(at, b_weights[others[to]], len(rows))
+                        b_sums[others] += np.bincount(to, a_weights[rows[at]], len(others))
+                        continue
+                    near = near.astype(float)
+                    a_sums[rows] += near @ b_weights[others]
+                    b_sums[others] += a_weights[rows] @ near
                 sides = [(row.a_pids, a_sums)] if row.a == row.b else [(row.a_pids, a_sums), (row.b_pids, b_sums)]
                 for pids, sums in sides:
                     yield pd.DataFrame({"pid": pids, "neighbours": sums.astype(np.int64)})
@@ -197,15 +272,26 @@ def _within_kernel(k: int) -> Callable:
     return kernel
 
 
-def _reaching(left: np.ndarray, right: np.ndarray, reach: np.ndarray) -> np.ndarray:
-    """Places of the points of ``left`` that may have one of ``right`` within their ``reach``."""
-    gap = np.maximum(np.maximum(right.min(axis=0) - left, left - right.max(axis=0)), 0)
-    boxed = np.flatnonzero((gap**2).sum(axis=1) <= reach**2 * (1 + ROUNDING))
-    found = [boxed[:0]]
-    for part in strips(len(boxed), len(right)):
-        rough, error = _by_product(left[boxed[part]], right)
-        found.append(boxed[part][rough.min(axis=1) <= reach[boxed[part]] ** 2 + error])
-    return np.concatenate(found)
+def _nearest_within(left: np.ndarray, right: np.ndarray, weights: np.ndarray, reach: np.ndarray, k: int) -> tuple:
+    """Place in ``left``, distance and weight of up to k nearest points of ``right`` within each point's ``reach``."""
+    rough, error = _by_product(left, right)
+    near = rough <= (reach**2 + error)[:, None]
+    many = np.count_nonzero(near, axis=1) > FEW * k
+    near[many] = False
+    at, to = np.nonzero(near)
+    found = np.sqrt(((left[at] - right[to]) ** 2).sum(axis=1))
+    close = found <= reach[at]
+    at, to, found = at[close], to[close], found[close]
+    order = np.lexsort((found, at))
+    at, to, found = at[order], to[order], found[order]
+    some = np.arange(len(at)) - np.searchsorted(at, at) < k
+    at, found, weight = at[some], found[some], weights[to[some]]
+    crowded = np.flatnonzero(many)
+    if not len(crowded):
+        return at, found, weight
+    apart, weighing = nearest(left[crowded], right, weights, k)
+    rows, nth = np.nonzero(apart <= reach[crowded][:, None])
+    return tuple(map(np.concatenate, ((at, crowded[rows]), (found, apart[rows, nth]), (weight, weighing[rows, nth]))))
 
 
 def _across_kernel(k: int) -> Callable:
@@ -215,17 +301,13 @@ def _across_kernel(k: int) -> Callable:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                pids, reach = np.asarray(row.a_pids), np.asarray(row.a_reach)
-                some = _reaching(left, right, reach)
-                if not len(some):
-                    continue
-                distances, weights = nearest(left[some], right, np.asarray(row.b_weights), k)
-                at, nth = np.nonzero(distances <= reach[some][:, None])
-                yield pd.DataFrame({
-                    "pid": pids[some][at],
-                    "distance": distances[at, nth],
-                    "weight": weights[at, nth],
-                })
+                pids, reach, b_weights = np.asarray(row.a_pids), np.asarray(row.a_reach), np.asarray(row.b_weights)
+                found = []
+                for rows, others in near_parts(left, right, reach):
+                    at, apart, weights = _nearest_within(left[rows], right[others], b_weights[others], reach[rows], k)
+                    found.append((pids[rows[at]], apart, weights))
+                if found:
+                    yield pd.DataFrame(dict(zip(("pid", "distance", "weight"), map(np.concatenate, zip(*found)))))
 
     return kernel
 

@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from peerscope.operators import blocks, components, neighbours
+from peerscope.operators import blocks, clusters, components, neighbours
 from peerscope.operators.clusters import dbscan, linked_sets
 from peerscope.operators.knee import knee_place, recommend_eps
 from peerscope.operators.blocks import lay_out, prepare
@@ -167,3 +168,49 @@ def test_short_distances_are_exact(shift):
     points = shift + scattered(12)
     exact = np.sqrt(neighbours.squared_distances(points, points))
     assert np.allclose(neighbours.distances(points, points), exact, rtol=1e-9, atol=0)
+
+
+@pytest.mark.parametrize("rows", [4, 128])
+def test_near_parts_hold_all_near_pairs_and_few_others(monkeypatch, rows):
+    monkeypatch.setattr(neighbours, "BOX_ROWS", rows)
+    rng = np.random.default_rng(14)
+    left, right = scattered(14), rng.normal(1, 3, (500, 3))
+    for reach in (0.4, 0.0, rng.uniform(0, 1.5, len(left)), np.full(len(left), np.inf)):
+        met = np.zeros((len(left), len(right)), dtype=int)
+        for some, others in neighbours.near_parts(left, right, reach):
+            met[np.ix_(some, others)] += 1
+        apart = np.sqrt(((left[:, None] - right[None]) ** 2).sum(axis=2))
+        near = apart <= np.broadcast_to(reach, len(left))[:, None]
+        assert met.max() <= 1 and met[near].all()
+    left = rng.uniform(0, 10, (4000, 2))
+    measured = sum(len(some) * len(others) for some, others in neighbours.near_parts(left, left, 0.1))
+    assert measured < len(left) ** 2 / 5
+
+
+def test_large_blocks_are_searched_by_boxes(spark, monkeypatch):
+    """Counts, distances and labels of one block that holds many boxes."""
+    monkeypatch.setattr(neighbours, "BOX_ROWS", 16)
+    points = scattered(15)
+    kernels = neighbours._count_kernel(0.5), neighbours._across_kernel(4), clusters._link_kernel(0.5)
+    half, ids = len(points) // 2, np.arange(len(points))
+    sides = {"a": slice(0, half), "b": slice(half, None)}
+    links = linked_sets(points[:half], 0.5), half + linked_sets(points[half:], 0.5)
+    row = {"a": 0, "b": 1}
+    for side, at in sides.items():
+        row |= {
+            f"{side}_pids": ids[at], f"{side}_weights": np.ones(len(ids[at]), dtype=int),
+            f"{side}_coordinates": points[at].ravel(), f"{side}_reach": np.full(len(ids[at]), 1.0),
+            f"{side}_locals": links[side == "b"],
+        }
+    row = pd.DataFrame({name: [value] for name, value in row.items()})
+    counts, reached, linked = (pd.concat(list(kernel(iter([row])))) for kernel in kernels)
+    apart = np.sqrt(((points[:half, None] - points[None, half:]) ** 2).sum(axis=2))
+    near = apart <= 0.5
+    found = counts.groupby("pid")["neighbours"].sum().reindex(ids, fill_value=0)
+    assert found.tolist() == [*near.sum(axis=1), *near.sum(axis=0)]
+    best = reached.groupby("pid")["distance"].apply(lambda d: np.sort(d)[:4].tolist())
+    expected = {i: d[d <= 1.0][:4].tolist() for i, d in enumerate(np.sort(apart, axis=1)) if d[0] <= 1.0}
+    assert set(best.index) == set(expected)
+    assert all(best[i] == pytest.approx(d, abs=1e-12) for i, d in expected.items())
+    at, to = np.nonzero(near)
+    assert {tuple(p) for p in linked[["u", "v"]].to_numpy()} == set(zip(links[0][at], links[1][to]))
