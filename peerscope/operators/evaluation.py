@@ -15,40 +15,100 @@ from peerscope.functions.ranking import with_global_rank
 from peerscope.operators.blocks import BLOCK_ROWS, block_count, compare, prepare
 from peerscope.operators.clusters import NOISE, dbscan
 from peerscope.operators.knee import Radius, recommend_eps
-from peerscope.operators.neighbours import distances, k_distance_curve, k_distances, matrix, strips
+from peerscope.operators.neighbours import distance_strips, k_distance_curve, k_distances, matrix
 from peerscope.operators.reduction import blended_points, numeric_points, reduce_vectors
 from peerscope.session import materialize, temporary_tables
 
+# Up to so many clusters of a block are summed by one product of matrices.
+FEW_CLUSTERS = 16
+
+
+def _told(pids: np.ndarray, own: np.ndarray, names: np.ndarray, sizes: np.ndarray, totals: np.ndarray) -> tuple:
+    """``(pid, cluster, sum)`` of each point for the clusters of a block that its silhouette may need.
+
+    The first and the last cluster may go on in other blocks. Those between are
+    whole, so of them only the point's own and the nearest matter.
+    """
+    told = names == own[:, None]
+    told[:, [0, -1]] = True
+    told[np.arange(len(pids)), np.where(told, np.inf, totals / sizes).argmin(axis=1)] = True
+    at, nth = np.nonzero(told)
+    return pids[at], names[nth], totals[at, nth]
+
+
+def _sums_of_columns(places: np.ndarray, weights: np.ndarray, count: int) -> Callable:
+    """Weighted sums over the columns of each cluster; ``places`` ascend from 0 to ``count``."""
+    if count > FEW_CLUSTERS:
+        starts = np.searchsorted(places, np.arange(count))
+        return lambda apart: np.add.reduceat(apart * weights, starts, axis=1)
+    factors = (places[:, None] == np.arange(count)) * weights[:, None]
+    return lambda apart: apart @ factors
+
+
+class _RowSums:
+    """Weighted sums over the rows of each cluster of a block, for each column; rows come in the order of clusters.
+
+    Keeps one cluster that may go on in the next rows, and the nearest of the
+    clusters that are over, the first of the block apart.
+    """
+
+    def __init__(self, places: np.ndarray, weights: np.ndarray, sizes: np.ndarray, columns: int):
+        self.places, self.weights, self.sizes = places, weights, sizes
+        self.place, self.open = 0, np.zeros(columns)
+        self.first, self.mean = None, np.full(columns, np.inf)
+        self.nearest, self.total = np.full(columns, -1), np.zeros(columns)
+
+    def add(self, part: slice, apart: np.ndarray) -> None:
+        places = self.places[part]
+        names = np.arange(self.place, places[-1] + 1)
+        sums = ((names[:, None] == places) * self.weights[part]) @ apart
+        sums[0] += self.open
+        self.place, self.open = names[-1], sums[-1]
+        names, sums = names[:-1], sums[:-1]
+        if len(names) and names[0] == 0:
+            self.first, names, sums = sums[0], names[1:], sums[1:]
+        if len(names):
+            means = sums / self.sizes[names][:, None]
+            best, columns = means.argmin(axis=0), np.arange(sums.shape[1])
+            better = means[best, columns] < self.mean
+            best, columns = best[better], columns[better]
+            self.mean[columns], self.total[columns] = means[best, columns], sums[best, columns]
+            self.nearest[columns] = names[best]
+
+    def told(self, pids: np.ndarray, names: np.ndarray) -> list[tuple]:
+        """As :func:`_told`. A cluster that is whole in one block has no points in another."""
+        found = [(pids, np.full(len(pids), names[self.place]), self.open)]
+        if self.first is not None:
+            found.append((pids, np.full(len(pids), names[0]), self.first))
+        some = self.nearest >= 0
+        return [*found, (pids[some], names[self.nearest[some]], self.total[some])]
+
 
 def _distance_kernel() -> Callable:
-    """Weighted sums of distances from each point of either block to each cluster of the other.
+    """Weighted sums of distances from each point of either block to the clusters of the other that may matter.
 
     The points of a block are in the order of their clusters.
     """
-    def sums(pids: np.ndarray, names: np.ndarray, totals: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({
-            "pid": np.repeat(pids, len(names)), "other": np.tile(names, len(pids)), "distance": totals.ravel(),
-        })
-
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 left = matrix(row.a_coordinates, len(row.a_pids))
                 right = matrix(row.b_coordinates, len(row.b_pids))
-                a_weights, b_weights = np.asarray(row.a_weights), np.asarray(row.b_weights)
-                a_names, a_places = np.unique(row.a_clusters, return_inverse=True)
-                b_names, b_starts = np.unique(row.b_clusters, return_index=True)
-                a_totals, b_totals = np.zeros((len(left), len(b_names))), np.zeros((len(right), len(a_names)))
-                for part in strips(len(left), len(right)):
-                    apart = distances(left[part], right)
-                    a_totals[part] = np.add.reduceat(apart * b_weights, b_starts, axis=1)
+                a_pids, b_pids, a_own = np.asarray(row.a_pids), np.asarray(row.b_pids), np.asarray(row.a_clusters)
+                a_weights, b_weights = np.asarray(row.a_weights, dtype=float), np.asarray(row.b_weights, dtype=float)
+                a_names, a_places = np.unique(a_own, return_inverse=True)
+                b_names, b_places = np.unique(row.b_clusters, return_inverse=True)
+                a_sizes, b_sizes = np.bincount(a_places, a_weights), np.bincount(b_places, b_weights)
+                by_cluster = _sums_of_columns(b_places, b_weights, len(b_names))
+                back = _RowSums(a_places, a_weights, a_sizes, len(right))
+                found = []
+                for part, apart in distance_strips(left, right):
+                    found.append(_told(a_pids[part], a_own[part], b_names, b_sizes, by_cluster(apart)))
                     if row.a != row.b:
-                        for nth in np.unique(a_places[part]):
-                            of = a_places[part] == nth
-                            b_totals[:, nth] += a_weights[part][of] @ apart[of]
-                yield sums(row.a_pids, b_names, a_totals)
+                        back.add(part, apart)
                 if row.a != row.b:
-                    yield sums(row.b_pids, a_names, b_totals)
+                    found += back.told(b_pids, a_names)
+                yield pd.DataFrame(dict(zip(("pid", "other", "distance"), map(np.concatenate, zip(*found)))))
 
     return kernel
 
@@ -58,8 +118,9 @@ def silhouettes(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_RO
 
     The Euclidean silhouette is defined over the distances between all points,
     so its work is quadratic in distinct positions; each two blocks are compared
-    once, and a task returns one sum per point and cluster. There are at most
-    ``MOST_BLOCKS`` blocks, so what is shuffled is in proportion to the points.
+    once, and a task returns at most four sums per point, however many clusters
+    there are. There are at most ``MOST_BLOCKS`` blocks, so what is shuffled is in
+    proportion to the points.
     """
     clustered = points.join(labels.filter(F.col("cluster") != NOISE), "ip_address")
     spots = materialize(clustered.groupBy("cluster", "features").agg(F.count("*").alias("weight")), "spots")

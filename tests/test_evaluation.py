@@ -142,3 +142,51 @@ def test_silhouettes_compare_a_bounded_number_of_blocks(spark, monkeypatch):
     assert evaluation.silhouette(df, assigned, 1) == pytest.approx(expected, abs=1e-9)
     assert bounded_silhouette.estimate_silhouette(df, assigned, 0.0, 1).silhouette == pytest.approx(expected, abs=1e-9)
     assert met[0] == MOST_BLOCKS * (MOST_BLOCKS + 1) // 2 and met[1] <= MOST_BLOCKS**2
+
+
+def test_silhouette_sends_few_sums_per_point_however_many_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    points = np.repeat(rng.uniform(0, 40, (60, 3)), 5, axis=0) + rng.normal(0, 0.3, (300, 3))
+    labels = np.repeat(np.arange(60), 5)
+    df = frame(spark, points)
+    assigned = spark.createDataFrame([(f"ip{i:06d}", int(c)) for i, c in enumerate(labels)], "ip_address string, cluster long")
+    sent = []
+    compare = evaluation.compare
+
+    def counted(*args):
+        sums = compare(*args)
+        sent.append(sums.count())
+        return sums
+
+    monkeypatch.setattr(evaluation, "compare", counted)
+    monkeypatch.setattr("peerscope.operators.neighbours.DISTANCES_AT_ONCE", 700)
+    for block_rows in (2048, 75, 1):
+        sent.clear()
+        assert evaluation.silhouette(df, assigned, block_rows) == pytest.approx(brute.silhouette(points, labels), abs=1e-9)
+        blocks = min(300 // block_rows, MOST_BLOCKS) or 1
+        assert sent[0] <= 4 * 300 * blocks and (block_rows == 1 or sent[0] < 300 * 60)
+
+
+def test_sums_of_whole_and_open_clusters():
+    """Whatever is left out, sums of clusters that go on, the own one's and the nearest one's are those of all distances."""
+    rng = np.random.default_rng(18)
+    points, weights = rng.normal(size=(90, 2)), rng.integers(1, 4, 90).astype(float)
+    for clusters in (1, 2, 3, 40):
+        places = np.sort(np.append(rng.integers(0, clusters, 90 - clusters), np.arange(clusters)))
+        sizes, all_sums = np.bincount(places, weights), np.zeros((30, clusters))
+        targets = rng.normal(size=(30, 2))
+        apart = np.sqrt(((points[:, None] - targets[None]) ** 2).sum(axis=2))
+        np.add.at(all_sums.T, places, weights[:, None] * apart)
+        back = evaluation._RowSums(places, weights, sizes, 30)
+        for start in range(0, 90, 7):
+            back.add(slice(start, start + 7), apart[start:start + 7])
+        names = 10 * np.arange(clusters)
+        sums = evaluation._sums_of_columns(places, weights, clusters)(apart.T)
+        assert np.allclose(sums, all_sums)
+        for parts in (back.told(np.arange(30), names), [evaluation._told(np.arange(30), np.full(30, -5), names, sizes, sums)]):
+            told = {(p, c): s for part in parts for p, c, s in zip(*part)}
+            assert len(told) == sum(len(part[0]) for part in parts)
+            for point in range(30):
+                wanted = {0, clusters - 1} | ({1 + (all_sums / sizes)[point, 1:-1].argmin()} if clusters > 2 else set())
+                assert {c // 10 for p, c in told if p == point} == wanted
+                assert all(told[point, 10 * c] == pytest.approx(all_sums[point, c]) for c in wanted)
