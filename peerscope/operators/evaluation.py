@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ from peerscope.operators.clusters import NOISE, dbscan
 from peerscope.operators.knee import Radius, recommend_eps
 from peerscope.operators.neighbours import distance_strips, k_distance_curve, k_distances, matrix
 from peerscope.operators.reduction import blended_points, numeric_points, reduce_vectors
-from peerscope.session import materialize, temporary_tables
+from peerscope.session import materialize, side_by_side, temporary_tables
 
 # Up to so many clusters of a block are summed by one product of matrices.
 FEW_CLUSTERS = 16
@@ -258,7 +259,8 @@ def jaccard(outliers: DataFrame, conditions: list[str] = CONDITIONS) -> DataFram
 def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight: float = 1.0,
              block_rows: int = BLOCK_ROWS) -> Ablation:
     """Cluster the same endpoints by text, by numbers and by both, each at the
-    radius its own curve recommends. Writes no verdicts.
+    radius its own curve recommends. Writes no verdicts. The conditions run side
+    by side, since most of their jobs are too small for all cores.
 
     Below ``2 * components`` endpoints nothing is clustered: all conditions are
     listed with nulls, and no address is an outlier of any.
@@ -270,17 +272,16 @@ def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight:
         rows = [(name, None, None, None, None, None) for name in CONDITIONS]
         return Ablation(data.sparkSession.createDataFrame(rows, schema), jaccard(nothing), nothing)
     spaces = {
-        "text-only": reduce_vectors(data, components, whiten).points,
-        "numeric-only": numeric_points(data),
-        "blended": blended_points(data, components, whiten, weight if weight > 0 else 1.0).points,
+        "text-only": lambda: reduce_vectors(data, components, whiten).points,
+        "numeric-only": lambda: numeric_points(data),
+        "blended": lambda: blended_points(data, components, whiten, weight if weight > 0 else 1.0).points,
     }
     rows, labels = [], {}
-    for name, points in spaces.items():
-        points = materialize(points, "points")
-        clustering = cluster_points(points, min_samples, block_rows=block_rows)
+    for name, (clustering, score) in side_by_side(data.sparkSession, {
+        name: partial(_scored_clusters, space, min_samples, block_rows) for name, space in spaces.items()
+    }).items():
         labels[name] = clustering.labels
         found = cluster_counts(clustering.labels).first()
-        score = silhouette(points, clustering.labels, block_rows)
         rows.append((
             name, clustering.dims, round(clustering.radius.eps, 4), found["clusters"],
             found["outliers"], None if score is None else round(score, 4),
@@ -288,3 +289,9 @@ def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight:
     summary = data.sparkSession.createDataFrame(rows, schema)
     outliers = outlier_sets(labels)
     return Ablation(summary, jaccard(outliers), outliers)
+
+
+def _scored_clusters(space: Callable[[], DataFrame], min_samples: int, block_rows: int) -> tuple[Clustering, float | None]:
+    points = materialize(space(), "points")
+    clustering = cluster_points(points, min_samples, block_rows=block_rows)
+    return clustering, silhouette(points, clustering.labels, block_rows)

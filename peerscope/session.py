@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from contextvars import ContextVar
+from contextvars import ContextVar, copy_context
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
 
+# Seconds a broadcast may wait for cores while steps run side by side.
+PATIENCE = 36_000
 # Where the innermost ``temporary_tables`` keeps its tables.
 _STEP: ContextVar[str | None] = ContextVar("step", default=None)
 
@@ -57,7 +61,8 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
 
     For steps that write their result before they end: what is still to be
     computed from such a table afterwards can't be. Steps may be nested; tables
-    written with ``keep`` stay, and threads that are started inside have no step.
+    written with ``keep`` stay, and threads that are started inside have no step
+    unless :func:`side_by_side` starts them.
     """
     folder = new_path(spark, "step")
     outer = _STEP.set(folder)
@@ -80,3 +85,23 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{step}/{name}-{uuid.uuid4().hex}" if step and not keep else new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, steps: dict[str, Callable]) -> dict:
+    """The results of independent ``steps``, each run by a thread of its own within the caller's step.
+
+    Jobs of one step may hold all cores while another waits to broadcast a few
+    rows, so broadcasts are given more time meanwhile.
+    """
+    timeout = spark.conf.get("spark.sql.broadcastTimeout")
+    spark.conf.set("spark.sql.broadcastTimeout", str(PATIENCE))
+    try:
+        with ThreadPoolExecutor(len(steps)) as pool:
+            # Each thread needs its own copy of the local properties.
+            running = {
+                name: pool.submit(copy_context().run, inheritable_thread_target(spark)(step))
+                for name, step in steps.items()
+            }
+            return {name: run.result() for name, run in running.items()}
+    finally:
+        spark.conf.set("spark.sql.broadcastTimeout", timeout)

@@ -1,9 +1,14 @@
+import threading
+from functools import partial
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 from peerscope.operators import bounded_silhouette, evaluation, reduction
 from peerscope.operators.blocks import MOST_BLOCKS, prepare
 from peerscope.operators.clusters import dbscan
+from peerscope.session import materialize, side_by_side, temporary_tables
 from tests import brute
 from tests.test_clusters import by_ip, frame, scattered
 from tests.test_scoring import endpoints, plain_features, random_rows
@@ -190,3 +195,29 @@ def test_sums_of_whole_and_open_clusters():
                 wanted = {0, clusters - 1} | ({1 + (all_sums / sizes)[point, 1:-1].argmin()} if clusters > 2 else set())
                 assert {c // 10 for p, c in told if p == point} == wanted
                 assert all(told[point, 10 * c] == pytest.approx(all_sums[point, c]) for c in wanted)
+
+
+def test_conditions_run_side_by_side_within_the_step(spark):
+    """Each waits for the others, and its tables go with the caller's step."""
+    meet, paths = threading.Barrier(3, timeout=60), []
+
+    def step(n):
+        meet.wait()
+        table = materialize(spark.range(n), "steps")
+        paths.extend(table.inputFiles())
+        return table.count()
+
+    before = spark.conf.get("spark.sql.broadcastTimeout")
+    with temporary_tables(spark):
+        assert side_by_side(spark, {str(n): partial(step, n) for n in (1, 2, 3)}) == {"1": 1, "2": 2, "3": 3}
+    assert paths and not any(Path(p.removeprefix("file:")).exists() for p in paths)
+    assert spark.conf.get("spark.sql.broadcastTimeout") == before
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, {"bad": lambda: 1 // 0, "good": lambda: 1})
+
+
+def test_ablation_clusters_conditions_at_once(spark, monkeypatch):
+    _, _, data = with_vectors(spark, 4)
+    meet, cluster_points = threading.Barrier(3, timeout=60), evaluation.cluster_points
+    monkeypatch.setattr(evaluation, "cluster_points", lambda *a, **k: meet.wait() and None or cluster_points(*a, **k))
+    assert evaluation.ablation(data).summary.count() == 3
