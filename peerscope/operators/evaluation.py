@@ -271,14 +271,15 @@ def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight:
         nothing = data.select(F.lit(CONDITIONS[0]).alias("condition"), "ip_address").limit(0)
         rows = [(name, None, None, None, None, None) for name in CONDITIONS]
         return Ablation(data.sparkSession.createDataFrame(rows, schema), jaccard(nothing), nothing)
+    # One after another, since Spark's PCA calls a LAPACK on the driver that keeps state between threads.
     spaces = {
-        "text-only": lambda: reduce_vectors(data, components, whiten).points,
-        "numeric-only": lambda: numeric_points(data),
-        "blended": lambda: blended_points(data, components, whiten, weight if weight > 0 else 1.0).points,
+        "text-only": reduce_vectors(data, components, whiten).points,
+        "numeric-only": numeric_points(data),
+        "blended": blended_points(data, components, whiten, weight if weight > 0 else 1.0).points,
     }
     rows, labels = [], {}
     for name, (clustering, score) in side_by_side(data.sparkSession, {
-        name: partial(_scored_clusters, space, min_samples, block_rows) for name, space in spaces.items()
+        name: partial(_scored_clusters, points, min_samples, block_rows) for name, points in spaces.items()
     }).items():
         labels[name] = clustering.labels
         found = cluster_counts(clustering.labels).first()
@@ -291,7 +292,7 @@ def ablation(data: DataFrame, components: int = 2, whiten: bool = False, weight:
     return Ablation(summary, jaccard(outliers), outliers)
 
 
-def _scored_clusters(space: Callable[[], DataFrame], min_samples: int, block_rows: int) -> tuple[Clustering, float | None]:
-    points = materialize(space(), "points")
+def _scored_clusters(points: DataFrame, min_samples: int, block_rows: int) -> tuple[Clustering, float | None]:
+    points = materialize(points, "points")
     clustering = cluster_points(points, min_samples, block_rows=block_rows)
     return clustering, silhouette(points, clustering.labels, block_rows)

@@ -217,7 +217,15 @@ def test_conditions_run_side_by_side_within_the_step(spark):
 
 
 def test_ablation_clusters_conditions_at_once(spark, monkeypatch):
+    """All but the reductions, whose PCA fails now and then beside another one."""
     _, _, data = with_vectors(spark, 4)
+    reduced = []
+    for name in ("reduce_vectors", "blended_points"):
+        reduce = getattr(evaluation, name)
+        monkeypatch.setattr(
+            evaluation, name, lambda *a, reduce=reduce: reduced.append(threading.current_thread()) or reduce(*a)
+        )
     meet, cluster_points = threading.Barrier(3, timeout=60), evaluation.cluster_points
     monkeypatch.setattr(evaluation, "cluster_points", lambda *a, **k: meet.wait() and None or cluster_points(*a, **k))
     assert evaluation.ablation(data).summary.count() == 3
+    assert reduced == [threading.current_thread()] * 2
